@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, ngram_jaccard, token_counts
+from . import bpe, decontaminate, html_extract, license_scan, ngram_jaccard, quality_rules, token_counts
 from .common import table
 
 
@@ -22,10 +22,18 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -34,10 +42,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op5_license_scan": op5_license_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_quality_rules": op7_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op7_quality_rules": quality_rules.ORACLE_SQL,
 }
