@@ -7,12 +7,12 @@
    order, rarest first. A class with fewer shared shingles than the threshold needs drops out.
 3. Each remaining class is listed under the shared shingles of its prefix: two sets with enough
    overlap must meet there. Under every shingle the class with the smallest fingerprint leads;
-   the others are verified against it, links are contracted to components, and only classes of one
-   list that are still in different components are compared further. No list of pairs of a
-   group of near copies is ever made.
-4. Verification streams the sets of each leader, puts them in a trie in the global order, and walks
-   it with the leader's set: classes below a node share its partial overlap, and a
-   subtree whose remaining lengths cannot reach the least overlap is skipped.
+   the others are verified against it and links are contracted to components. Only lists with several
+   components are open; their classes are compared in tiles of bounded size, and never inside one
+   component. No list of pairs of a group of near copies is ever made.
+4. Verification puts sets in a trie in the global order and walks it with another set: classes below a
+   node share its partial overlap, and a subtree whose remaining lengths cannot reach the least
+   overlap is skipped.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, pieces
+from .common import cut, pieces
 from .components import components
 from .hashing import mix, row_sets
 
@@ -36,8 +36,8 @@ RANGES, RANGE_KEYS = 256, 4_000_000
 HOT_SHARE = 1 / 2000
 #: Sets in one trie.
 TRIE_SETS = 256
-#: Cross-component pairs for each listed class that are compared at once; above it another leader is taken first.
-PAIRS_EACH = 8
+#: Sets of one side of a tile, on average.
+TILE_SETS = 256
 
 
 def least_shared(n: int, similarity: int = SIMILARITY) -> int:
@@ -314,47 +314,65 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> D
     return together.mapInArrow(_verify(similarity), "src long, dst long")
 
 
+def _tile(similarity: int):
+    """For one tile: the links between the sets of its two blocks, or inside its one block, over different labels."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("a", "b", "block", "fp", "label", "n", "codes"))), key=lambda r: r[6])
+        a, b = rows[0][0], rows[0][1]
+        trie, of = Trie(np.zeros(0, np.uint64)), {}
+        for _, _, block, fp, label, n, raw in rows:
+            if block == a:
+                trie.add(np.frombuffer(raw, np.uint64), fp, n)
+                of[fp] = label
+        out = []
+        for _, _, block, fp, label, n, raw in rows:
+            if block == b:
+                out += [(fp, other) for other in trie.linked(np.frombuffer(raw, np.uint64), n, similarity) if of[other] != label]
+        return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "dst": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
+def tiled_links(members: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(src, dst): all links between classes of one group with different labels, from members(fp, label, comp).
+
+    A group is cut into blocks: classes of a frequent label among themselves, whole rare labels pooled. Two blocks make a tile unless both are of the
+    same frequent label, so a large group in which nearly all are linked already costs its size times its rest.
+    """
+    per_label = members.groupBy("comp", "label").agg(F.count("*").alias("c"))
+    own = F.col("c") > TILE_SETS // 2
+    pooled = per_label.where(~own).groupBy("comp").agg(F.sum("c").alias("pool"))
+    placed = (
+        members.join(per_label, ["comp", "label"])
+        .join(pooled, "comp", "left")
+        .select("comp", "fp", "label", F.when(own, F.col("label")).alias("owner"), F.when(own, F.xxhash64("comp", "label", F.expr(f"pmod(xxhash64(fp), ceil(c / {TILE_SETS}))"))).otherwise(F.xxhash64("comp", F.lit("pool"), F.expr(f"pmod(xxhash64(label), ceil(pool / {TILE_SETS}))"))).alias("block"))
+    )
+    placed = cut(placed, "blocks")
+    blocks = placed.select("comp", "block", "owner").distinct()
+    a, b = blocks.select("comp", F.col("block").alias("a"), F.col("owner").alias("oa")), blocks.select("comp", F.col("block").alias("b"), F.col("owner").alias("ob"))
+    tiles = a.join(b, "comp").where("a <= b and (oa is null or ob is null or oa <> ob)").select("a", "b")
+    sides = tiles.select("a", "b", F.col("a").alias("block")).unionByName(tiles.where("a <> b").select("a", "b", F.col("b").alias("block")))
+    full = sides.join(placed, "block").join(sets, "fp").select("a", "b", "block", "fp", "label", "n", "codes")
+    return full.groupBy("a", "b").applyInArrow(_tile(similarity), "src long, dst long")
+
+
 def links(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(node, label): the components of the classes in `sets` that have a link."""
     listed = cut(prefixes(sets, similarity), "prefixes")
-    known, labels, found = None, None, None
-    while True:
-        if labels is None:
-            rows = listed.withColumn("label", F.col("fp"))
-        else:
-            rows = listed.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        groups = rows.groupBy("code").agg(F.min("fp").alias("hub"), F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        active = cut(rows.join(groups.select("code", "hub"), "code"), "lists")
-        drop_cut(listed)
-        per = active.groupBy("code", "label").agg(F.count("*").alias("c")).groupBy("code").agg(F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").alias("pairs"), F.sum("c").alias("c"))
-        size = per.agg(F.sum("pairs").alias("pairs"), F.sum("c").alias("rows")).first()
-        if not size["rows"]:
-            break
-        last = size["pairs"] <= PAIRS_EACH * size["rows"] and labels is not None
-        fits = f"least(n, m) * 100 >= greatest(n, m) * {similarity}"
-        if last:
-            a, b = active.select("code", "fp", "n", "label"), active.select("code", F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = a.join(b, "code").where("label < other").where(fits).select("hub", "fp").distinct()
-        else:
-            hubs = active.where("fp = hub").select("code", F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = active.join(hubs, "code").where("fp <> hub and label <> other").where(fits).select("hub", "fp").distinct()
-        new = verify(pairs, sets, similarity)
-        found = cut(new if known is None else known.unionByName(new), "links")
-        if known is not None:
-            drop_cut(known)
-        known = found
-        old, labels = labels, components(known)
-        if old is not None:
-            drop_cut(old)
-        if last:
-            drop_cut(active)
-            break
-        # the leader has met everyone on its list
-        listed = active.where("fp <> hub").select("code", "fp", "n")
-        listed.cut_path = active.cut_path
-    if labels is None:
-        labels = sets.where("false").select(F.col("fp").alias("node"), F.col("fp").alias("label"))
-    return labels
+    leaders = listed.groupBy("code").agg(F.min(F.struct("fp", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    listed = cut(listed.join(leaders.select("code", F.col("lead.fp").alias("hub"), F.col("lead.n").alias("m")), "code"), "lists")
+    pairs = listed.where("fp <> hub").where(f"least(n, m) * 100 >= greatest(n, m) * {similarity}").select("hub", "fp").distinct()
+    led = cut(verify(pairs, sets, similarity), "links")
+    labels = components(led)
+    # lists whose classes are in one component are done
+    rows = listed.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    open_ = rows.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("code")
+    active = cut(rows.join(open_, "code").select("fp", "hub", "label").distinct(), "active")
+    groups = components(active.select("fp", "hub"), "fp", "hub")
+    members = active.select("fp", "label").distinct().join(groups.select(F.col("node").alias("fp"), F.col("label").alias("comp")), "fp")
+    rest = tiled_links(members, sets, similarity)
+    return components(led.unionByName(rest))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
