@@ -22,7 +22,8 @@ from .common import pieces
 #: White space of the splitter, inside a character class.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pre-tokens that a worker remembers, and the longest that it remembers.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 700_000, 64
+NO_RANK = 1 << 60
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,68 +47,71 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {}
+        #: rank of a pair, keyed by both ids in one integer; the token a rank makes
+        self.ranks, self.merged = {}, []
         for rank, (a, b) in enumerate(pairs):
-            self.ranks.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+            self.ranks.setdefault(self.ids[a] << 20 | self.ids[b], rank)
+            self.merged.append(self.ids[a + b])
         self.normal = Tokenizer.from_file(path).normalizer
         letters = _byte_letters()
         self.inner = [self.ids.get(letters[b]) for b in range(256)]
         self.last = [self.ids.get(letters[b] + self.suffix) for b in range(256)]
         self.split = regex.compile(_pattern(spec["pre_tokenizer"]))
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known_ids = Known(lambda piece: np.array(self.word(piece), "<u4").tobytes())
+        self.known_names = Known(lambda piece: self.decode(np.frombuffer(self.known_ids[piece], "<u4").tolist()))
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges."""
         n = len(symbols)
         if n < 2:
             return symbols
-        ranks, none = self.ranks, 1 << 60
-        leaves = 1 << (n - 2).bit_length() if n > 2 else 1
+        rank, merged, none = self.ranks.get, self.merged, NO_RANK
+        leaves = 1 << (n - 2).bit_length()
         tree = [none] * (2 * leaves)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for i in range(n - 1):
-            hit = ranks.get((symbols[i], symbols[i + 1]))
-            if hit:
-                tree[leaves + i] = hit[0]
+        k, a = leaves, symbols[0]
+        for b in symbols[1:]:
+            tree[k] = rank(a << 20 | b, none)
+            k, a = k + 1, b
         for k in range(leaves - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-        def put(i: int, rank: int) -> None:
-            k = leaves + i
-            tree[k] = rank
-            k >>= 1
-            while k:
-                low = min(tree[2 * k], tree[2 * k + 1])
-                if tree[k] == low:
-                    break
-                tree[k] = low
-                k >>= 1
+            x, y = tree[2 * k], tree[2 * k + 1]
+            tree[k] = x if x <= y else y
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
-        def rank_at(i: int) -> int:
-            j = after[i]
-            hit = ranks.get((symbols[i], symbols[j])) if j < n else None
-            return hit[0] if hit else none
+        def put(k: int, value: int) -> None:
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    return
+                tree[k] = value
 
-        while tree[1] != none:
-            k, low = 1, tree[1]
+        low = tree[1]
+        while low != none:
+            k = 1
             while k < leaves:
-                k *= 2
+                k <<= 1
                 if tree[k] != low:
                     k += 1
             i = k - leaves
             j = after[i]
-            symbols[i] = ranks[(symbols[i], symbols[j])][1]
+            symbols[i] = new = merged[low]
             symbols[j] = -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
+            after[i] = end = after[j]
             if j < n - 1:
-                put(j, none)
-            if i < n - 1:
-                put(i, rank_at(i))
-            if before[i] >= 0:
-                put(before[i], rank_at(before[i]))
+                put(leaves + j, none)
+            if end < n:
+                before[end] = i
+                put(k, rank(new << 20 | symbols[end], none))
+            else:
+                put(k, none)
+            if i:
+                h = before[i]
+                put(leaves + h, rank(symbols[h] << 20 | new, none))
+            low = tree[1]
         return [s for s in symbols if s >= 0]
 
     def word(self, piece: str) -> list[int]:
@@ -121,31 +125,46 @@ class Vocabulary:
         names = self.names
         return " ".join([names[i] for i in ids if i in names])
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        ids = self.word(piece)
-        out = np.array(ids, "<u4").tobytes(), self.decode(ids)
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = out
-        return out
+    def normalise(self, text: str) -> str:
+        """The text as the splitter wants it. Latin-1 texts are composed already, and the splitter drops white space."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.normal.normalize_str(text)
+        return text.lower()
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and their decoded text."""
-        ids, names, known = [], [], self.known
+        ids, names = [], []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 ids.append(np.array([self.special[part]], "<u4").tobytes())
                 names.append(part)
             elif part:
-                for piece in self.split.findall(self.normal.normalize_str(part)):
-                    a, b = known.get(piece) or self._piece(piece)
-                    if a:
-                        ids.append(a)
-                        names.append(b)
+                words = self.split.findall(self.normalise(part))
+                if words:
+                    ids.append(b"".join(map(self.known_ids.__getitem__, words)))
+                    names.append(" ".join(map(self.known_names.__getitem__, words)))
+        if len(self.known_ids) > REMEMBERED:
+            self.known_ids.clear()
+            self.known_names.clear()
         return b"".join(ids), " ".join(names)
 
 
+class Known(dict):
+    """Pre-token -> its ids or names, made where missing and kept unless long."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str):
+        out = self.make(piece)
+        if len(piece) <= REMEMBERED_LENGTH:
+            self[piece] = out
+        return out
+
+
 def _pattern(spec: dict) -> str:
     for part in spec.get("pretokenizers", [spec]):
         if part["type"] == "Split":
