@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, license_scan, ngram_jaccard, quality_rules, token_counts
+from . import bpe, decontaminate, html_extract, license_scan, ngram_jaccard, quality_rules, suffix_tree, token_counts
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_license_scan": op5_license_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
