@@ -58,17 +58,17 @@ def fingerprint(keys: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp, n): the fingerprint (null without words) and the size of each document's set."""
+    """(doc_id, rid, fp, n): a hash of the text, the fingerprint (null without words) and the size of each document's set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             sets = row_sets(part.column("text"), size)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                names=["doc_id", "fp", "n"],
+                [part.column("doc_id"), part.column("rid"), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
+                names=["doc_id", "rid", "fp", "n"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n long")
+    return docs.select("doc_id", F.xxhash64("text").alias("rid"), "text").mapInArrow(run, "doc_id long, rid long, fp long, n long")
 
 
 def _packed(docs: DataFrame, size: int, bits: int, hot: dict[int, tuple[int, int]]) -> DataFrame:
@@ -334,8 +334,10 @@ def _tile(similarity: int):
     return run
 
 
-def tiled_links(members: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(src, dst): all links between classes of one group with different labels, from members(fp, label, comp).
+def tiled_links(members: DataFrame, sets: DataFrame, run) -> DataFrame:
+    """(src, dst): all links between classes of one group with different labels, from members(fp, label, comp) and sets(fp, ...).
+
+    `run` finds the links of one tile, a table (a, b, block, fp, label, ...) of the rows of its blocks a and b.
 
     A group is cut into blocks: classes of a frequent label among themselves, whole rare labels pooled. Two blocks make a tile unless both are of the
     same frequent label, so a large group in which nearly all are linked already costs its size times its rest.
@@ -353,8 +355,8 @@ def tiled_links(members: DataFrame, sets: DataFrame, similarity: int = SIMILARIT
     a, b = blocks.select("comp", F.col("block").alias("a"), F.col("owner").alias("oa")), blocks.select("comp", F.col("block").alias("b"), F.col("owner").alias("ob"))
     tiles = a.join(b, "comp").where("a <= b and (oa is null or ob is null or oa <> ob)").select("a", "b")
     sides = tiles.select("a", "b", F.col("a").alias("block")).unionByName(tiles.where("a <> b").select("a", "b", F.col("b").alias("block")))
-    full = sides.join(placed, "block").join(sets, "fp").select("a", "b", "block", "fp", "label", "n", "codes")
-    return full.groupBy("a", "b").applyInArrow(_tile(similarity), "src long, dst long")
+    full = sides.join(placed, "block").join(sets, "fp").select("a", "b", "block", "fp", "label", *[c for c in sets.columns if c != "fp"])
+    return full.groupBy("a", "b").applyInArrow(run, "src long, dst long")
 
 
 def links(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -371,10 +373,20 @@ def links(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     active = cut(rows.join(open_, "code").select("fp", "hub", "label").distinct(), "active")
     groups = components(active.select("fp", "hub"), "fp", "hub")
     members = active.select("fp", "label").distinct().join(groups.select(F.col("node").alias("fp"), F.col("label").alias("comp")), "fp")
-    rest = tiled_links(members, sets, similarity)
+    rest = tiled_links(members, sets, _tile(similarity))
     return components(led.unionByName(rest))
 
 
+def _labelled(docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """(doc_id, rid, n, component_id) for every row; component_id is null only where no row of the component has an id."""
+    texts = cut(classes(docs, size), "classes")
+    sets = cut(shared_sets(docs, texts, size, similarity), "sets")
+    labels = links(sets, similarity)
+    full = texts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    smallest = full.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return full.join(smallest, "label", "left").select("doc_id", "rid", "n", F.coalesce("low", "doc_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text, ...).
 
@@ -385,9 +397,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: int
     a null doc_id take part and never give a component its id unless all its ids are null. Repeated rows stay
     repeated. Further columns are ignored; no rows give no rows.
     """
-    texts = cut(classes(docs, size), "classes")
-    sets = cut(shared_sets(docs, texts, size, similarity), "sets")
-    labels = links(sets, similarity)
-    full = texts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = full.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return full.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    return _labelled(docs, size, similarity).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of `docs`, with all their columns, less near duplicates: of each component the smallest doc_id stays.
+
+    Rows that share this doc_id all stay; of rows with a null doc_id those stay that are linked with no row that has one. Empty texts stay.
+    """
+    gone = _labelled(docs, size, similarity).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_rid"]), "left_anti").drop("_key")

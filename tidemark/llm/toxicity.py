@@ -1,6 +1,7 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by linear models over hashed word presence. Each later model also gets the
+Categories are predicted one after another by linear models over the presence of words: for each category those that its
+labels depend on most. Each later model also gets the
 earlier categories' probabilities; in training these are out-of-fold predictions, so that they look like
 those of unseen documents. Training uses a bounded sample of labelled documents, chosen by a hash of their ids;
 scoring covers every document.
@@ -11,7 +12,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,35 @@ from .common import cut
 
 #: Categories in the order of the chain; the last one decides.
 CHAIN = ("low_quality", "toxic")
-#: Hashed features; folds; labelled documents used at most (by hash of the id); probability from which a document is toxic.
-FEATURES, FOLDS, TRAIN_ROWS, THRESHOLD = 1 << 18, 3, 20_000, 0.5
+#: Words for each category at most, in so many labelled documents at least; folds; labelled documents used at most (by hash of the id);
+#: probability from which a document is toxic.
+WORDS, WORD_DOCS, FOLDS, TRAIN_ROWS, THRESHOLD = 1_000, 3, 3, 20_000, 0.5
 #: Penalty and most steps of the linear models.
 PENALTY, STEPS = 2e-4, 40
 
 
-def _featured(docs: DataFrame) -> DataFrame:
-    """The documents with `words`, the presence of each lower-case word as a sparse vector."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
-    tf = HashingTF(inputCol="_words", outputCol="words", numFeatures=FEATURES, binary=True)
-    return tf.transform(docs.withColumn("_words", words)).drop("_words")
+def _words(docs: DataFrame) -> DataFrame:
+    """The documents with `_words`, their distinct words in lower case."""
+    return docs.withColumn("_words", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))))
+
+
+def vocabulary(rows: DataFrame, categories: tuple[str, ...], most: int = WORDS, least: int = WORD_DOCS) -> list[str]:
+    """The words of rows(_words, categories) whose presence says most about a category: `most` for each, by distance from independence."""
+    total = rows.agg(*[F.count(c).alias(f"n_{c}") for c in categories], *[F.sum(c).alias(f"y_{c}") for c in categories]).first()
+    counts = rows.select(F.explode("_words").alias("word"), *categories).groupBy("word").agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in categories], *[F.sum(c).alias(f"y_{c}") for c in categories])
+    counts = cut(counts.where(F.col("n") >= least), "words")
+    chosen: set[str] = set()
+    for c in categories:
+        share = (total[f"y_{c}"] or 0) / max(total[f"n_{c}"], 1)
+        if 0 < share < 1:
+            far = F.abs(F.col(f"y_{c}") - F.col(f"n_{c}") * share) / F.sqrt(F.col(f"n_{c}") * share * (1 - share))
+            chosen |= {r["word"] for r in counts.where(F.col(f"n_{c}") > 0).orderBy(far.desc(), "word").limit(most).select("word").collect()}
+    return sorted(chosen) or [""]
+
+
+def _featured(docs: DataFrame, words: list[str]) -> DataFrame:
+    """The documents with `words`, which of the vocabulary's words they have, as a sparse vector."""
+    return CountVectorizerModel.from_vocabulary(words, inputCol="_words", outputCol="words", binary=True).transform(docs).drop("_words")
 
 
 def _fit(rows: DataFrame, label: str, inputs: list[str]) -> LogisticRegressionModel | float:
@@ -52,16 +71,16 @@ def _predict(rows: DataFrame, model: LogisticRegressionModel | float, inputs: li
 class Chain:
     """A trained chain: one model for each category."""
 
-    def __init__(self, models: list[tuple[str, list[str], LogisticRegressionModel | float]]):
-        self.models = models
+    def __init__(self, words: list[str], models: list[tuple[str, list[str], LogisticRegressionModel | float]]):
+        self.words, self.models = words, models
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """The documents with p_<category> for each category; all other columns stay."""
-        out = _featured(docs.withColumnRenamed("words", "_own_words") if "words" in docs.columns else docs)
+        inside = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+        out = _featured(_words(inside), self.words)
         for category, inputs, model in self.models:
             out = _predict(out, model, inputs, f"p_{category}")
-        out = out.drop("words")
-        return out.withColumnRenamed("_own_words", "words") if "_own_words" in out.columns else out
+        return out.select("_row.*", *[f"p_{category}" for category, _, _ in self.models])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAIN, most: int = TRAIN_ROWS, folds: int = FOLDS) -> Chain:
@@ -71,8 +90,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAI
     """
     chosen = labels.where("doc_id is not null").withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(most)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` rows
-    rows = _featured(sample).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)))
-    rows = cut(rows.select("_fold", "words", *categories), "labelled")
+    spelled = cut(_words(sample).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))).select("_fold", "_words", *categories), "labelled")
+    words = vocabulary(spelled, categories)
+    rows = cut(_featured(spelled, words), "labelled")
     inputs, models = ["words"], []
     for place, category in enumerate(categories):
         models.append((category, list(inputs), _fit(rows, category, inputs)))
@@ -80,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAI
             parts = [_predict(rows.where(F.col("_fold") == k), _fit(rows.where(F.col("_fold") != k), category, inputs), inputs, f"p_{category}") for k in range(folds)]
             rows = cut(reduce(DataFrame.unionByName, parts), "labelled")
             inputs = [*inputs, f"p_{category}"]
-    return Chain(models)
+    return Chain(words, models)
 
 
 def from_quality(labels: DataFrame) -> DataFrame:
