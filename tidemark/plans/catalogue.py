@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import core
+
+FLAGSHIP = "lead_events"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for part in (core,):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
