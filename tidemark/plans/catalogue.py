@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, ingest
 
 FLAGSHIP = "lead_events"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (core,):
+for part in (core, ingest):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

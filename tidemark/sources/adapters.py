@@ -65,7 +65,7 @@ from (select user_id, {LISTING} as listing_id, min(ts) as first_ts, max(ts) as l
     "scraper_runs": (
         "orders",
         "select o_orderkey as id, o_orderkey % 10 as vendor_id, started_at, started_at + interval '10' minute as finished_at, "
-        "case o_orderstatus when 'F' then 'success' when 'O' then 'failed' else 'partial' end as status, cast(o_totalprice / 1000 as bigint) as listings_seen, cast(o_orderkey % 12 as bigint) as pages_fetched, "
+        "case o_orderstatus when 'F' then 'success' when 'O' then 'failed' else 'partial' end as status, cast(floor(o_totalprice / 1000) as bigint) as listings_seen, cast(o_orderkey % 12 as bigint) as pages_fetched, "
         "cast(o_custkey % 40 as bigint) as listings_oos, case when o_orderstatus = 'O' then case when o_custkey % 3 = 0 then 'silent canary: too few rows' else 'timeout' end end as error_message "
         "from (select *, cast('2024-01-01 06:00:00' as {ntz}) + (o_orderkey % 30) * interval '1' day + (o_custkey % 17) * interval '1' hour as started_at from {src} where o_orderkey < 1500) s",
     ),
