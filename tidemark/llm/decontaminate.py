@@ -124,14 +124,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rem
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
     hits = find_hits(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rid"))
+    same = docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hits["_rid"])
     if remove == "documents":
-        return keyed.join(hits, same, "left_anti").drop("_key")
+        return docs.join(hits, same, "left_anti")
     words = F.regexp_extract_all("text", F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     lead = F.when(F.regexp_like("text", F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")), 1).otherwise(0)
     hit = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["i"], s["i"] + s["k"] - 1))))
-    joined = keyed.join(hits, same, "left").withColumn("_words", words).withColumn("_lead", lead).withColumn("_hit", hit)
+    joined = docs.join(hits, same, "left").withColumn("_words", words).withColumn("_lead", lead).withColumn("_hit", hit)
     kept = F.array_join(F.filter("_words", lambda x, j: ~F.array_contains(F.col("_hit"), j - F.col("_lead"))), "")
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 

@@ -407,5 +407,4 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: int = SI
     """
     gone = _labelled(docs, size, similarity).where("component_id is not null and (doc_id is null or doc_id <> component_id)")
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_key"] == gone["_rid"]), "left_anti").drop("_key")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_rid"]), "left_anti")

@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by linear models over the presence of words: for each category those that its
+Categories are predicted one after another by linear models over the presence of words and beginnings of words: for each category those that its
 labels depend on most. Each later model also gets the
 earlier categories' probabilities; in training these are out-of-fold predictions, so that they look like
 those of unseen documents. Training uses a bounded sample of labelled documents, chosen by a hash of their ids;
@@ -14,23 +14,31 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: Categories in the order of the chain; the last one decides.
 CHAIN = ("low_quality", "toxic")
-#: Words for each category at most, in so many labelled documents at least; folds; labelled documents used at most (by hash of the id);
+#: Words for each category at most, in so many labelled documents at least, and so many standard deviations from independence; folds; labelled documents used at most (by hash of the id);
 #: probability from which a document is toxic.
-WORDS, WORD_DOCS, FOLDS, TRAIN_ROWS, THRESHOLD = 1_000, 3, 3, 20_000, 0.5
+WORDS, WORD_DOCS, DISTANCE, FOLDS, TRAIN_ROWS, THRESHOLD = 1_000, 3, 5.0, 3, 20_000, 0.5
+#: Lengths of the beginnings of words that are features too.
+BEGINNINGS = (5, 6, 7, 8)
 #: Penalty and most steps of the linear models.
-PENALTY, STEPS = 2e-4, 40
+PENALTY, STEPS = 5e-4, 40
+
+
+def _beginnings(k: int) -> Column:
+    return F.transform(F.filter("_words", lambda w: F.length(w) > k), lambda w: F.concat(F.lit("^"), F.substring(w, 1, k)))
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """The documents with `_words`, their distinct words in lower case."""
-    return docs.withColumn("_words", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))))
+    """The documents with `_words`, their distinct words in lower case and the beginnings of longer ones, so that inflected forms count together."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
+    begins = [_beginnings(k) for k in BEGINNINGS]
+    return docs.withColumn("_words", words).withColumn("_words", F.array_distinct(F.concat("_words", *begins)))
 
 
 def vocabulary(rows: DataFrame, categories: tuple[str, ...], most: int = WORDS, least: int = WORD_DOCS) -> list[str]:
@@ -43,7 +51,7 @@ def vocabulary(rows: DataFrame, categories: tuple[str, ...], most: int = WORDS,
         share = (total[f"y_{c}"] or 0) / max(total[f"n_{c}"], 1)
         if 0 < share < 1:
             far = F.abs(F.col(f"y_{c}") - F.col(f"n_{c}") * share) / F.sqrt(F.col(f"n_{c}") * share * (1 - share))
-            chosen |= {r["word"] for r in counts.where(F.col(f"n_{c}") > 0).orderBy(far.desc(), "word").limit(most).select("word").collect()}
+            chosen |= {r["word"] for r in counts.where((F.col(f"n_{c}") > 0) & (far >= DISTANCE)).orderBy(far.desc(), "word").limit(most).select("word").collect()}
     return sorted(chosen) or [""]
 
 
