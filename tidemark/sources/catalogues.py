@@ -58,10 +58,14 @@ def keep_reason(config: dict, available_only: bool = True) -> Column:
         for x in c.get(axis, ()):
             out = out.when(test(x.lower()), axis)
     for x in c.get("no_sku_ends", ()):
-        out = out.when(F.coalesce(F.exists("variants", lambda v, x=x: F.coalesce(sku_ends_with(v["sku"], x), F.lit(False))), F.lit(False)), "sku-denied")
+        out = out.when(_has_sku_end(x), "sku-denied")
     return out
 
 
+def _has_sku_end(suffix: str) -> Column:
+    return F.coalesce(F.exists("variants", lambda v: F.coalesce(sku_ends_with(v["sku"], suffix), F.lit(False))), F.lit(False))
+
+
 def is_auction(rounds: bool = False) -> Column:
     """By tag; where a vendor numbers its rounds, also by tags like auction12."""
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))
