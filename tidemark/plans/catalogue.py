@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import core, ingest
+from . import core, ingest, posts
 
 FLAGSHIP = "lead_events"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (core, ingest):
+for part in (core, ingest, posts):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
