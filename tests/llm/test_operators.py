@@ -218,6 +218,35 @@ def test_line_dedup(spark):
     assert {r["doc_id"] for r in left} == {i for i in range(len(texts)) if gone[i] < total[i] or not gone[i]} and all(r["n_chars"] == len(r["text"]) for r in left)
 
 
+def test_line_dedup_finds_every_similar_line(spark):
+    """Against plain word edit similarity, without a rule for candidates: edits spread over lines of frequent words, up to the most that are allowed."""
+    rng = random.Random(7)
+    spell = lambda: f"w{int(rng.paretovariate(0.7)) % 900}"
+    plain = []
+    for n in (4, 5, 6, 9, 10, 15, 19, 30, 31, 60, 120):
+        for _ in range(6):
+            base = [spell() for _ in range(n)]
+            plain.append(base)
+            for share in (1, 0.5):
+                line = list(base)
+                step = max(1, len(line) // max(1, int(line_dedup.most_edits(n, n) * share)))
+                for k in range(int(line_dedup.most_edits(n, n) * share)):
+                    line[min(k * step + step // 2, n - 1)] = f"new{rng.randrange(10**6)}"
+                plain.append(line)
+            plain.append([*base, "more"])
+    rng.shuffle(plain)
+    letters = line_dedup.Lines(pa.array([" ".join(x) for x in plain])).encoded(np.arange(len(plain))).to_pylist()
+    label = list(range(len(plain)))
+    for i in range(len(plain)):
+        for j in range(i):
+            most = line_dedup.most_edits(len(plain[i]), len(plain[j]))
+            if label[i] != label[j] and line_dedup.edits(letters[i], letters[j], most) <= most:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.removed(docs(spark, [" ".join(x) for x in plain], 0)).collect()}
+    assert got == {i: int(label[i] != i) for i in range(len(plain))}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_edits(seed):
     rng = random.Random(seed)

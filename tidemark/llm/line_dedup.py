@@ -1,15 +1,18 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
+"""Fuzzy line deduplication: rare word pairs, SimHash distance, edit similarity, one occurrence per connected group.
 
 A line's words (letters, digits, non-ASCII; A-Z as a-z) are its normalised form. Equal forms are one *line class*, known
-by a 64-bit hash. Each class gets a SimHash of BLOCKS x 32 bits over its pairs of neighbouring words. Two SimHashes that differ in fewer bits than there
-are blocks agree in one block at least, so classes that share a block are candidates; a link needs a word edit
-similarity of SIMILARITY hundredths as well. Under each block value the class with the smallest hash leads and all others are
-verified against it; where that leaves several components, their classes are compared in tiles of bounded size, so
+by a 64-bit hash. Two classes are linked when their word edit similarity is SIMILARITY hundredths or more. Each edit changes two pairs of
+neighbouring words at most, so linked classes share many of them; each class is listed under its rarest pairs, as many as make
+two linked classes meet in one list for certain. Rarity is a table of fixed size that need not be exact: any order that all classes share will do.
+Classes that meet are compared by SimHash (BITS bits over single words, an even chance for each bit of unrelated lines, at most about one in
+five for linked ones) and those within MOST_BITS by edit similarity. In each list the class with the smallest hash leads and all others are
+verified against it; where that leaves several components, the pairs of a short list are compared too, and a long list's classes in tiles of bounded size, so
 no list of pairs of a large group is made. Of each connected group the occurrence in the smallest doc_id stays, there the first.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +26,14 @@ from .components import components
 from .hashing import ITEM, buffer_of, mix, rows_of, spans, word_hashes
 from .ngram_jaccard import RANGE_KEYS, RANGES, tiled_links
 
-#: Blocks of 32 bits; least word edit similarity in hundredths.
-BLOCKS, SIMILARITY = 8, 80
+#: SimHash bits; most that differ between linked lines (mean 53 of 256 and deviation 6.5 at a similarity of 0.8); least word edit similarity in hundredths.
+BITS, MOST_BITS, SIMILARITY = 256, 96, 80
+#: Smallest similarity at which linked lines share a word pair for certain.
+LEAST_SIMILARITY = 70
+#: Cells of the rarity table, as a power of two, and pieces that it is summed in.
+CELL_BITS, CELL_PIECES = 20, 16
+#: Classes of a list whose pairs are compared without tiles.
+SHORT = 64
 #: A SimHash word is counted in 8-bit lanes of at most this many words.
 LANE = 255
 #: One code point stands for each word in the encoded line: this many, from this one on (three bytes of UTF-8).
@@ -32,7 +41,18 @@ LETTERS, FIRST_LETTER = 0xC000, 0x1000
 
 U64 = np.uint64
 _LANES = np.array([sum(1 << (8 * i) for i in range(8) if v >> i & 1) for v in range(256)], np.uint64)
-_SEEDS = mix(np.arange(1, BLOCKS // 2 + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+
+
+def _nth(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How many times each value has occurred in its row before."""
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    head = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))[: len(value)]
+    first = np.flatnonzero(head)
+    out = np.empty(len(value), np.int64)
+    out[order] = np.arange(len(value)) - np.repeat(first, np.diff(np.append(first, len(value))))
+    return out
 
 
 class Lines:
@@ -56,14 +76,11 @@ class Lines:
             self.key = mix(np.add.reduceat(spread, self.first) ^ self.count.astype(np.uint64)).view(np.int64) if len(full) else np.zeros(0, np.int64)
 
     def simhash(self, chosen: np.ndarray) -> np.ndarray:
-        """(lines, BLOCKS) 32-bit blocks of the chosen lines."""
+        """(lines, BITS // 8) 8-bit blocks of the chosen lines; a word that occurs again counts as another word, so that one edit changes one feature."""
         count = self.count[chosen]
         words = self._words(chosen)
-        # each word with the one before it, so that lines don't meet for their frequent words alone; the first has none
-        before = np.append(np.zeros(1, np.uint64), words[:-1])
-        before[np.cumsum(count) - count] = 0
         with np.errstate(over="ignore"):
-            words = mix(words * U64(3) + before)
+            words = mix(words * U64(3) + _nth(np.repeat(np.arange(len(chosen)), count), words).astype(np.uint64))
         parts = -(-count // LANE)
         owner = np.repeat(np.arange(len(chosen)), parts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -77,7 +94,7 @@ class Lines:
                 lanes = np.add.reduceat(_LANES[octets[:, k]], at).view(np.uint8).reshape(-1, 8)
                 ones = lanes.astype(np.int64) if len(at) == len(chosen) else np.add.reduceat(lanes.astype(np.int64), head, axis=0)
                 out.append(np.packbits(2 * ones > count[:, None], axis=1, bitorder="little"))
-        return np.ascontiguousarray(np.concatenate(out, axis=1)).view(np.uint32)
+        return np.ascontiguousarray(np.concatenate(out, axis=1))
 
     def _words(self, chosen: np.ndarray) -> np.ndarray:
         if len(chosen) == len(self.count):
@@ -106,41 +123,88 @@ def line_table(docs: DataFrame) -> DataFrame:
             place = np.full(len(lines.key), -1)
             place[chosen] = np.arange(len(chosen))
             where = pa.array(place, mask=place < 0)
-            sims = pa.array([x.tobytes() for x in lines.simhash(chosen)], pa.binary()).take(where)
+            longs = lines.simhash(chosen).view(np.int64)
+            sims = pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel())).take(where)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lines.key), part.column("doc_id").take(pa.array(lines.row)), pa.array(lines.count.astype(np.int32)), sims, lines.encoded(chosen).take(where)],
                 names=["key", "doc_id", "n", "sim", "letters"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, n int, sim binary, letters string")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, n int, sim array<long>, letters string")
+
+
+def word_pairs(letters: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, row, n): hashes of the pairs of neighbouring words of encoded lines, a pair that occurs again being another one, and each line's words."""
+    data, offsets = buffer_of(letters)
+    raw = data.reshape(-1, 3).astype(np.uint64)
+    letter = (raw[:, 0] & U64(15)) << U64(12) | (raw[:, 1] & U64(63)) << U64(6) | raw[:, 2] & U64(63)
+    count = np.diff(offsets) // 3
+    row = np.repeat(np.arange(len(count)), count)
+    inside = row[1:] == row[:-1]
+    pair, row = (letter[:-1] << U64(16) | letter[1:])[inside], row[:-1][inside]
+    return mix(pair | _nth(row, pair).astype(np.uint64) << U64(32)), row, count
+
+
+def listed_pairs(n: int, similarity: int = SIMILARITY) -> int:
+    """Pairs of a line of n words, first in any fixed order, of which every line linked with it shares one among its own; 0 if only equal lines are."""
+    m = np.arange(n, n * 100 // similarity + 1)
+    most = m * (100 - similarity) // 100
+    return min(n - 1, int((n - m + 2 * most).max()) + 1) if most[-1] else 0
+
+
+def rarity(lines: DataFrame) -> np.ndarray:
+    """Occurrences of word pairs by the first CELL_BITS bits of their code: a table of fixed size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.uint32)
+        for part in pieces(batches, "letters"):
+            code = word_pairs(part.column("letters"))[0]
+            total += np.bincount((code >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(CELL_PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, CELL_PIECES)], pa.binary())], names=["piece", "cells"])
 
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in table.column("cells").to_pylist())
+        return pa.table({"piece": table.column("piece")[:1], "cells": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
-def block_lists(lines: DataFrame) -> DataFrame:
-    """(code, key): the classes under each block value that two classes or more have.
+    found = lines.where("sim is not null").select("letters").mapInArrow(run, "piece int, cells binary").groupBy("piece").applyInArrow(add, "piece int, cells binary")
+    out = {r["piece"]: r["cells"] for r in found.collect()}
+    return np.frombuffer(b"".join(out[k] for k in sorted(out)), np.uint32) if out else np.zeros(1 << CELL_BITS, np.uint32)
 
-    Blocks travel in packed rows, one for each batch and range of block values.
+
+def pair_lists(lines: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(code, fp, hub, c): the classes under each word pair that two classes or more are listed under, the smallest of them, their number.
+
+    Codes travel in packed rows, one for each batch and range of codes.
     """
-    total = lines.where("sim is not null").count() * BLOCKS
-    bits = max(RANGES.bit_length() - 1, int(np.ceil(np.log2(max(1, total / RANGE_KEYS)))))
+    if similarity < LEAST_SIMILARITY:
+        raise ValueError(f"linked lines share no word pair for certain below {LEAST_SIMILARITY}")
+    total = lines.where("sim is not null").agg(F.sum("n")).first()[0] or 0
+    bits = max(RANGES.bit_length() - 1, int(np.ceil(np.log2(max(1, total / 2 / RANGE_KEYS)))))
+    shared = lines.sparkSession.sparkContext.broadcast(rarity(lines))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.asarray(batch.column("key"))
-            blocks = np.frombuffer(b"".join(batch.column("sim").to_pylist()), np.uint32).reshape(-1, BLOCKS).astype(np.uint64)
-            code = mix(blocks | (np.arange(BLOCKS, dtype=np.uint64) << U64(32))).ravel()
-            owner = np.repeat(key, BLOCKS)
+        cells = shared.value
+        for part in pieces(batches, "letters"):
+            key = np.asarray(part.column("key"))
+            code, row, count = word_pairs(part.column("letters"))
+            order = np.lexsort((code, cells[(code >> U64(64 - CELL_BITS)).astype(np.int64)], row))
+            code, row = code[order], row[order]
+            sizes, which = np.unique(count, return_inverse=True)
+            most = np.array([listed_pairs(int(n), similarity) for n in sizes], np.int64)[which]
+            listed = np.arange(len(row)) - np.searchsorted(row, np.arange(len(count)))[row] < most[row]
+            code, row = code[listed], row[listed]
             order = np.argsort(code)
-            code, owner = code[order], owner[order]
+            code, owner = code[order], key[row[order]]
             found, first = np.unique((code >> U64(64 - bits)).astype(np.int64), return_index=True)
             ends = np.append(first[1:], len(code))
+            low = (code >> U64(32 - bits)).astype(np.uint32)  # the next 32 bits: the range's number is in every row
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.int32()), pa.array([code[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["bucket", "codes", "keys"]
+                [pa.array(found, pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["bucket", "codes", "keys"]
             )
 
     def meet(table: pa.Table) -> pa.Table:
-        code = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int64)
+        code = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint32).astype(np.int64) | table.column("bucket")[0].as_py() << 32
         key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
         order = np.lexsort((key, code))
         code, key = code[order], key[order]
@@ -148,12 +212,13 @@ def block_lists(lines: DataFrame) -> DataFrame:
         code, key = code[new], key[new]
         edge = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         size = np.diff(np.append(edge, len(code)))
-        several = np.repeat(size, size) > 1
-        return pa.table({"code": pa.array(code[several]), "key": pa.array(key[several])})
+        hub, size = np.repeat(key[edge], size), np.repeat(size, size)
+        several = size > 1
+        return pa.table({"code": pa.array(code[several]), "fp": pa.array(key[several]), "hub": pa.array(hub[several]), "c": pa.array(size[several].astype(np.int64))})
 
     spread = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = lines.where("sim is not null").select("key", "sim").mapInArrow(pack, "bucket int, codes binary, keys binary")
-    return packed.repartition(spread, "bucket").groupBy("bucket").applyInArrow(meet, "code long, key long")
+    packed = lines.where("sim is not null").select("key", "letters").mapInArrow(pack, "bucket int, codes binary, keys binary")
+    return packed.repartition(spread, "bucket").groupBy("bucket").applyInArrow(meet, "code long, fp long, hub long, c long")
 
 
 def most_edits(a: int, b: int, similarity: int = SIMILARITY) -> int:
@@ -190,47 +255,68 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def _tile(similarity: int):
-    """For one tile: links between lines of its two blocks, or inside its one block, over different labels."""
+    """For one tile: links that join different labels, as many as it takes, between lines of its two blocks or inside its one block."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "fp", "label", "n", "sim", "letters"))))
         left, right = [r for r in rows if r[0] == a], [r for r in rows if r[0] == b]
-        sims = np.frombuffer(b"".join(r[4] for r in left), np.uint32).reshape(-1, BLOCKS)
+        sims = np.array([r[4] for r in left], np.int64).reshape(-1, BITS // 64)
+        bags, top = [Counter(r[5]) for r in left], {}
+
+        def find(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                x = up
+            return x
+
         labels, sizes = np.array([r[2] for r in left], np.int64), np.array([r[3] for r in left], np.int64)
         out = []
         for _, fp, label, n, sim, letters in right:
-            near = (sims == np.frombuffer(sim, np.uint32)).any(axis=1) & (labels != label)
+            near = (np.bitwise_count((sims ^ np.array(sim, np.int64)).view(np.uint64)).sum(axis=1) <= MOST_BITS) & (labels != label)
             near &= np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * similarity
+            bag, root = Counter(letters), find(label)
             for i in np.flatnonzero(near):
                 most = most_edits(n, left[i][3], similarity)
+                # labels that are linked already need no second link, and each edit takes one word from what two lines share at most
+                if (other := find(left[i][2])) == root or (bag & bags[i]).total() < max(n, left[i][3]) - most:
+                    continue
                 if edits(letters, left[i][5], most) <= most:
                     out.append((fp, left[i][1]))
+                    top[other] = root
         return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "dst": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
+def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(src, dst): those of distinct (a, b) that are linked. Texts are moved only for pairs that size and SimHash allow."""
+    brief = texts.select("fp", "n", "sim")
+    one, two = brief.toDF("a", "n", "sim"), brief.toDF("b", "m", "other")
+    bits = " + ".join(f"bit_count(sim[{k}] ^ other[{k}])" for k in range(BITS // 64))
+    # keys and texts grow with the corpus and are never broadcast, so the plan is the same at every size
+    near = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(f"least(n, m) * 100 >= greatest(n, m) * {similarity} and {bits} <= {MOST_BITS}")
+    near = cut(near.select("a", "b", F.expr(f"int(greatest(n, m) * {100 - similarity} div 100)").alias("most")), "near")
+    one, two = texts.select(F.col("fp").alias("a"), "letters"), texts.select(F.col("fp").alias("b"), F.col("letters").alias("other"))
+    close = near.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where("levenshtein(letters, other, most) >= 0")
+    return close.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 def groups(lines: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(node, label): the connected group of each line class that is linked with another, from line_table()."""
-    lists = cut(block_lists(lines), "lists")
-    # keys and texts grow with the corpus and are never broadcast, so the plan is the same at every size
-    chosen = lists.select("key").distinct()
+    led = cut(pair_lists(lines, similarity), "lists")
+    chosen = led.select(F.col("fp").alias("key")).distinct()
     texts = cut(lines.where("sim is not null").join(chosen.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("fp"), "n", "sim", "letters"), "lines")
-    led = lists.join(lists.groupBy("code").agg(F.min("key").alias("hub")), "code")
-    led = cut(led.select("code", F.col("key").alias("fp"), "hub"), "led")
-    pairs = led.where("fp <> hub").select("hub", "fp").distinct()
-    hub = texts.select(F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("letters").alias("other"))
-    close = pairs.join(hub.hint("merge"), "hub").join(texts.select("fp", "n", "letters").hint("merge"), "fp").where(f"least(n, m) * 100 >= greatest(n, m) * {similarity}")
-    close = close.where(f"levenshtein(letters, other, int(greatest(n, m) * {100 - similarity} div 100)) >= 0")
-    links = cut(close.select(F.col("hub").alias("src"), F.col("fp").alias("dst")), "links")
+    links = cut(verified(led.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), texts, similarity), "links")
     labels = components(links)
-    rows = led.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    # a list of two is done, and so is one whose classes are in one component
+    rows = led.where("c > 2").join(labels.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     open_ = rows.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("code")
-    active = cut(rows.join(open_, "code").select("fp", "hub", "label").distinct(), "active")
-    joined = components(active.select("fp", "hub"), "fp", "hub")
-    members = active.select("fp", "label").distinct().join(joined.select(F.col("node").alias("fp"), F.col("label").alias("comp")), "fp")
-    return components(links.unionByName(tiled_links(members, texts, _tile(similarity))))
+    active = cut(rows.join(open_.hint("merge"), "code").select("code", "fp", "label", "hub", "c"), "active")
+    short = active.where(f"c <= {SHORT} and fp <> hub")
+    a, b = short.select("code", F.col("fp").alias("a"), "label"), short.select("code", F.col("fp").alias("b"), F.col("label").alias("other"))
+    rest = verified(a.hint("merge").join(b.hint("merge"), "code").where("a < b and label <> other").select("a", "b").distinct(), texts, similarity)
+    members = active.where(f"c > {SHORT}").select("fp", "label", F.col("code").alias("comp"))
+    return components(links.unionByName(rest).unionByName(tiled_links(members, texts, _tile(similarity))))
 
 
 def repeated_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
