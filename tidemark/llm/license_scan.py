@@ -2,7 +2,7 @@
 
 The licence templates are indexed by their rarest words: each posting is (word, template, position, idf). A document's
 words are looked up in the broadcast index; a hit fixes where the template would begin, hits of one
-template that agree on the beginning support each other, and the template's mandatory key phrase is compared word by word.
+template that agree on the beginning are merged, and the template's mandatory key phrase, compared word by word, alone decides.
 """
 
 from __future__ import annotations
