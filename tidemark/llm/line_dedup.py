@@ -1,23 +1,25 @@
-"""Fuzzy line deduplication: rare word pairs, SimHash distance, edit similarity, one occurrence per connected group.
+"""Fuzzy line deduplication: rare word triples, SimHash distance, edit similarity, one occurrence per connected group.
 
 A line's words (letters, digits, non-ASCII; A-Z as a-z) are its normalised form. Equal forms are one *line class*, known
-by a 64-bit hash. Two classes are linked when their word edit similarity is SIMILARITY hundredths or more. Each edit changes two pairs of
-neighbouring words at most, so linked classes share many of them; each class is listed under its rarest pairs, as many as make
-two linked classes meet in one list for certain. Rarity is a table of fixed size that need not be exact: any order that all classes share will do.
+by a 64-bit hash. Two classes are linked when their word edit similarity is SIMILARITY hundredths or more.
+
+SimHash blocks alone cannot find these links (see README), so the pigeonhole argument is made on word triples: an edit changes three of
+them at most, so of one more than three for each allowed edit, first in an order that all classes share, linked classes have one in
+common. Each class is listed under so many of its rarest triples; the shortest lines are listed under pairs of words. How rare a triple is
+comes from word counts in a table of fixed size and need not be exact: any order that all classes share will do.
 Classes that meet are compared by SimHash (BITS bits over single words, an even chance for each bit of unrelated lines, at most about one in
-five for linked ones) and those within MOST_BITS by edit similarity. In each list the class with the smallest hash leads and all others are
-verified against it; where that leaves several components, the pairs of a short list are compared too, and a long list's classes in tiles of bounded size, so
+five for linked ones) and those within MOST_BITS by edit similarity. In a list of more than SHORT classes the smallest hash leads and all
+others are verified against it; where that leaves several components, the list's classes are compared in tiles of bounded size, so
 no list of pairs of a large group is made. Of each connected group the occurrence in the smallest doc_id stays, there the first.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -28,16 +30,22 @@ from .ngram_jaccard import RANGE_KEYS, RANGES, tiled_links
 
 #: SimHash bits; most that differ between linked lines (mean 53 of 256 and deviation 6.5 at a similarity of 0.8); least word edit similarity in hundredths.
 BITS, MOST_BITS, SIMILARITY = 256, 96, 80
-#: Smallest similarity at which linked lines share a word pair for certain.
-LEAST_SIMILARITY = 70
-#: Cells of the rarity table, as a power of two, and pieces that it is summed in.
-CELL_BITS, CELL_PIECES = 20, 16
-#: Classes of a list whose pairs are compared without tiles.
-SHORT = 64
+#: Smallest similarity at which linked lines share a word triple or pair for certain.
+LEAST_SIMILARITY = 75
+#: Classes of a list whose pairs are all candidates.
+SHORT = 8
+#: Rows of one class (one for each batch) beyond which it is brought together before it is listed: a share of all rows, and a number.
+HOT_SHARE, HOT_ROWS = 1 / 20_000, 16
 #: A SimHash word is counted in 8-bit lanes of at most this many words.
 LANE = 255
 #: One code point stands for each word in the encoded line: this many, from this one on (three bytes of UTF-8).
 LETTERS, FIRST_LETTER = 0xC000, 0x1000
+#: Bins of words whose counts bound what two lines of a tile share.
+BINS = 256
+#: Lines of a tile that are compared with its other side at once.
+PART = 128
+#: Steps of a word's rarity for each doubling of its count, and the largest one.
+RARITY_STEPS, RAREST = 2, 80
 
 U64 = np.uint64
 _LANES = np.array([sum(1 << (8 * i) for i in range(8) if v >> i & 1) for v in range(256)], np.uint64)
@@ -75,155 +83,236 @@ class Lines:
             spread = mix(self.hashes + within.astype(np.uint64) * U64(0xD1342543DE82EF95))
             self.key = mix(np.add.reduceat(spread, self.first) ^ self.count.astype(np.uint64)).view(np.int64) if len(full) else np.zeros(0, np.int64)
 
-    def simhash(self, chosen: np.ndarray) -> np.ndarray:
-        """(lines, BITS // 8) 8-bit blocks of the chosen lines; a word that occurs again counts as another word, so that one edit changes one feature."""
-        count = self.count[chosen]
-        words = self._words(chosen)
-        with np.errstate(over="ignore"):
-            words = mix(words * U64(3) + _nth(np.repeat(np.arange(len(chosen)), count), words).astype(np.uint64))
-        parts = -(-count // LANE)
-        owner = np.repeat(np.arange(len(chosen)), parts)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        at = (np.cumsum(count) - count)[owner] + nth * LANE
-        head = np.cumsum(parts) - parts
-        out = []
-        for seed in _SEEDS:
-            with np.errstate(over="ignore"):
-                octets = mix(words ^ seed).view(np.uint8).reshape(-1, 8)
-            for k in range(8):
-                lanes = np.add.reduceat(_LANES[octets[:, k]], at).view(np.uint8).reshape(-1, 8)
-                ones = lanes.astype(np.int64) if len(at) == len(chosen) else np.add.reduceat(lanes.astype(np.int64), head, axis=0)
-                out.append(np.packbits(2 * ones > count[:, None], axis=1, bitorder="little"))
-        return np.ascontiguousarray(np.concatenate(out, axis=1))
-
-    def _words(self, chosen: np.ndarray) -> np.ndarray:
-        if len(chosen) == len(self.count):
-            return self.hashes
-        count = self.count[chosen]
-        return self.hashes[np.repeat(self.first[chosen] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-
-    def encoded(self, chosen: np.ndarray) -> pa.Array:
-        """The chosen lines with one code point for each word."""
-        letter = (self._words(chosen) % U64(LETTERS)).astype(np.int64) + FIRST_LETTER
-        raw = np.stack([0xE0 | letter >> 12, 0x80 | (letter >> 6 & 63), 0x80 | (letter & 63)], axis=1).astype(np.uint8)
-        ends = np.concatenate([[0], np.cumsum(self.count[chosen]) * 3]).astype(np.int32)
-        return pa.Array.from_buffers(pa.string(), len(chosen), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    def letters(self) -> np.ndarray:
+        """A number under LETTERS for each word."""
+        return (self.hashes % U64(LETTERS)).astype(np.uint16)
+
+
+def line_count(column: pa.Array) -> np.ndarray:
+    """Lines with a word of each text."""
+    data, offsets = buffer_of(column)
+    begins = np.union1d(np.flatnonzero(data == 10) + 1, offsets)
+    begins = begins[begins < len(data)]
+    full = np.logical_or.reduceat(~ITEM[data], begins) if len(begins) else np.zeros(0, bool)
+    return np.diff(np.searchsorted(begins[full], offsets))
+
+
+def _binaries(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Of a 16-bit array the stretches that begin there, as binary values."""
+    at = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    ends = np.concatenate([[0], np.cumsum(counts) * 2]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values[at]))])
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, n, sim, letters) for every line with a word; sim and letters are null where the batch had the line before."""
+    """(key, doc_id, alt, times, letters, cells): one row for every text and distinct line with a word in it.
+
+    alt tells texts without a doc_id apart. letters, two bytes for each word, are null where the batch had the line before. One row of each task has cells
+    only: how often each letter occurred.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "doc_id", "alt", "times", "letters", "cells"]
+        cells = np.zeros(LETTERS, np.int64)
         for part in pieces(batches, "text"):
             lines = Lines(part.column("text"))
-            _, chosen = np.unique(lines.key, return_index=True)
-            chosen.sort()
-            if not len(chosen):
+            if not len(lines.key):
                 continue
-            place = np.full(len(lines.key), -1)
-            place[chosen] = np.arange(len(chosen))
-            where = pa.array(place, mask=place < 0)
-            longs = lines.simhash(chosen).view(np.int64)
-            sims = pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel())).take(where)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lines.key), part.column("doc_id").take(pa.array(lines.row)), pa.array(lines.count.astype(np.int32)), sims, lines.encoded(chosen).take(where)],
-                names=["key", "doc_id", "n", "sim", "letters"],
-            )
+            letters = lines.letters()
+            cells += np.bincount(letters, minlength=LETTERS)
+            order = np.lexsort((lines.row, lines.key))
+            key, row = lines.key[order], lines.row[order]
+            another = np.append(True, key[1:] != key[:-1])
+            each = np.flatnonzero(another | np.append(True, row[1:] != row[:-1]))
+            chosen = order[another]
+            place = np.full(len(each), -1)
+            place[another[each]] = np.arange(len(chosen))
+            spelled = _binaries(letters, lines.first[chosen], lines.count[chosen]).take(pa.array(place, mask=place < 0))
+            rows = pa.array(row[each])
+            times = np.diff(np.append(each, len(key))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key[each]), part.column("doc_id").take(rows), part.column("alt").take(rows), pa.array(times), spelled, pa.nulls(len(each), pa.binary())], names=names)
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([cells.tobytes()], pa.binary())], names=names)
+
+    return docs.select("doc_id", _alt().alias("alt"), "text").mapInArrow(run, "key long, doc_id long, alt long, times int, letters binary, cells binary")
+
+
+def _alt() -> Column:
+    """What tells documents without a doc_id apart: their text."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+
+
+def sequences(letters: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letter, first, count): all lines' letters, where each line begins and its words."""
+    data, offsets = buffer_of(letters)
+    return np.frombuffer(data.tobytes(), np.uint16), offsets[:-1] // 2, np.diff(offsets) // 2
+
+
+def simhash(letter: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(lines, BITS // 8) octets; a word that occurs again counts as another word, so that one edit changes one feature."""
+    with np.errstate(over="ignore"):
+        words = mix(letter.astype(np.uint64) * U64(1 << 20) + _nth(np.repeat(np.arange(len(count)), count), letter).astype(np.uint64) + U64(1))
+    parts = -(-count // LANE)
+    owner = np.repeat(np.arange(len(count)), parts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    at = (np.cumsum(count) - count)[owner] + nth * LANE
+    head = np.cumsum(parts) - parts
+    out = []
+    for seed in _SEEDS:
+        octets = mix(words ^ seed).view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            lanes = np.add.reduceat(_LANES[octets[:, k]], at).view(np.uint8).reshape(-1, 8)
+            ones = lanes.astype(np.int64) if len(at) == len(count) else np.add.reduceat(lanes.astype(np.int64), head, axis=0)
+            out.append(np.packbits(2 * ones > count[:, None], axis=1, bitorder="little"))
+    return np.ascontiguousarray(np.concatenate(out, axis=1))
+
+
+def encoded(letter: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The lines with one code point for each word."""
+    letter = letter.astype(np.int64) + FIRST_LETTER
+    raw = np.stack([0xE0 | letter >> 12, 0x80 | (letter >> 6 & 63), 0x80 | (letter & 63)], axis=1).astype(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(count) * 3]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, n int, sim array<long>, letters string")
 
+def most_edits(a: int, b: int, similarity: int = SIMILARITY) -> int:
+    """Word edits that leave two lines of a and b words similar enough."""
+    return max(a, b) * (100 - similarity) // 100
 
-def word_pairs(letters: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, row, n): hashes of the pairs of neighbouring words of encoded lines, a pair that occurs again being another one, and each line's words."""
-    data, offsets = buffer_of(letters)
-    raw = data.reshape(-1, 3).astype(np.uint64)
-    letter = (raw[:, 0] & U64(15)) << U64(12) | (raw[:, 1] & U64(63)) << U64(6) | raw[:, 2] & U64(63)
-    count = np.diff(offsets) // 3
-    row = np.repeat(np.arange(len(count)), count)
-    inside = row[1:] == row[:-1]
-    pair, row = (letter[:-1] << U64(16) | letter[1:])[inside], row[:-1][inside]
-    return mix(pair | _nth(row, pair).astype(np.uint64) << U64(32)), row, count
 
+def listed_runs(n: int, q: int, similarity: int = SIMILARITY) -> int:
+    """Runs of q words of a line of n, first in any fixed order, that no line linked with it can be without; 0 if only equal lines are linked.
 
-def listed_pairs(n: int, similarity: int = SIMILARITY) -> int:
-    """Pairs of a line of n words, first in any fixed order, of which every line linked with it shares one among its own; 0 if only equal lines are."""
+    An edit takes q of the line's runs, one that puts a word in q - 1.
+    """
     m = np.arange(n, n * 100 // similarity + 1)
     most = m * (100 - similarity) // 100
-    return min(n - 1, int((n - m + 2 * most).max()) + 1) if most[-1] else 0
+    return int((q * most - (m - n)).max()) + 1 if most[-1] else 0
+
+
+def least_for_triples(similarity: int = SIMILARITY) -> int:
+    """Words from which on all lines have enough triples."""
+    n = 400
+    while listed_runs(n - 1, 3, similarity) <= n - 3:
+        n -= 1
+    return n
+
+
+def _first_runs(value: np.ndarray, first: np.ndarray, count: np.ndarray, q: int, most: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(value, line) of the smallest values of each line's runs of q words, most[words] of them; value has one for each position."""
+    values, owners = [], []
+    order = np.argsort(count, kind="stable")
+    sizes, at = np.unique(count[order], return_index=True)
+    for n, a, b in zip(sizes.tolist(), at, np.append(at[1:], len(order))):
+        take = min(most.get(n, 0), n - q + 1)
+        if take > 0:
+            rows = order[a:b]
+            table = value[first[rows][:, None] + np.arange(n - q + 1)]
+            if take < table.shape[1]:
+                table = np.partition(table, take - 1, axis=1)[:, :take]
+            values.append(table.ravel())
+            owners.append(np.repeat(rows, take))
+    return (np.concatenate(values), np.concatenate(owners)) if values else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def listed(letter: np.ndarray, first: np.ndarray, count: np.ndarray, rarity: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(value, line): the codes that each line is listed under. The upper eight bits say how frequent its words are."""
+    triples = least_for_triples(similarity)
+    pairs = (triples - 1) * 100 // similarity  # lines up to this length may be linked with one that has too few triples
+    sizes = np.unique(count).tolist()
+    rare, wide = rarity[letter].astype(np.uint64), letter.astype(np.uint64)
+    found = []
+    for q, chosen in ((2, [n for n in sizes if n <= pairs]), (3, [n for n in sizes if n >= triples])):
+        if chosen and len(letter) >= q:
+            k = len(letter) - q + 1
+            code, total = wide[:k] | U64(q) << U64(60), rare[:k].copy()
+            for i in range(1, q):
+                code |= wide[i : i + k] << U64(16 * i)
+                total += rare[i : i + k]
+            found.append(_first_runs(mix(code) >> U64(8) | total << U64(56), first, count, q, {n: listed_runs(n, q, similarity) for n in chosen}))
+    return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def rarity(lines: DataFrame) -> np.ndarray:
-    """Occurrences of word pairs by the first CELL_BITS bits of their code: a table of fixed size."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.uint32)
-        for part in pieces(batches, "letters"):
-            code = word_pairs(part.column("letters"))[0]
-            total += np.bincount((code >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+    """For each letter a small number that grows with its count: a table of fixed size, summed from line_table()."""
+    # the words that share a letter count as one; each task gave one row
+    parts = lines.where("cells is not null").select("cells")
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(LETTERS, np.int64)
+        for b in batches:
+            for x in b.column("cells").to_pylist():
+                total += np.frombuffer(x, np.int64)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CELL_PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, CELL_PIECES)], pa.binary())], names=["piece", "cells"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in table.column("cells").to_pylist())
-        return pa.table({"piece": table.column("piece")[:1], "cells": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["letter", "n"])
 
-    found = lines.where("sim is not null").select("letters").mapInArrow(run, "piece int, cells binary").groupBy("piece").applyInArrow(add, "piece int, cells binary")
-    out = {r["piece"]: r["cells"] for r in found.collect()}
-    return np.frombuffer(b"".join(out[k] for k in sorted(out)), np.uint32) if out else np.zeros(1 << CELL_BITS, np.uint32)
+    counts = parts.mapInArrow(add, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n")).collect()  # LETTERS rows at most
+    out = np.zeros(LETTERS, np.uint8)
+    for r in counts:
+        out[r["letter"]] = min(RAREST, int(np.log2(r["n"] + 1) * RARITY_STEPS))
+    return out
 
 
-def pair_lists(lines: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(code, fp, hub, c): the classes under each word pair that two classes or more are listed under, the smallest of them, their number.
+def candidates(lines: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(code, a, b): classes that are listed under the same code: without a code all pairs of short lists, else each class b of a long list with its smallest one.
 
-    Codes travel in packed rows, one for each batch and range of codes.
+    `classes` has the number of rows with letters for each key. Codes travel in packed rows, one for each batch and range of codes.
     """
     if similarity < LEAST_SIMILARITY:
-        raise ValueError(f"linked lines share no word pair for certain below {LEAST_SIMILARITY}")
-    total = lines.where("sim is not null").agg(F.sum("n")).first()[0] or 0
-    bits = max(RANGES.bit_length() - 1, int(np.ceil(np.log2(max(1, total / 2 / RANGE_KEYS)))))
+        raise ValueError(f"linked lines share no word triple for certain below {LEAST_SIMILARITY}")
+    total, rows = classes.agg(F.sum("listings"), F.sum("batches")).first()
+    bits = max(RANGES.bit_length() - 1, int(np.ceil(np.log2(max(1, (total or 0) / RANGE_KEYS)))))
     shared = lines.sparkSession.sparkContext.broadcast(rarity(lines))
+    spelled = lines.where("letters is not null").select("key", "letters")
+    # a class that most batches have is listed once; at most 1 / HOT_SHARE of them
+    hot = classes.where(F.col("batches") > max(HOT_ROWS, (rows or 0) * HOT_SHARE)).select("key")
+    spelled = spelled.join(F.broadcast(hot), "key", "left_anti").unionByName(spelled.join(F.broadcast(hot), "key", "left_semi").dropDuplicates(["key"]))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = shared.value
+        rare = shared.value
         for part in pieces(batches, "letters"):
             key = np.asarray(part.column("key"))
-            code, row, count = word_pairs(part.column("letters"))
-            order = np.lexsort((code, cells[(code >> U64(64 - CELL_BITS)).astype(np.int64)], row))
-            code, row = code[order], row[order]
-            sizes, which = np.unique(count, return_inverse=True)
-            most = np.array([listed_pairs(int(n), similarity) for n in sizes], np.int64)[which]
-            listed = np.arange(len(row)) - np.searchsorted(row, np.arange(len(count)))[row] < most[row]
-            code, row = code[listed], row[listed]
-            order = np.argsort(code)
-            code, owner = code[order], key[row[order]]
-            found, first = np.unique((code >> U64(64 - bits)).astype(np.int64), return_index=True)
+            code, row = listed(*sequences(part.column("letters")), rare, similarity)
+            if not len(code):
+                continue
+            bucket = code & U64((1 << bits) - 1)
+            order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+            code, owner, bucket = code[order], key[row[order]], bucket[order]
+            found, first = np.unique(bucket, return_index=True)
             ends = np.append(first[1:], len(code))
-            low = (code >> U64(32 - bits)).astype(np.uint32)  # the next 32 bits: the range's number is in every row
+            low = (code >> U64(bits)).astype(np.uint32)  # the next 32 bits: the range's number is in every row
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["bucket", "codes", "keys"]
+                [pa.array(found.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["bucket", "codes", "keys"]
             )
 
     def meet(table: pa.Table) -> pa.Table:
-        code = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint32).astype(np.int64) | table.column("bucket")[0].as_py() << 32
+        code = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint32)
         key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64)
+        order = np.argsort(code)
+        code, key = code[order], key[order]
+        same = code[1:] == code[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        code, key = code[several].astype(np.int64), key[several]
         order = np.lexsort((key, code))
         code, key = code[order], key[order]
-        new = np.append(True, (code[1:] != code[:-1]) | (key[1:] != key[:-1]))
+        new = np.append(True, (code[1:] != code[:-1]) | (key[1:] != key[:-1]))[: len(code)]
         code, key = code[new], key[new]
-        edge = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        edge = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[: len(code)] if len(code) else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, len(code)))
-        hub, size = np.repeat(key[edge], size), np.repeat(size, size)
-        several = size > 1
-        return pa.table({"code": pa.array(code[several]), "fp": pa.array(key[several]), "hub": pa.array(hub[several]), "c": pa.array(size[several].astype(np.int64))})
+        hub, each = np.repeat(key[edge], size), np.repeat(size, size)
+        long = each > SHORT
+        at = [np.flatnonzero(~long[d:] & (code[d:] == code[:-d])) for d in range(1, SHORT)]
+        a = np.concatenate([key[x] for x in at] + [hub[long]])
+        b = np.concatenate([key[x + d] for d, x in enumerate(at, 1)] + [key[long]])
+        named = np.concatenate([np.full(len(a) - int(long.sum()), -1), code[long] | table.column("bucket")[0].as_py() << 32])
+        twice = np.lexsort((b, a, named))
+        named, a, b = named[twice], a[twice], b[twice]
+        new = np.append(True, (named[1:] != named[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        named, a, b = named[new], a[new], b[new]
+        return pa.table({"code": pa.array(named, mask=named < 0), "a": pa.array(a), "b": pa.array(b)})
 
     spread = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = lines.where("sim is not null").select("key", "letters").mapInArrow(pack, "bucket int, codes binary, keys binary")
-    return packed.repartition(spread, "bucket").groupBy("bucket").applyInArrow(meet, "code long, fp long, hub long, c long")
-
-
-def most_edits(a: int, b: int, similarity: int = SIMILARITY) -> int:
-    """Word edits that leave two lines of a and b words similar enough."""
-    return max(a, b) * (100 - similarity) // 100
+    return spelled.mapInArrow(pack, "bucket int, codes binary, keys binary").repartition(spread, "bucket").groupBy("bucket").applyInArrow(meet, "code long, a long, b long")
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -238,56 +327,78 @@ def edits(a: str, b: str, most: int) -> int:
         a, b = b, a
     if len(b) - len(a) > most:
         return most + 1
-    big = most + 1
-    row = [j if j <= most else big for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        last, row[low - 1] = row[low - 1], i if low == 1 and i <= most else big
-        least = row[low - 1]
-        for j in range(low, high + 1):
-            here = row[j] if j < i + most else big
-            row[j] = value = min(last + (x != b[j - 1]), here + 1, row[j - 1] + 1, big)
-            last = here
-            least = min(least, value)
-        if least > most:
-            return big
-    return row[len(b)]
+    if not a:
+        return len(b)
+    # the columns of the distance table as differences of neighbours, a bit for each word (Myers; Hyyro for whole strings)
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    more, less, last, distance = full, 0, 1 << (len(a) - 1), len(a)
+    for left, y in zip(range(len(b) - 1, -1, -1), b):
+        equal = at.get(y, 0)
+        diagonal = ((equal & more) + more ^ more) | equal | less
+        up, down = less | ~(diagonal | more) & full, more & diagonal
+        distance += 1 if up & last else -1 if down & last else 0
+        if distance - left > most:
+            return most + 1
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        vertical = equal | less
+        more, less = down | ~(vertical | up) & full, up & vertical
+    return min(distance, most + 1)
 
 
 def _tile(similarity: int):
-    """For one tile: links that join different labels, as many as it takes, between lines of its two blocks or inside its one block."""
+    """For one tile: links between different labels, as many as it takes, between lines of its two blocks or inside its one block."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "fp", "label", "n", "sim", "letters"))))
-        left, right = [r for r in rows if r[0] == a], [r for r in rows if r[0] == b]
-        sims = np.array([r[4] for r in left], np.int64).reshape(-1, BITS // 64)
-        bags, top = [Counter(r[5]) for r in left], {}
+        block, labels, sizes = (np.asarray(table.column(c).combine_chunks()) for c in ("block", "label", "n"))
+        sims = np.asarray(table.column("sim").combine_chunks().flatten()).view(np.uint64).reshape(-1, BITS // 64)
+        letters, top = table.column("letters").to_pylist(), {}
+        words = np.frombuffer("".join(letters).encode("utf-16-le"), np.uint16) % BINS
+        bins = np.bincount(np.repeat(np.arange(len(sizes)) * BINS, sizes) + words, minlength=len(sizes) * BINS).reshape(-1, BINS).astype(np.uint16)
 
         def find(x: int) -> int:
             while (up := top.get(x, x)) != x:
                 x = up
             return x
 
-        labels, sizes = np.array([r[2] for r in left], np.int64), np.array([r[3] for r in left], np.int64)
-        out = []
-        for _, fp, label, n, sim, letters in right:
-            near = (np.bitwise_count((sims ^ np.array(sim, np.int64)).view(np.uint64)).sum(axis=1) <= MOST_BITS) & (labels != label)
-            near &= np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * similarity
-            bag, root = Counter(letters), find(label)
-            for i in np.flatnonzero(near):
-                most = most_edits(n, left[i][3], similarity)
-                # labels that are linked already need no second link, and each edit takes one word from what two lines share at most
-                if (other := find(left[i][2])) == root or (bag & bags[i]).total() < max(n, left[i][3]) - most:
-                    continue
-                if edits(letters, left[i][5], most) <= most:
-                    out.append((fp, left[i][1]))
-                    top[other] = root
+        out, left, right = [], np.flatnonzero(block == a), np.flatnonzero(block == b)
+        for part in np.array_split(right, -(-len(right) // PART)):
+            near = np.bitwise_count(sims[part][:, None] ^ sims[left]).sum(axis=2, dtype=np.uint16) <= MOST_BITS
+            i, j = part[:, None], left
+            near &= (labels[i] != labels[j]) & (np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * similarity)
+            i, j = np.nonzero(near)
+            i, j = part[i], left[j]
+            # each edit takes one word from what two lines share at most; words that share a bin count as one
+            longer = np.maximum(sizes[i], sizes[j])
+            most = longer * (100 - similarity) // 100
+            close = np.concatenate([np.minimum(bins[x], bins[y]).sum(axis=1) for x, y in zip(np.array_split(i, 1 + len(i) // 4096), np.array_split(j, 1 + len(j) // 4096))]) >= longer - most
+            for x, y, k in zip(i[close].tolist(), j[close].tolist(), most[close].tolist()):
+                # labels that are linked already need no second link
+                if (one := find(labels[x])) != (two := find(labels[y])) and edits(letters[x], letters[y], k) <= k:
+                    out.append((labels[x], labels[y]))
+                    top[two] = one
         return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "dst": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
+def spelled(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(fp, n, sim, letters) of the classes in keys(key): words, SimHash and encoded line."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "letters"):
+            letter, _, count = sequences(part.column("letters"))
+            longs = simhash(letter, count).view(np.int64)
+            sims = pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(count.astype(np.int32)), sims, encoded(letter, count)], names=["fp", "n", "sim", "letters"])
+
+    one = lines.where("letters is not null").join(keys.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    return one.select("key", "letters").mapInArrow(run, "fp long, n int, sim array<long>, letters string")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(src, dst): those of distinct (a, b) that are linked. Texts are moved only for pairs that size and SimHash allow."""
     brief = texts.select("fp", "n", "sim")
@@ -295,44 +406,53 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -
     bits = " + ".join(f"bit_count(sim[{k}] ^ other[{k}])" for k in range(BITS // 64))
     # keys and texts grow with the corpus and are never broadcast, so the plan is the same at every size
     near = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(f"least(n, m) * 100 >= greatest(n, m) * {similarity} and {bits} <= {MOST_BITS}")
-    near = cut(near.select("a", "b", F.expr(f"int(greatest(n, m) * {100 - similarity} div 100)").alias("most")), "near")
+    near = near.select("a", "b", F.expr(f"int(greatest(n, m) * {100 - similarity} div 100)").alias("most"))
     one, two = texts.select(F.col("fp").alias("a"), "letters"), texts.select(F.col("fp").alias("b"), F.col("letters").alias("other"))
     close = near.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where("levenshtein(letters, other, most) >= 0")
     return close.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def groups(lines: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(node, label): the connected group of each line class that is linked with another, from line_table()."""
-    led = cut(pair_lists(lines, similarity), "lists")
-    chosen = led.select(F.col("fp").alias("key")).distinct()
-    texts = cut(lines.where("sim is not null").join(chosen.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("fp"), "n", "sim", "letters"), "lines")
-    links = cut(verified(led.where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), texts, similarity), "links")
+def groups(lines: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(node, label): the connected group of each line class that is linked with another, from line_table() and its classes."""
+    led = cut(candidates(lines, classes, similarity), "lists")
+    pairs = cut(led.where("a <> b").select("a", "b").distinct(), "pairs")
+    met = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    texts = cut(spelled(lines, met), "lines")
+    links = cut(verified(pairs, texts, similarity), "links")
+    drop_cut(pairs)
     labels = components(links)
-    # a list of two is done, and so is one whose classes are in one component
-    rows = led.where("c > 2").join(labels.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    open_ = rows.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("code")
-    active = cut(rows.join(open_.hint("merge"), "code").select("code", "fp", "label", "hub", "c"), "active")
-    short = active.where(f"c <= {SHORT} and fp <> hub")
-    a, b = short.select("code", F.col("fp").alias("a"), "label"), short.select("code", F.col("fp").alias("b"), F.col("label").alias("other"))
-    rest = verified(a.hint("merge").join(b.hint("merge"), "code").where("a < b and label <> other").select("a", "b").distinct(), texts, similarity)
-    members = active.where(f"c > {SHORT}").select("fp", "label", F.col("code").alias("comp"))
-    return components(links.unionByName(rest).unionByName(tiled_links(members, texts, _tile(similarity))))
+    # long lists whose classes are not in one component; lists of the same classes are one
+    rows = led.where("code is not null").select("code", F.col("b").alias("node")).join(labels.hint("merge"), "node", "left").select("code", F.col("node").alias("fp"), F.coalesce("label", "node").alias("label"))
+    open_ = rows.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("fp")).alias("all"), F.count("*").alias("c")).where("low <> high")
+    open_ = open_.groupBy("all", "c").agg(F.min("code").alias("code")).select("code")
+    active = cut(rows.join(open_.hint("merge"), "code"), "active")
+    drop_cut(led)
+    if active.isEmpty():
+        return labels
+    rest = cut(tiled_links(active.select("fp", "label", F.col("code").alias("comp")), texts, _tile(similarity)), "links")
+    drop_cut(texts)
+    # of components, by their labels
+    wider = components(rest).select(F.col("node").alias("label"), F.col("label").alias("wide"))
+    old = labels.unionByName(wider.select(F.col("label").alias("node"), "label")).distinct()
+    return cut(old.join(wider, "label", "left").select("node", F.coalesce("wide", "label").alias("label")), "labels")
 
 
 def repeated_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(_doc, _keys, _groups, _own): for each document (null as the largest number) its lines that have a partner, their groups, and whether it owns these."""
+    """(_id, _alt, _found): for each document its lines that have a partner, as structs of key, label of the group and whether the document owns the group."""
     lines = cut(line_table(docs), "lines")
-    labels = groups(lines, similarity)
-    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    per_line = lines.groupBy("key").agg(F.count("*").alias("c"), F.min(doc).alias("low"))
-    per_line = per_line.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    per_line = cut(per_line.where("c > 1 or label <> key").unionByName(per_line.where("c = 1 and label = key").join(labels.select("label").distinct(), "label", "left_semi").select("key", "c", "low", "label")), "repeated")
+    doc = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "alt")
+    classes = lines.where("key is not null").groupBy("key").agg(F.sum("times").alias("c"), F.min(doc).alias("low"), F.count("letters").alias("batches"), F.sum(F.octet_length("letters") / 2).cast("long").alias("listings"))
+    classes = cut(classes, "classes")
+    labels = groups(lines, classes, similarity)
+    per_line = classes.select("key", "c", "low").join(labels.withColumnRenamed("node", "key"), "key", "left").where("c > 1 or label is not null").select("key", "low", F.coalesce("label", "key").alias("label"))
+    per_line = cut(per_line, "repeated")
     owners = per_line.groupBy("label").agg(F.min("low").alias("owner"))
-    found = cut(per_line.join(owners, "label").select("key", "label", "owner"), "owned")
-    each = lines.select("key", doc.alias("_doc")).distinct().join(found, "key")
-    decided = each.groupBy("_doc").agg(F.collect_list(F.struct("key", "label", (F.col("owner") == F.col("_doc")).alias("own"))).alias("_found"))
-    out = cut(decided.select("_doc", F.col("_found.key").alias("_keys"), F.col("_found.label").alias("_groups"), F.col("_found.own").alias("_own")), "decided")
-    drop_cut(lines)
+    found = per_line.join(owners, "label").select("key", "label", "owner")
+    each = lines.where("key is not null").select("key", doc.alias("doc")).join(found, "key")
+    decided = each.groupBy("doc").agg(F.collect_set(F.struct("key", "label", (F.col("owner") == F.col("doc")).alias("own"))).alias("_found"))
+    out = cut(decided.select(F.col("doc.doc_id").alias("_id"), F.col("doc.alt").alias("_alt"), "_found"), "decided")
+    for used in (lines, classes, per_line):
+        drop_cut(used)
     return out
 
 
@@ -340,42 +460,43 @@ def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of `docs` with text less its repeated lines, and _n_lines, _n_removed: lines with a word, and those that went.
 
     Of each connected group one occurrence stays: the first in the document with the smallest doc_id. Lines without a word (blank, or
-    punctuation only) stay. Null text stays null and has no lines; rows with a null doc_id count as one last document, and rows with
-    one doc_id as one document, each with its own first occurrence. All other columns stay, whatever their names but _n_lines and _n_removed; no rows give no rows. Lines are handled whole,
-    however long.
+    punctuation only) stay. Null text stays null and has no lines; rows with one doc_id count as one document, each with its own first
+    occurrence; without a doc_id rows of one text count as one document, and come after all others. All other columns stay, whatever their names but _n_lines and
+    _n_removed; no rows give no rows. Lines are handled whole, however long.
     """
     decided = repeated_lines(docs, similarity)
     others = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(F.struct(*others).alias("rest"), "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_doc"))
-    joined = keyed.join(decided, "_doc", "left").drop("_doc")
+    keyed = docs.select(F.struct(*others).alias("rest"), "text", "doc_id", _alt().alias("alt"))
+    joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("alt") == F.col("_alt")), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
-            lines = Lines(part.column("text"))
-            texts = part.column("text").to_pylist()
-            total = np.bincount(lines.row, minlength=part.num_rows)
+            total = line_count(part.column("text"))
             lost = np.zeros(part.num_rows, np.int64)
-            edge = np.searchsorted(lines.row, np.arange(part.num_rows + 1))
-            keys = part.column("_keys")
-            for r in range(part.num_rows):
-                if not keys[r].is_valid or texts[r] is None:
-                    continue
-                found = {k: (g, own) for k, g, own in zip(keys[r].as_py(), part.column("_groups")[r].as_py(), part.column("_own")[r].as_py())}
-                seen, gone = set(), set()
-                for i in range(edge[r], edge[r + 1]):
-                    group, own = found.get(int(lines.key[i]), (None, True))
-                    if group is None:
-                        continue
-                    if not own or group in seen:
-                        gone.add(int(lines.place[i]))
-                    seen.add(group)
-                if gone:
-                    texts[r] = "\n".join(x for j, x in enumerate(texts[r].split("\n")) if j not in gone)
-                    lost[r] = len(gone)
-            yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(texts, pa.string()), pa.array(total.astype(np.int64)), pa.array(lost)], names=["rest", "text", "_n_lines", "_n_removed"])
+            found, texts = part.column("_found"), part.column("text")
+            some = np.flatnonzero(found.is_valid())
+            if len(some):
+                given = texts.take(pa.array(some))
+                lines, spelt = Lines(given), texts.to_pylist()
+                edge = np.searchsorted(lines.row, np.arange(len(some) + 1))
+                for k, r in enumerate(some.tolist()):
+                    groups_of = {x["key"]: (x["label"], x["own"]) for x in found[r].as_py()}
+                    seen, gone = set(), set()
+                    for i in range(edge[k], edge[k + 1]):
+                        group, own = groups_of.get(int(lines.key[i]), (None, True))
+                        if group is None:
+                            continue
+                        if not own or group in seen:
+                            gone.add(int(lines.place[i]))
+                        seen.add(group)
+                    if gone:
+                        spelt[r] = "\n".join(x for j, x in enumerate(spelt[r].split("\n")) if j not in gone)
+                        lost[r] = len(gone)
+                texts = pa.array(spelt, pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("rest"), texts, pa.array(total.astype(np.int64)), pa.array(lost)], names=["rest", "text", "_n_lines", "_n_removed"])
 
     schema = StructType([StructField("rest", keyed.schema["rest"].dataType), StructField("text", StringType()), StructField("_n_lines", LongType()), StructField("_n_removed", LongType())])
-    out = joined.select("rest", "text", "_keys", "_groups", "_own").mapInArrow(run, schema)
+    out = joined.select("rest", "text", "_found").mapInArrow(run, schema)
     return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], "_n_lines", "_n_removed")
 
 
