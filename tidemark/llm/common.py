@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -61,6 +62,12 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does so when the driver has collected the garbage that refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches (no copy) with about `most` bytes of `column` each, one row at least."""
     for batch in batches:

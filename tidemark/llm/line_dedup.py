@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, drop_cut, pieces
+from .common import cut, drop_cut, pieces, release
 from .components import components
 from .hashing import ITEM, buffer_of, mix, rows_of, spans, word_hashes
 from .ngram_jaccard import RANGE_KEYS, RANGES, tiled_links
@@ -53,11 +53,11 @@ _SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7
 
 
 def _nth(row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """How many times each value has occurred in its row before."""
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    head = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))[: len(value)]
-    first = np.flatnonzero(head)
+    """How many times each 16-bit value has occurred in its row before."""
+    both = row << 16 | value
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
     out = np.empty(len(value), np.int64)
     out[order] = np.arange(len(value)) - np.repeat(first, np.diff(np.append(first, len(value))))
     return out
@@ -364,6 +364,13 @@ def _tile(similarity: int):
                 x = up
             return x
 
+        triples: dict[int, list[str]] = {}
+
+        def alike(x: int, y: int, most: int) -> bool:
+            """Whether the lines share as many triples as so many edits leave at least."""
+            one, two = (triples.get(i) or triples.setdefault(i, [letters[i][k : k + 3] for k in range(len(letters[i]) - 2)]) for i in (x, y))
+            return sum(map(set(two).__contains__, one)) >= len(one) - 3 * most
+
         out, left, right = [], np.flatnonzero(block == a), np.flatnonzero(block == b)
         for part in np.array_split(right, -(-len(right) // PART)):
             near = np.bitwise_count(sims[part][:, None] ^ sims[left]).sum(axis=2, dtype=np.uint16) <= MOST_BITS
@@ -377,7 +384,7 @@ def _tile(similarity: int):
             close = np.concatenate([np.minimum(bins[x], bins[y]).sum(axis=1) for x, y in zip(np.array_split(i, 1 + len(i) // 4096), np.array_split(j, 1 + len(j) // 4096))]) >= longer - most
             for x, y, k in zip(i[close].tolist(), j[close].tolist(), most[close].tolist()):
                 # labels that are linked already need no second link
-                if (one := find(labels[x])) != (two := find(labels[y])) and edits(letters[x], letters[y], k) <= k:
+                if (one := find(labels[x])) != (two := find(labels[y])) and alike(x, y, k) and edits(letters[x], letters[y], k) <= k:
                     out.append((labels[x], labels[y]))
                     top[two] = one
         return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "dst": pa.array([x[1] for x in out], pa.int64())})
@@ -420,6 +427,7 @@ def groups(lines: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -
     texts = cut(spelled(lines, met), "lines")
     links = cut(verified(pairs, texts, similarity), "links")
     drop_cut(pairs)
+    release(lines.sparkSession)
     labels = components(links)
     # long lists whose classes are not in one component; lists of the same classes are one
     rows = led.where("code is not null").select("code", F.col("b").alias("node")).join(labels.hint("merge"), "node", "left").select("code", F.col("node").alias("fp"), F.coalesce("label", "node").alias("label"))
@@ -429,6 +437,7 @@ def groups(lines: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -
     drop_cut(led)
     if active.isEmpty():
         return labels
+    release(lines.sparkSession)
     rest = cut(tiled_links(active.select("fp", "label", F.col("code").alias("comp")), texts, _tile(similarity)), "links")
     drop_cut(texts)
     # of components, by their labels
@@ -440,17 +449,20 @@ def groups(lines: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -
 def repeated_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(_id, _alt, _found): for each document its lines that have a partner, as structs of key, label of the group and whether the document owns the group."""
     lines = cut(line_table(docs), "lines")
-    doc = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "alt")
-    classes = lines.where("key is not null").groupBy("key").agg(F.sum("times").alias("c"), F.min(doc).alias("low"), F.count("letters").alias("batches"), F.sum(F.octet_length("letters") / 2).cast("long").alias("listings"))
+    # a document without an id comes after all that have one
+    classes = lines.where("key is not null").groupBy("key").agg(
+        F.sum("times").alias("c"), F.min("doc_id").alias("low"), F.min(F.when(F.col("doc_id").isNull(), F.col("alt"))).alias("low_alt"), F.count("letters").alias("batches"), F.sum(F.octet_length("letters") / 2).cast("long").alias("listings")
+    )
     classes = cut(classes, "classes")
     labels = groups(lines, classes, similarity)
-    per_line = classes.select("key", "c", "low").join(labels.withColumnRenamed("node", "key"), "key", "left").where("c > 1 or label is not null").select("key", "low", F.coalesce("label", "key").alias("label"))
+    per_line = classes.select("key", "c", "low", "low_alt").join(labels.withColumnRenamed("node", "key"), "key", "left").where("c > 1 or label is not null").select("key", "low", "low_alt", F.coalesce("label", "key").alias("label"))
     per_line = cut(per_line, "repeated")
-    owners = per_line.groupBy("label").agg(F.min("low").alias("owner"))
-    found = per_line.join(owners, "label").select("key", "label", "owner")
-    each = lines.where("key is not null").select("key", doc.alias("doc")).join(found, "key")
-    decided = each.groupBy("doc").agg(F.collect_set(F.struct("key", "label", (F.col("owner") == F.col("doc")).alias("own"))).alias("_found"))
-    out = cut(decided.select(F.col("doc.doc_id").alias("_id"), F.col("doc.alt").alias("_alt"), "_found"), "decided")
+    owners = per_line.groupBy("label").agg(F.min("low").alias("low"), F.min("low_alt").alias("low_alt"))
+    found = per_line.select("key", "label").join(owners, "label")
+    own = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("doc_id").isNotNull() | (F.col("alt") == F.col("low_alt")))
+    each = lines.where("key is not null").select("key", "doc_id", "alt").join(found, "key").select("doc_id", "alt", F.struct("key", "label", own.alias("own")).alias("line"))
+    decided = each.groupBy("doc_id", "alt").agg(F.collect_set("line").alias("_found"))
+    out = cut(decided.select(F.col("doc_id").alias("_id"), F.col("alt").alias("_alt"), "_found"), "decided")
     for used in (lines, classes, per_line):
         drop_cut(used)
     return out
