@@ -70,6 +70,84 @@ def test_pages(spark):
     assert html_extract.extract(pages.where("page_id < 0")).collect() == []
 
 
+STORY = "A long paragraph of the story, with words that go on and on for a while, and then some more of them."
+LAYOUTS = [
+    ("<div id=wrap><ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(40)) + "</ul><div>" + f"<p>{STORY}</p>" * 3 + "</div></div>", [STORY] * 3),
+    (f'<article><h1>T</h1><p>{STORY}</p><section id="discussion"><h2>Discussion</h2><p>{STORY}</p></section><section id="legal-notice-analysis"><p>{STORY}</p></section></article>', ["T", STORY, "Discussion", STORY, STORY]),
+    (f'<article><div class="article-header"><h1>Head</h1><p>By X</p></div><p>{STORY}</p><p>{STORY}</p><div class=comments><p>{STORY}</p></div></article>', ["Head", "By X", STORY, STORY]),
+    ("<div class=page><div class=part1>" + f"<p>{STORY}</p>" * 3 + "</div><div class=part2>" + f"<p>{STORY}</p>" * 2 + "</div><div class=side><p>Short</p><p>teaser</p></div></div>", [STORY] * 5),
+    (f'<div class="site-header">Site</div><div id=c><p>{STORY}</p><p>{STORY}</p><p>Short end.</p></div><div class="cookie-notice"><p>{STORY}</p></div>', [STORY, STORY, "Short end."]),
+    (f"<div><h1>Title</h1></div><div><p>{STORY}</p><p>{STORY}</p></div>", ["Title", STORY, STORY]),
+    (f"<table><tr><td><a href=x>menu</a></td><td><p>{STORY}</p><p>{STORY}</p></td></tr></table>", [STORY, STORY]),
+    (f'<body><div id="discussion"><p>Hi there</p></div><article><p>{STORY}</p><aside><p>{STORY}</p></aside><form><label>Mail</label></form></article>', [STORY]),
+    ("Bare &amp; plain\n text", ["Bare & plain text"]),
+]
+
+
+@pytest.mark.parametrize("case", range(len(LAYOUTS)))
+def test_layouts(case):
+    html, blocks = LAYOUTS[case]
+    assert html_extract.main_text(html) == " ".join(blocks)
+
+
+def test_densities_against_their_definition():
+    """Counts, densities and sums of random trees, each computed anew from the node's own subtree, and the core among all blocks."""
+    rng = random.Random(5)
+
+    def grow(depth):
+        tag = rng.choice(["div", "section", "p", "ul", "a", "b", "span"])
+        inner = "".join(rng.choice(["text %d " % rng.randrange(1000) * rng.randrange(1, 9), grow(depth - 1)]) for _ in range(rng.randrange(1, 5))) if depth else "leaf " * rng.randrange(1, 20)
+        return f"<{tag}>{inner}</{tag}>"
+
+    def below(node):
+        return [y for x in node.items if not isinstance(x, str) for y in [x, *below(x)]]
+
+    def chars(node, link=False):
+        inside = link or node.tag == "a"
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        parts = [chars(x, inside) for x in node.items if not isinstance(x, str)]
+        return own + sum(c for c, _ in parts), (own if inside else 0) + sum(n for _, n in parts)
+
+    for _ in range(60):
+        tree = html_extract.Tree()
+        tree.feed("".join(grow(4) for _ in range(3)))
+        tree.close()
+        root = tree.root
+        html_extract._measure(root)
+        c0, l0 = chars(root)
+        for node in [root, *below(root)]:
+            c, links = chars(node)
+            tags, link_tags = len(below(node)), sum(x.tag == "a" for x in [node, *below(node)] if x is not root)
+            assert (node.chars, node.tags, node.link_chars) == (c, tags, links)
+            t, lc, lt = max(tags, 1), max(links, 1), max(node.link_tags, 1)
+            assert node.link_tags <= link_tags
+            wanted = c / t * np.log(max(c / lc * t / lt, 1) + 1) / np.log(np.log(c * links / max(c - links, 1) + l0 / max(c0, 1) * c + np.e) + 1) if c else 0
+            assert abs(node.density - wanted) < 1e-9 * max(1, wanted)
+            kids = [x for x in node.items if not isinstance(x, str)]
+            assert abs(node.total - (sum(x.density for x in kids) or node.density)) < 1e-9 * max(1, node.total)
+        blocks = [x for x in below(root) if x.tag not in html_extract.INLINE and x.chars]
+        core = html_extract._core(root)
+        assert not blocks or max(x.total for x in blocks) <= max(root.total, *(x.total for x in [core, *(y for y in core.items if not isinstance(y, str))]))
+
+
+def test_stray_end_tags_cost_their_number():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        assert html_extract.main_text("<div>" * n + "x" + "</span>" * n) == "x"
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.2
+
+
+def test_pages_with_odd_columns_and_repeated_rows(spark):
+    html = f"<article><p>{STORY}</p></article>"
+    pages = spark.createDataFrame([(1, "u", html, "x", 5), (1, "u", html, "x", 5), (3, None, "<p>" + "word " * 300_000, "x", 5)], "page_id long, url string, html string, text string, n_chars long")
+    got = sorted((r["page_id"], r["url"] or "", r["n_chars"]) for r in html_extract.extract(pages).collect())
+    assert got == [(1, "u", len(STORY)), (1, "u", len(STORY)), (3, "", 1_499_999)]
+
+
 def test_queries_with_sql(spark):
     con = second_engine(FOLDER)
     for name, text in queries.ORACLE_SQL.items():

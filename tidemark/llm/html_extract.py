@@ -1,17 +1,21 @@
 """Main text of web pages by composite text density.
 
 Every node of a page's tree has its characters, tags, link characters and link tags. A node's density is
-characters per tag, adjusted so that text inside links counts for less; a node's density sum adds the
-densities of its children. The subtree with the largest sum is the start; from it the walk to the body
-goes up while the parent is at least as dense as the least dense node between the start and the body's densest child,
-and up to an enclosing article or main element. Scripts, styles, menus, headers, footers, sidebars, notices,
-adverts, forms and comments of readers are taken away by element, role or class before densities are computed.
+characters per tag, adjusted so that text inside links counts for less; its density sum adds the densities of its children. The
+subtree with the largest sum is the article's core. On the way from it up to the body other parts join it: outside an article or main element
+those that are at least as dense as the body-path threshold and half as dense as the core, inside one all but lists of links. The
+threshold is the smallest density on that path below the body, and the body's at least.
+
+Elements that never hold article text (scripts, menus, forms, ...) and parts whose class or id says so beyond doubt (comments, adverts, ...) go
+before densities are computed. Words that articles use as well (notice, discussion, header, ...) count only where the whole name consists of such words; inside
+an article or main element such a part goes only if it is less than half as dense as the threshold.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -30,14 +34,16 @@ INLINE = frozenset(
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar status".split())
-#: Words of a class or id that mark a part as something other than the article.
-MARKS = frozenset(
-    """ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner banners sponsor sponsored promo promotion
-    nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc footer header masthead topbar toolbar sidebar sidebars aside
-    rail widget widgets related recommended share sharing social newsletter subscribe subscription signup login cookie cookies consent
-    gdpr notice notices alert alerts popup modal overlay comment comments commentlist respond reply replies disqus discussion form search copyright
-    legal disclaimer""".split()
+#: Words of a class or id that alone mark a part as something other than the article.
+STRONG = frozenset(
+    """ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promotion
+    nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination sidebar sidebars
+    widget widgets related recommended share sharing social newsletter subscribe subscription signup login cookie cookies consent
+    gdpr popup comment comments commentlist respond disqus""".split()
 )
+#: Words that do so if a name has no others but these, STRONG and NEUTRAL ones.
+WEAK = frozenset("banner banners pager toc footer header masthead topbar toolbar aside rail notice notices alert alerts modal overlay reply replies discussion form search copyright legal disclaimer".split())
+NEUTRAL = frozenset("site page global top bottom left right inner outer main box block bar list area wrap wrapper container row col column section item items widget part id class the and fixed sticky mobile desktop".split())
 CONTENT = frozenset(("article", "main"))
 #: A start tag closes these open elements first.
 P_ENDS = frozenset(
@@ -49,35 +55,38 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "items", "dropped", "weak", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None, dropped: bool):
-        self.tag, self.up, self.items, self.dropped = tag, up, [], dropped
+    def __init__(self, tag: str, up: Node | None, dropped: bool, weak: bool = False):
+        self.tag, self.up, self.items, self.dropped, self.weak = tag, up, [], dropped, weak
 
 
-def _marked(tag: str, attrs: list, up: Node) -> bool:
+def _marks(tag: str, attrs: list, in_content: bool) -> tuple[bool, bool]:
+    """Whether a part never is article text, and whether its name only suggests so."""
     if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        # comments are often articles of their own
-        return tag == "article" and any(k in ("class", "id", "itemprop") and v and not {"comment", "comments", "reply"}.isdisjoint(m.lower() for m in _WORD.findall(v)) for k, v in attrs)
+        return True, False
     if tag == "header":
-        at = up
-        while at is not None and at.tag not in CONTENT:
-            at = at.up
-        return at is None
+        return not in_content, False
+    weak = False
     for k, v in attrs:
         if k == "hidden" or (k == "aria-hidden" and v == "true"):
-            return True
+            return True, False
         if not v:
             continue
-        if k == "style" and "display:none" in v.replace(" ", "").lower():
-            return True
-        if k == "role" and v.lower() in ROLES:
-            return True
-        if k in ("class", "id") and tag not in HEADINGS and not MARKS.isdisjoint(m.lower() for m in _WORD.findall(v)):
-            return True
-    return False
+        if k == "style" and "display:none" in v.replace(" ", "").lower() or k == "role" and v.lower() in ROLES:
+            return True, False
+        if k in ("class", "id", "itemprop") and tag not in HEADINGS:
+            for name in v.split():
+                words = {m.lower() for m in _WORD.findall(name)}
+                if tag in ("html", "body", "article", "main"):
+                    # comments are often articles of their own
+                    if tag == "article" and not words.isdisjoint(("comment", "comments", "reply")):
+                        return True, False
+                elif k != "itemprop":
+                    if not words.isdisjoint(STRONG):
+                        return True, False
+                    weak |= not words.isdisjoint(WEAK) and words <= WEAK | NEUTRAL
+    return weak and not in_content, weak
 
 
 class Tree(HTMLParser):
@@ -86,59 +95,65 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.open: Counter = Counter()  # elements that are open, by tag
+
+    def _leave(self, to: Node) -> None:
+        while self.at is not to:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.up
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body"):
             if tag == "body":
-                while self.at.up is not None:
-                    self.at = self.at.up
+                self._leave(self.root)
             return
-        at = self.at
         if tag in P_ENDS:
             self._close("p", ("td", "th", "li", "div", "article", "section", "main", "blockquote", "button"))
         elif tag in SIBLINGS:
             self._close_any(SIBLINGS[tag], SCOPES[tag])
         if tag in HEADINGS and self.at.tag in HEADINGS:
-            self.at = self.at.up
+            self._leave(self.at.up)
         if tag == "a":
             self._close("a", ("td", "th", "li", "div", "p", "article"))
         at = self.at
-        node = Node(tag, at, at.dropped or _marked(tag, attrs, at))
+        drop, weak = (True, False) if at.dropped else _marks(tag, attrs, self.open["article"] + self.open["main"] > 0)
+        node = Node(tag, at, drop, weak)
         at.items.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def _close(self, tag: str, stop: tuple) -> None:
         at = self.at
-        while at.up is not None and at.tag != tag:
-            if at.tag in stop:
-                return
-            at = at.up
-        if at.tag == tag and at.up is not None:
-            self.at = at.up
+        if self.open[tag]:
+            while at.tag != tag:
+                if at.tag in stop:
+                    return
+                at = at.up
+            self._leave(at.up)
 
     def _close_any(self, tags: set, stop: set) -> None:
         at, last = self.at, None
-        while at.up is not None and at.tag not in stop:
-            if at.tag in tags:
-                last = at
-            at = at.up
-        if last is not None:
-            self.at = last.up
+        if any(self.open[t] for t in tags):
+            while at.up is not None and at.tag not in stop:
+                if at.tag in tags:
+                    last = at
+                at = at.up
+            if last is not None:
+                self._leave(last.up)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body") or tag in VOID:
             if tag == "br":
                 self.at.items.append(Node("br", self.at, self.at.dropped))
-            return
-        at = self.at
-        while at.up is not None and at.tag != tag:
-            at = at.up
-        if at.up is not None:
-            self.at = at.up
+        elif self.open[tag]:
+            at = self.at
+            while at.tag != tag:
+                at = at.up
+            self._leave(at.up)
 
     def handle_data(self, data: str) -> None:
         if not self.at.dropped:
@@ -175,29 +190,67 @@ def _measure(root: Node) -> None:
         node.total = sum(x.density for x in node.items if not isinstance(x, str) and not x.dropped) or node.density
 
 
-def _choose(root: Node) -> Node:
-    best, todo = root, [root]
+def _parts(node: Node) -> list[Node]:
+    return [x for x in node.items if not isinstance(x, str) and not x.dropped]
+
+
+def _heads(node: Node) -> bool:
+    """Whether all text of a part is in headings."""
+    todo = [node]
+    while todo:
+        at = todo.pop()
+        if at.tag not in HEADINGS:
+            if any(isinstance(x, str) and x.strip() for x in at.items):
+                return False
+            todo += _parts(at)
+    return True
+
+
+def _core(root: Node) -> Node:
+    """The block with the largest density sum; of equal ones the outermost, then the first."""
+    best, todo = root, _parts(root)[::-1]
     while todo:
         node = todo.pop()
         # text of inline elements belongs to the block around them
         if node.tag not in INLINE and node.chars and (node.total > best.total or best is root and node.total >= best.total):
             best = node
-        todo += [x for x in reversed(node.items) if not isinstance(x, str) and not x.dropped]
-    path, at = [], best
-    while at is not None:
-        path.append(at)
-        at = at.up
-    for node in reversed(path):
-        if node.tag in CONTENT:
-            return node
-    threshold = min((n.density for n in path[:-1]), default=0.0)
-    while best.up is not None and best.up.up is not None and best.up.density >= threshold:
+        todo += _parts(node)[::-1]
+    if best.up is not None and (best.tag in ("p", "li", "pre", "blockquote") or best.tag in HEADINGS):
         best = best.up
-    if best.tag in ("p", "li", "td", "pre", "blockquote") or best.tag in HEADINGS:
-        best = best.up or best
     return best
 
 
+def _select(root: Node) -> None:
+    """Drop all that is neither in the core nor joins it."""
+    core = _core(root)
+    path = [core]
+    while path[-1].up is not None:
+        path.append(path[-1].up)
+    threshold = max(root.density, min((x.density for x in path[:-1]), default=0.0))
+    content = next((i for i in range(len(path) - 1, -1, -1) if path[i].tag in CONTENT), -1)  # the outermost article or main around the core
+    for i, node in enumerate(path[1:], 1):
+        for x in _parts(node):
+            if x is path[i - 1] or not x.chars:
+                continue
+            links = 2 * x.link_chars > x.chars
+            if i <= content:
+                x.dropped = links and x.tag not in INLINE
+            elif _heads(x):
+                x.dropped = links
+            else:
+                x.dropped = links or x.density < max(threshold, core.density / 2)
+        if i > content:
+            # loose text around the core
+            node.items = [x for x in node.items if not isinstance(x, str) or len(x.strip()) >= max(threshold, core.density / 2)]
+    todo = [path[content] if content >= 0 else core]
+    while todo:
+        for x in _parts(todo.pop()):
+            if x.weak and x.density < threshold / 2:
+                x.dropped = True
+            else:
+                todo.append(x)
+
+
 def _text(top: Node) -> str:
     blocks, words = [], []
 
@@ -240,7 +293,10 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     _measure(tree.root)
-    return _text(_choose(tree.root)) if tree.root.chars else ""
+    if not tree.root.chars:
+        return ""
+    _select(tree.root)
+    return _text(tree.root)
 
 
 def extract(pages: DataFrame) -> DataFrame:
