@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from harness import differences, second_engine
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, html_extract, license_scan, line_dedup, ngram_jaccard, quality_rules, queries, suffix_tree, token_counts, toxicity
 
@@ -261,6 +262,37 @@ def spelt(lines):
     return line_dedup.encoded(lines.letters(), lines.count).to_pylist()
 
 
+def test_columns_that_clash(spark):
+    """Input columns with the names of an operator's own stay as they are."""
+    names = ["_words", "_lead", "_hit", "_spans", "_id", "_rid", "_doc", "_row", "_key", "p_toxic", "rest", "alt", "label"]
+    table = docs(spark, ["Begin, a b c d e f g h i j end of it", "clean words\nsecond line", None], 1).drop("_doc", "key", "rid", "words")
+    for c in names:
+        table = table.withColumn(c, F.lit(c))
+    items = spark.createDataFrame([(1, "A B C D E F G H I J")], "item_id long, text string")
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    for out, n in ((decontaminate.decontaminate(table, items), 2), (decontaminate.decontaminate(table, items, remove="spans"), 3), (toxicity.remove_toxic(table, labels), 3), (line_dedup.without_repeated_lines(table), 3), (ngram_jaccard.one_of_each(table), 3)):
+        rows = out.collect()
+        assert out.columns == table.columns and len(rows) == n and all(r[c] == c for r in rows for c in names)
+
+
+def test_decontamination_beyond_the_broadcast(spark, real, monkeypatch):
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet").unionByName(spark.createDataFrame([(10**6, "the"), (None, "of the"), (10**6 + 1, None)], "item_id long, text string"))
+    table = real.unionByName(docs(spark, [(i, t) for i, t in ODD]).select(*real.columns))
+    wanted = Counter(tuple(r) for r in decontaminate.contamination(table, items).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert Counter(tuple(r) for r in decontaminate.contamination(table, items).collect()) == wanted and any(r[2] for r in wanted)
+
+
+def test_repeated_rows_are_one_document_of_their_host(spark):
+    common = "a line that many documents have in common"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    many = quality_rules.LINE_DOCS + 1
+    once = docs(spark, [(i, f"{common}\n{own(i)}") for i in range(many)])
+    again = docs(spark, [(1 if i < 5 else i, f"{common}\n{own(i)}") for i in range(many)])
+    assert {r["n_line_words"] for r in quality_rules.judge(once).collect()} == {8}
+    assert {r["n_line_words"] for r in quality_rules.judge(again).collect()} == {0}
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     bases = [[f"l{rng.randrange(5000)}" for _ in range(rng.choice([1, 2, 6, 40, 150, 400]))] for _ in range(30)]

@@ -48,6 +48,20 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, list[i
     return at.select("item_id", "k", key.alias("key"), phrase.alias("phrase")), lengths
 
 
+def _positions(cut: DataFrame, lengths: list[int], size: int, first: int) -> DataFrame:
+    """Each word position of cut(words, ...) from `first` on, with each window length k."""
+    at = cut.select("*", F.explode(F.expr(f"case when size(words) > {first} then sequence({first}, size(words) - 1) else array() end")).alias("i"))
+    if len(lengths) > 1:
+        return at.select("*", F.explode(F.when(F.col("i") < 0, F.array(F.lit(lengths[0]))).otherwise(F.array(*map(F.lit, lengths)))).alias("k"))
+    return at.withColumn("k", F.lit(lengths[0] if lengths else size))
+
+
+def _key_at(lengths: list[int]) -> Column:
+    """The key of the window of k words at i, null where the text ends before."""
+    fits = (F.col("i") >= 0) & (F.col("i") + F.col("k") <= F.size("words"))
+    return F.when(fits, _by_length(lengths, lambda k: _key("words", F.col("i"), k)))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row for each distinct (doc_id, text): doc_id, rid, copies, n_words, spans (array of start and length), n_hit, item_ids (sorted strings).
 
@@ -59,27 +73,33 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Data
     small = found.count() <= BROADCAST_WINDOWS
     sized = F.broadcast if small else lambda df: df
     cut = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"), _words(F.col("text")).alias("words"))
-    # position -1 stands for the document itself
-    at = cut.select("doc_id", "rid", "words", F.explode(F.expr("sequence(-1, size(words) - 1)")).alias("i"))
-    if len(lengths) > 1:
-        at = at.select("*", F.explode(F.when(F.col("i") < 0, F.array(F.lit(lengths[0]))).otherwise(F.array(*map(F.lit, lengths)))).alias("k"))
+    if small:
+        # position -1 stands for the document itself
+        at = _positions(cut, lengths, size, -1)
+        if lengths:
+            left = at.select("doc_id", "rid", "words", "i", "k", _key_at(lengths).alias("key")).alias("d")
+            right = F.broadcast(table.select(F.col("k").alias("wk"), F.col("key").alias("wkey"), "phrase", "wid")).alias("w")
+            same = (F.col("d.key") == F.col("w.wkey")) & (F.col("d.k") == F.col("w.wk")) & (phrase_of(lengths, "d") == F.col("w.phrase"))
+            hits = left.join(right, same, "left").where("i < 0 or wid is not null").select("doc_id", "rid", F.size("words").alias("n"), "i", "k", "wid")
+        else:
+            hits = at.where("i < 0").select("doc_id", "rid", F.size("words").alias("n"), "i", "k", F.lit(None).cast("long").alias("wid"))
+        per_doc = hits.groupBy("doc_id", "rid").agg(
+            F.sum(F.when(F.col("i") < 0, 1).otherwise(0)).alias("copies"),
+            F.max("n").cast("long").alias("n_words"),
+            F.collect_set(F.when(F.col("i") >= 0, F.struct("i", "k"))).alias("spans"),
+            F.collect_set("wid").alias("wids"),
+        )
     else:
-        at = at.withColumn("k", F.lit(lengths[0] if lengths else size))
-    fits = (F.col("i") >= 0) & (F.col("i") + F.col("k") <= F.size("words"))
-    if lengths:
-        key = F.when(fits, _by_length(lengths, lambda k: _key("words", F.col("i"), k)))
-        left = at.select("doc_id", "rid", "words", "i", "k", key.alias("key")).alias("d")
-        right = sized(table.select(F.col("k").alias("wk"), F.col("key").alias("wkey"), "phrase", "wid")).alias("w")
-        same = (F.col("d.key") == F.col("w.wkey")) & (F.col("d.k") == F.col("w.wk")) & (phrase_of(lengths, "d") == F.col("w.phrase"))
-        hits = left.join(right, same, "left").where("i < 0 or wid is not null").select("doc_id", "rid", F.size("words").alias("n"), "i", "k", "wid")
-    else:
-        hits = at.where("i < 0").select("doc_id", "rid", F.size("words").alias("n"), "i", "k", F.lit(None).cast("long").alias("wid"))
-    per_doc = hits.groupBy("doc_id", "rid").agg(
-        F.sum(F.when(F.col("i") < 0, 1).otherwise(0)).alias("copies"),
-        F.max("n").cast("long").alias("n_words"),
-        F.collect_set(F.when(F.col("i") >= 0, F.struct("i", "k"))).alias("spans"),
-        F.collect_set("wid").alias("wids"),
-    )
+        # keys alone are shuffled; of documents with a hit the words are joined once more and compared
+        keys = _positions(cut, lengths, size, 0).select("doc_id", "rid", "i", "k", _key_at(lengths).alias("key")).where("key is not null")
+        right = table.select(F.col("k").alias("wk"), F.col("key").alias("wkey"), "phrase", "wid")
+        met = keys.join(right, (F.col("key") == F.col("wkey")) & (F.col("k") == F.col("wk"))).groupBy(F.col("doc_id").alias("m_id"), F.col("rid").alias("m_rid")).agg(F.collect_set(F.struct("i", "k", "wid", "phrase")).alias("met"))
+        once = cut.groupBy("doc_id", "rid").agg(F.count("*").alias("copies"), F.first("words").alias("words"))
+        joined = once.join(met, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("rid") == F.col("m_rid")), "left")
+        true = F.filter(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), lambda h: F.array_join(F.slice("words", h["i"] + 1, h["k"]), " ") == h["phrase"])
+        per_doc = joined.select("doc_id", "rid", "copies", F.size("words").cast("long").alias("n_words"), true.alias("true")).select(
+            "doc_id", "rid", "copies", "n_words", F.array_distinct(F.transform("true", lambda h: F.struct(h["i"].alias("i"), h["k"].alias("k")))).alias("spans"), F.array_distinct("true.wid").alias("wids")
+        )
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
@@ -119,20 +139,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, remove: str = "documents") -> DataFrame:
     """The rows of `docs` without contaminated documents, or (remove="spans") with the hit words and what follows them cut out.
 
-    All columns stay; a null text stays null.
+    All columns stay, whatever their names; a null text stays null.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is documents or spans")
     hits = find_hits(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("spans").alias("_spans"))
-    same = docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hits["_rid"])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rid"))
     if remove == "documents":
-        return docs.join(hits, same, "left_anti")
-    words = F.regexp_extract_all("text", F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    lead = F.when(F.regexp_like("text", F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")), 1).otherwise(0)
+        return rows.join(hits, same, "left_anti").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    text = F.col("_row").getField("text")
+    words = F.regexp_extract_all(text, F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
+    lead = F.when(F.regexp_like(text, F.lit(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")), 1).otherwise(0)
     hit = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["i"], s["i"] + s["k"] - 1))))
-    joined = docs.join(hits, same, "left").withColumn("_words", words).withColumn("_lead", lead).withColumn("_hit", hit)
+    joined = rows.join(hits, same, "left").withColumns({"_words": words, "_lead": lead, "_hit": hit})
     kept = F.array_join(F.filter("_words", lambda x, j: ~F.array_contains(F.col("_hit"), j - F.col("_lead"))), "")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    shown = F.when(F.col("_spans").isNull(), text).otherwise(kept)
+    return joined.select(*[shown.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = """

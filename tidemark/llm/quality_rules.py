@@ -84,9 +84,10 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame) -> DataFrame:
-    """(host, h): lines in more documents of a host than its limit allows. Each row counts as one document."""
-    limits = measured.groupBy("host").agg(F.greatest(F.lit(LINE_DOCS), F.ceil(F.count("*") * LINE_SHARE)).alias("most"))
-    counts = measured.select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs"))
+    """(host, h): lines in more documents of a host than its limit allows. Rows with one doc_id are one document; without a doc_id rows of one text are."""
+    doc = ("host", "doc_id", F.when(F.col("doc_id").isNull(), F.col("rid")).alias("alt"))
+    limits = measured.select(*doc).distinct().groupBy("host").agg(F.greatest(F.lit(LINE_DOCS), F.ceil(F.count("*") * LINE_SHARE)).alias("most"))
+    counts = measured.select(*doc, F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
     return counts.where(F.col("docs") > LINE_DOCS).join(limits, "host").where("docs > most").select("host", "h")
 
 
@@ -94,8 +95,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words) for every row of docs(doc_id, text, source, ...).
 
     n_line_words counts words in lines that are too frequent at the document's host. Null texts are empty and fail; a null source is
-    one host of its own name "". Null doc_id stays null; repeated rows stay repeated and count as documents of their own; further
-    columns are ignored; no rows give no rows.
+    one host of its own name "". Null doc_id stays null; repeated rows stay repeated; rows with one doc_id count as one document of
+    their host, those without one count by their text; further columns are ignored; no rows give no rows.
     """
     return _judged(cut(measure(docs), "measured"))
 
@@ -121,7 +122,7 @@ l as (select doc_id, host, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKL
 win as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)),
 rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from (select *, count(*) over (partition by doc_id, x) as c from win) where c > 1) group by doc_id),
 dup as (select doc_id, count(*) - count(distinct raw) as n from l group by doc_id),
-lim as (select host, greatest({LINE_DOCS}, ceil(count(*) * {LINE_SHARE}::double)) as most from d group by host),
+lim as (select host, greatest({LINE_DOCS}, ceil(count(distinct doc_id) * {LINE_SHARE}::double)) as most from d group by host),
 freq as (select c.host, c.line from (select host, line, count(distinct doc_id) as docs from l group by host, line) c join lim on c.host = lim.host where c.docs > lim.most),
 gone as (select l.doc_id, sum(len(string_split(l.line, ' '))) as w from l join freq on l.host = freq.host and l.line = freq.line group by l.doc_id),
 m as (select d.doc_id, len(d.w)::bigint as n_words, length(array_to_string(d.w, ''))::bigint as word_chars,

@@ -82,13 +82,17 @@ class Chain:
     def __init__(self, words: list[str], models: list[tuple[str, list[str], LogisticRegressionModel | float]]):
         self.words, self.models = words, models
 
-    def scored(self, docs: DataFrame) -> DataFrame:
-        """The documents with p_<category> for each category; all other columns stay."""
-        inside = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-        out = _featured(_words(inside), self.words)
+    def applied(self, docs: DataFrame) -> DataFrame:
+        """_row, the whole document, and p_<category> for each category."""
+        out = _featured(_words(docs.select(F.struct(*docs.columns).alias("_row"), "text")), self.words)
         for category, inputs, model in self.models:
             out = _predict(out, model, inputs, f"p_{category}")
-        return out.select("_row.*", *[f"p_{category}" for category, _, _ in self.models])
+        return out.select("_row", *[f"p_{category}" for category, _, _ in self.models])
+
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """The documents with p_<category> for each category; all other columns stay, those of such a name are replaced."""
+        found = [f"p_{category}" for category, _, _ in self.models]
+        return self.applied(docs).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in found], *found)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAIN, most: int = TRAIN_ROWS, folds: int = FOLDS) -> Chain:
@@ -129,5 +133,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that score() does not call toxic."""
-    kept = train(docs, from_quality(labels)).scored(docs)
-    return kept.where(F.col("p_toxic") < THRESHOLD).select(*docs.columns)
+    kept = train(docs, from_quality(labels)).applied(docs).where(F.col("p_toxic") < THRESHOLD)
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
