@@ -214,6 +214,23 @@ def test_licences(spark, real):
         assert r["base_labels"] == ",".join(base) and set(base) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
 
 
+def test_licence_texts(spark):
+    """Whole clauses, whatever their case and punctuation, give their label; a key phrase alone, or postings that stand elsewhere, do not."""
+    clause = {label: text for label, text, _ in license_scan.TEMPLATES}
+    texts = [
+        f"Header of a file. {clause['isc'].upper()}, and more.",
+        "is subject to terms. Mozilla Public License, says someone",
+        "permitted conditions source and binary forms, with or without modification. Redistribution following provided met",
+        "Licensed under CC-BY-NC 4.0.",
+        " ".join(f"{w}," for w in clause["bsd-3-clause"].split()),
+        "under the terms of the MIT license " * 3,
+        None,
+    ]
+    rows = sorted(license_scan.scan(docs(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    assert [r["labels"] for r in rows] == ["isc", "", "", "cc-by-nc", "bsd-3-clause", "mit", ""]
+    assert rows[0]["score"] == rows[3]["score"] == 1.0 and rows[5]["n_base"] == 3 and (rows[5]["first_word"], rows[5]["last_word"]) == (5, 19)
+
+
 def variants(rng, words, edits):
     out = list(words)
     for _ in range(edits):

@@ -1,15 +1,15 @@
 """License scans by a positional rare-token index, with DataFrame functions only.
 
-The licence templates are indexed by their rarest words: each posting is (word, template, position, idf). A document's
-words are looked up in the broadcast index; a hit fixes where the template would begin, hits of one
-template that agree on the beginning are merged, and the template's mandatory key phrase, compared word by word, alone decides.
+Clauses of licence texts and notices are templates. One pass counts in how many documents each of their words occurs; of each template the
+RARE_WORDS words of highest IDF are indexed as postings (word, template, position). A document's words are looked up in the broadcast index; a hit fixes
+where the template would begin, and the postings of one template are intersected by that beginning. Where enough of them agree and the
+template's mandatory key phrase stands in place word by word, its label is given. The base phrases of the contract count wherever they stand.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,68 +18,88 @@ from .common import ITEM_WORD, ascii_lower, keep_rows
 
 #: Phrases of the contract: label and words. Every place counts.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
-#: Further templates: label, typical wording, mandatory key phrase.
+# Label, clause in lower case without punctuation, mandatory key phrase.
 TEMPLATES = (
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
+    ("mit", "released under the mit license", "the mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license", "except in compliance with the license"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed on an as is basis"),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license", "affero general public license"),
-    ("bsd", "licensed under the bsd license", "bsd license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("isc", "licensed under the isc license", "isc license"),
-    ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-    ("epl", "licensed under the eclipse public license", "eclipse public license"),
+    ("gpl-3.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "either version 3 of the license"),
+    ("gpl-2.0", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "either version 2 of the license"),
+    ("lgpl", "modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
+    ("agpl", "modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
+    ("bsd", "licensed under the bsd license", "the bsd license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms with or without modification"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "must retain the above copyright notice"),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("isc", "licensed under the isc license", "the isc license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc", "licensed under a creative commons attribution license", "creative commons"),
+    ("cc", "licensed under a creative commons attribution license", "creative commons attribution"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("boost", "distributed under the boost software license", "boost software license"),
-    ("zlib", "released under the zlib license", "zlib license"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "free to copy modify publish use compile sell or distribute"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying documentation covered by this license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 )
-#: Rarest words of a template that are indexed.
-RARE_WORDS = 3
+#: Words of a template that are indexed, and how many of them must agree on its beginning.
+RARE_WORDS, AGREE = 4, 2
 
 
-def index_rows() -> list[tuple]:
-    """(word, template, at, label, words, weights, key, key_at, need, base) for the rarest words of each template."""
-    templates = [(label, phrase, phrase, True) for label, phrase in BASE] + [(*t, False) for t in TEMPLATES]
-    split = [re.findall(ITEM_WORD, text) for _, text, _, _ in templates]
-    spread = Counter(w for words in split for w in set(words))
-    idf = lambda w: math.log(1 + len(templates) / spread[w])
+def _split() -> list[tuple[str, list[str], list[str], bool]]:
+    """(label, words, key, base) of every template."""
+    return [(label, re.findall(ITEM_WORD, text), re.findall(ITEM_WORD, key), base) for label, text, key, base in [*((x, p, p, True) for x, p in BASE), *((*t, False) for t in TEMPLATES)]]
+
+
+def document_frequencies(cut: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of rows of cut(words), and in how many of them each word of the templates occurs."""
+    vocabulary = sorted({w for _, words, _, _ in _split() for w in words})
+    known = F.array(*map(F.lit, vocabulary))
+    counts = cut.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", known))).alias("w")).groupBy("w").agg(F.count("*").alias("df")).collect()  # a row for each word of the templates at most
+    found = {r["w"]: r["df"] for r in counts}
+    return found.pop("", 0), found
+
+
+def index_rows(n: int, df: dict[str, int]) -> list[tuple]:
+    """(word, template, at, label, words, weights, key, key_at, key_n, need, base) for the words of highest IDF of each template; of ties the first."""
+    idf = lambda w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1
     rows = []
-    for number, ((label, _, key, base), words) in enumerate(zip(templates, split)):
-        key = re.findall(ITEM_WORD, key)
+    for number, (label, words, key, base) in enumerate(_split()):
         key_at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rarest = sorted(range(key_at, key_at + len(key)), key=lambda i: (-idf(words[i]), i))[:1]
-        if not base:
-            rarest += [i for i in sorted(range(len(words)), key=lambda i: (-idf(words[i]), i)) if i not in rarest][: RARE_WORDS - 1]
+        rarest = sorted(range(len(words)), key=lambda i: (df.get(words[i], 0), i))[: 1 if base else RARE_WORDS]
         for i in rarest:
-            rows.append((words[i], number, i, label, words, [idf(w) for w in words], " ".join(key), key_at, len(key), base))
+            rows.append((words[i], number, i, label, words, [idf(w) for w in words], " ".join(key), key_at, len(key), 1 if base else AGREE, base))
     return rows
 
 
-INDEX_SCHEMA = "word string, template int, at int, label string, t_words array<string>, weights array<double>, key string, key_at int, key_n int, base boolean"
+INDEX_SCHEMA = "word string, template int, at int, label string, t_words array<string>, weights array<double>, key string, key_at int, key_n int, need int, base boolean"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs(doc_id, text, ...).
 
     n_base counts the places of the base phrases, first_word and last_word are their smallest and largest starts (null without any); base_labels
-    and labels (of any template whose key phrase is there) are distinct, sorted and comma-joined, empty without any. score is the
-    largest idf-weighted share of a found template's wording that stands in place, 0 without any. Null or wordless texts have no
-    words. Null doc_id stays null, repeated rows stay repeated, further columns are ignored, no rows give no rows.
+    and labels (base ones, and those of templates of which enough postings agree and the key phrase is in place) are distinct, sorted and comma-joined, empty without any.
+    score is the largest IDF-weighted share of a found template's wording that stands in place, to six places, 0 without any. Null or wordless texts have no
+    words. Null doc_id stays null, repeated rows stay repeated (and count as documents), further columns are ignored, no rows give no rows.
     """
     spark: SparkSession = docs.sparkSession
-    rows = index_rows()
-    index = F.broadcast(spark.createDataFrame(rows, INDEX_SCHEMA))  # a constant of the program
-    anchors = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(ITEM_WORD), F.lit(0))
     cut = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"), words.alias("words"))
+    rows = index_rows(*document_frequencies(cut))
+    index = F.broadcast(spark.createDataFrame(rows, INDEX_SCHEMA))  # RARE_WORDS rows for each template
+    anchors = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     # position -1 stands for the document itself; a document without a rare word needs no other
     last = F.when(F.arrays_overlap("words", anchors), F.size("words") - 1).otherwise(-1)
     at = cut.select("doc_id", "rid", "words", F.explode(F.sequence(F.lit(-1), last)).alias("i")).withColumn("w", F.when(F.col("i") >= 0, F.get("words", F.col("i"))))
@@ -90,16 +110,17 @@ def scan(docs: DataFrame) -> DataFrame:
     weight = F.aggregate(F.sequence(F.lit(0), F.size("t_words") - 1), F.lit(0.0), lambda a, j: a + F.when((start + j >= 0) & (F.get("words", F.greatest(start + j, F.lit(0))) == F.get("t_words", j)), F.get("weights", j)).otherwise(0.0))
     whole = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
     hits = found.select(
-        "doc_id", "rid", "i", F.size("words").cast("long").alias("n"), "template", "label", "base",
+        "doc_id", "rid", "i", F.size("words").cast("long").alias("n"), "template", "label", "base", "at", "need",
         F.when(F.col("template").isNotNull(), start).alias("start"),
         F.when(F.col("template").isNotNull(), key_start).alias("place"),
         F.when(F.col("template").isNotNull(), weight / whole).alias("share"),
         F.when(F.col("template").isNotNull(), key_there).alias("ok"),
     ).where("i < 0 or ok")
-    # postings of one template that agree on its beginning are one alignment
-    aligned = hits.groupBy("doc_id", "rid", "template", "start", "label", "base", "place").agg(
-        F.sum(F.when(F.col("i") < 0, 1).otherwise(0)).alias("copies"), F.max(F.when(F.col("i") < 0, F.col("n"))).alias("n"), F.max("share").alias("share")
+    # the postings of one template that agree on its beginning, each counted once
+    aligned = hits.groupBy("doc_id", "rid", "template", "start", "label", "base", "place", "need").agg(
+        F.sum(F.when(F.col("i") < 0, 1).otherwise(0)).alias("copies"), F.max(F.when(F.col("i") < 0, F.col("n"))).alias("n"), F.max("share").alias("share"), F.bit_or(F.expr("shiftleft(1L, at)")).alias("postings")
     )
+    aligned = aligned.where("template is null or bit_count(postings) >= need")
     per_doc = aligned.groupBy("doc_id", "rid").agg(
         F.sum("copies").alias("copies"),
         F.max("n").alias("n_words"),
@@ -110,4 +131,32 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
-    return keep_rows(per_doc, "copies").select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.least("score", F.lit(1.0)).alias("score"))
+    return keep_rows(per_doc, "copies").select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round(F.least("score", F.lit(1.0)), 6).alias("score"))
+
+
+def _values() -> str:
+    quote = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return ", ".join(f"({i}, '{label}', {quote(words)}, {quote(key)}, {next(j for j in range(len(words)) if words[j : j + len(key)] == key)}, {1 if base else AGREE}, {'true' if base else 'false'})" for i, (label, words, key, base) in enumerate(_split()))
+
+
+ORACLE_SQL = f"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+t(template, label, tw, kw, key_at, need, base) as (values {_values()}),
+vocab as (select distinct unnest(tw) as word from t),
+df as (select word, count(*) as df from (select unnest(list_distinct(w)) as word from d) join vocab using (word) group by word),
+pos as (select template, need, base, unnest(range(len(tw))) as j, unnest(tw) as word from t),
+weighted as (select p.*, coalesce(df.df, 0) as df, ln(((select count(*) from d) + 1)::double / (coalesce(df.df, 0) + 1)) + 1 as weight, row_number() over (partition by template order by coalesce(df.df, 0), j) as nth from pos p left join df using (word)),
+whole as (select template, sum(weight) as total from weighted group by template),
+first_words as (select template, kw[1] as word from t),
+word_at as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from d),
+places as (select a.doc_id, t.*, a.i as place, a.i - t.key_at as start from word_at a join first_words f using (word) join t using (template) join d using (doc_id) where d.w[a.i + 1:a.i + len(t.kw)] = t.kw),
+shares as (select p.doc_id, p.template, p.start, sum(case when p.start + x.j >= 0 and d.w[greatest(p.start + x.j, 0) + 1] = x.word then x.weight else 0 end) / any_value(whole.total) as share,
+             sum(case when x.nth <= case when p.base then 1 else {RARE_WORDS} end and p.start + x.j >= 0 and d.w[greatest(p.start + x.j, 0) + 1] = x.word then 1 else 0 end) as postings
+           from places p join weighted x using (template) join whole using (template) join d using (doc_id) group by 1, 2, 3),
+found as (select p.doc_id, p.label, p.base, p.place, s.share from places p join shares s on s.doc_id = p.doc_id and s.template = p.template and s.start = p.start where s.postings >= p.need),
+g as (select doc_id, count(*) filter (where base) as n_base, min(place) filter (where base) as first_word, max(place) filter (where base) as last_word,
+        string_agg(distinct label, ',' order by label) filter (where base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from found group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(g.n_base, 0)::bigint as n_base, g.first_word::bigint as first_word, g.last_word::bigint as last_word,
+       coalesce(g.base_labels, '') as base_labels, coalesce(g.labels, '') as labels, round(least(coalesce(g.score, 0), 1), 6)::double as score
+from d left join g using (doc_id)
+"""

@@ -65,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op5_license_scan": license_scan.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
 }
