@@ -126,19 +126,62 @@ def test_diff_decisions_and_cohort(spark):
     assert [(r["product_url"], r["last_price"]) for r in gone.collect()] == [("f", d(5))]
 
 
+CORAL = "id long, canonical_name string, normalized_name string, origin_vendor string, requires_vendor_prefix boolean, active boolean"
+ALIAS = "alias_text string, named_coral_id long, cluster_label string, match_behavior string"
+
+
 def test_matcher_stages(spark):
-    corals = spark.createDataFrame([(1, "Gold Torch", "gold torch", "Acme", False, True), (2, "Gold Torch Supreme", "gold torch supreme", "Acme", False, True), (3, "Zed Dragon", "dragon", "Zed", True, True), (4, "Pink Lemonade", "pink lemonade", "Acme", False, True)], "id long, canonical_name string, normalized_name string, origin_vendor string, requires_vendor_prefix boolean, active boolean")
-    aliases = spark.createDataFrame([("gt special", 1, None, "auto-link"), ("holy grail", None, "grail", "flag-review")], "alias_text string, named_coral_id long, cluster_label string, match_behavior string")
-    titles = ["gold torch", "gold torch supreme frag", "acme pink lemonade", "big gt special", "a holy grail", "dragon", "zed dragon", "pink lemonad", "nothing"]
-    got = {r["title"]: (r["named_coral_id"], r["match_method"]) for r in matching.match(spark.createDataFrame([(t,) for t in titles], "title string"), corals, aliases).collect()}
-    assert got == {
-        "gold torch": (1, "exact"), "gold torch supreme frag": (2, "prefix"), "acme pink lemonade": (4, "originator"), "big gt special": (1, "alias"), "a holy grail": (None, "cluster:grail"),
-        "dragon": (None, None), "zed dragon": (3, "originator"), "pink lemonad": (4, "trigram"), "nothing": (None, None),
+    corals = spark.createDataFrame([(1, "Gold Torch", "gold torch", "Acme", False, True), (2, "Gold Torch Supreme", "gold torch supreme", "Acme", False, True), (3, "Zed Dragon", "zed dragon", "Zed", True, True), (4, "Pink Lemonade", "pink lemonade", "Acme", False, True), (5, "Old Name", "old name", "Acme", False, False), (6, "Needs Word", "bare word", "Acme", True, True)], CORAL)
+    aliases = spark.createDataFrame([("gt special", 1, None, "auto-link"), ("old alias", 5, None, "auto-link"), ("holy grail", None, "grail", "flag-review"), ("zd", 3, None, "auto-link")], ALIAS)
+    cases = {
+        ("gold torch", None): (1, "exact", "canonical-exact"), ("gold torch supreme frag", None): (2, "exact", "canonical-prefix"), ("gold torches", None): (1, "fuzzy", "fuzzy-0.71"),
+        ("dragon", "zed"): (3, "exact", "canonical-implicit-prefix"), ("dragon frag", "zed"): (3, "exact", "canonical-implicit-prefix"), ("dragon", None): (None, None, None), ("dragon", "acme"): (None, None, None),
+        ("bare word", None): (None, None, None), ("big gt special", None): (1, "alias", "alias-hit"), ("an old alias", None): (None, None, None), ("my zd", None): (3, "alias", "alias-hit"),
+        ("a holy grail", "zed"): (None, "manual", "cluster:grail"), ("pink lemonad", None): (4, "fuzzy", "fuzzy-0.80"), ("nothing", None): (None, None, None), ("", "zed"): (None, None, None),
     }
-    none = matching.match(spark.createDataFrame([("gold torch",)], "title string"), corals.where("id < 0"), aliases.where("named_coral_id < 0"))
+    rows = matching.match(spark.createDataFrame(list(cases), "title string, originator_prefix string"), corals, aliases, NOW).collect()
+    assert {(r["title"], r["originator_prefix"]): (r["named_coral_id"], r["match_confidence"], r["match_method"]) for r in rows} == cases
+    assert all((r["matched_at"] == at(14, 12)) == (r["match_method"] is not None) for r in rows)
+    near = spark.createDataFrame([(1, "Pink Lemonade A", "pink lemonade a", "Acme", False, True), (2, "Pink Lemonade B", "pink lemonade b", "Acme", False, True)], CORAL)
+    assert matching.match(spark.createDataFrame([("pink lemonade", None)], "title string, originator_prefix string"), near, aliases, NOW).collect()[0]["match_method"] is None
+    none = matching.match(spark.createDataFrame([("gold torch", "x")], "title string, originator_prefix string"), corals.where("id < 0"), aliases.where("named_coral_id < 0"), NOW)
     assert none.collect()[0]["named_coral_id"] is None
 
 
+def test_rematch_window_and_clusters(spark):
+    corals, aliases = spark.createDataFrame([(1, "Gold Torch", "gold torch", "Acme", False, True), (2, "Zed Dragon", "zed dragon", "Zed", True, True)], CORAL), spark.createDataFrame([], ALIAS)
+    rows = [(1, 1, "gold torch", None, None, at(1), at(13)), (2, 1, "gold torch", None, None, at(1), at(7)), (3, 1, "gold torch", None, "cluster:x", at(1), at(13)), (4, 2, "gold torch", None, None, at(1), at(13)), (5, 1, "gold torch", 9, None, at(1), at(13)), (6, 1, "dragon", None, None, at(2), at(13))]
+    listings = spark.createDataFrame(rows, "id long, vendor_id long, title string, named_coral_id long, match_method string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz")
+    shops = spark.createDataFrame([(1, True, "zed"), (2, False, None)], "id long, active boolean, originator_prefix string")
+    found = lambda coral: [(r["id"], r["match_method"], r["matched_at"]) for r in matching.rematch(listings, shops, corals, aliases, coral, NOW).collect()]
+    assert found(1) == [(1, "canonical-exact", at(1))] and found(2) == [(6, "canonical-implicit-prefix", at(2))]
+
+
+def test_data_rows(spark):
+    price = lambda now, stock=True, prior=None, compare=None: text.field_text(text.price_value(*(F.lit(x).cast("decimal(10,2)") if not isinstance(x, bool) else F.lit(x) for x in (now, stock, prior, compare))))
+    ago = lambda then: text.relative_time(F.lit(then).cast("timestamp_ntz"), F.lit("2026-05-14 12:00:00").cast("timestamp_ntz"))
+    row = lambda *fields: text.data_row(F.array(*[F.struct(F.lit(k).alias("label"), v.alias("value")) for k, v in fields]))
+    cases = {
+        "Vendor. World Wide Corals": row(("Vendor", F.lit("World Wide Corals"))), "Price. $80.00 $60.00": row(("Price", price(60, prior=80))), "Price. $100.00 $75.00": row(("Price", price(75, compare=100))),
+        "Price. $40.00": row(("Price", price(40, False, 90))), "Listed. 1 minute ago": row(("Listed", ago("2026-05-14 11:59:00"))), "Listed. 2 hours ago": row(("Listed", ago("2026-05-14 10:00:00"))),
+        "Back. 1 day ago": row(("Back", ago("2026-05-13 12:00:00"))), "Back. 3 days ago": row(("Back", ago("2026-05-11 12:00:00"))),
+        "Price. $80.00 $60.00 — Listed. 1 hour ago — Lineage. Acropora": row(("Price", price(60, prior=80)), ("Listed", ago("2026-05-14 11:00:00")), ("Lineage", F.lit("Acropora"))),
+        "Price. price on request": row(("Price", price(None)), ("Back", F.lit(None).cast("string"))),
+    }
+    got = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cases.values())]).first()
+    assert list(got) == list(cases)
+
+
+def test_cohort_gate(spark):
+    schema = "vendor_id long, over boolean, absent_hash string, canary boolean, matcher_errors int, partial boolean, incomplete boolean, seen long, median_seen double"
+    sound = (True, "h", False, 0, False, False, 90, 100.0)
+    changed = {2: {}, 3: {2: True}, 4: {3: 1}, 5: {4: True}, 6: {5: True}, 7: {6: 79}, 8: {1: None}, 9: {0: False}, 10: {}, 11: {7: None}}
+    gate = spark.createDataFrame([(v, *[more.get(i, x) for i, x in enumerate(sound)]) for v, more in changed.items()], schema)
+    past = spark.createDataFrame([(v, at(d), d, "other" if (v, d) == (10, 12) else "h") for v in changed for d in (10, 11, 12)], "vendor_id long, started_at timestamp_ntz, id long, absent_hash string")
+    got = {r["vendor_id"]: (r["converged"], r["cohort_safe"]) for r in cdc.accept_over_cap(gate, past).collect()}
+    assert got == {2: (True, True), 9: (False, True)} | {v: (False, False) for v in (3, 4, 5, 6, 7, 8, 10, 11)}
+
+
 def test_titles_categories_prices(spark):
     rows = spark.createDataFrame([("JF Homewrecker Ténuis 57xec_a5-041626 $650 in-stock",), ("Gold Torch -  WYSIWYG",), ("SPS frag kit",), ("Oil Spill Plate",), ("Plate rack",), (None,)], "t string")
     got = [(r[0], r[1]) for r in rows.select(text.normalize_title(F.col("t")), text.infer_category(F.lit(None), F.lit(None), F.col("t"))).collect()]
@@ -180,5 +223,7 @@ def test_quantiles_occur_in_the_data(spark):
 
 
 def test_carousel_spreads_vendors(spark):
-    rows = spark.createDataFrame([(1, None, "v1", at(14)), (2, None, "v1", at(13)), (3, 5, "v2", at(12)), (4, 5, "v3", at(11))], "listing_id long, named_coral_id long, vendor_slug string, event_at timestamp_ntz")
-    assert [(r["listing_id"], r["total"]) for r in ranking.carousel(rows).collect()] == [(1, 4), (3, 4), (2, 4)]
+    schema = "listing_id long, named_coral_id long, vendor_slug string, event_at timestamp_ntz, event string, current_price double"
+    rows = spark.createDataFrame([(1, 7, "v1", at(14), "just-listed", 5.0), (2, 8, "v1", at(13), "back-in-stock", 5.0), (3, 5, "v2", at(12), "just-listed", 5.0), (4, 5, "v3", at(11), "just-listed", 5.0), (5, None, "v4", at(14), "just-listed", 5.0), (6, 9, "v4", at(14), "just-listed", None), (7, 9, "v4", at(14), "price-dropped", 5.0)], schema)
+    assert [(r["listing_id"], r["total"]) for r in ranking.carousel(rows).collect()] == [(1, 6), (3, 6), (2, 6)]
+    assert [tuple(r) for r in ranking.composition(rows).collect()] == [(6, "mixed")]

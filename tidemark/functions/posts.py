@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labels import COMMON_TAGS, EDGE_WORDS, FISH_NOUNS, MECHANISM_WORDS, TYPE_NOUNS, UNTAGGED_NOUNS
+from .labels import BRANDED_NOTE, COMMON_TAGS, EDGE_WORDS, FISH_NOUNS, LINEAGE_NOTE, MECHANISM_WORDS, TYPE_NOUNS, UNTAGGED_NOUNS
 
 #: A post has so many tags at most; a file's caption has so many characters at most.
 MOST_TAGS, CAPTION_CHARS = 12, 1024
 _EDGES = " -–—,"
+MARKS = (",", ".", ";", ":")
 
 
 def _words(values: Sequence[str]) -> Column:
@@ -19,13 +20,14 @@ def _words(values: Sequence[str]) -> Column:
 
 
 def clean_title(title: Column) -> Column:
-    """The vendor's words less those of the selling mechanism; empty if nothing is left or the title is null."""
-    out = F.coalesce(title, F.lit(""))
-    for pattern in MECHANISM_WORDS:
-        out = F.regexp_replace(out, f"(?i){pattern}", "")
-    for pattern, by in ((r"\(\s*\)", " "), (r"\s+", " "), (r"\s+([,.;:])", "$1"), (r"\s*[-–—]\s*$", ""), (r"^\s*[-–—]\s*", "")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.trim(F.btrim(out, F.lit(_EDGES)))
+    """The vendor's words less those of the selling mechanism; empty if nothing is left or the title is null.
+
+    What remains is cut at white space and at parentheses that have become empty; a mark of punctuation that stands alone joins the word before it.
+    """
+    rest = F.regexp_replace(F.coalesce(title, F.lit("")), "(?i)" + "|".join(MECHANISM_WORDS), "")
+    tokens = F.filter(F.split(rest, r"\(\s*\)|\s+"), lambda t: t != "")
+    joined = F.aggregate(tokens, F.lit(""), lambda text, t: F.concat(text, F.when(F.substring(t, 1, 1).isin(*MARKS) | (text == ""), "").otherwise(" "), t))
+    return F.btrim(joined, F.lit(_EDGES))
 
 
 def type_nouns(title: Column) -> Column:
@@ -55,7 +57,7 @@ def type_tags(title: Column, families: Mapping[str, Sequence[str]] | None = None
     return F.array_distinct(F.flatten(F.transform(nouns, lambda t: F.coalesce(F.try_element_at(table, t), own(t)))))
 
 
-def post_tags(types: Column, lineage: Column, branded: Column, lineage_note: str = "[verify live tag-feed]", branded_note: str = "[verify vendor branded tag]", most: int = MOST_TAGS) -> Column:
+def post_tags(types: Column, lineage: Column, branded: Column, lineage_note: str = LINEAGE_NOTE, branded_note: str = BRANDED_NOTE, most: int = MOST_TAGS) -> Column:
     """A post's tags: those of its types, the common ones, the lineage's and the vendor's, each once.
 
     Where there are too many the last go in the order lineage, vendor, types, common. A null tag is left out.

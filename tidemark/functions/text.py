@@ -5,11 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .labels import CATEGORY_PATTERNS, CORAL_CATEGORIES, LINEAGE, LOOSE_PLATE, NOT_CORAL, NOT_PLATE, PRICE_BANDS, TITLE_ENDS
+from .labels import CATEGORY_PATTERNS, CORAL_CATEGORIES, LINEAGE, LOOSE_PLATE, NO_ORIGINATOR, NOT_CORAL, NOT_PLATE, ORIGINATORS, PRICE_BANDS, TITLE_ENDS, TYPE_ACRONYMS, TYPE_WORDS
 
 #: Prices from this on can't be stored.
 PRICE_CEILING = 100_000_000
@@ -40,7 +40,7 @@ def infer_category(product_type: Column, tags: Column, title: Column) -> Column:
 
 
 def lineage_flag(title: Column) -> Column:
-    return F.when(title.rlike(LINEAGE), "vendor-named")
+    return F.when(title.rlike(LINEAGE), "vendor-named").otherwise("unknown")
 
 
 def trigrams(text: Column) -> Column:
@@ -92,21 +92,31 @@ def price_text(price: Column) -> Column:
 
 
 def price_value(price: Column, in_stock: Column, prior: Column, compare: Column) -> Column:
-    """What a listing shows: out of stock, an observed drop, a vendor markdown of 5 % or more, or the bare price."""
+    """What a listing shows, as struct (kind, value, old_value): out of stock, an observed drop, a vendor markdown of 5 % or more, or the bare price."""
     p, c = price.cast("double"), compare.cast("double")
+    shown = lambda kind, old=None: F.struct(F.lit(kind).alias("kind"), price_text(price).alias("value"), (F.lit(None).cast("string") if old is None else price_text(old)).alias("old_value"))
     return (
-        F.when(~in_stock, "out of stock")
-        .when(price.isNotNull() & (prior > price), F.concat(price_text(price), F.lit(" was "), price_text(prior)))
-        .when((p > 0) & (c - p >= p * 0.05 - 1e-9), F.concat(price_text(price), F.lit(" list "), price_text(compare)))
-        .otherwise(price_text(price))
+        F.when(~in_stock, shown("invalidated"))
+        .when(prior.isNotNull() & price.isNotNull(), shown("price-drop-new", prior))
+        .when((p > 0) & (c - p >= p * 0.05 - 1e-9), shown("vendor-markdown", compare))
+        .otherwise(shown("text"))
     )
 
 
+def field_text(value: Column) -> Column:
+    """The text of a price_value(): the old price, if there is one, before the new one."""
+    return F.concat_ws(" ", value["old_value"], value["value"])
+
+
 def relative_time(then: Column, now: Column) -> Column:
     """Minutes (one at least), hours, days, or the date from a week on; a time to come is now."""
     s = F.greatest(F.lit(0), F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(then.cast("timestamp")))
-    ago = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(f"{unit} ago"))
-    return F.when(s < 3600, ago(F.greatest(F.lit(1), F.floor(s / 60)), "m")).when(s < 86400, ago(F.floor(s / 3600), "h")).when(s < 7 * 86400, ago(F.floor(s / 86400), "d")).otherwise(F.date_format(then, "MMM d"))
+
+    def ago(n: Column, unit: str) -> Column:
+        n = n.cast("long")
+        return F.concat(n.cast("string"), F.when(n == 1, f" {unit} ago").otherwise(f" {unit}s ago"))
+
+    return F.when(s < 3600, ago(F.greatest(F.lit(1), F.floor(s / 60)), "minute")).when(s < 86400, ago(F.floor(s / 3600), "hour")).when(s < 7 * 86400, ago(F.floor(s / 86400), "day")).otherwise(F.date_format(then, "MMM d"))
 
 
 def price_band(price: Column) -> Column:
@@ -126,13 +136,42 @@ def sku_ends_with(sku: Column, suffix: str) -> Column:
 
 
 def day_label(day: Column, today: Column) -> Column:
+    """The heading of a past day; null for today and days to come."""
     n = F.datediff(today, day)
-    return F.when(n <= 0, "TODAY").when(n == 1, "YESTERDAY").when(n < 7, F.concat(n.cast("string"), F.lit(" DAYS AGO"))).otherwise(F.upper(F.date_format(day, "MMM d")))
+    return F.when(n == 1, "YESTERDAY").when((n > 1) & (n < 7), F.concat(n.cast("string"), F.lit(" DAYS AGO"))).when(n >= 7, F.upper(F.date_format(day, "MMM d")))
+
+
+def day_divider(instant: Column, now: Column, *ties: Column) -> Column:
+    """The heading before a row of a feed that is sorted from the newest instant on (ties by `ties`): that of its day for the day's first row, else null."""
+    first = F.row_number().over(Window.partitionBy(F.to_date(instant)).orderBy(instant.desc(), *ties)) == 1
+    return F.when(first, day_label(F.to_date(instant), F.to_date(now)))
+
+
+def data_row(fields: Column) -> Column:
+    """`Label. value — Label. value` of an array of struct (label, value); fields without a value are left out."""
+    return F.array_join(F.transform(F.filter(fields, lambda f: f["value"].isNotNull()), lambda f: F.concat(f["label"], F.lit(". "), f["value"])), " — ")
+
+
+def type_label(raw: Column) -> Column:
+    """Struct (display, italic): acronyms in capitals, two-word scientific names in italics, known words as they are spelled, all else unchanged."""
+    own = F.trim(raw)
+    shown = lambda text, italic: F.struct(text.alias("display"), F.lit(italic).alias("italic"))
+    out = F.when(F.upper(own).isin(*TYPE_ACRONYMS), shown(F.upper(own), False)).when(own.rlike(r"^[A-Z][a-z]+\s+[a-z]+$"), shown(own, True))
+    return out.when(F.lower(own).isin(*[w.lower() for w in TYPE_WORDS]), shown(F.initcap(own), False)).otherwise(shown(own, False))
+
+
+def originator(raw: Column) -> Column:
+    """The full name of an entity's originator, or of each of several; null for the one that is not shown."""
+    names = F.create_map(*[F.lit(x) for pair in ORIGINATORS.items() for x in pair])
+    full = lambda x: F.coalesce(F.try_element_at(names, F.trim(x)), F.trim(x))
+    return F.when(F.regexp_replace(F.lower(raw), r"\s+", "") != NO_ORIGINATOR, F.array_join(F.transform(F.split(raw, "/"), full), " / "))
 
 
-def data_row(label: Column, values: Column) -> Column:
-    """`Label. a — b — c` of the values that are not null."""
-    return F.concat(label, F.lit(". "), F.array_join(F.filter(values, lambda x: x.isNotNull()), " — "))
+def tied_vendors(names: Column, most: int = 3) -> Column:
+    """The distinct names of an array in their order, `most` of them and how many more."""
+    each = F.array_distinct(names)
+    more = F.size(each) - most
+    return F.concat(F.array_join(F.slice(each, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise(""))
 
 
 def availability_state(total: Column, in_stock: Column, priced: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import at, hours_before
@@ -83,13 +83,26 @@ def flip_gate(previous: DataFrame, gone: DataFrame, floor: int = CAP_FLOOR, shar
 
 
 def accept_over_cap(gate: DataFrame, hashes: DataFrame, agreeing: int = AGREEING) -> DataFrame:
-    """The gate with `stable`: the vendor's last `agreeing` runs left the same set absent. hashes(vendor_id, started_at, id, absent_hash)."""
-    from pyspark.sql import Window
+    """The gate of one run for each vendor with `converged`, whether flips over the cap are taken all the same, and `cohort_safe`, whether flips are taken at all.
 
+    gate(vendor_id, over, absent_hash, canary, matcher_errors, partial, incomplete, seen, median_seen); hashes(vendor_id, started_at, id, absent_hash) are of
+    the runs before. Converged are flips of which the cap is the only thing against, of a run that has seen WHOLE_SHARE of the median, if the `agreeing` - 1 runs
+    before left the same set absent.
+    """
     w = Window.partitionBy("vendor_id").orderBy(F.col("started_at").desc(), F.col("id").desc())
-    last = hashes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= agreeing)
-    same = last.groupBy("vendor_id").agg(((F.count("absent_hash") == agreeing) & (F.min("absent_hash") == F.max("absent_hash"))).alias("stable"))
-    return gate.join(same, "vendor_id", "left").withColumn("stable", F.coalesce("stable", F.lit(False)))
+    last = hashes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") < agreeing)
+    before = last.groupBy("vendor_id").agg(F.count("absent_hash").alias("_c"), F.min("absent_hash").alias("_low"), F.max("absent_hash").alias("_high"))
+    sound = ~F.col("canary") & (F.col("matcher_errors") == 0) & ~F.col("partial") & ~F.col("incomplete")
+    whole = F.coalesce((F.col("median_seen") > 0) & (F.col("seen") >= WHOLE_SHARE * F.col("median_seen")), F.lit(False))
+    same = F.lit(True) if agreeing < 2 else F.coalesce((F.col("_c") == agreeing - 1) & (F.col("_low") == F.col("_high")) & (F.col("absent_hash") == F.col("_low")), F.lit(False))
+    out = gate.join(before, "vendor_id", "left").withColumn("converged", F.col("over") & sound & whole & F.col("absent_hash").isNotNull() & same)
+    return out.withColumn("cohort_safe", sound & (~F.col("over") | F.col("converged"))).drop("_c", "_low", "_high")
+
+
+def cohort_decisions(items: DataFrame, cohort: DataFrame, gate: DataFrame) -> DataFrame:
+    """A run's decisions: those on scraped items(vendor_id, product_url, decision), and those on absent ones of cohort(vendor_id, product_url) of vendors whose gate is safe."""
+    taken = cohort.join(gate.where("cohort_safe").select("vendor_id"), "vendor_id", "left_semi").select("vendor_id", "product_url", F.lit("oos").alias("decision"))
+    return items.select("vendor_id", "product_url", "decision").unionByName(taken)
 
 
 def finish_runs(runs: DataFrame, now: str, hours: int = 6) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at, days_before, not_excluded
+from .common import at, days_before, hours_before, not_excluded
 
 # Gates of a run and limits of the signals.
 CANARY_FLOOR, CANARY_SHARE, PAGES_SHARE = 5, 0.2, 0.5
 HISTORY_RUNS, ZERO_DAYS, SATURATED, MOST_EMPTY = 14, 3, 8, 8
-TREND, TREND_FLOOR = 0.5, 5.0
+TREND, LEAST_PATH, SLOT_MINUTE = 0.5, 3, 11
 
 
 def run_medians(runs: DataFrame, now: str, days: int = 7, canary: str = "silent canary") -> DataFrame:
@@ -38,7 +38,8 @@ def category_signals(runs: DataFrame, paths: DataFrame, keep: int = HISTORY_RUNS
     each = rows.groupBy("vendor_id", "path").agg(
         F.max(F.when(F.col("n") == 1, F.col("c"))).alias("current"), (F.coalesce(F.min(F.when(F.col("c") > 0, F.col("n"))), F.max("n") + 1) - 1).alias("zero_streak"), F.max(F.when(F.col("c") > 0, F.col("started_at"))).alias("last_nonzero_at")
     )
-    return each.withColumn("verdict", F.when(F.col("zero_streak") == ZERO_DAYS, "persistence").when(F.col("zero_streak") == SATURATED, "saturated"))
+    # a path without any count in all the runs is empty by choice
+    return each.withColumn("verdict", F.when(F.col("last_nonzero_at").isNotNull(), F.when(F.col("zero_streak") == ZERO_DAYS, "persistence").when(F.col("zero_streak") == SATURATED, "saturated")))
 
 
 def breadth(signals: DataFrame, most: int = MOST_EMPTY) -> DataFrame:
@@ -47,13 +48,48 @@ def breadth(signals: DataFrame, most: int = MOST_EMPTY) -> DataFrame:
     return rows.withColumn("widened", (F.col("empty_now") > most) & (F.col("empty_before") <= most))
 
 
-def trend(runs: DataFrame, medians: DataFrame, now: str) -> DataFrame:
-    """(vendor_id, current, median, deviates, oos): the latest successful run against the median, shown from a median of TREND_FLOOR on, and a day's flips."""
+def path_histories(runs: DataFrame, paths: DataFrame, keep: int = HISTORY_RUNS) -> DataFrame:
+    """(vendor_id, path, n, started_at, c): the counts of the newest successful runs, from the newest one on; a missing key counts 0."""
     w = Window.partitionBy("vendor_id").orderBy(F.col("started_at").desc(), F.col("id").desc())
-    good = runs.where("status = 'success'").withColumn("_n", F.row_number().over(w))
-    oos = F.sum(F.when(F.col("started_at") >= days_before(now, 2), F.col("listings_oos")).otherwise(0))
-    rows = good.groupBy("vendor_id").agg(F.max(F.when(F.col("_n") == 1, F.col("listings_seen"))).alias("current"), oos.alias("oos")).join(F.broadcast(medians.select("vendor_id", F.col("seen").alias("median"))), "vendor_id")
-    return rows.where(F.col("median") >= TREND_FLOOR).withColumn("deviates", F.abs(F.col("current") - F.col("median")) / F.col("median") > TREND)
+    last = runs.where("status = 'success'").withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep)
+    return last.join(paths, "vendor_id").select("vendor_id", "path", "n", "started_at", F.coalesce(F.try_element_at("counts", F.col("path")), F.lit(0)).alias("c"))
+
+
+def slot_of(instant: Column, minute: int = SLOT_MINUTE) -> Column:
+    """The end of the hourly slot that an instant is in: after the slot before, up to this one."""
+    own = F.date_trunc("hour", instant) + F.expr(f"interval '{minute}' minute")
+    return F.when(own < instant, own + F.expr("interval '1' hour")).otherwise(own)
+
+
+def in_slot(instant: Column, now: Column, minute: int = SLOT_MINUTE) -> Column:
+    """Whether an instant is in the last slot that has ended at `now`."""
+    own = F.date_trunc("hour", now) + F.expr(f"interval '{minute}' minute")
+    end = F.when(own > now, own - F.expr("interval '1' hour")).otherwise(own)
+    return (instant > end - F.expr("interval '1' hour")) & (instant <= end)
+
+
+def digest_buckets(runs: DataFrame, paths: DataFrame, least: int = LEAST_PATH, days: int = ZERO_DAYS) -> DataFrame:
+    """(vendor_id, path, bucket, current, streak, slot, median, deviates) of every path: curator-empty (zero in all runs kept), pinged (a streak of `days` or more, with
+    the slot that it reached that in), warn, sparse (under `least`) or healthy. The median is over the runs of the week before the newest one; sparse and healthy paths may deviate from it.
+    """
+    rows = path_histories(runs, paths)
+    newest = F.max("started_at").over(Window.partitionBy("vendor_id"))
+    rows = rows.withColumn("week", F.when(F.col("started_at") >= newest - F.expr("interval '168' hour"), F.col("c")))
+    each = rows.groupBy("vendor_id", "path").agg(
+        F.max("c").alias("most"), F.max(F.when(F.col("n") == 1, F.col("c"))).alias("current"), (F.coalesce(F.min(F.when(F.col("c") > 0, F.col("n"))), F.max("n") + 1) - 1).alias("streak"),
+        F.map_from_entries(F.collect_list(F.struct("n", "started_at"))).alias("_at"), F.percentile("week", F.lit(0.5)).alias("median"),
+    )
+    bucket = F.when(F.col("most") == 0, "curator-empty").when(F.col("streak") >= days, "pinged").when(F.col("streak") >= 1, "warn").when(F.col("current") < least, "sparse").otherwise("healthy")
+    shown = F.col("bucket").isin("sparse", "healthy")
+    out = each.withColumn("bucket", bucket).withColumn("slot", F.when(F.col("bucket") == "pinged", slot_of(F.try_element_at("_at", (F.col("streak") - days + 1).cast("int")))))
+    deviates = shown & (F.col("median") > 0) & (F.abs(F.col("current") - F.col("median")) / F.col("median") > TREND)
+    return out.select("vendor_id", "path", "bucket", "current", "streak", "slot", F.when(shown, F.col("median")).alias("median"), deviates.alias("deviates"))
+
+
+def flips_of_a_day(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
+    """(vendor_id, oos): listings that went out of stock in the successful runs of the last `hours`; all vendors with a run are there."""
+    recent = F.col("started_at") > hours_before(now, hours)
+    return runs.groupBy("vendor_id").agg(F.coalesce(F.sum(F.when((F.col("status") == "success") & recent, F.col("listings_oos"))), F.lit(0)).alias("oos"))
 
 
 def coverage(listings: DataFrame) -> DataFrame:

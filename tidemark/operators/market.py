@@ -67,20 +67,15 @@ def in_window_vendors(listings: DataFrame, now: str, days: int = 7) -> DataFrame
     return rows.groupBy("named_coral_id").agg(F.countDistinct("vendor_id").alias("vendors"))
 
 
-def _ladder(sort: str, instant: str) -> list[Column]:
+def inventory(listings: DataFrame, vendor: int, now: str, page: int = 1, sort: str = "newest", category: str | None = None, include_oos: bool = False, days: int = 14, size: int | None = PAGE) -> DataFrame:
+    """One page of a vendor's listings; only the newest ladder puts bulk clusters last. Ties go by first_seen_at, newest first, then by id."""
     if sort not in SORTS:
         raise ValueError(f"no such sort: {sort}")
-    newest = [F.col("bulk_cluster").asc(), F.col(instant).desc()]
-    price = {"price-asc": [F.col("current_price").asc_nulls_last()], "price-desc": [F.col("current_price").desc_nulls_last()]}
-    return price.get(sort, []) + newest
-
-
-def inventory(listings: DataFrame, vendor: int, now: str, page: int = 1, sort: str = "newest", category: str | None = None, include_oos: bool = False, days: int = 14, size: int | None = PAGE) -> DataFrame:
-    """One page of a vendor's listings; the newest ladder puts bulk clusters last."""
-    rows = listings.where((F.col("vendor_id") == vendor) & (F.col("last_seen_at") >= days_before(now, days)) & not_excluded()).where("not is_auction and auction_end_time is null")
+    rows = listings.where((F.col("vendor_id") == vendor) & (F.col("last_seen_at") > days_before(now, days)) & not_excluded()).where("not is_auction")
     rows = rows if include_oos else rows.where("in_stock")
     rows = rows if category is None else rows.where(F.col("category") == category)
-    return top(rows, [*_ladder(sort, "first_seen_at"), F.col("id").desc()], size, (page - 1) * (size or 0))
+    first = {"newest": F.col("bulk_cluster").asc(), "price-asc": F.col("current_price").asc_nulls_last(), "price-desc": F.col("current_price").desc_nulls_last()}[sort]
+    return top(rows, [first, F.col("first_seen_at").desc(), F.col("id").asc()], size, (page - 1) * (size or 0))
 
 
 def inventory_totals(listings: DataFrame, now: str, days: int = 14) -> DataFrame:

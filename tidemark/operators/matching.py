@@ -1,70 +1,132 @@
-"""Entity matching of titles against a small dictionary by a cascade: exact, prefix, prefix with originator, alias, cluster, trigram."""
+"""Entity matching of titles against a dictionary by a cascade: exact, prefix, prefix with originator, alias, cluster, trigram.
+
+Every stage is an equality join on an index: names on whole titles and their beginnings, aliases on the rarest trigram of each, trigram
+sets on their prefixes. Dictionary and titles may have any size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity, trigrams
+from .common import at, days_before, first_by
 
 #: Least trigram similarity and least lead over the runner-up.
 LEAST, MARGIN = 0.7, 0.05
-#: Entities and aliases that a dictionary may have: it travels inside the plan.
-MOST = 5_000
+#: Days since a listing was last seen in which it is matched again.
+REMATCH_DAYS = 7
+
+
+def entities(corals: DataFrame) -> DataFrame:
+    """(id, name, guard): active entities, and what a text must begin with to be one, null if nothing."""
+    word = F.lower(F.get(F.split(F.trim("canonical_name"), r"\s+"), 0))
+    guard = F.when(F.col("requires_vendor_prefix") & (word != ""), F.concat(word, F.lit(" ")))
+    return corals.where("active").select("id", F.col("normalized_name").alias("name"), guard.alias("guard"))
+
+
+def _passes(text: Column) -> Column:
+    return F.col("guard").isNull() | text.startswith(F.col("guard"))
+
+
+def _named(texts: DataFrame, names: DataFrame, whole_first: bool) -> DataFrame:
+    """(key, id, whole) of the best entity whose name a text of texts(key, text) is, or begins with before a space: a whole one first, then the longest name, then the smallest id."""
+    words = F.split("text", " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.struct(F.array_join(F.slice(words, 1, n), " ").alias("name"), (n == F.size(words)).alias("whole")))
+    found = texts.select("key", "text", F.explode(begins).alias("b")).select("key", "text", "b.name", "b.whole").join(names, "name").where(_passes(F.col("text")))
+    order = [F.length("name").desc(), F.col("id").asc()]
+    return first_by(found, ["key"], [F.col("whole").desc(), *order] if whole_first else order).select("key", "id", "whole")
+
+
+def _grams(text: Column, least: int = 3) -> Column:
+    """The distinct pieces of `least` characters of a text; a shorter text is its own piece."""
+    return F.when(F.length(text) < least, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - least + 1), lambda i: F.substring(text, i, least))))
 
 
-def _table(rows: list, columns: list[str]) -> Column:
-    if not rows:
-        return F.expr("cast(array() as array<struct<" + ",".join(f"{c}:{'bigint' if c == 'id' else 'boolean' if c == 'guarded' else 'string'}" for c in columns) + ">>)")
-    return F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in rows])
+def _contained(titles: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The rows of aliases(a_id, name, ...) with the titles that contain the name, met on the rarest piece of each name."""
+    pieces = aliases.where("name <> ''").select("a_id", F.explode(_grams(F.col("name"))).alias("piece"))
+    rarest = first_by(pieces.join(pieces.groupBy("piece").agg(F.count("*").alias("n")), "piece"), ["a_id"], [F.col("n").asc(), F.col("piece").asc()]).select("a_id", "piece")
+    indexed = aliases.join(rarest, "a_id")
+    cut = F.array_distinct(F.concat(_grams(F.col("title")), _grams(F.col("title"), 2), _grams(F.col("title"), 1)))
+    return titles.select("key", "title", F.explode(cut).alias("piece")).join(indexed, "piece").where(F.col("title").contains(F.col("name")))
 
 
-def dictionary(corals: DataFrame, aliases: DataFrame) -> tuple[Column, Column, Column]:
-    """Array columns of active entities (longest name first, then id), auto-link aliases and flag-review clusters (both longest first)."""
-    names = corals.where("active").select("id", F.col("normalized_name").alias("name"), F.lower("origin_vendor").alias("origin"), F.lower(F.split("canonical_name", " ")[0]).alias("word"), F.col("requires_vendor_prefix").alias("guarded"))
-    e = names.orderBy(F.length("name").desc(), "id").limit(MOST + 1).collect()
-    a = aliases.where("match_behavior = 'auto-link'").select(F.col("named_coral_id").alias("id"), F.lower("alias_text").alias("name")).orderBy(F.length("name").desc(), "id", "name").limit(MOST + 1).collect()
-    c = aliases.where("match_behavior = 'flag-review'").select("cluster_label", F.lower("alias_text").alias("name")).orderBy(F.length("name").desc(), "name").limit(MOST + 1).collect()
-    if max(len(e), len(a), len(c)) > MOST:
-        raise ValueError(f"a dictionary has {MOST} entries at most")
-    return _table(e, ["id", "name", "origin", "word", "guarded"]), _table(a, ["id", "name"]), _table(c, ["cluster_label", "name"])
+def _prefix(rows: DataFrame, rank: DataFrame, least: float) -> DataFrame:
+    """(key, grams, gram): each set under the rarest of its trigrams, as many as a set of similarity `least` can't be without."""
+    each = rows.select("key", "grams", F.explode("grams").alias("gram")).join(rank, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("n", "gram")))
+    return ranked.where(F.col("_r") <= F.size("grams") - F.ceil(F.size("grams") * F.lit(least) - 1e-9) + 1).select("key", "grams", "gram")
 
 
-def match(titles: DataFrame, corals: DataFrame, aliases: DataFrame, least: float = LEAST, margin: float = MARGIN) -> DataFrame:
-    """(title, named_coral_id, match_confidence, match_method) for each distinct title of titles(title, normalised).
+def _scored(ours: DataFrame, there: DataFrame, least: float) -> DataFrame:
+    """(key, id, s): the pairs of two tables(key, grams) whose sets have a similarity of `least` or more, met on shared rare trigrams."""
+    rank = there.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    one = _prefix(ours, rank, least)
+    two = _prefix(there, rank, least).select(F.col("key").alias("id"), F.col("grams").alias("others"), "gram")
+    pairs = one.join(two, "gram").select("key", "id", "grams", "others").distinct()
+    return pairs.select("key", "id", similarity(F.col("grams"), F.col("others")).alias("s")).where(F.col("s") >= least)
 
-    An entity that needs its vendor's prefix is taken only where the title begins with the first word of its name; if not, the next candidate or stage is
-    tried. Aliases need no prefix. Only the single best trigram candidate is tried, and a close runner-up forbids it.
+
+def similar(titles: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """(title, id, s): names(id, normalized_name) with a trigram similarity of `least` or more, above 0, to a title of titles(title), to six places."""
+    ours, there = titles.select(F.col("title").alias("key"), trigrams(F.col("title")).alias("grams")), names.select(F.col("id").alias("key"), trigrams(F.col("normalized_name")).alias("grams"))
+    return _scored(ours, there, least).select(F.col("key").alias("title"), "id", F.round("s", 6).alias("s"))
+
+
+def _fuzzy(titles: DataFrame, names: DataFrame, least: float, margin: float) -> DataFrame:
+    """(key, id, s): the one entity of similarity `least` or more, if no other is within `margin` and the title passes its guard."""
+    there = names.select(F.col("id").alias("key"), trigrams(F.col("name")).alias("grams"))
+    scored = _scored(titles.select("key", trigrams(F.col("title")).alias("grams")), there, least - margin)
+    best = Window.partitionBy("key").orderBy(F.col("s").desc(), F.col("id").asc())
+    scored = scored.withColumn("_n", F.row_number().over(best)).withColumn("_next", F.coalesce(F.lead("s").over(best), F.lit(0.0)))
+    alone = scored.where((F.col("_n") == 1) & (F.col("s") >= least) & (F.col("s") - F.col("_next") >= margin))
+    return alone.join(names, "id").join(titles, "key").where(_passes(F.col("title"))).select("key", "id", "s")
+
+
+def match(titles: DataFrame, corals: DataFrame, aliases: DataFrame, now: str, least: float = LEAST, margin: float = MARGIN) -> DataFrame:
+    """(title, originator_prefix, named_coral_id, match_confidence, match_method, matched_at) for each distinct pair of titles(title, originator_prefix).
+
+    An entity that needs its vendor's prefix is taken only where the text begins with the first word of its canonical name; if not, the next candidate or
+    stage is tried. Where the vendor has an originator prefix, it is put before the title and the names are tried once more. Aliases need no prefix, but
+    an active entity. Only the single best trigram candidate is tried, and a close runner-up forbids it. Null and empty titles match nothing.
     """
-    entities, links, clusters = dictionary(corals, aliases)
-    t = F.col("title")
-    rows = titles.select("title").distinct().withColumn("_e", entities)
-    ok = lambda d: ~d["guarded"] | t.startswith(F.concat(d["word"], F.lit(" ")))
-    first = lambda test: F.get(F.filter("_e", lambda d: test(d) & ok(d)), 0)["id"]
-    prefixed = lambda d: F.concat(d["origin"], F.lit(" "), d["name"])
-    rows = rows.select(
-        "title",
-        first(lambda d: t == d["name"]).alias("s1"),
-        first(lambda d: t.startswith(F.concat(d["name"], F.lit(" ")))).alias("s2"),
-        first(lambda d: (t == prefixed(d)) | t.startswith(F.concat(prefixed(d), F.lit(" ")))).alias("s3"),
-        F.get(F.filter(links, lambda d: t.contains(d["name"])), 0)["id"].alias("s4"),
-        F.get(F.filter(clusters, lambda d: t.contains(d["name"])), 0)["cluster_label"].alias("s5"),
-        F.slice(F.array_sort(F.transform("_e", lambda d: F.struct((-similarity(trigrams(t), trigrams(d["name"]))).alias("s"), d["id"].alias("id"), ok(d).alias("ok")))), 1, 2).alias("best"),
-    )
-    one, two = F.get("best", 0), F.get("best", 1)
-    fuzzy = (-one["s"] >= least) & (two.isNull() | (two["s"] - one["s"] >= margin)) & one["ok"]
-    rows = rows.withColumn("s6", F.when(fuzzy, one["id"]))
-    stage = lambda six: F.when(F.col("s1").isNotNull(), six[0]).when(F.col("s2").isNotNull(), six[1]).when(F.col("s3").isNotNull(), six[2]).when(F.col("s4").isNotNull(), six[3]).when(F.col("s5").isNotNull(), six[4]).when(F.col("s6").isNotNull(), six[5])
-    lit = lambda *x: [F.lit(v) for v in x]
+    names = entities(corals)
+    pairs = titles.select("title", "originator_prefix").distinct()
+    texts = pairs.where("title <> ''").select("title").distinct().withColumn("key", F.col("title"))
+    whole = _named(texts.select("key", F.col("title").alias("text")), names, True)
+    own = whole.select("key", F.col("id").alias("i12"), F.when(F.col("whole"), 1).otherwise(2).alias("n12"))
+    long = pairs.where("title <> '' and originator_prefix is not null and originator_prefix <> ''").select(F.struct("title", "originator_prefix").alias("key"), F.concat_ws(" ", "originator_prefix", "title").alias("text"))
+    implied = _named(long, names, True).select(F.col("key.title").alias("title"), F.col("key.originator_prefix").alias("originator_prefix"), F.col("id").alias("i3"))
+    lower = aliases.withColumn("name", F.lower("alias_text")).withColumn("a_id", F.xxhash64("name", "named_coral_id", "cluster_label", "match_behavior"))
+    links = lower.where("match_behavior = 'auto-link'").join(names.select(F.col("id").alias("named_coral_id")), "named_coral_id", "left_semi").dropDuplicates(["a_id"])
+    linked = first_by(_contained(texts, links), ["key"], [F.length("name").desc(), F.col("named_coral_id").asc()]).select("key", F.col("named_coral_id").alias("i4"))
+    clusters = lower.where("match_behavior = 'flag-review'").dropDuplicates(["a_id"])
+    flagged = first_by(_contained(texts, clusters), ["key"], [F.length("name").desc(), F.col("cluster_label").asc()]).select("key", F.coalesce("cluster_label", F.lit("None")).alias("l5"))
+    fuzzy = _fuzzy(texts, names, least, margin).select("key", F.col("id").alias("i6"), "s")
+    rows = pairs.join(own, pairs["title"] == own["key"], "left").drop("key")
+    rows = rows.alias("p").join(implied.alias("m"), (F.col("p.title") == F.col("m.title")) & (F.col("p.originator_prefix") == F.col("m.originator_prefix")), "left").select("p.*", "i3")
+    for more in (linked, flagged, fuzzy):
+        rows = rows.join(more.withColumnRenamed("key", "_key"), F.col("title") == F.col("_key"), "left").drop("_key")
+    stage = lambda *six: F.when(F.col("i12").isNotNull(), six[0]).when(F.col("i3").isNotNull(), six[1]).when(F.col("i4").isNotNull(), six[2]).when(F.col("l5").isNotNull(), six[3]).when(F.col("i6").isNotNull(), six[4])
+    method = stage(F.when(F.col("n12") == 1, "canonical-exact").otherwise("canonical-prefix"), F.lit("canonical-implicit-prefix"), F.lit("alias-hit"), F.concat(F.lit("cluster:"), F.col("l5")), F.concat(F.lit("fuzzy-"), F.format_string("%.2f", "s")))
     return rows.select(
-        "title",
-        stage([F.col("s1"), F.col("s2"), F.col("s3"), F.col("s4"), F.lit(None), F.col("s6")]).alias("named_coral_id"),
-        stage(lit("exact", "exact", "exact", "alias", "manual", "fuzzy")).alias("match_confidence"),
-        stage([*lit("exact", "prefix", "originator", "alias"), F.concat(F.lit("cluster:"), F.col("s5")), F.lit("trigram")]).alias("match_method"),
-    )
+        "title", "originator_prefix",
+        stage(F.col("i12"), F.col("i3"), F.col("i4"), F.lit(None), F.col("i6")).alias("named_coral_id"),
+        stage(*map(F.lit, ("exact", "exact", "alias", "manual", "fuzzy"))).alias("match_confidence"),
+        method.alias("match_method"),
+        F.when(method.isNotNull(), at(now)).alias("matched_at"),
+    )
 
 
-def rematch(listings: DataFrame, corals: DataFrame, aliases: DataFrame, coral: int) -> DataFrame:
-    """(id, matched_at): unmatched listings(id, title, named_coral_id, first_seen_at) that one entity's dictionary alone matches; matched_at is first_seen_at."""
-    found = match(listings.where("named_coral_id is null"), corals.where(F.col("id") == coral), aliases.where(F.col("named_coral_id") == coral)).where("named_coral_id is not null")
-    return listings.where("named_coral_id is null").join(found.select("title"), "title", "left_semi").select("id", F.col("first_seen_at").alias("matched_at"))
+def rematch(listings: DataFrame, vendors: DataFrame, corals: DataFrame, aliases: DataFrame, coral: int, now: str, days: int = REMATCH_DAYS) -> DataFrame:
+    """(id, named_coral_id, match_confidence, match_method, matched_at): unmatched listings(id, vendor_id, title, named_coral_id, match_method, first_seen_at, last_seen_at)
+    of active vendors(id, active, originator_prefix) that one entity's dictionary alone matches.
+
+    Listings seen in the last `days` count, those of a cluster under review don't; matched_at is first_seen_at.
+    """
+    rows = listings.where(F.col("last_seen_at") >= days_before(now, days)).where("named_coral_id is null and (match_method is null or not startswith(match_method, 'cluster:'))")
+    rows = rows.select("id", "vendor_id", "title", "first_seen_at").join(vendors.where("active").select(F.col("id").alias("vendor_id"), "originator_prefix"), "vendor_id")
+    found = match(rows, corals.where(F.col("id") == coral), aliases.where(F.col("named_coral_id") == coral), now).where("named_coral_id is not null").drop("matched_at")
+    same = (F.col("r.title") == F.col("f.title")) & F.col("r.originator_prefix").eqNullSafe(F.col("f.originator_prefix"))
+    return rows.alias("r").join(found.alias("f"), same).select("r.id", "f.named_coral_id", "f.match_confidence", "f.match_method", F.col("r.first_seen_at").alias("matched_at"))

@@ -17,9 +17,14 @@ MOST_OFF, LEAST_NEW, LEAST_OFF, LEAST_WORTH = 0.90, 5.0, 0.25, 100.0
 SAMPLE = 9
 
 
-def gate_reason(image: Column, mirror: Column, price: Column, least: float = LEAST_PRICE) -> Column:
-    """The first reason against showing a listing, null if none."""
-    return F.when(image.isNull(), "no-image").when(~mirror, "non-mirror").when(price.isNull(), "price-on-request").when(price < least, "below-minimum")
+def gate_reason(image: Column, host: str, price: Column, least: float = LEAST_PRICE) -> Column:
+    """The first reason against showing a listing, null if none. Pictures must be of the mirror `host`."""
+    return F.when(image.isNull(), "no-image").when(~image.startswith(host.rstrip("/") + "/"), "non-mirror-image").when(price.isNull(), "price-on-request").when(price < least, "below-price-floor")
+
+
+def card_eligible() -> Column:
+    """Whether a row can be a card: it is of a named entity and has a price."""
+    return F.col("named_coral_id").isNotNull() & F.col("current_price").isNotNull()
 
 
 def recency(event_at: Column, now: str, hours: int) -> Column:
@@ -50,9 +55,9 @@ def ranked(scored: DataFrame, limit: int | None = 7) -> DataFrame:
     return top(scored, [F.col("score").desc(), F.col("event_at").desc(), F.col("listing_id").asc()], limit)
 
 
-def select(leads: DataFrame, medals: DataFrame, cheapest: DataFrame, penalties: DataFrame, now: str, hours: int, limit: int | None = 7) -> DataFrame:
+def select(leads: DataFrame, medals: DataFrame, cheapest: DataFrame, penalties: DataFrame, now: str, hours: int, host: str, limit: int | None = 7) -> DataFrame:
     """Candidates through the gate, scored and ranked, in one plan."""
-    fine = leads.where(gate_reason(F.col("image_url"), F.lit(True), F.col("current_price")).isNull())
+    fine = leads.where(gate_reason(F.col("image_url"), host, F.col("current_price")).isNull())
     return ranked(score(fine, medals, cheapest, penalties, now, hours), limit)
 
 
@@ -62,9 +67,9 @@ def medals(drops: DataFrame) -> DataFrame:
 
 
 def superlative(drops: DataFrame, limit: int | None = 1, worth: float = LEAST_WORTH) -> DataFrame:
-    """The deepest believable and worthy drop; of equal ones the first in the drops' order."""
-    rows = drops.withColumn("fraction", drop_fraction(F.col("new_price"), F.col("prior_price"), F.col("compare_at_price")))
-    rows = rows.where((F.col("fraction") > 0) & (F.col("fraction") < MOST_OFF) & (F.col("new_price") >= LEAST_NEW) & (F.col("fraction") >= LEAST_OFF) & (F.col("new_price") >= worth))
+    """The deepest believable and worthy drop of a row that can be a card; of equal ones the first in the drops' order."""
+    rows = drops.where(card_eligible()).withColumn("fraction", drop_fraction(F.col("current_price"), F.col("prior_price"), F.col("compare_at_price")))
+    rows = rows.where((F.col("fraction") > 0) & (F.col("fraction") < MOST_OFF) & (F.col("current_price") >= LEAST_NEW) & (F.col("fraction") >= LEAST_OFF) & (F.col("current_price") >= worth))
     return top(rows, [F.col("fraction").desc(), F.col("event_at").desc(), F.col("listing_id").asc()], limit)
 
 
@@ -74,18 +79,26 @@ def fastest(velocity: DataFrame, limit: int | None = 1) -> DataFrame:
     return top(rows, [F.col("hours").asc(), F.col("listing_id").asc()], limit)
 
 
-def carousel(arrivals: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """One arrival of each coral (the latest), each vendor's first ones before the rest, cut to `size`; total counts all arrivals."""
+ARRIVALS = ("just-listed", "back-in-stock")
+
+
+def carousel(arrivals: DataFrame, size: int = SAMPLE, without: tuple[str, ...] = ()) -> DataFrame:
+    """Of arrivals and restocks that can be a card and are not of the vendors `without`, one of each coral (the latest), each vendor's first ones before the rest, cut to `size`; total counts
+    all arrivals and restocks."""
     newest = [F.col("event_at").desc(), F.col("listing_id").desc()]
-    key = F.coalesce(F.col("named_coral_id").cast("string"), F.concat(F.lit("listing "), F.col("listing_id").cast("string")))
-    one = first_by(arrivals.withColumn("_key", key), ["_key"], newest).drop("_key")
-    spread = one.withColumn("vendor_rank", F.row_number().over(Window.partitionBy("vendor_slug").orderBy(*newest)))
-    total = arrivals.agg(F.count("*").alias("total"))
+    every = arrivals.where(F.col("event").isin(*ARRIVALS))
+    fine = every.where(card_eligible())
+    fine = fine.where(~F.col("vendor_slug").isin(*without)) if without else fine
+    spread = first_by(fine, ["named_coral_id"], newest).withColumn("vendor_rank", F.row_number().over(Window.partitionBy("vendor_slug").orderBy(*newest)))
+    total = every.agg(F.count("*").alias("total"))
     return top(spread, [(F.col("vendor_rank") > 1).asc(), *newest], size).join(F.broadcast(total))  # one row
 
 
 def composition(arrivals: DataFrame) -> DataFrame:
-    return arrivals.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n"), F.countDistinct("vendor_slug").alias("vendors"))
+    """One row (total, composition): all-arrivals (also without any), all-restocks or mixed."""
+    of = lambda event: F.count(F.when(F.col("event") == event, 1)) > 0
+    kind = F.when(of(ARRIVALS[0]) & of(ARRIVALS[1]), "mixed").when(of(ARRIVALS[1]), "all-restocks").otherwise("all-arrivals")
+    return arrivals.where(F.col("event").isin(*ARRIVALS)).agg(F.count("*").alias("total"), kind.alias("composition"))
 
 
 def spotlight(offers: DataFrame, size: int = SAMPLE) -> DataFrame:

@@ -9,6 +9,7 @@ from .common import days_before, not_excluded
 
 #: A cadence is shown from so many days of history, at most so many hours between scrapes, and so many drops.
 CADENCE_DAYS, CADENCE_GAP, CADENCE_DROPS = 42, 6, 15
+GAP_DAYS = 14
 
 
 def velocity(history: DataFrame, listings: DataFrame, runs: DataFrame, now: str, days: int | None = None) -> DataFrame:
@@ -30,12 +31,20 @@ def velocity(history: DataFrame, listings: DataFrame, runs: DataFrame, now: str,
 
 
 def _with_prior_run(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """As-of backward: runs and listings in one ordered sequence for each vendor and day before it, carried forward by a running maximum."""
-    events = found.select("vendor_id", F.col("first_in_stock_at").alias("t"), "listing_id", F.lit(None).cast("timestamp_ntz").alias("run"))
+    """As-of backward by day: the last run of the same day before the instant, else the last one of the latest earlier day that has any.
+
+    Runs of a vendor and day are ordered with that day's instants only; the days' last runs are few and are carried forward.
+    """
+    last = Window.partitionBy("vendor_id", "day").orderBy("t", F.col("run").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    instants = found.select("vendor_id", F.col("first_in_stock_at").alias("t"), "listing_id", F.lit(None).cast("timestamp_ntz").alias("run"))
     ends = runs.where("status = 'success'").select("vendor_id", F.col("finished_at").alias("t"), F.lit(None).cast("long").alias("listing_id"), F.col("finished_at").alias("run"))
-    w = Window.partitionBy("vendor_id").orderBy("t", F.col("run").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = events.unionByName(ends).withColumn("prior_run_at", F.max("run").over(w)).where("listing_id is not null and prior_run_at is not null")
-    return found.join(prior.select("listing_id", "prior_run_at"), "listing_id")
+    events = instants.unionByName(ends).withColumn("day", F.to_date("t"))
+    within = events.withColumn("same_day", F.max("run").over(last)).where("listing_id is not null").select("vendor_id", "day", "listing_id", "same_day")
+    days = events.groupBy("vendor_id", "day").agg(F.max("run").alias("newest"))
+    before = Window.partitionBy("vendor_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.withColumn("earlier", F.max("newest").over(before)).select("vendor_id", "day", "earlier")
+    prior = within.join(carried, ["vendor_id", "day"]).select("listing_id", F.coalesce("same_day", "earlier").alias("prior_run_at")).where("prior_run_at is not null")
+    return found.join(prior, "listing_id")
 
 
 def price_points(history: DataFrame, listings: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
@@ -73,19 +82,21 @@ def price_by_vendor(history: DataFrame, listings: DataFrame, now: str, coral: in
 
 
 def drop_cadence(listings: DataFrame, vendors: DataFrame, runs: DataFrame, arrivals: DataFrame, now: str, slug: str | None = None, least_days: int = CADENCE_DAYS, most_gap: float = CADENCE_GAP, least_drops: int = CADENCE_DROPS) -> DataFrame:
-    """One row for each vendor (or the named one): days of history, organic drops by weekday (Sunday first), the last one, the median hours between scrapes, and whether it qualifies.
+    """One row for each vendor (or the named one): days of history, organic drops by weekday (Sunday first), the last one, the median hours between the last GAP_DAYS days' scrapes, and whether it qualifies.
 
     `arrivals` are the guarded just-listed events.
     """
     one = vendors if slug is None else vendors.where(F.col("slug") == slug)
     w = Window.partitionBy("vendor_id").orderBy("finished_at", "id")
-    gaps = runs.where("status = 'success'").withColumn("g", (F.unix_seconds(F.col("finished_at").cast("timestamp")) - F.unix_seconds(F.lag("finished_at").over(w).cast("timestamp"))) / 3600)
-    gaps = gaps.groupBy("vendor_id").agg(F.round(F.percentile("g", F.lit(0.5)), 2).alias("median_gap_hours"), F.min("finished_at").alias("_first"))
+    good = runs.where("status = 'success' and finished_at is not null")
+    span = good.groupBy("vendor_id").agg(F.min("finished_at").alias("_first"))
+    gaps = good.where(F.col("finished_at") >= days_before(now, GAP_DAYS)).withColumn("g", (F.unix_seconds(F.col("finished_at").cast("timestamp")) - F.unix_seconds(F.lag("finished_at").over(w).cast("timestamp"))) / 3600)
+    gaps = gaps.groupBy("vendor_id").agg(F.round(F.percentile("g", F.lit(0.5)), 2).alias("median_gap_hours"))
     dow = F.dayofweek("event_at") - 1
     drops = arrivals.where("event = 'just-listed' and not bulk_cluster").groupBy("vendor_id").agg(
         F.count("*").alias("organic_drops"), F.max("event_at").alias("last_drop_at"), *[F.count(F.when(dow == d, 1)).alias(f"dow_{d}") for d in range(7)]
     )
-    out = one.select(F.col("id").alias("vendor_id"), "slug").join(gaps, "vendor_id", "left").join(drops, "vendor_id", "left")
+    out = one.select(F.col("id").alias("vendor_id"), "slug").join(span, "vendor_id", "left").join(gaps, "vendor_id", "left").join(drops, "vendor_id", "left")
     out = out.withColumn("history_days", F.coalesce(F.datediff(F.to_date(F.lit(now)), F.to_date("_first")), F.lit(0)))
     for c in ("organic_drops", *[f"dow_{d}" for d in range(7)]):
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))

@@ -113,7 +113,7 @@ _Q = {
               coalesce(date_diff('day', g.first_run::date, {T}::date), 0) as history_days, coalesce(coalesce(date_diff('day', g.first_run::date, {T}::date), 0) >= 14 and g.median_gap_hours <= 24 and coalesce(d.organic_drops, 0) >= 2, false) as qualifies
             from vendors v left join gaps g on g.vendor_id = v.id left join per_day d on d.vendor_id = v.id""",
             *tagged(MONTH, FLOOR, FACTOR),
-            "gaps as (select vendor_id, round(median(g), 2) as median_gap_hours, min(finished_at) as first_run from (select vendor_id, finished_at, epoch(finished_at - lag(finished_at) over (partition by vendor_id order by finished_at, id)) / 3600 as g from scraper_runs where status = 'success') group by 1)",
+            f"gaps as (select vendor_id, max(first_run) as first_run, round(median(g), 2) as median_gap_hours from (select vendor_id, null as first_run, epoch(finished_at - lag(finished_at) over (partition by vendor_id order by finished_at, id)) / 3600 as g from scraper_runs where status = 'success' and finished_at >= {since(336)} union all select vendor_id, min(finished_at), null from scraper_runs where status = 'success' group by 1) group by 1)",
             f"per_day as (select vendor_id, count(*) as organic_drops, max(event_at) as last_drop_at, {', '.join(f'count(*) filter (where extract(dow from event_at) = {k}) as dow_{k}' for k in range(7))} from tagged where guard_disposition = 'kept' and event = 'just-listed' and not bulk_cluster group by 1)",
         ),
     ),
@@ -159,8 +159,8 @@ _Q = {
     ),
     "coral_in_window_vendors": (lambda m: market.in_window_vendors(m.listings, NOW), sql(f"select named_coral_id, count(distinct vendor_id) as vendors from listings where last_seen_at >= {since(WEEK)} and named_coral_id is not null group by 1")),
     "vendor_inventory_page": (
-        lambda m: market.inventory(m.listings, 1, NOW, 2, "price-asc", size=5).select(*ROW),
-        sql(f"select {ROW_SQL} from listings where vendor_id = 1 and last_seen_at >= {since(336)} and {SHOWN} and in_stock and not is_auction and auction_end_time is null order by current_price asc nulls last, bulk_cluster, first_seen_at desc, id desc limit 5 offset 5"),
+        lambda m: market.inventory(m.listings, 1, NOW, 2, "price-asc", size=2).select(*ROW),
+        sql(f"select {ROW_SQL} from listings where vendor_id = 1 and last_seen_at > {since(336)} and {SHOWN} and in_stock and not is_auction order by current_price asc nulls last, first_seen_at desc, id limit 2 offset 2"),
     ),
     "vendor_inventory_totals": (
         lambda m: market.inventory_totals(m.listings, NOW),
