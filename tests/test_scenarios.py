@@ -198,7 +198,7 @@ def test_product_documents(spark, tmp_path):
     reasons = {r["handle"]: r["why"] for r in products.select("handle", catalogues.keep_reason(config).alias("why")).collect()}
     assert reasons == {"gold": "tag-denied", "shirt": "unavailable", "bid": "product-type"}
     assert products.where(catalogues.keep_reason({"no_sku_ends": ["A"]}).isNull()).select("handle").collect()[0][0] == "bid"
-    got = {r["product_url"]: r for r in catalogues.to_listings(products, "https://x/", True).collect()}
+    got = {r["product_url"]: r for r in catalogues.to_listings(products, "https://x/", ("auction1",)).collect()}
     assert got["https://x/products/gold"]["compare_at_price"] == Decimal("9.00") and got["https://x/products/gold"]["category"] == "lps" and got["https://x/products/gold"]["lineage_flag"] == "vendor-named"
     assert got["https://x/products/bid"]["is_auction"] and got["https://x/products/bid"]["current_price"] is None
     assert not got["https://x/products/shirt"]["in_stock"] and got["https://x/products/shirt"]["vendor_sku"] is None

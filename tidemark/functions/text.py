@@ -181,3 +181,58 @@ def availability_state(total: Column, in_stock: Column, priced: Column) -> Colum
 def set_fingerprint(urls: Column) -> Column:
     """SHA-256 of the sorted, comma-joined texts of an array; null if it is empty."""
     return F.when(F.size(urls) > 0, F.sha2(F.array_join(F.array_sort(urls), ","), 256))
+
+
+# File endings of pictures.
+PICTURE_ENDINGS = (".jpg", ".jpeg", ".png", ".webp", ".gif")
+
+
+def _path_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+
+
+def url_handle(url: Column) -> Column:
+    """The last part of a URL's path, in lower case and safe for a file name; `unknown` without one."""
+    last = F.regexp_replace(F.lower(F.regexp_extract(_path_of(url), r"([^/]+)/*$", 1)), r"[^a-z0-9._-]", "-")
+    return F.when(last == "", "unknown").otherwise(last)
+
+
+def picture_ending(url: Column) -> Column:
+    """The file ending of a picture's URL, .jpg if it has none that is known."""
+    path = F.lower(_path_of(url))
+    out = F.when(path.endswith(PICTURE_ENDINGS[0]), PICTURE_ENDINGS[0])
+    for x in PICTURE_ENDINGS[1:]:
+        out = out.when(path.endswith(x), x)
+    return out.otherwise(PICTURE_ENDINGS[0])
+
+
+def picture_type(ending: Column) -> Column:
+    return F.concat(F.lit("image/"), F.when(ending.isin(".png", ".webp", ".gif"), F.substring(ending, 2, 9)).otherwise("jpeg"))
+
+
+def html_escape(text: Column) -> Column:
+    out = text
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def one_of(value: Column, allowed: tuple[str, ...], default: str | None = None) -> Column:
+    """A request's value if it is allowed, else the default."""
+    return F.when(value.isin(*allowed), value).otherwise(F.lit(default))
+
+
+# Formats of content, and whether they set vendors against each other by price.
+CONTENT_FORMATS = {
+    "aggregate-activity": False,
+    "most-restocked": False,
+    "single-listing-drop": False,
+    "velocity": False,
+    "cheapest-across-vendors": True,
+    "market-report": True,
+}
+
+
+def publishable(fmt: Column) -> Column:
+    """Whether a format may go out without review: a known one that is not comparative."""
+    return fmt.isin(*[k for k, comparative in CONTENT_FORMATS.items() if not comparative])

@@ -197,3 +197,28 @@ def same_ids(found: DataFrame, expected: DataFrame) -> DataFrame:
     a, b = found.select("id").distinct(), expected.select("id").distinct()
     both = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), "id", "full")
     return both.agg(F.count(F.when(F.col("_b").isNull(), 1)).alias("unexpected"), F.count(F.when(F.col("_a").isNull(), 1)).alias("absent"))
+
+
+def preflight(listings: DataFrame, most_missing: float, with_auctions: bool = False) -> DataFrame:
+    """(vendor_id, total, auctions, gated, missing, share, verdict): per cent without a category among what can be browsed, or all. A vendor with auctions only can't be judged."""
+    rows = listings.groupBy("vendor_id").agg(
+        F.count("*").alias("total"), F.count(F.when(F.col("is_auction"), 1)).alias("auctions"), F.count(F.when(F.col("category").isNull(), 1)).alias("_null"), F.count(F.when(F.col("category").isNull() & ~F.col("is_auction"), 1)).alias("_open")
+    )
+    gated, missing = (F.col("total"), F.col("_null")) if with_auctions else (F.col("total") - F.col("auctions"), F.col("_open"))
+    rows = rows.withColumns({"gated": gated, "missing": missing}).withColumn("share", F.when(F.col("gated") > 0, F.col("missing") / F.col("gated") * 100))
+    verdict = F.when(F.col("gated") == 0, "cannot-evaluate").when(F.col("share") > most_missing, "fail").otherwise("pass")
+    return rows.select("vendor_id", "total", "auctions", "gated", "missing", F.round("share", 6).alias("share"), verdict.alias("verdict"))
+
+
+def floor_cuts(listings: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """(floor, cut, n, share): how many of the in-stock priced listings outside auctions each price floor would cut."""
+    rows = listings.where("in_stock and current_price is not null and auction_end_time is null and not is_auction")
+    one = rows.agg(F.count("*").alias("n"), *[F.count(F.when(F.col("current_price") < x, 1)).alias(f"f{i}") for i, x in enumerate(floors)])
+    each = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("floor"), F.col(f"f{i}").alias("cut")) for i, x in enumerate(floors)]))
+    return one.select("n", each.alias("e")).select("e.floor", "e.cut", "n", F.round(F.col("cut") / F.col("n") * 100, 6).alias("share"))
+
+
+def category_changes(listings: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(id, old, new): listings whose category in the live catalogue fresh(product_url, category) is another; those that it has no more are left alone."""
+    live = fresh.select("product_url", F.col("category").alias("new"))
+    return listings.join(live, "product_url").where(~F.col("category").eqNullSafe(F.col("new"))).select("id", F.col("category").alias("old"), "new")

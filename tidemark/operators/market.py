@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import data_row, originator, price_text, tied_vendors
 from .common import at, days_before, first_by, not_excluded, top, visible
 from .timeseries import browseable
 
@@ -228,3 +229,38 @@ def recipients(signups: DataFrame, sent: DataFrame, day: str) -> DataFrame:
     """Confirmed and not unsubscribed signups, none if a digest was sent that day."""
     rows = signups.where("confirmed_at is not null and unsubscribed_at is null").withColumn("_day", F.lit(day).cast("date"))
     return rows.join(F.broadcast(sent.select(F.col("sent_date").alias("_day"))), "_day", "left_anti").drop("_day")
+
+
+def offer_summary(listings: DataFrame) -> DataFrame:
+    """(named_coral_id, low_price, high_price, offer_count) over in-stock listings with a price above 0; corals without any are absent."""
+    rows = listings.where("in_stock and current_price > 0 and named_coral_id is not null")
+    return rows.groupBy("named_coral_id").agg(F.min("current_price").alias("low_price"), F.max("current_price").alias("high_price"), F.count("*").alias("offer_count"))
+
+
+def reference_fields(listings: DataFrame, vendors: DataFrame, corals: DataFrame) -> DataFrame:
+    """(named_coral_id, reference, summary): a coral's line in a text, and on its page.
+
+    The line has the lowest price, who has it, and the month the coral was first seen; the page's has the originator too. Corals without an offer
+    have an empty line.
+    """
+    names = vendors.select(F.col("id").alias("vendor_id"), F.col("slug").alias("vendor"))
+    rows = listings.where("named_coral_id is not null").join(names, "vendor_id", "left")
+    offer = F.when(F.expr("in_stock and current_price > 0"), F.col("current_price"))
+    per = rows.groupBy("named_coral_id").agg(F.min(offer).alias("low"), F.count(offer).alias("n"), F.min("first_seen_at").alias("first"))
+    ties = rows.where("in_stock and current_price > 0").join(per.select("named_coral_id", "low"), "named_coral_id").where("current_price = low")
+    tied = ties.groupBy("named_coral_id").agg(tied_vendors(F.transform(F.array_sort(F.collect_list(F.struct("id", "vendor"))), lambda x: x["vendor"])).alias("vendors"))
+    every = per.join(tied, "named_coral_id", "left").join(corals.select(F.col("id").alias("named_coral_id"), "origin_vendor"), "named_coral_id", "left")
+    field = lambda label, value: F.struct(label.alias("label") if isinstance(label, Column) else F.lit(label).alias("label"), value.alias("value"))
+    shown = F.when(F.col("low").isNotNull(), price_text(F.col("low")))
+    month = F.when(F.col("low").isNotNull(), F.date_format("first", "MMM yyyy"))
+    line = F.array(field(F.when(F.col("n") > 1, "Cheapest now").otherwise("Listed now"), shown), field("Vendor", F.col("vendors")), field("First seen", month))
+    page = F.array(field("Price", shown), field("Vendor", F.col("vendors")), field("Lineage", originator(F.col("origin_vendor"))))
+    return every.select("named_coral_id", data_row(line).alias("reference"), data_row(page).alias("summary"))
+
+
+def featured_in(guides: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """(coral_slug, slug, updated) of guides(slug, updated, body): the corals that a guide features, by the slug attribute of its elements `tags`, newest guide first."""
+    opening = r"<(?:" + "|".join(tags) + r")\b[^>]*?\bslug=(?:\"([^\"]+)\"|'([^']+)')"
+    found = F.array_distinct(F.concat(F.regexp_extract_all("body", F.lit(opening), F.lit(1)), F.regexp_extract_all("body", F.lit(opening), F.lit(2))))
+    rows = guides.select(F.explode(found).alias("coral_slug"), "slug", "updated").where("coral_slug <> ''")
+    return rows.orderBy("coral_slug", F.col("updated").desc(), "slug")

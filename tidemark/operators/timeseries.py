@@ -107,3 +107,21 @@ def drop_cadence(listings: DataFrame, vendors: DataFrame, runs: DataFrame, arriv
 def browseable(listings: DataFrame) -> DataFrame:
     """(vendor_id, n): in stock and of no excluded category."""
     return listings.where(F.col("in_stock") & not_excluded()).groupBy("vendor_id").agg(F.count("*").alias("n"))
+
+
+def segments(series: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first_day, last_day, days, drawn): the unbroken runs of days of a daily series(keys, day); a run of one day is no line."""
+    w = Window.partitionBy(*keys).orderBy("day")
+    island = series.select(*keys, "day").distinct().withColumn("_g", F.date_sub(F.col("day"), F.row_number().over(w)))
+    runs = island.groupBy(*keys, "_g").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("days")).drop("_g")
+    return runs.withColumn("drawn", F.col("days") >= 2)
+
+
+def thin_history(envelope: DataFrame, by_vendor: DataFrame) -> DataFrame:
+    """(named_coral_id, thin, day, price): corals with at most one day in all and no vendor with two; then the latest observation, the lowest of its day."""
+    days = envelope.groupBy("named_coral_id").agg(F.count("*").alias("_days"))
+    points = by_vendor.groupBy("named_coral_id", "vendor_id").agg(F.count("*").alias("_n")).groupBy("named_coral_id").agg(F.max("_n").alias("_most"))
+    last = by_vendor.groupBy("named_coral_id").agg(F.max(F.struct("day", (-F.col("price")).alias("low"))).alias("_last"))
+    thin = (F.col("_days") <= 1) & (F.col("_most") < 2)
+    rows = days.join(points, "named_coral_id").join(last, "named_coral_id")
+    return rows.select("named_coral_id", thin.alias("thin"), F.when(thin, F.col("_last.day")).alias("day"), F.when(thin, -F.col("_last.low")).alias("price"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import core, ingest, posts
+from . import core, documents, ingest, posts
 
 FLAGSHIP = "lead_events"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (core, ingest, posts):
+for part in (core, ingest, posts, documents):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

@@ -43,10 +43,6 @@ _Q = {
         lambda m: m.listings.select("id", F.array_join(posts.fish_terms(F.col("raw_title")), ",").alias("terms")),
         sql(f"select l.id, coalesce(string_agg(distinct t, ',' order by t), '') as terms from listings l left join (select * from tokens where t in ({_in(FISH_NOUNS)})) n on n.id = l.id group by l.id", TOKENS),
     ),
-    "post_tags": (
-        lambda m: m.listings.select("id", F.array_join(posts.post_tags(posts.type_tags(F.col("raw_title")), F.lit(None).cast("string"), F.concat(F.lit("#v"), F.col("vendor_id"))), " ").alias("tags")),
-        "",
-    ),
     "caption_plan": (
         lambda m: m.listings.select("id", posts.caption_plan(F.repeat("raw_title", (F.col("id") % 100).cast("int"))).alias("plan")).select("id", "plan.*"),
         sql("select id, case when length(c) <= 1024 then nullif(c, '') end as attached, case when length(c) > 1024 then c end as follow_up from (select id, trim(repeat(raw_title, (id % 100)::int)) as c from listings)"),

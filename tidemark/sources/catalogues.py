@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import coerce_variants, infer_category, lineage_flag, normal_tag, normalize_title, sku_ends_with
+from ..functions.text import PRICE_CEILING, coerce_variants, infer_category, lineage_flag, normal_tag, normalize_title, sku_ends_with
 
 #: Every field may be missing.
 PRODUCTS = """products array<struct<id bigint, title string, handle string, product_type string, tags array<string>,
   variants array<struct<sku string, available boolean, price string, compare_at_price string>>, images array<struct<src string>>>>"""
+#: Tags of an auction where a vendor states none.
 AUCTION_TAGS = ("auction", "auctions")
 AXES = {"product_types", "tags", "no_tags", "no_title_parts", "no_title_starts", "no_titles", "no_sku_ends"}
 
@@ -40,21 +41,21 @@ def validate_axes(config: dict) -> dict:
     return config
 
 
-def keep_reason(config: dict, available_only: bool = True) -> Column:
-    """Why a product (title, product_type, tags, variants) goes, null if it stays. All axes must pass; one that isn't set passes. Auctions pass the allow-lists."""
+def keep_reason(config: dict, available_only: bool = True, auction_tags: tuple[str, ...] | None = None) -> Column:
+    """Why a product (title, product_type, tags, variants) goes, null if it stays. All axes must pass; one that isn't set passes. Auctions (by the vendor's tags, if it states any) pass the allow-lists."""
     c = validate_axes(config)
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     plain_tags, title = F.transform(tags, normal_tag), F.lower(F.coalesce("title", F.lit("")))
     lits = lambda xs: F.array(*[F.lit(x) for x in xs])
     out = F.when(~F.exists(F.coalesce("variants", F.expr("array()").cast("array<struct<sku:string,available:boolean,price:string,compare_at_price:string>>")), lambda v: F.coalesce(v["available"], F.lit(False))), "unavailable") if available_only else F.when(F.lit(False), "")
-    auction = is_auction()
+    auction = is_auction(auction_tags) if auction_tags is None or auction_tags else F.lit(False)
     if "product_types" in c:
         out = out.when(~auction & ~F.coalesce(F.col("product_type").isin(*c["product_types"]), F.lit(False)), "product-type")
     if "tags" in c:
         out = out.when(~auction & ~F.arrays_overlap(F.transform(tags, F.lower), lits([x.lower() for x in c["tags"]])), "tag-missing")
     if "no_tags" in c:
         out = out.when(F.arrays_overlap(plain_tags, F.transform(lits(c["no_tags"]), normal_tag)), "tag-denied")
-    for axis, test in (("no_title_parts", title.contains), ("no_title_starts", title.startswith), ("no_titles", title.__eq__)):
+    for axis, test in (("no_title_parts", title.contains), ("no_title_starts", title.startswith), ("no_titles", lambda x: F.trim(title) == x.strip())):
         for x in c.get(axis, ()):
             out = out.when(test(x.lower()), axis)
     for x in c.get("no_sku_ends", ()):
@@ -66,17 +67,19 @@ def _has_sku_end(suffix: str) -> Column:
     return F.coalesce(F.exists("variants", lambda v: F.coalesce(sku_ends_with(v["sku"], suffix), F.lit(False))), F.lit(False))
 
 
-def is_auction(rounds: bool = False) -> Column:
-    """By tag; where a vendor numbers its rounds, also by tags like auction12."""
-    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))
-    out = F.arrays_overlap(tags, F.array(*[F.lit(t) for t in AUCTION_TAGS]))
-    return out | F.exists(tags, lambda t: t.rlike(r"^auction\d+$")) if rounds else out
+def is_auction(auction_tags: tuple[str, ...] | None = None) -> Column:
+    """By the vendor's tags, spelled in any case; where one of them is a numbered round (auction3), also by the tags of all other rounds."""
+    wanted = [t.lower().replace("-", " ").strip() for t in (AUCTION_TAGS if auction_tags is None else auction_tags)]
+    raw = F.coalesce("tags", F.array().cast("array<string>"))
+    out = F.arrays_overlap(F.transform(raw, normal_tag), F.array(*map(F.lit, wanted)))
+    rounds = any(t.startswith("auction") and t[7:].isdigit() for t in wanted)
+    return out | F.exists(raw, lambda t: F.lower(F.trim(t)).rlike(r"^auctions?$|^auction\d+$")) if rounds else out
 
 
-def to_listings(products: DataFrame, base_url: str, rounds: bool = False) -> DataFrame:
+def to_listings(products: DataFrame, base_url: str, auction_tags: tuple[str, ...] | None = None) -> DataFrame:
     """(product_url, raw_title, normalized_title, current_price, compare_at_price, in_stock, vendor_sku, image_url, category, lineage_flag, is_auction); auctions have no price."""
     price = coerce_variants(F.col("variants"))
-    auction = is_auction(rounds)
+    auction = is_auction(auction_tags)
     return products.select(
         F.concat(F.lit(base_url.rstrip("/") + "/products/"), "handle").alias("product_url"),
         F.col("title").alias("raw_title"),
@@ -155,10 +158,107 @@ def schema_change(counts: DataFrame) -> DataFrame:
     return rows.withColumn("changed", F.col("empty") >= F.greatest(F.lit(3.0), 0.3 * F.col("paths")))
 
 
-def fetch_error(status: Column, body: Column, signatures: tuple[str, ...] = ("captcha", "access denied", "cf-chl")) -> Column:
-    """The class of a failed fetch: rate_limit, server, block (by the body's first 4096 characters) or other; null for a good one."""
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 4096))
-    block = F.lit(False)
-    for s in signatures:
-        block = block | head.contains(s)
-    return F.when(status.isNull(), "network").when(status == 429, "rate_limit").when(status >= 500, "server").when(block | (status == 403), "block").when(status >= 400, "other")
+# Texts of a page that turns a visitor away.
+BLOCK_SIGNATURES = (
+    "Just a moment...",
+    "cf-challenge",
+    "Attention Required! | Cloudflare",
+    "Access denied | Cloudflare",
+    "<title>Access denied</title>",
+)
+
+
+def fetch_error(status: Column, body: Column) -> Column:
+    """The class of a fetch: http_429, http_5xx, network, block (a good or forbidden page whose first 4096 characters turn a visitor away) or other; null for a good one."""
+    head = F.substring(F.coalesce(body, F.lit("")), 1, 4096)
+    turned_away = F.lit(False)
+    for x in BLOCK_SIGNATURES:
+        turned_away = turned_away | head.contains(x)
+    return (
+        F.when(status.isNull(), "network")
+        .when(status == 429, "http_429")
+        .when((status >= 500) | ((status == 403) & ~turned_away), "http_5xx")
+        .when(turned_away & ((status == 403) | (status < 300)), "block")
+        .when(status >= 400, "other")
+    )
+
+
+class Grid(HTMLParser):
+    """Product cards of a shop grid: list items of class product-item, with a title link, price elements and a picture, and the numbers of the page's toolbar."""
+
+    def __init__(self):
+        super().__init__()
+        self.cards, self.numbers, self.text, self.amount = [], [], None, None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        a = {k: v or "" for k, v in attrs}
+        names = a.get("class", "").split()
+        if tag == "li" and "product-item" in names:
+            self.cards.append({"raw_title": "", "product_url": None, "final": None, "old": None, "any": None, "image": None})
+        if tag == "span" and "toolbar-number" in names:
+            self.amount = ""
+        if not self.cards:
+            return
+        card = self.cards[-1]
+        if tag == "a" and "product-item-link" in names and card["product_url"] is None:
+            card["product_url"], self.text = a.get("href", "").strip(), ""
+        if "data-price-amount" in a:
+            kind = {"finalPrice": "final", "oldPrice": "old"}.get(a.get("data-price-type", ""))
+            for k in {kind, "any"} - {None}:
+                card[k] = card[k] if card[k] is not None else a["data-price-amount"].strip()
+        if tag == "img" and card["image"] is None:
+            card["image"] = a.get("data-original") or a.get("data-origsrc") or a.get("src") or ""
+
+    def handle_data(self, data: str) -> None:
+        if self.text is not None:
+            self.text += data
+        if self.amount is not None:
+            self.amount += data
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a" and self.text is not None:
+            self.cards[-1]["raw_title"], self.text = " ".join(self.text.split()), None
+        if tag == "span" and self.amount is not None:
+            digits = self.amount.strip()
+            self.numbers += [int(digits)] if digits.isdigit() else []
+            self.amount = None
+
+
+def parse_grid(pages: DataFrame) -> DataFrame:
+    """(path, place, product_url, raw_title, current_price, compare_at_price, image_url) of pages(path, html): cards without a title or link are left out.
+
+    The old price counts only above the current one; prices that are no finite numbers are null; a picture without its size, and none that only holds the place.
+    """
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, html in zip(batch["path"], batch["html"]):
+                parser = Grid()
+                parser.feed(html or "")
+                for i, c in enumerate(x for x in parser.cards if x["raw_title"] and x["product_url"]):
+                    picture = None if not c["image"] or "/static/" in c["image"] else c["image"].split("?")[0]
+                    rows.append((path, i, c["product_url"], c["raw_title"], c["final"] if c["final"] is not None else c["any"], c["old"], picture))
+            yield pd.DataFrame(rows, columns=["path", "place", "product_url", "raw_title", "final", "old", "image_url"])
+
+    cards = pages.select("path", "html").mapInPandas(run, "path string, place int, product_url string, raw_title string, final string, old string, image_url string")
+    price, old = F.col("final").try_cast("decimal(20,2)"), F.col("old").try_cast("decimal(20,2)")
+    return cards.select(
+        "path", "place", "product_url", "raw_title", price.cast("decimal(10,2)").alias("current_price"), F.when((old > price) & (old < PRICE_CEILING), old.cast("decimal(10,2)")).alias("compare_at_price"), "image_url"
+    )
+
+
+def last_page(pages: DataFrame) -> DataFrame:
+    """(path, last) of pages(path, html): whether a grid's toolbar says that nothing follows; it shows from, to and total, or only the total."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, html in zip(batch["path"], batch["html"]):
+                parser = Grid()
+                parser.feed(html or "")
+                n = parser.numbers
+                out.append((path, len(n) < 2 or n[-2] >= n[-1]))
+            yield pd.DataFrame(out, columns=["path", "last"])
+
+    return pages.select("path", "html").mapInPandas(run, "path string, last boolean")
