@@ -377,6 +377,31 @@ def test_line_dedup_finds_every_similar_line(spark):
     assert got == {i: int(label[i] != i) for i in range(len(plain))}
 
 
+def test_line_dedup_long_lists(spark, monkeypatch):
+    """Lines that share a rare beginning meet in one long list; only some of them are similar. Several blocks to a list, and rows of one line in many batches."""
+    from tidemark.llm import ngram_jaccard as other
+
+    monkeypatch.setattr(other, "TILE_SETS", 16)
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 1)
+    rng = random.Random(9)
+    start = "quite rare words begin this line".split()
+    plain = []
+    for _ in range(40):
+        base = start + [f"w{rng.randrange(60)}" for _ in range(12)]
+        plain += [variants(rng, base, rng.choice([0, 1, 2, 3])) for _ in range(rng.randrange(1, 5))]
+    letters = spelt(line_dedup.Lines(pa.array([" ".join(x) for x in plain])))
+    label = list(range(len(plain)))
+    for i in range(len(plain)):
+        for j in range(i):
+            most = line_dedup.most_edits(len(plain[i]), len(plain[j]))
+            if label[i] != label[j] and line_dedup.edits(letters[i], letters[j], most) <= most:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    table = docs(spark, [" ".join(x) for x in plain], 0).repartition(8)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.removed(table).collect()}
+    assert got == {i: int(label[i] != i) for i in range(len(plain))} and len(set(label)) > 20
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_edits(seed):
     rng = random.Random(seed)

@@ -352,11 +352,12 @@ def _tile(similarity: int):
     """For one tile: links between different labels, as many as it takes, between lines of its two blocks or inside its one block."""
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        block, labels, sizes = (np.asarray(table.column(c).combine_chunks()) for c in ("block", "label", "n"))
-        sims = np.asarray(table.column("sim").combine_chunks().flatten()).view(np.uint64).reshape(-1, BITS // 64)
-        letters, top = table.column("letters").to_pylist(), {}
-        words = np.frombuffer("".join(letters).encode("utf-16-le"), np.uint16) % BINS
+        of_b, labels = (np.asarray(table.column(c).combine_chunks()) for c in ("of_b", "label"))
+        sims = np.stack([np.asarray(table.column(f"s{k}").combine_chunks()) for k in range(BITS // 64)], axis=1).view(np.uint64)
+        raw = table.column("letters").to_pylist()
+        letters, top = [x.decode("utf-16-le") for x in raw], {}
+        sizes = np.array([len(x) for x in letters])
+        words = np.frombuffer(b"".join(raw), np.uint16) % BINS
         bins = np.bincount(np.repeat(np.arange(len(sizes)) * BINS, sizes) + words, minlength=len(sizes) * BINS).reshape(-1, BINS).astype(np.uint16)
 
         def find(x: int) -> int:
@@ -371,10 +372,12 @@ def _tile(similarity: int):
             one, two = (triples.get(i) or triples.setdefault(i, [letters[i][k : k + 3] for k in range(len(letters[i]) - 2)]) for i in (x, y))
             return sum(map(set(two).__contains__, one)) >= len(one) - 3 * most
 
-        out, left, right = [], np.flatnonzero(block == a), np.flatnonzero(block == b)
+        out, left = [], np.flatnonzero(~of_b)
+        right = np.flatnonzero(of_b) if of_b.any() else left
         for part in np.array_split(right, -(-len(right) // PART)):
             near = np.bitwise_count(sims[part][:, None] ^ sims[left]).sum(axis=2, dtype=np.uint16) <= MOST_BITS
             i, j = part[:, None], left
+            near &= (i > j) if right is left else True
             near &= (labels[i] != labels[j]) & (np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * similarity)
             i, j = np.nonzero(near)
             i, j = part[i], left[j]
@@ -438,7 +441,9 @@ def groups(lines: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -
     if active.isEmpty():
         return labels
     release(lines.sparkSession)
-    rest = cut(tiled_links(active.select("fp", "label", F.col("code").alias("comp")), texts, _tile(similarity)), "links")
+    # two bytes for each word and no empty fields: a tile's rows are most of what is moved here
+    slim = texts.select("fp", *[F.col("sim")[k].alias(f"s{k}") for k in range(BITS // 64)], F.encode("letters", "UTF-16LE").alias("letters"))
+    rest = cut(tiled_links(active.select("fp", "label", F.col("code").alias("comp")), slim, _tile(similarity), ("fp",)), "links")
     drop_cut(texts)
     # of components, by their labels
     wider = components(rest).select(F.col("node").alias("label"), F.col("label").alias("wide"))

@@ -318,26 +318,26 @@ def _tile(similarity: int):
     """For one tile: the links between the sets of its two blocks, or inside its one block, over different labels."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("a", "b", "block", "fp", "label", "n", "codes"))), key=lambda r: r[6])
-        a, b = rows[0][0], rows[0][1]
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("of_b", "fp", "label", "n", "codes"))), key=lambda r: r[4])
         trie, of = Trie(np.zeros(0, np.uint64)), {}
-        for _, _, block, fp, label, n, raw in rows:
-            if block == a:
+        for of_b, fp, label, n, raw in rows:
+            if not of_b:
                 trie.add(np.frombuffer(raw, np.uint64), fp, n)
                 of[fp] = label
-        out = []
-        for _, _, block, fp, label, n, raw in rows:
-            if block == b:
+        one, out = len(of) == len(rows), []
+        for of_b, fp, label, n, raw in rows:
+            if of_b or one:
                 out += [(fp, other) for other in trie.linked(np.frombuffer(raw, np.uint64), n, similarity) if of[other] != label]
         return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "dst": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
-def tiled_links(members: DataFrame, sets: DataFrame, run) -> DataFrame:
+def tiled_links(members: DataFrame, sets: DataFrame, run, unused: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst): all links between classes of one group with different labels, from members(fp, label, comp) and sets(fp, ...).
 
-    `run` finds the links of one tile, a table (a, b, block, fp, label, ...) of the rows of its blocks a and b.
+    `run` finds the links of one tile, a table (a, b, of_b, fp, label, ...) of the rows of its blocks a and b; of_b is true for those of b, and in a tile of one block for none.
+    Columns in `unused` are not moved.
 
     A group is cut into blocks: classes of a frequent label among themselves, whole rare labels pooled. Two blocks make a tile unless both are of the
     same frequent label, so a large group in which nearly all are linked already costs its size times its rest.
@@ -355,8 +355,8 @@ def tiled_links(members: DataFrame, sets: DataFrame, run) -> DataFrame:
     a, b = blocks.select("comp", F.col("block").alias("a"), F.col("owner").alias("oa")), blocks.select("comp", F.col("block").alias("b"), F.col("owner").alias("ob"))
     tiles = a.join(b, "comp").where("a <= b and (oa is null or ob is null or oa <> ob)").select("a", "b")
     sides = tiles.select("a", "b", F.col("a").alias("block")).unionByName(tiles.where("a <> b").select("a", "b", F.col("b").alias("block")))
-    full = sides.join(placed, "block").join(sets, "fp").select("a", "b", "block", "fp", "label", *[c for c in sets.columns if c != "fp"])
-    return full.groupBy("a", "b").applyInArrow(run, "src long, dst long")
+    full = sides.join(placed, "block").join(sets, "fp").select("a", "b", (F.col("block") != F.col("a")).alias("of_b"), "fp", "label", *[c for c in sets.columns if c != "fp"])
+    return full.drop(*unused).groupBy("a", "b").applyInArrow(run, "src long, dst long")
 
 
 def links(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
