@@ -171,6 +171,62 @@ def test_lm_scores(spark, real):
     assert better > 0.7 * sum(held.values())
 
 
+def test_lm_scores_against_a_tree_of_dictionaries(spark, monkeypatch):
+    """All states, frequent and rare, from their definition: counts, leave-one-out gains, discounts, longest suffix states."""
+    for name, value in (("WORD_SHARE", 60), ("CONTEXT_SHARE", 40), ("ENTRY_SHARE", 150)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rng = random.Random(11)
+    kinds = [["the", "cat"], ["a", "dog"], ["the", "dog", "ran"], ["and"], *([f"r{k}", f"s{k}"] for k in range(9)), *([f"u{k}"] for k in range(9))]
+    speak = lambda: " ".join(w for _ in range(rng.randrange(1, 12)) for w in kinds[min(int(rng.expovariate(0.2)), len(kinds) - 1)])
+    texts = {i: speak() for i in range(120)}
+    train = [[*t.split(), ""] for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in t)
+    n, v = sum(counts.values()), len(counts)
+    whole, d = n + 0.1 * (v + 1), suffix_tree.DISCOUNT
+    frequent = {w for w, c in counts.items() if w and c >= max(2, n / 60)}
+    sym = lambda w: w if w in frequent or w == "" else "?"
+    root = {w: (counts[w] + 0.1) / whole for w in [*frequent, ""]}
+    root["?"] = 1 - sum(root.values())
+    follow: dict = {}
+    for t in train:
+        for i in range(1, len(t)):
+            one = sym(t[i - 1])
+            follow.setdefault((one,), Counter())[sym(t[i])] += 1
+            if one == "?":
+                follow.setdefault(("rare", t[i - 1]), Counter())[sym(t[i])] += 1
+            if i > 1:
+                follow.setdefault((sym(t[i - 2]), one), Counter())[sym(t[i])] += 1
+    pairs = {c for c in follow if len(c) == 2 and c[0] != "rare" and follow[(c[0],)][c[1]] >= max(2, n / 40)}
+
+    def state(context, lower, least):
+        """(probability of a symbol, whether the context is retained)."""
+        seen, total = {w: c for w, c in follow[context].items() if c >= least}, sum(follow[context].values())
+        weight = 1 - sum(max(c - d, 0) for c in seen.values()) / total
+        p = lambda w: max(seen.get(w, 0) - d, 0) / total + weight * lower(w)
+        gain = sum(c * np.log((max(c - 1 - d, 0) / max(total - 1, 1) + weight * lower(w)) / lower(w)) for w, c in seen.items()) + (total - sum(seen.values())) * np.log(max(weight, 1e-12))
+        return p, gain > suffix_tree.DIVERGENCE * total
+
+    least = max(2, n / 150)
+    ones = {c: state(c, root.__getitem__, least) for c in follow if len(c) == 1 and c != ("",)}
+    twos = {c: state(c, ones[c[1:]][0], least) for c in pairs}
+    kept = {c for c, (_, keep) in ones.items() if keep} | {c[1:] for c, (_, keep) in twos.items() if keep}
+    at = lambda one: ones[(one,)][0] if (one,) in kept else root.__getitem__
+    rare = {c[1]: state(c, at("?"), 0) for c in follow if c[0] == "rare" and sum(follow[c].values()) >= suffix_tree.LEAST_CONTEXT}
+    assert any(keep for _, keep in rare.values()) and any(keep for _, keep in twos.values())
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs(spark, list(texts.items()))).collect()}
+    for i, t in texts.items():
+        words, total = [*t.split(), ""], 0.0
+        for k, w in enumerate(words):
+            p = root.__getitem__
+            if k:
+                one = sym(words[k - 1])
+                two = twos.get((sym(words[k - 2]), one), (None, False)) if k > 1 else (None, False)
+                p = rare[words[k - 1]][0] if rare.get(words[k - 1], (None, False))[1] else two[0] if two[1] else at(one)
+            inside = (counts[w] + 0.1) / whole / root["?"] if sym(w) == "?" else 1.0
+            total += log10(p(sym(w)) * inside)
+        assert abs(got[i] - total) < 1e-6 * len(words), (i, t, got[i], total)
+
+
 def test_tree_is_a_distribution():
     p = np.array([0.1, 0.2, 0.3, 0.25, 0.15])
     single = np.array([2, 3])
