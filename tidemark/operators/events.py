@@ -54,10 +54,21 @@ def listed_arm(listings: DataFrame, now: str, hours: int) -> DataFrame:
     return rows.select(F.col("id").alias("listing_id"), F.lit(EVENTS[2]).alias("event"), F.lit(3).alias("precedence"), F.col("first_seen_at").alias("event_at"), *_no_prices(rows))
 
 
+def log_arms(history: DataFrame, listings: DataFrame, now: str, hours: int, gap_hours: int = RESTOCK_HOURS) -> DataFrame:
+    """The drop and restock arms in one pass over the log; of restocks all that count, not only the first."""
+    rows = with_previous(history).where(F.col("observed_at") >= hours_before(now, hours))
+    arm = lambda n, new, prior: F.struct(F.lit(EVENTS[n - 1]).alias("event"), F.lit(n).alias("precedence"), new.cast("decimal(10,2)").alias("new_price"), prior.cast("decimal(10,2)").alias("prior_price"))
+    drop = F.when(F.col("price") < F.col("prior_price"), arm(1, F.col("price"), F.col("prior_price")))
+    back = F.when(F.expr(f"in_stock and prior_stock = false and observed_at - prior_at >= interval '{gap_hours}' hour"), arm(2, F.lit(None), F.lit(None)))
+    arms = rows.select("listing_id", F.col("observed_at").alias("event_at"), F.explode(F.array_compact(F.array(drop, back))).alias("arm")).select("listing_id", "event_at", "arm.*")
+    live = listings.where("in_stock and not is_auction").select(F.col("id").alias("listing_id"), F.expr("current_price is not null and auction_end_time is null").alias("_priced"))
+    return arms.join(live, "listing_id").where("precedence = 2 or _priced").select("listing_id", "event", "precedence", "event_at", "new_price", "prior_price")
+
+
 def lead_events(
     history: DataFrame, listings: DataFrame, vendors: DataFrame, corals: DataFrame, now: str, hours: int = 24, events: list[str] | None = None, limit: int | None = 100, listing_ids: DataFrame | None = None
 ) -> DataFrame:
-    """One event for each listing: the first by precedence, then the latest. The filter asks what the lead event *is*, so it comes after the ranking.
+    """One event for each listing: the first by precedence, then the latest, of restocks the first. The filter asks what the lead event *is*, so it comes after the ranking.
 
     `listing_ids`, a table with listing_id, restricts the listings; `limit` None gives all rows.
     """
@@ -67,12 +78,12 @@ def lead_events(
     if listing_ids is not None:
         listings = listings.join(listing_ids.select(F.col("listing_id").alias("id")), "id", "left_semi")
         history = history.join(listing_ids.select("listing_id"), "listing_id", "left_semi")
-    arms = drop_arm(history, listings, now, hours).unionByName(restock_arm(history, listings, now, hours)).unionByName(listed_arm(listings, now, hours))
-    lead = first_by(arms, ["listing_id"], [F.col("precedence").asc(), F.col("event_at").desc(), F.col("new_price").asc_nulls_last(), F.col("prior_price").asc_nulls_last()])
+    arms = log_arms(history, listings, now, hours).unionByName(listed_arm(listings, now, hours))
+    lead = first_by(arms, ["listing_id"], [F.col("precedence").asc(), F.when(F.col("precedence") == 2, F.col("event_at")).asc(), F.col("event_at").desc(), F.col("new_price").asc_nulls_last(), F.col("prior_price").asc_nulls_last()])
     if events:
         lead = lead.where(F.col("event").isin(*events))
     shown = listings.select(F.col("id").alias("listing_id"), "vendor_id", "named_coral_id", "raw_title", "product_url", "current_price", "category", "bulk_cluster", "first_seen_at", "image_url")
-    out = lead.join(shown, "listing_id").join(F.broadcast(visible(vendors).select(F.col("id").alias("vendor_id"), F.col("slug").alias("vendor_slug"), "display_name")), "vendor_id")
+    out = lead.join(shown, "listing_id").join(visible(vendors).select(F.col("id").alias("vendor_id"), F.col("slug").alias("vendor_slug"), "display_name"), "vendor_id")
     out = out.join(corals.select(F.col("id").alias("named_coral_id"), "canonical_name"), "named_coral_id", "left")
     return top(out, [F.col("event_at").desc(), F.col("listing_id").asc()], limit)
 
@@ -80,7 +91,7 @@ def lead_events(
 def recent_price_drops(history: DataFrame, listings: DataFrame, vendors: DataFrame, now: str, days: int = 7) -> DataFrame:
     """One row for each listing: its latest observed drop, or else the vendor's own markdown that began in the window (no prior price). Decimal arithmetic decides the ratio."""
     live = listings.where("in_stock and current_price is not null and auction_end_time is null")
-    live = live.join(F.broadcast(visible(vendors).select(F.col("id").alias("vendor_id"))), "vendor_id", "left_semi")
+    live = live.join(visible(vendors).select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
     seen = observed_drops(history, days_before(now, days)).join(live.select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
     seen = seen.select("listing_id", F.lit(1).alias("arm"), "event_at", "id", "new_price", "prior_price")
     marked = live.where(F.expr(f"compare_at_price >= current_price * cast({MARKDOWN_RATIO} as decimal(3,2))")).where((F.col("markdown_started_at") >= days_before(now, days)) & (F.col("markdown_started_at") <= at(now)))

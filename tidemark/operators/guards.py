@@ -31,14 +31,14 @@ def baseline(listings: DataFrame, now: str, hours: int) -> DataFrame:
 def dispositions(leads: DataFrame, listings: DataFrame, vendors: DataFrame, runs: DataFrame, now: str, hours: int = 168, floor: float = COHORT_FLOOR, factor: float = COHORT_FACTOR) -> DataFrame:
     """Uncapped lead events with guard_disposition: kept, cold_start, bulk_relist or bulk_cluster; threshold and median only for bulk_relist."""
     rows = leads.where(not_excluded())
-    rows = rows.join(F.broadcast(first_success(runs)), "vendor_id", "left")  # one row for each vendor
+    rows = rows.join(first_success(runs), "vendor_id", "left")
     listed = F.col("event") == "just-listed"
     cold = listed & ~F.coalesce(F.col("first_success") < F.col("first_seen_at"), F.lit(False))
     rows = rows.withColumn("_cold", cold).withColumn("arr_day", F.to_date("event_at"))
     cohort = rows.where(listed & ~F.col("_cold")).groupBy("vendor_id", "arr_day").agg(F.count("*").alias("_n"))
     cohort = cohort.join(baseline(listings, now, hours), "vendor_id", "left").withColumn("_median", F.coalesce("median", F.lit(0.0)))
     tripped = cohort.withColumn("_threshold", F.greatest(F.lit(floor), F.col("_median") * factor)).where("_n > _threshold").select("vendor_id", "arr_day", "_threshold", "_median")
-    rows = rows.join(F.broadcast(tripped), ["vendor_id", "arr_day"], "left")  # days of vendors in the window
+    rows = rows.join(tripped, ["vendor_id", "arr_day"], "left")
     tag = F.when(~listed, "kept").when(F.col("_cold"), "cold_start").when(F.col("_threshold").isNotNull(), "bulk_relist").when(F.col("bulk_cluster"), "bulk_cluster").otherwise("kept")
     rows = rows.withColumn("guard_disposition", tag)
     relist = F.col("guard_disposition") == "bulk_relist"
@@ -52,7 +52,7 @@ def guarded_arrivals(tagged: DataFrame) -> DataFrame:
 def aggregate_activity(listings: DataFrame, vendors: DataFrame, now: str, hours: int = 24) -> DataFrame:
     """One row, also when nothing was listed: listings first seen in the window and their vendors."""
     rows = listings.where(not_excluded() & ~F.col("bulk_cluster")).where(F.col("first_seen_at") >= hours_before(now, hours))
-    rows = rows.join(F.broadcast(visible(vendors).select(F.col("id").alias("vendor_id"))), "vendor_id", "left_semi")
+    rows = rows.join(visible(vendors).select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
     return rows.agg(F.count("*").alias("n"), F.countDistinct("vendor_id").alias("vendors"), F.lit(hours).alias("window_hours"))
 
 
@@ -78,7 +78,7 @@ def first_seen_repair(listings: DataFrame, history: DataFrame) -> DataFrame:
 def stale_listings(listings: DataFrame, runs: DataFrame, now: str, days: int = STALE_DAYS) -> DataFrame:
     """(id, vendor_id, last_seen_at): in stock, not seen for `days`, though a successful run began after it was last seen."""
     last = runs.where("status = 'success'").groupBy("vendor_id").agg(F.max("started_at").alias("last_run"))
-    rows = listings.where("in_stock").where(F.col("last_seen_at") < days_before(now, days)).join(F.broadcast(last), "vendor_id")
+    rows = listings.where("in_stock").where(F.col("last_seen_at") < days_before(now, days)).join(last, "vendor_id")
     return rows.where("last_run > last_seen_at").select("id", "vendor_id", "last_seen_at")
 
 

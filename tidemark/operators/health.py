@@ -22,7 +22,7 @@ def run_medians(runs: DataFrame, now: str, days: int = 7, canary: str = "silent
 
 def run_gates(runs: DataFrame, medians: DataFrame) -> DataFrame:
     """(id, vendor_id, canary, incomplete): too few rows, or pages, against the vendor's median (0 without one)."""
-    rows = runs.join(F.broadcast(medians), "vendor_id", "left")  # one row for each vendor
+    rows = runs.join(medians, "vendor_id", "left")
     seen, pages = F.coalesce("seen", F.lit(0.0)), F.coalesce("pages", F.lit(0.0))
     return rows.select("id", "vendor_id", (F.col("listings_seen") < F.greatest(F.lit(CANARY_FLOOR), CANARY_SHARE * seen)).alias("canary"), (F.col("pages_fetched") < PAGES_SHARE * pages).alias("incomplete"))
 
@@ -155,7 +155,7 @@ def leak_audit(listings: DataFrame, hit: str, harmless: str) -> DataFrame:
 def absent_from_last_run(listings: DataFrame, runs: DataFrame, minutes: int = 5) -> DataFrame:
     """In stock, but last seen before the vendor's latest successful run ended less a margin; dearest first."""
     last = runs.where("status = 'success'").groupBy("vendor_id").agg(F.max("finished_at").alias("last_run"))
-    rows = listings.where("in_stock").join(F.broadcast(last), "vendor_id").where(F.expr(f"last_seen_at < last_run - interval '{minutes}' minute"))
+    rows = listings.where("in_stock").join(last, "vendor_id").where(F.expr(f"last_seen_at < last_run - interval '{minutes}' minute"))
     return rows.select("id", "vendor_id", "current_price", "last_seen_at").orderBy(F.col("current_price").desc_nulls_last(), "id")
 
 

@@ -21,7 +21,7 @@ STRIP_DAYS = 7
 def cheapest(listings: DataFrame, vendors: DataFrame) -> DataFrame:
     """The rows at each coral's lowest price where two vendors or more offer it; ties all stay."""
     rows = listings.where("in_stock and current_price is not null and named_coral_id is not null and auction_end_time is null").where(not_excluded())
-    rows = rows.join(F.broadcast(visible(vendors).select(F.col("id").alias("vendor_id"), F.col("slug").alias("vendor_slug"))), "vendor_id")
+    rows = rows.join(visible(vendors).select(F.col("id").alias("vendor_id"), F.col("slug").alias("vendor_slug")), "vendor_id")
     best = rows.groupBy("named_coral_id").agg(F.min("current_price").alias("low"), F.countDistinct("vendor_id").alias("vendor_count")).where("vendor_count >= 2")
     return rows.join(best, "named_coral_id").where("current_price = low").select("id", "named_coral_id", "vendor_id", "vendor_slug", "current_price", "vendor_count")
 
@@ -29,7 +29,7 @@ def cheapest(listings: DataFrame, vendors: DataFrame) -> DataFrame:
 def carriers(listings: DataFrame, vendors: DataFrame, corals: DataFrame) -> DataFrame:
     """In-stock named listings outside auctions, by coral, newest first."""
     rows = listings.where("in_stock and named_coral_id is not null and auction_end_time is null and not is_auction")
-    rows = rows.join(F.broadcast(visible(vendors).select(F.col("id").alias("vendor_id"), "display_name")), "vendor_id")
+    rows = rows.join(visible(vendors).select(F.col("id").alias("vendor_id"), "display_name"), "vendor_id")
     rows = rows.join(corals.select(F.col("id").alias("named_coral_id"), "canonical_name"), "named_coral_id")
     return rows.select("id", "named_coral_id", "canonical_name", "vendor_id", "display_name", "current_price", "first_seen_at").orderBy("named_coral_id", F.col("first_seen_at").desc(), F.col("id").desc())
 
@@ -118,7 +118,7 @@ def matches(column: str, query: str) -> Column:
 def search_corals(corals: DataFrame, aliases: DataFrame, query: str) -> DataFrame:
     """Active corals whose name has all tokens, or else the smallest alias that has."""
     hit = aliases.where("match_behavior = 'auto-link'").where(matches("alias_text", query)).groupBy(F.col("named_coral_id").alias("id")).agg(F.min("alias_text").alias("matched_alias"))
-    rows = corals.where("active").withColumn("_own", matches("canonical_name", query)).join(F.broadcast(hit), "id", "left").where("_own or matched_alias is not null")
+    rows = corals.where("active").withColumn("_own", matches("canonical_name", query)).join(hit, "id", "left").where("_own or matched_alias is not null")
     return rows.select("id", "canonical_name", "slug", F.when(~F.col("_own"), F.col("matched_alias")).alias("matched_alias")).orderBy("canonical_name")
 
 
@@ -128,7 +128,7 @@ def search_vendors(vendors: DataFrame, query: str) -> DataFrame:
 
 def search_listings(listings: DataFrame, vendors: DataFrame, query: str, limit: int | None = SEARCH_ROWS) -> DataFrame:
     """One row more than is shown, so that the caller sees an overflow."""
-    rows = listings.where(F.col("in_stock") & not_excluded()).where(matches("raw_title", query)).join(F.broadcast(visible(vendors).select(F.col("id").alias("vendor_id"))), "vendor_id", "left_semi")
+    rows = listings.where(F.col("in_stock") & not_excluded()).where(matches("raw_title", query)).join(visible(vendors).select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
     return top(rows.select("id", "vendor_id", "raw_title", "current_price", "first_seen_at"), [F.col("first_seen_at").desc(), F.col("id").desc()], limit)
 
 
@@ -163,7 +163,7 @@ def vendor_lookup(vendors: DataFrame) -> DataFrame:
 
 def browse_counts(vendors: DataFrame, listings: DataFrame) -> DataFrame:
     n = browseable(listings)
-    return vendors.select(F.col("id").alias("vendor_id"), "slug").join(F.broadcast(n), "vendor_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return vendors.select(F.col("id").alias("vendor_id"), "slug").join(n, "vendor_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def _channel(channel: str) -> str:
@@ -175,13 +175,13 @@ def _channel(channel: str) -> str:
 def pending_announcements(vendors: DataFrame, listings: DataFrame, channel: str) -> DataFrame:
     """Visible vendors with something to browse that were not announced on the channel yet."""
     rows = visible(vendors).where(F.col(_channel(channel)).isNull())
-    return rows.select(F.col("id").alias("vendor_id"), "slug", "display_name").join(F.broadcast(browseable(listings)), "vendor_id").where("n > 0")
+    return rows.select(F.col("id").alias("vendor_id"), "slug", "display_name").join(browseable(listings), "vendor_id").where("n > 0")
 
 
 def onboarding_strip(vendors: DataFrame, listings: DataFrame, now: str | None = None, days: int = STRIP_DAYS) -> DataFrame:
     """Vendors announced somewhere that had no organic drop since; the earlier announcement counts. With `now`, those of the last days only."""
     rows = visible(vendors).where("first_organic_drop_at is null and (announced_email_at is not null or announced_discord_at is not null)")
-    rows = rows.select(F.col("id").alias("vendor_id"), "slug", F.least("announced_email_at", "announced_discord_at").alias("announced_at")).join(F.broadcast(browseable(listings)), "vendor_id").where("n > 0")
+    rows = rows.select(F.col("id").alias("vendor_id"), "slug", F.least("announced_email_at", "announced_discord_at").alias("announced_at")).join(browseable(listings), "vendor_id").where("n > 0")
     if now is not None:
         rows = rows.where((F.col("announced_at") >= days_before(now, days)) & (F.col("announced_at") <= at(now)))
     return rows.orderBy(F.col("announced_at").desc(), "slug")
@@ -197,7 +197,7 @@ def mark_announced(vendors: DataFrame, slugs: list[str], channel: str, now: str)
 def stamp_organic_drop(vendors: DataFrame, arrivals: DataFrame, now: str) -> DataFrame:
     """The vendors with first_organic_drop_at set once: where announced, unstamped, and a guarded just-listed event is there."""
     organic = arrivals.where("event = 'just-listed'").select(F.col("vendor_id").alias("id")).distinct().withColumn("_organic", F.lit(True))
-    rows = vendors.join(F.broadcast(organic), "id", "left")
+    rows = vendors.join(organic, "id", "left")
     due = F.col("_organic") & F.col("first_organic_drop_at").isNull() & (F.col("announced_email_at").isNotNull() | F.col("announced_discord_at").isNotNull())
     return rows.withColumn("first_organic_drop_at", F.when(due, at(now)).otherwise(F.col("first_organic_drop_at"))).drop("_organic")
 
@@ -228,7 +228,7 @@ def watchdog(events: DataFrame) -> DataFrame:
 def recipients(signups: DataFrame, sent: DataFrame, day: str) -> DataFrame:
     """Confirmed and not unsubscribed signups, none if a digest was sent that day."""
     rows = signups.where("confirmed_at is not null and unsubscribed_at is null").withColumn("_day", F.lit(day).cast("date"))
-    return rows.join(F.broadcast(sent.select(F.col("sent_date").alias("_day"))), "_day", "left_anti").drop("_day")
+    return rows.join(sent.select(F.col("sent_date").alias("_day")), "_day", "left_anti").drop("_day")
 
 
 def offer_summary(listings: DataFrame) -> DataFrame:
