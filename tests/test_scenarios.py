@@ -77,7 +77,7 @@ def test_lead_event_restock_gap_and_filter_after_rank(spark):
     log = spark.createDataFrame(
         [(1, 1, Decimal("60.00"), True, at(13)), (2, 1, Decimal("50.00"), True, at(14, 1)), (3, 2, Decimal("50.00"), False, at(12)), (4, 2, Decimal("50.00"), True, at(14, 2)), (5, 3, Decimal("50.00"), False, at(12)), (6, 3, Decimal("51.00"), False, at(14)), (7, 3, Decimal("51.00"), True, at(14, 3))], HISTORY
     )
-    corals = spark.createDataFrame([(1, "A")], "id long, canonical_name string")
+    corals = spark.createDataFrame([(1, "A", "a", "V")], "id long, canonical_name string, slug string, origin_vendor string")
     lead = lambda kinds: {(r["listing_id"], r["event"]) for r in events.lead_events(log, rows, vendors(spark), corals, NOW, 24, kinds).collect()}
     assert lead(None) == {(1, "price-dropped"), (2, "back-in-stock")}
     assert lead(["just-listed"]) == set()

@@ -47,17 +47,20 @@ def markdown_started(was: Column, value: Column, started: Column, now: str) -> C
 
 
 def apply_scrape(current: DataFrame, decisions: DataFrame, gone: DataFrame, now: str) -> DataFrame:
-    """(product_url, current_price, in_stock, first_seen_at, last_seen_at): the snapshot afterwards. first_seen_at never changes; cohort flips leave last_seen_at."""
+    """The snapshot afterwards, with all columns of `current`: product_url, current_price, in_stock, first_seen_at, last_seen_at and what more it has, null for new items.
+
+    first_seen_at never changes; cohort flips leave last_seen_at.
+    """
     seen = decisions.select("product_url", "now_price", "now_stock", F.lit(True).alias("_seen"))
     flipped = gone.select("product_url", F.lit(True).alias("_gone"))
-    rows = current.select("product_url", "current_price", "in_stock", "first_seen_at", "last_seen_at").join(seen, "product_url", "full").join(flipped, "product_url", "left")
-    return rows.select(
-        "product_url",
-        F.when(F.col("_seen"), F.col("now_price")).otherwise(F.col("current_price")).alias("current_price"),
-        F.when(F.col("_seen"), F.col("now_stock")).when(F.col("_gone"), False).otherwise(F.col("in_stock")).alias("in_stock"),
-        F.coalesce("first_seen_at", at(now)).alias("first_seen_at"),
-        F.when(F.col("_seen"), at(now)).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-    )
+    rows = current.join(seen, "product_url", "full").join(flipped, "product_url", "left")
+    changed = {
+        "current_price": F.when(F.col("_seen"), F.col("now_price")).otherwise(F.col("current_price")),
+        "in_stock": F.when(F.col("_seen"), F.col("now_stock")).when(F.col("_gone"), False).otherwise(F.col("in_stock")),
+        "first_seen_at": F.coalesce("first_seen_at", at(now)),
+        "last_seen_at": F.when(F.col("_seen"), at(now)).otherwise(F.col("last_seen_at")),
+    }
+    return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in current.columns])
 
 
 def log_rows(decisions: DataFrame, gone: DataFrame, now: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at, days_before, first_by, hours_before, top, visible
+from .common import days_before, first_by, hours_before, top, visible
 
 EVENTS = ("price-dropped", "back-in-stock", "just-listed")
 #: A restock counts only after so many hours out of stock.
@@ -26,7 +26,7 @@ def with_previous(history: DataFrame) -> DataFrame:
 
 def observed_drops(history: DataFrame, since: Column) -> DataFrame:
     """(listing_id, id, event_at, new_price, prior_price): rows of the log whose price is below the one before."""
-    rows = with_previous(history).where((F.col("price") < F.col("prior_price")) & (F.col("observed_at") >= since))
+    rows = with_previous(history).where((F.col("price") < F.col("prior_price")) & (F.col("observed_at") > since))
     return rows.select("listing_id", "id", F.col("observed_at").alias("event_at"), F.col("price").alias("new_price"), "prior_price")
 
 
@@ -41,7 +41,7 @@ def drop_arm(history: DataFrame, listings: DataFrame, now: str, hours: int) -> D
 
 def restock_arm(history: DataFrame, listings: DataFrame, now: str, hours: int, gap_hours: int = RESTOCK_HOURS) -> DataFrame:
     """The first restock of each listing in the window; the gap counts from the previous row of the log."""
-    rows = with_previous(history).where("in_stock and prior_stock = false").where(F.col("observed_at") >= hours_before(now, hours))
+    rows = with_previous(history).where("in_stock and prior_stock = false").where(F.col("observed_at") > hours_before(now, hours))
     rows = rows.where(F.expr(f"observed_at - prior_at >= interval '{gap_hours}' hour"))
     rows = first_by(rows, ["listing_id"], [F.col("observed_at").asc(), F.col("id").asc()])
     live = listings.where("in_stock and not is_auction").select(F.col("id").alias("listing_id"))
@@ -50,13 +50,13 @@ def restock_arm(history: DataFrame, listings: DataFrame, now: str, hours: int, g
 
 
 def listed_arm(listings: DataFrame, now: str, hours: int) -> DataFrame:
-    rows = listings.where("in_stock and not is_auction").where(F.col("first_seen_at") >= hours_before(now, hours))
+    rows = listings.where("in_stock and not is_auction").where(F.col("first_seen_at") > hours_before(now, hours))
     return rows.select(F.col("id").alias("listing_id"), F.lit(EVENTS[2]).alias("event"), F.lit(3).alias("precedence"), F.col("first_seen_at").alias("event_at"), *_no_prices(rows))
 
 
 def log_arms(history: DataFrame, listings: DataFrame, now: str, hours: int, gap_hours: int = RESTOCK_HOURS) -> DataFrame:
     """The drop and restock arms in one pass over the log; of restocks all that count, not only the first."""
-    rows = with_previous(history).where(F.col("observed_at") >= hours_before(now, hours))
+    rows = with_previous(history).where(F.col("observed_at") > hours_before(now, hours))
     arm = lambda n, new, prior: F.struct(F.lit(EVENTS[n - 1]).alias("event"), F.lit(n).alias("precedence"), new.cast("decimal(10,2)").alias("new_price"), prior.cast("decimal(10,2)").alias("prior_price"))
     drop = F.when(F.col("price") < F.col("prior_price"), arm(1, F.col("price"), F.col("prior_price")))
     back = F.when(F.expr(f"in_stock and prior_stock = false and observed_at - prior_at >= interval '{gap_hours}' hour"), arm(2, F.lit(None), F.lit(None)))
@@ -82,9 +82,9 @@ def lead_events(
     lead = first_by(arms, ["listing_id"], [F.col("precedence").asc(), F.when(F.col("precedence") == 2, F.col("event_at")).asc(), F.col("event_at").desc(), F.col("new_price").asc_nulls_last(), F.col("prior_price").asc_nulls_last()])
     if events:
         lead = lead.where(F.col("event").isin(*events))
-    shown = listings.select(F.col("id").alias("listing_id"), "vendor_id", "named_coral_id", "raw_title", "product_url", "current_price", "category", "bulk_cluster", "first_seen_at", "image_url")
+    shown = listings.select(F.col("id").alias("listing_id"), "vendor_id", "named_coral_id", "raw_title", "product_url", "current_price", "compare_at_price", "category", "bulk_cluster", "first_seen_at", "image_url")
     out = lead.join(shown, "listing_id").join(visible(vendors).select(F.col("id").alias("vendor_id"), F.col("slug").alias("vendor_slug"), "display_name"), "vendor_id")
-    out = out.join(corals.select(F.col("id").alias("named_coral_id"), "canonical_name"), "named_coral_id", "left")
+    out = out.join(corals.select(F.col("id").alias("named_coral_id"), "canonical_name", F.col("slug").alias("coral_slug"), "origin_vendor"), "named_coral_id", "left")
     return top(out, [F.col("event_at").desc(), F.col("listing_id").asc()], limit)
 
 
@@ -94,7 +94,7 @@ def recent_price_drops(history: DataFrame, listings: DataFrame, vendors: DataFra
     live = live.join(visible(vendors).select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
     seen = observed_drops(history, days_before(now, days)).join(live.select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
     seen = seen.select("listing_id", F.lit(1).alias("arm"), "event_at", "id", "new_price", "prior_price")
-    marked = live.where(F.expr(f"compare_at_price >= current_price * cast({MARKDOWN_RATIO} as decimal(3,2))")).where((F.col("markdown_started_at") >= days_before(now, days)) & (F.col("markdown_started_at") <= at(now)))
+    marked = live.where(F.expr(f"compare_at_price >= current_price * cast({MARKDOWN_RATIO} as decimal(3,2))")).where(F.col("markdown_started_at") > days_before(now, days))
     marked = marked.select(F.col("id").alias("listing_id"), F.lit(2).alias("arm"), F.col("markdown_started_at").alias("event_at"), F.lit(0).cast("long").alias("id"), F.col("current_price").alias("new_price"), F.lit(None).cast("decimal(10,2)").alias("prior_price"))
     best = first_by(seen.unionByName(marked), ["listing_id"], [F.col("arm").asc(), F.col("event_at").desc(), F.col("id").desc()]).drop("id")
     shown = live.select(F.col("id").alias("listing_id"), "vendor_id", "named_coral_id", "raw_title", "category", "current_price", "compare_at_price", "bulk_cluster")

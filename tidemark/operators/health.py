@@ -92,10 +92,11 @@ def flips_of_a_day(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
     return runs.groupBy("vendor_id").agg(F.coalesce(F.sum(F.when((F.col("status") == "success") & recent, F.col("listings_oos"))), F.lit(0)).alias("oos"))
 
 
-def coverage(listings: DataFrame) -> DataFrame:
-    """(vendor_id, n, missing, share): in-stock listings without a category, by vendor."""
-    rows = listings.where("in_stock").groupBy("vendor_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("category").isNull(), 1)).alias("missing"))
-    return rows.withColumn("share", F.round(F.col("missing") / F.col("n"), 6))
+def coverage(listings: DataFrame, recoverable: Column) -> DataFrame:
+    """(vendor_id, n, missing, share, recoverable): in-stock listings outside auctions without a category, by vendor and (vendor_id null) in all; recoverable is a test of those that could have one."""
+    missing = F.col("category").isNull()
+    rows = listings.where("in_stock and not is_auction").rollup("vendor_id").agg(F.count("*").alias("n"), F.count(F.when(missing, 1)).alias("missing"), F.count(F.when(missing & recoverable, 1)).alias("recoverable"))
+    return rows.where("vendor_id is not null or n > 0").withColumn("share", F.round(F.col("missing") / F.col("n"), 6))
 
 
 def oos_calibration(runs: DataFrame, now: str, days: int = 14) -> DataFrame:
@@ -117,11 +118,15 @@ def transitions(history: DataFrame) -> DataFrame:
 
 
 def fast_gone(velocity: DataFrame, listings: DataFrame, hours: int = 24, days: int = 7) -> DataFrame:
-    """Gone within `hours` of the first sight, and whether the same coral came again at the vendor within `days`; bounded look-ahead by two day buckets of `days`."""
+    """Gone within `hours` of the first sight, and whether the same coral came again at the vendor within `days`: the next arrival of each vendor and coral, carried back over one ordered sequence."""
     fast = velocity.where(F.expr(f"first_oos_at - first_in_stock_at <= interval '{hours}' hour"))
-    again = listings.where("named_coral_id is not null").select("vendor_id", "named_coral_id", F.col("id").alias("other"), F.col("first_seen_at").alias("back_at"))
-    both = fast.join(again, ["vendor_id", "named_coral_id"], "left").withColumn("hit", F.expr(f"other <> listing_id and back_at > first_oos_at and back_at <= first_oos_at + interval '{24 * days}' hour"))
-    return both.groupBy("listing_id", "vendor_id", "named_coral_id", "first_in_stock_at", "first_oos_at").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("relisted"))
+    keys = ["vendor_id", "named_coral_id"]
+    gone = fast.select(*keys, "listing_id", F.col("first_oos_at").alias("t"), F.lit(1).alias("_kind"), F.lit(None).cast("timestamp_ntz").alias("back_at"))
+    came = listings.where("named_coral_id is not null").select(*keys, F.lit(None).cast("long").alias("listing_id"), F.col("first_seen_at").alias("t"), F.lit(0).alias("_kind"), F.col("first_seen_at").alias("back_at"))
+    after = Window.partitionBy(*keys).orderBy("t", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # an arrival at the same instant is before
+    following = gone.unionByName(came).withColumn("_next", F.min("back_at").over(after)).where("listing_id is not null").select("listing_id", "_next")
+    relisted = F.coalesce(F.expr(f"_next <= first_oos_at + interval '{24 * days}' hour"), F.lit(False))
+    return fast.join(following, "listing_id").select("listing_id", *keys, "first_in_stock_at", "first_oos_at", relisted.alias("relisted"))
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], half_even: bool = True) -> DataFrame:

@@ -31,8 +31,8 @@ def _drops(m: Model) -> DataFrame:
     return events.recent_price_drops(m.price_history, m.listings, m.vendors, NOW)
 
 
-LEAD = "listing_id event event_at new_price prior_price vendor_slug named_coral_id canonical_name current_price category".split()
-LEAD_SQL = "listing_id, event, event_at, new_price::double as new_price, prior_price::double as prior_price, vendor_slug, named_coral_id, canonical_name, current_price::double as current_price, category"
+LEAD = "listing_id event event_at new_price prior_price vendor_slug named_coral_id canonical_name coral_slug origin_vendor current_price compare_at_price category".split()
+LEAD_SQL = "listing_id, event, event_at, new_price::double as new_price, prior_price::double as prior_price, vendor_slug, named_coral_id, canonical_name, coral_slug, origin_vendor, current_price::double as current_price, compare_at_price::double as compare_at_price, category"
 TAG_SQL = "listing_id, event, event_at, vendor_slug, guard_disposition, case when guard_disposition = 'bulk_relist' then t_threshold end as guard_threshold, case when guard_disposition = 'bulk_relist' then t_med end as guard_median, arr_day::varchar as arr_day"
 DROP = "listing_id arm event_at new_price prior_price vendor_id named_coral_id current_price compare_at_price".split()
 DROP_SQL = "listing_id, arm::bigint as arm, event_at, new_price::double as new_price, prior_price::double as prior_price, vendor_id, named_coral_id, current_price::double as current_price, compare_at_price::double as compare_at_price"

@@ -210,8 +210,8 @@ _Q = {
         sql('select count(*) as seen, count(*) filter (where decision = \'new\') as "new", count(*) filter (where decision = \'price_changed\') as price_changed, count(*) filter (where decision = \'restocked\') as restocked, count(*) filter (where decision = \'oos\') as oos, count(*) filter (where decision = \'unchanged\') as unchanged from diff', SCRAPE, DIFF),
     ),
     "diff_new_snapshot": (
-        lambda m: cdc.apply_scrape(m.listings, _diff(m), _gone(m), NOW),
-        sql(f"select coalesce(l.product_url, d.product_url) as product_url, (case when d.product_url is not null then d.now_price else l.current_price end)::double as current_price, case when d.product_url is not null then d.now_stock when g.product_url is not null then false else l.in_stock end as in_stock, coalesce(l.first_seen_at, {T}) as first_seen_at, case when d.product_url is not null then {T} else l.last_seen_at end as last_seen_at from listings l full join diff d on d.product_url = l.product_url left join gone g on g.product_url = l.product_url", SCRAPE, DIFF, GONE),
+        lambda m: cdc.apply_scrape(m.listings, _diff(m), _gone(m), NOW).select("product_url", "current_price", "in_stock", "first_seen_at", "last_seen_at", "image_url", "vendor_id", "compare_at_price"),
+        sql(f"select coalesce(l.product_url, d.product_url) as product_url, (case when d.product_url is not null then d.now_price else l.current_price end)::double as current_price, case when d.product_url is not null then d.now_stock when g.product_url is not null then false else l.in_stock end as in_stock, coalesce(l.first_seen_at, {T}) as first_seen_at, case when d.product_url is not null then {T} else l.last_seen_at end as last_seen_at, l.image_url, l.vendor_id, l.compare_at_price::double as compare_at_price from listings l full join diff d on d.product_url = l.product_url left join gone g on g.product_url = l.product_url", SCRAPE, DIFF, GONE),
     ),
     "diff_log_rows": (
         lambda m: cdc.log_rows(_diff(m), _gone(m), NOW),
@@ -328,7 +328,13 @@ _Q = {
         lambda m: m.scraper_runs.select("id", health.slot_of(F.col("started_at")).alias("slot"), health.in_slot(F.col("started_at"), F.lit("2024-01-15 12:05:00").cast("timestamp_ntz")).alias("current")),
         sql("select id, case when date_trunc('hour', started_at) + interval '11' minute < started_at then date_trunc('hour', started_at) + interval '71' minute else date_trunc('hour', started_at) + interval '11' minute end as slot, started_at > timestamp '2024-01-15 10:11:00' and started_at <= timestamp '2024-01-15 11:11:00' as current from scraper_runs"),
     ),
-    "category_coverage": (lambda m: health.coverage(m.listings), sql("select vendor_id, count(*) as n, count(*) filter (where category is null) as missing, round(count(*) filter (where category is null) / count(*), 6) as share from listings where in_stock group by 1")),
+    "category_coverage": (
+        lambda m: health.coverage(m.listings.withColumn("category", F.when(F.col("id") % 4 != 0, F.col("category"))), text.infer_category(F.lit(None), F.lit(None), F.col("raw_title")).isNotNull()),
+        sql(
+            "select vendor_id, count(*) as n, count(*) filter (where c is null) as missing, round(count(*) filter (where c is null) / count(*), 6) as share, count(*) filter (where c is null and found is not null) as recoverable from classed group by rollup(vendor_id)",
+            f"classed as (select vendor_id, case when id % 4 <> 0 then category end as c, {_case_category()} as found from (select *, concat_ws(' ', '', '', raw_title) as hay, regexp_matches(raw_title, '(?i){NOT_CORAL}') as thing from listings) where in_stock and not is_auction)",
+        ),
+    ),
     "oos_calibration": (
         lambda m: health.oos_calibration(m.scraper_runs, NOW),
         sql(f"select vendor_id, count(*) as runs, quantile_cont(listings_oos, 0.5) as p50, round(quantile_cont(listings_oos, 0.95), 6) as p95, max(listings_oos) as most from scraper_runs where status = 'success' and started_at >= {since(336)} group by 1"),

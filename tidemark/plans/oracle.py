@@ -18,17 +18,17 @@ def leads(hours: int) -> tuple[str, ...]:
     """WITH entries up to `leads`, the uncapped lead events."""
     arms = f"""arms as (
   select p.listing_id, 'price-dropped' as event, 1 as precedence, p.observed_at as event_at, p.price as new_price, p.prior_price from prev p join listings l on l.id = p.listing_id
-  where p.price < p.prior_price and p.observed_at >= {since(hours)} and l.in_stock and l.current_price is not null and l.auction_end_time is null and not l.is_auction
+  where p.price < p.prior_price and p.observed_at > {since(hours)} and l.in_stock and l.current_price is not null and l.auction_end_time is null and not l.is_auction
   union all
   select listing_id, 'back-in-stock', 2, observed_at, null, null from (
     select p.*, row_number() over (partition by p.listing_id order by observed_at, p.id) as n from prev p
-    where p.in_stock and p.prior_stock = false and p.observed_at >= {since(hours)} and p.observed_at - p.prior_at >= interval '24' hour) r
+    where p.in_stock and p.prior_stock = false and p.observed_at > {since(hours)} and p.observed_at - p.prior_at >= interval '24' hour) r
   join listings l on l.id = r.listing_id where r.n = 1 and l.in_stock and not l.is_auction
   union all
-  select id, 'just-listed', 3, first_seen_at, null, null from listings where in_stock and not is_auction and first_seen_at >= {since(hours)})"""
+  select id, 'just-listed', 3, first_seen_at, null, null from listings where in_stock and not is_auction and first_seen_at > {since(hours)})"""
     lead = """leads as (
-  select a.listing_id, a.event, a.precedence, a.event_at, a.new_price, a.prior_price, l.vendor_id, l.named_coral_id, l.raw_title, l.product_url, l.current_price, l.category, l.bulk_cluster, l.first_seen_at, l.image_url,
-         v.slug as vendor_slug, v.display_name, c.canonical_name
+  select a.listing_id, a.event, a.precedence, a.event_at, a.new_price, a.prior_price, l.vendor_id, l.named_coral_id, l.raw_title, l.product_url, l.current_price, l.compare_at_price, l.category, l.bulk_cluster, l.first_seen_at, l.image_url,
+         v.slug as vendor_slug, v.display_name, c.canonical_name, c.slug as coral_slug, c.origin_vendor
   from (select *, row_number() over (partition by listing_id order by precedence, event_at desc, new_price nulls last, prior_price nulls last) as n from arms) a
   join listings l on l.id = a.listing_id join visible v on v.id = l.vendor_id left join named_corals c on c.id = l.named_coral_id where a.n = 1)"""
     return (VISIBLE, PREV, arms, lead)
@@ -53,8 +53,8 @@ def drops(days: int) -> tuple[str, ...]:
         VISIBLE,
         PREV,
         "live as (select l.* from listings l join visible v on v.id = l.vendor_id where in_stock and current_price is not null and auction_end_time is null)",
-        f"""both_arms as (select p.listing_id, 1 as arm, p.observed_at as event_at, p.id, p.price as new_price, p.prior_price from prev p join live l on l.id = p.listing_id where p.price < p.prior_price and p.observed_at >= {since(24 * days)}
-  union all select id, 2, markdown_started_at, 0, current_price, null from live where compare_at_price >= current_price * 1.05::decimal(3,2) and markdown_started_at >= {since(24 * days)} and markdown_started_at <= {T})""",
+        f"""both_arms as (select p.listing_id, 1 as arm, p.observed_at as event_at, p.id, p.price as new_price, p.prior_price from prev p join live l on l.id = p.listing_id where p.price < p.prior_price and p.observed_at > {since(24 * days)}
+  union all select id, 2, markdown_started_at, 0, current_price, null from live where compare_at_price >= current_price * 1.05::decimal(3,2) and markdown_started_at > {since(24 * days)})""",
         "drops as (select a.listing_id, a.arm, a.event_at, a.new_price, a.prior_price, l.vendor_id, l.named_coral_id, l.raw_title, l.category, l.current_price, l.compare_at_price, l.bulk_cluster from (select *, row_number() over (partition by listing_id order by arm, event_at desc, id desc) as n from both_arms) a join live l on l.id = a.listing_id where n = 1)",
     )
 
