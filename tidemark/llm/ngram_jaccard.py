@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, drop_cut, pieces
 from .components import components
 from .hashing import mix, row_sets
 
@@ -361,9 +361,10 @@ def tiled_links(members: DataFrame, sets: DataFrame, run, unused: tuple[str, ...
 
 def links(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(node, label): the components of the classes in `sets` that have a link."""
-    listed = cut(prefixes(sets, similarity), "prefixes")
-    leaders = listed.groupBy("code").agg(F.min(F.struct("fp", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    listed = cut(listed.join(leaders.select("code", F.col("lead.fp").alias("hub"), F.col("lead.n").alias("m")), "code"), "lists")
+    under = cut(prefixes(sets, similarity), "prefixes")
+    leaders = under.groupBy("code").agg(F.min(F.struct("fp", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    listed = cut(under.join(leaders.select("code", F.col("lead.fp").alias("hub"), F.col("lead.n").alias("m")), "code"), "lists")
+    drop_cut(under)
     pairs = listed.where("fp <> hub").where(f"least(n, m) * 100 >= greatest(n, m) * {similarity}").select("hub", "fp").distinct()
     led = cut(verify(pairs, sets, similarity), "links")
     labels = components(led)
@@ -371,10 +372,14 @@ def links(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     rows = listed.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     open_ = rows.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("code")
     active = cut(rows.join(open_, "code").select("fp", "hub", "label").distinct(), "active")
+    drop_cut(listed)
     groups = components(active.select("fp", "hub"), "fp", "hub")
     members = active.select("fp", "label").distinct().join(groups.select(F.col("node").alias("fp"), F.col("label").alias("comp")), "fp")
     rest = tiled_links(members, sets, _tile(similarity))
-    return components(led.unionByName(rest))
+    out = components(led.unionByName(rest))
+    for used in (led, labels, active, groups):
+        drop_cut(used)
+    return out
 
 
 def _labelled(docs: DataFrame, size: int, similarity: int) -> DataFrame:
@@ -382,6 +387,7 @@ def _labelled(docs: DataFrame, size: int, similarity: int) -> DataFrame:
     texts = cut(classes(docs, size), "classes")
     sets = cut(shared_sets(docs, texts, size, similarity), "sets")
     labels = links(sets, similarity)
+    drop_cut(sets)
     full = texts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = full.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
     return full.join(smallest, "label", "left").select("doc_id", "rid", "n", F.coalesce("low", "doc_id").alias("component_id"))

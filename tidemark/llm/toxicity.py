@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut
 
 #: Categories in the order of the chain; the last one decides.
 CHAIN = ("low_quality", "toxic")
@@ -52,6 +52,7 @@ def vocabulary(rows: DataFrame, categories: tuple[str, ...], most: int = WORDS,
         if 0 < share < 1:
             far = F.abs(F.col(f"y_{c}") - F.col(f"n_{c}") * share) / F.sqrt(F.col(f"n_{c}") * share * (1 - share))
             chosen |= {r["word"] for r in counts.where((F.col(f"n_{c}") > 0) & (far >= DISTANCE)).orderBy(far.desc(), "word").limit(most).select("word").collect()}
+    drop_cut(counts)
     return sorted(chosen) or [""]
 
 
@@ -105,13 +106,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CHAI
     spelled = cut(_words(sample).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds))).select("_fold", "_words", *categories), "labelled")
     words = vocabulary(spelled, categories)
     rows = cut(_featured(spelled, words), "labelled")
+    drop_cut(spelled)
     inputs, models = ["words"], []
     for place, category in enumerate(categories):
         models.append((category, list(inputs), _fit(rows, category, inputs)))
         if place + 1 < len(categories):
             parts = [_predict(rows.where(F.col("_fold") == k), _fit(rows.where(F.col("_fold") != k), category, inputs), inputs, f"p_{category}") for k in range(folds)]
-            rows = cut(reduce(DataFrame.unionByName, parts), "labelled")
+            before, rows = rows, cut(reduce(DataFrame.unionByName, parts), "labelled")
+            drop_cut(before)
             inputs = [*inputs, f"p_{category}"]
+    drop_cut(rows)
     return Chain(words, models)
 
 
