@@ -64,8 +64,8 @@ def _scored(ours: DataFrame, there: DataFrame, least: float) -> DataFrame:
     rank = there.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     one = _prefix(ours, rank, least)
     two = _prefix(there, rank, least).select(F.col("key").alias("id"), F.col("grams").alias("others"), "gram")
-    pairs = one.join(two, "gram").select("key", "id", "grams", "others").distinct()
-    return pairs.select("key", "id", similarity(F.col("grams"), F.col("others")).alias("s")).where(F.col("s") >= least)
+    # compared where they meet: few pairs pass, so the distinct ones are cheap
+    return one.join(two, "gram").select("key", "id", similarity(F.col("grams"), F.col("others")).alias("s")).where(F.col("s") >= least).distinct()
 
 
 def similar(titles: DataFrame, names: DataFrame, least: float) -> DataFrame:
