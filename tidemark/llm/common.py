@@ -31,22 +31,36 @@ def ascii_lower(col):
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
 
 
+#: The folder of a local session that has none set; the setting itself can't be changed while a session runs.
+_own_root: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local session may fall back to a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return _own_root[0]
+
+
+#: Folders that this driver wrote and nobody has deleted yet.
+_written: list[str] = []
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder."""
+    _written.append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
@@ -57,9 +71,20 @@ def drop_cut(df: DataFrame) -> None:
     """Delete a table that cut() wrote and that nothing reads any more."""
     path = getattr(df, "cut_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete every table that operators wrote and that is still there. Their results read some of them: call it when those results are stored."""
+    for path in list(_written):
+        drop_path(spark, path)
 
 
 def release(spark: SparkSession) -> None:
