@@ -58,7 +58,7 @@ def test_velocity(spark):
             n += 1
             log.append((n, i, Decimal("9.00"), stock, t))
     runs = spark.createDataFrame([(1, 1, at(1), at(1, 0, 5), "success"), (2, 1, at(10), at(10, 1), "success")], RUN)
-    found = {r["listing_id"]: r for r in timeseries.velocity(spark.createDataFrame(log, HISTORY), spark.createDataFrame(rows, LISTING), runs, NOW).collect()}
+    found = {r["listing_id"]: r for r in timeseries.velocity(spark.createDataFrame(log, HISTORY), spark.createDataFrame(rows, LISTING), vendors(spark), spark.createDataFrame([(1,)], "id long"), runs, NOW).collect()}
     assert set(found) == {1, 2}
     assert (found[1]["first_in_stock_at"], found[1]["last_in_stock_at"], found[1]["first_oos_at"], found[1]["prior_run_at"]) == (at(6, 12), at(7, 12), at(8, 12), at(1, 0, 5))
     assert found[2]["first_oos_at"] == at(9)
@@ -88,13 +88,13 @@ def test_lead_event_restock_gap_and_filter_after_rank(spark):
 def test_envelope_gaps_and_window(spark):
     rows = spark.createDataFrame([listing(1, coral=1), listing(2, coral=1)], LISTING)
     log = spark.createDataFrame([(1, 1, Decimal("10.00"), True, at(5, 3)), (2, 1, Decimal("12.00"), True, at(5, 4)), (3, 1, Decimal("12.00"), False, at(7)), (4, 2, Decimal("0.00"), True, at(6)), (5, 1, Decimal("8.00"), True, at(10, 23))], HISTORY)
-    days = lambda n: {str(r["day"])[-2:]: float(r["price"]) for r in timeseries.price_envelope(log, rows, NOW, 1, n).collect()}
+    days = lambda n: {str(r["day"])[-2:]: float(r["price"]) for r in timeseries.price_envelope(log, rows, vendors(spark), NOW, 1, n).collect()}
     assert days(None) == {"05": 12.0, "06": 12.0} | {str(d): 8.0 for d in range(10, 15)}
     assert days(2) == {"12": 8.0, "13": 8.0, "14": 8.0}
 
 
 def test_activity_has_a_row_without_listings(spark):
-    row = guards.aggregate_activity(spark.createDataFrame([], LISTING), vendors(spark), NOW).collect()
+    row = guards.aggregate_activity(spark.createDataFrame([], LISTING)).collect()
     assert [(r["n"], r["vendors"]) for r in row] == [(0, 0)]
 
 

@@ -26,6 +26,11 @@ def visible(vendors: DataFrame) -> DataFrame:
     return vendors.where(F.col("active") & ~F.col("slug").startswith("_"))
 
 
+def of_visible(rows: DataFrame, vendors: DataFrame) -> DataFrame:
+    """The rows(vendor_id, ...) of visible vendors."""
+    return rows.join(visible(vendors).select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
+
+
 def not_excluded(category: str = "category") -> Column:
     """A missing category is not excluded."""
     return F.col(category).isNull() | ~F.col(category).isin(*EXCLUDED_CATEGORIES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at, days_before, hours_before, not_excluded, visible
+from .common import at, days_before, not_excluded
 
 #: A vendor's day is a bulk relist above the larger of a floor and a multiple of the vendor's median day.
 COHORT_FLOOR, COHORT_FACTOR = 80.0, 4.0
@@ -49,11 +49,9 @@ def guarded_arrivals(tagged: DataFrame) -> DataFrame:
     return tagged.where("guard_disposition = 'kept'")
 
 
-def aggregate_activity(listings: DataFrame, vendors: DataFrame, now: str, hours: int = 24) -> DataFrame:
-    """One row, also when nothing was listed: listings first seen in the window and their vendors."""
-    rows = listings.where(not_excluded() & ~F.col("bulk_cluster")).where(F.col("first_seen_at") >= hours_before(now, hours))
-    rows = rows.join(visible(vendors).select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("vendor_id").alias("vendors"), F.lit(hours).alias("window_hours"))
+def aggregate_activity(leads: DataFrame, hours: int = 24) -> DataFrame:
+    """One row, also when nothing happened: the window's uncapped lead events of all three arms outside bulk clusters, and their vendors."""
+    return leads.where(not_excluded() & ~F.col("bulk_cluster")).agg(F.count("*").alias("n"), F.countDistinct("vendor_id").alias("vendors"), F.lit(hours).alias("window_hours"))
 
 
 def cluster_flips(listings: DataFrame, least: int = BULK_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ from .common import at, days_before, hours_before, not_excluded
 # Gates of a run and limits of the signals.
 CANARY_FLOOR, CANARY_SHARE, PAGES_SHARE = 5, 0.2, 0.5
 HISTORY_RUNS, ZERO_DAYS, SATURATED, MOST_EMPTY = 14, 3, 8, 8
-TREND, LEAST_PATH, SLOT_MINUTE = 0.5, 3, 11
+TREND, TREND_LEAST, LEAST_PATH, SLOT_MINUTE = 0.5, 5, 3, 11
 
 
 def run_medians(runs: DataFrame, now: str, days: int = 7, canary: str = "silent canary") -> DataFrame:
@@ -70,7 +70,8 @@ def in_slot(instant: Column, now: Column, minute: int = SLOT_MINUTE) -> Column:
 
 def digest_buckets(runs: DataFrame, paths: DataFrame, least: int = LEAST_PATH, days: int = ZERO_DAYS) -> DataFrame:
     """(vendor_id, path, bucket, current, streak, slot, median, deviates) of every path: curator-empty (zero in all runs kept), pinged (a streak of `days` or more, with
-    the slot that it reached that in), warn, sparse (under `least`) or healthy. The median is over the runs of the week before the newest one; sparse and healthy paths may deviate from it.
+    the slot that it reached that in), warn, sparse (under `least`) or healthy. The median is over the runs of the week before the newest one; sparse and healthy paths may deviate from it, and `shown` says that
+    such a deviation is reported: of a median that is not too small.
     """
     rows = path_histories(runs, paths)
     newest = F.max("started_at").over(Window.partitionBy("vendor_id"))
@@ -83,7 +84,7 @@ def digest_buckets(runs: DataFrame, paths: DataFrame, least: int = LEAST_PATH, d
     shown = F.col("bucket").isin("sparse", "healthy")
     out = each.withColumn("bucket", bucket).withColumn("slot", F.when(F.col("bucket") == "pinged", slot_of(F.try_element_at("_at", (F.col("streak") - days + 1).cast("int")))))
     deviates = shown & (F.col("median") > 0) & (F.abs(F.col("current") - F.col("median")) / F.col("median") > TREND)
-    return out.select("vendor_id", "path", "bucket", "current", "streak", "slot", F.when(shown, F.col("median")).alias("median"), deviates.alias("deviates"))
+    return out.select("vendor_id", "path", "bucket", "current", "streak", "slot", F.when(shown, F.col("median")).alias("median"), deviates.alias("deviates"), (deviates & (F.col("median") >= TREND_LEAST)).alias("shown"))
 
 
 def flips_of_a_day(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
@@ -92,10 +93,11 @@ def flips_of_a_day(runs: DataFrame, now: str, hours: int = 24) -> DataFrame:
     return runs.groupBy("vendor_id").agg(F.coalesce(F.sum(F.when((F.col("status") == "success") & recent, F.col("listings_oos"))), F.lit(0)).alias("oos"))
 
 
-def coverage(listings: DataFrame, recoverable: Column) -> DataFrame:
-    """(vendor_id, n, missing, share, recoverable): in-stock listings outside auctions without a category, by vendor and (vendor_id null) in all; recoverable is a test of those that could have one."""
+def coverage(listings: DataFrame, vendors: DataFrame, recoverable: Column) -> DataFrame:
+    """(vendor_id, n, missing, share, recoverable): in-stock listings outside auctions, of all but test vendors, without a category, by vendor and (vendor_id null) in all; recoverable is a test of those that could have one."""
     missing = F.col("category").isNull()
-    rows = listings.where("in_stock and not is_auction").rollup("vendor_id").agg(F.count("*").alias("n"), F.count(F.when(missing, 1)).alias("missing"), F.count(F.when(missing & recoverable, 1)).alias("recoverable"))
+    real = vendors.where(~F.col("slug").startswith("_")).select(F.col("id").alias("vendor_id"))
+    rows = listings.where("in_stock and not is_auction").join(real, "vendor_id", "left_semi").rollup("vendor_id").agg(F.count("*").alias("n"), F.count(F.when(missing, 1)).alias("missing"), F.count(F.when(missing & recoverable, 1)).alias("recoverable"))
     return rows.where("vendor_id is not null or n > 0").withColumn("share", F.round(F.col("missing") / F.col("n"), 6))
 
 

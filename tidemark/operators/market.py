@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import data_row, originator, price_text, tied_vendors
-from .common import at, days_before, first_by, not_excluded, top, visible
+from .common import at, days_before, first_by, not_excluded, of_visible, top, visible
 from .timeseries import browseable
 
 SORTS = ("newest", "price-asc", "price-desc")
@@ -35,13 +35,13 @@ def carriers(listings: DataFrame, vendors: DataFrame, corals: DataFrame) -> Data
 
 
 def most_restocked(leads: DataFrame, limit: int | None = 10) -> DataFrame:
-    rows = leads.where("event = 'back-in-stock' and named_coral_id is not null").groupBy("named_coral_id", "canonical_name").agg(F.count("*").alias("restocks"))
+    rows = leads.where("event = 'back-in-stock' and named_coral_id is not null").where(not_excluded()).groupBy("named_coral_id", "canonical_name").agg(F.count("*").alias("restocks"))
     return top(rows, [F.col("restocks").desc(), F.col("canonical_name").asc(), F.col("named_coral_id").asc()], limit)
 
 
 def recent_drops(listings: DataFrame, now: str, limit: int = 10, days: int = 7) -> DataFrame:
     """The newest arrivals, one for each coral; three times the limit is looked at, and listings without a coral are all different."""
-    rows = listings.where(F.col("in_stock") & not_excluded() & ~F.col("bulk_cluster")).where(F.col("first_seen_at") >= days_before(now, days))
+    rows = listings.where(F.col("in_stock") & not_excluded() & ~F.col("bulk_cluster")).where(F.col("first_seen_at") > days_before(now, days))
     newest = [F.col("first_seen_at").desc(), F.col("id").desc()]
     window = top(rows, newest, 3 * limit)
     key = F.coalesce(F.col("named_coral_id").cast("string"), F.concat(F.lit("listing "), F.col("id").cast("string")))
@@ -55,8 +55,8 @@ def with_drop_context(rows: DataFrame, drops: DataFrame) -> DataFrame:
 
 
 def availability(listings: DataFrame, now: str, coral: int | None = None, include_oos: bool = True, days: int = 7) -> DataFrame:
-    """A coral's listings (or all corals'): in stock first, then by price with missing ones last, then newest."""
-    rows = listings.where(F.col("last_seen_at") >= days_before(now, days)).where("auction_end_time is null and not is_auction and named_coral_id is not null")
+    """A coral's listings (or all corals') of all vendors: in stock first, then by price with missing ones last, then newest."""
+    rows = listings.where(F.col("last_seen_at") > days_before(now, days)).where("not is_auction and named_coral_id is not null")
     rows = rows if coral is None else rows.where(F.col("named_coral_id") == coral)
     rows = rows if include_oos else rows.where("in_stock")
     price = F.when(F.col("in_stock"), F.col("current_price"))
@@ -64,26 +64,31 @@ def availability(listings: DataFrame, now: str, coral: int | None = None, includ
 
 
 def in_window_vendors(listings: DataFrame, now: str, days: int = 7) -> DataFrame:
-    rows = listings.where(F.col("last_seen_at") >= days_before(now, days)).where("named_coral_id is not null")
-    return rows.groupBy("named_coral_id").agg(F.countDistinct("vendor_id").alias("vendors"))
+    """(named_coral_id, vendors): the gates of `availability`, in stock or not."""
+    return availability(listings, now, days=days).groupBy("named_coral_id").agg(F.countDistinct("vendor_id").alias("vendors"))
+
+
+def _page_rows(listings: DataFrame, now: str, category: str | None, include_oos: bool, days: int) -> DataFrame:
+    """What vendors' pages show, and count."""
+    rows = listings.where(F.col("last_seen_at") > days_before(now, days)).where(not_excluded()).where("not is_auction")
+    rows = rows if include_oos else rows.where("in_stock")
+    return rows if category is None else rows.where(F.col("category") == category)
 
 
 def inventory(listings: DataFrame, vendor: int, now: str, page: int = 1, sort: str = "newest", category: str | None = None, include_oos: bool = False, days: int = 14, size: int | None = PAGE) -> DataFrame:
     """One page of a vendor's listings; only the newest ladder puts bulk clusters last. Ties go by first_seen_at, newest first, then by id."""
     if sort not in SORTS:
         raise ValueError(f"no such sort: {sort}")
-    rows = listings.where((F.col("vendor_id") == vendor) & (F.col("last_seen_at") > days_before(now, days)) & not_excluded()).where("not is_auction")
-    rows = rows if include_oos else rows.where("in_stock")
-    rows = rows if category is None else rows.where(F.col("category") == category)
+    rows = _page_rows(listings, now, category, include_oos, days).where(F.col("vendor_id") == vendor)
     first = {"newest": F.col("bulk_cluster").asc(), "price-asc": F.col("current_price").asc_nulls_last(), "price-desc": F.col("current_price").desc_nulls_last()}[sort]
     return top(rows, [first, F.col("first_seen_at").desc(), F.col("id").asc()], size, (page - 1) * (size or 0))
 
 
-def inventory_totals(listings: DataFrame, now: str, days: int = 14) -> DataFrame:
-    """(vendor_id, total, gated_auctions) for every vendor with listings in the window."""
-    rows = listings.where((F.col("last_seen_at") >= days_before(now, days)) & not_excluded() & F.col("in_stock"))
-    gated = F.col("is_auction") | F.col("auction_end_time").isNotNull()
-    return rows.groupBy("vendor_id").agg(F.count(F.when(~gated, 1)).alias("total"), (F.count(F.when(gated, 1)) > 0).alias("gated_auctions"))
+def inventory_totals(listings: DataFrame, now: str, category: str | None = None, include_oos: bool = False, days: int = 14) -> DataFrame:
+    """(vendor_id, total, gated_auctions) for every vendor with listings in the window: what its pages have in all, and whether they leave out auctions (of any stock or category)."""
+    shown = _page_rows(listings, now, category, include_oos, days).select("vendor_id", F.lit(1).alias("shown"), F.lit(0).alias("gated"))
+    recent = listings.where(F.col("last_seen_at") > days_before(now, days)).select("vendor_id", F.lit(0).alias("shown"), F.col("is_auction").cast("int").alias("gated"))
+    return shown.unionByName(recent).groupBy("vendor_id").agg(F.sum("shown").alias("total"), (F.max("gated") > 0).alias("gated_auctions"))
 
 
 def event_rows(events: DataFrame, sort: str = "newest", category: str | None = None, cap: int | None = None, suppress_bulk: bool = False) -> DataFrame:
@@ -116,9 +121,9 @@ def matches(column: str, query: str) -> Column:
 
 
 def search_corals(corals: DataFrame, aliases: DataFrame, query: str) -> DataFrame:
-    """Active corals whose name has all tokens, or else the smallest alias that has."""
+    """Active corals whose normalised name has all tokens, or else the smallest alias that has."""
     hit = aliases.where("match_behavior = 'auto-link'").where(matches("alias_text", query)).groupBy(F.col("named_coral_id").alias("id")).agg(F.min("alias_text").alias("matched_alias"))
-    rows = corals.where("active").withColumn("_own", matches("canonical_name", query)).join(hit, "id", "left").where("_own or matched_alias is not null")
+    rows = corals.where("active").withColumn("_own", matches("normalized_name", query)).join(hit, "id", "left").where("_own or matched_alias is not null")
     return rows.select("id", "canonical_name", "slug", F.when(~F.col("_own"), F.col("matched_alias")).alias("matched_alias")).orderBy("canonical_name")
 
 
@@ -127,22 +132,23 @@ def search_vendors(vendors: DataFrame, query: str) -> DataFrame:
 
 
 def search_listings(listings: DataFrame, vendors: DataFrame, query: str, limit: int | None = SEARCH_ROWS) -> DataFrame:
-    """One row more than is shown, so that the caller sees an overflow."""
-    rows = listings.where(F.col("in_stock") & not_excluded()).where(matches("raw_title", query)).join(visible(vendors).select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
+    """By the normalised title; one row more than is shown, so that the caller sees an overflow."""
+    rows = of_visible(listings.where("in_stock and not is_auction").where(not_excluded()).where(matches("normalized_title", query)), vendors)
     return top(rows.select("id", "vendor_id", "raw_title", "current_price", "first_seen_at"), [F.col("first_seen_at").desc(), F.col("id").desc()], limit)
 
 
-def coral_directory(corals: DataFrame, listings: DataFrame) -> DataFrame:
-    """Active corals with whether any listing ever had them, and the times they were first and last seen."""
-    seen = listings.where("named_coral_id is not null").groupBy(F.col("named_coral_id").alias("id")).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
-    return corals.where("active").select("id", "slug", "canonical_name").join(seen, "id", "left").withColumn("has_ever_listed", F.col("last_seen_at").isNotNull())
+def coral_directory(corals: DataFrame, listings: DataFrame, vendors: DataFrame) -> DataFrame:
+    """Active corals with whether any vendor but test vendors (active or not) ever listed them, when that was first and last, and whether their page is indexed: those ever listed with a public slug."""
+    real = vendors.where(~F.col("slug").startswith("_")).select(F.col("id").alias("vendor_id"))
+    seen = listings.where("named_coral_id is not null").join(real, "vendor_id", "left_semi").groupBy(F.col("named_coral_id").alias("id")).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+    return corals.where("active").select("id", "slug", "canonical_name").join(seen, "id", "left").withColumn("has_ever_listed", F.col("last_seen_at").isNotNull()).withColumn("indexable", F.col("has_ever_listed") & ~F.col("slug").startswith("_"))
 
 
-def coral_images(corals: DataFrame, listings: DataFrame) -> DataFrame:
-    """Each coral's picture: of listings with one first, then the newest. Corals without listings are absent."""
-    rows = listings.where("named_coral_id is not null")
+def coral_images(corals: DataFrame, listings: DataFrame, vendors: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """Each public coral's picture, of what visible vendors have in stock and listed within `days`, auctions left out: listings with one first, then the newest. Corals without such listings are absent."""
+    rows = of_visible(listings.where("named_coral_id is not null and in_stock and not is_auction").where(F.col("last_seen_at") > days_before(now, days)), vendors)
     best = first_by(rows, ["named_coral_id"], [F.col("image_url").isNull().asc(), F.col("first_seen_at").desc(), F.col("id").desc()])
-    return best.select("named_coral_id", "image_url", F.col("id").alias("listing_id")).join(corals.where("active").select(F.col("id").alias("named_coral_id"), "slug"), "named_coral_id")
+    return best.select("named_coral_id", "image_url", F.col("id").alias("listing_id")).join(corals.where(F.col("active") & ~F.col("slug").startswith("_")).select(F.col("id").alias("named_coral_id"), "slug"), "named_coral_id")
 
 
 def sitemap_slugs(envelope: DataFrame, corals: DataFrame, least: int = 2) -> DataFrame:

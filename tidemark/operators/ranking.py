@@ -102,9 +102,10 @@ def composition(arrivals: DataFrame) -> DataFrame:
 
 
 def spotlight(offers: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The coral with most vendors (two at least, and one price), then the most recent, then the smallest id: one offer for each vendor."""
-    spread = offers.groupBy("named_coral_id").agg(F.countDistinct("vendor_id").alias("vendors"), F.count("current_price").alias("priced"), F.max("first_seen_at").alias("latest"))
-    chosen = top(spread.where("vendors >= 2 and priced >= 1"), [F.col("vendors").desc(), F.col("latest").desc(), F.col("named_coral_id").asc()], 1)
-    rows = offers.join(F.broadcast(chosen), "named_coral_id")  # one row
-    one = first_by(rows, ["vendor_id"], [F.col("current_price").asc_nulls_last(), F.col("first_seen_at").desc(), F.col("id").desc()])
-    return top(one.select("named_coral_id", "vendor_id", "id", "current_price", "vendors"), [F.col("current_price").asc_nulls_last(), F.col("id").asc()], size)
+    """Of the corals that two vendors or more carry and of which an offer can be a card, the one with most vendors, then the most recent, then the largest id. `vendors` counts all that carry it;
+    the cards are each vendor's latest offer that can be one, newest first. `offers` are market.carriers."""
+    spread = offers.groupBy("named_coral_id").agg(F.countDistinct("vendor_id").alias("vendors"), F.count(F.when(card_eligible(), 1)).alias("cards"), F.max("first_seen_at").alias("latest"))
+    chosen = top(spread.where("vendors >= 2 and cards >= 1"), [F.col("vendors").desc(), F.col("latest").desc(), F.col("named_coral_id").desc()], 1)
+    rows = offers.where(card_eligible()).join(F.broadcast(chosen), "named_coral_id")  # one row
+    newest = [F.col("first_seen_at").desc(), F.col("id").desc()]
+    return top(first_by(rows, ["vendor_id"], newest).select("named_coral_id", "vendor_id", "id", "current_price", "first_seen_at", "vendors"), newest, size)

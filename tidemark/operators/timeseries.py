@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import days_before, not_excluded
+from .common import days_before, not_excluded, of_visible
 
 #: A cadence is shown from so many days of history, at most so many hours between scrapes, and so many drops.
 CADENCE_DAYS, CADENCE_GAP, CADENCE_DROPS = 42, 6, 15
 GAP_DAYS = 14
 
 
-def velocity(history: DataFrame, listings: DataFrame, runs: DataFrame, now: str, days: int | None = None) -> DataFrame:
-    """Listings that were in stock and went: first in stock, first out of stock after it, last in stock before that, and the last successful run before the first.
+def velocity(history: DataFrame, listings: DataFrame, vendors: DataFrame, corals: DataFrame, runs: DataFrame, now: str, days: int | None = None) -> DataFrame:
+    """Listings of visible vendors and known corals that were in stock and went: first in stock, first out of stock after it, last in stock before that, and the last successful run before the first.
 
     Everything but the run is one pass of windows over the log: the running minimum of in-stock times marks what comes after the first.
     """
-    gone = listings.where("not in_stock and named_coral_id is not null and auction_end_time is null and not is_auction").select(F.col("id").alias("listing_id"), "vendor_id", "named_coral_id")
+    gone = listings.where("not in_stock and named_coral_id is not null and auction_end_time is null and not is_auction").where(not_excluded())
+    gone = of_visible(gone, vendors).join(corals.select(F.col("id").alias("named_coral_id")), "named_coral_id", "left_semi").select(F.col("id").alias("listing_id"), "vendor_id", "named_coral_id")
     rows = history.join(gone, "listing_id")
     per = Window.partitionBy("listing_id")
     rows = rows.withColumn("first_in_stock_at", F.min(F.when(F.col("in_stock"), F.col("observed_at"))).over(per))
@@ -47,23 +48,26 @@ def _with_prior_run(found: DataFrame, runs: DataFrame) -> DataFrame:
     return found.join(prior, "listing_id")
 
 
-def price_points(history: DataFrame, listings: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
-    """Raw points of the listings of one named coral, or of all; a window's edge is an instant."""
-    named = listings.where("named_coral_id is not null" if coral is None else f"named_coral_id = {int(coral)}").select(F.col("id").alias("listing_id"), "named_coral_id", "vendor_id")
-    rows = history.join(named, "listing_id")
+def _named(listings: DataFrame, vendors: DataFrame, coral: int | None) -> DataFrame:
+    rows = listings.where("named_coral_id is not null" if coral is None else f"named_coral_id = {int(coral)}")
+    return of_visible(rows, vendors).select(F.col("id").alias("listing_id"), "named_coral_id", "vendor_id")
+
+
+def price_points(history: DataFrame, listings: DataFrame, vendors: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
+    """Raw points of the visible vendors' listings of one named coral, or of all; a window's edge is an instant."""
+    rows = history.join(_named(listings, vendors, coral), "listing_id")
     if days is not None:
         rows = rows.where(F.col("observed_at") >= days_before(now, days))
     return rows.select("named_coral_id", "vendor_id", "listing_id", "id", "price", "in_stock", "observed_at").orderBy("named_coral_id", "listing_id", "observed_at", "id")
 
 
-def daily_states(history: DataFrame, listings: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
-    """(named_coral_id, vendor_id, listing_id, day, price): each listing's state at the end of each day it was in stock with a price.
+def daily_states(history: DataFrame, listings: DataFrame, vendors: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
+    """(named_coral_id, vendor_id, listing_id, day, price): the state of each visible vendor's listing at the end of each day it was in stock with a price.
 
     The last row of each day holds until the day before the next one, or today: intervals, which are then laid out by day. So the cost
     is that of the result, not of all days times all listings. A window clamps an interval's start to a calendar day.
     """
-    named = listings.where("named_coral_id is not null" if coral is None else f"named_coral_id = {int(coral)}").select(F.col("id").alias("listing_id"), "named_coral_id", "vendor_id")
-    last = history.join(named, "listing_id").groupBy("named_coral_id", "vendor_id", "listing_id", F.to_date("observed_at").alias("day")).agg(F.max(F.struct("observed_at", "id", "price", "in_stock")).alias("s"))
+    last = history.join(_named(listings, vendors, coral), "listing_id").groupBy("named_coral_id", "vendor_id", "listing_id", F.to_date("observed_at").alias("day")).agg(F.max(F.struct("observed_at", "id", "price", "in_stock")).alias("s"))
     today = F.to_date(F.lit(now))
     spans = last.withColumn("until", F.coalesce(F.date_sub(F.lead("day").over(Window.partitionBy("listing_id").orderBy("day")), 1), today))
     start = F.col("day") if days is None else F.greatest(F.col("day"), F.date_sub(today, days))
@@ -71,14 +75,14 @@ def daily_states(history: DataFrame, listings: DataFrame, now: str, coral: int |
     return spans.select("named_coral_id", "vendor_id", "listing_id", F.explode(F.sequence("start", "until")).alias("day"), F.col("s.price").alias("price"))
 
 
-def price_envelope(history: DataFrame, listings: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
+def price_envelope(history: DataFrame, listings: DataFrame, vendors: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
     """(named_coral_id, day, price): the lowest state of each day; days without any are absent."""
-    return daily_states(history, listings, now, coral, days).groupBy("named_coral_id", "day").agg(F.min("price").alias("price"))
+    return daily_states(history, listings, vendors, now, coral, days).groupBy("named_coral_id", "day").agg(F.min("price").alias("price"))
 
 
-def price_by_vendor(history: DataFrame, listings: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
+def price_by_vendor(history: DataFrame, listings: DataFrame, vendors: DataFrame, now: str, coral: int | None = None, days: int | None = None) -> DataFrame:
     """(named_coral_id, vendor_id, day, price, listing_count)."""
-    return daily_states(history, listings, now, coral, days).groupBy("named_coral_id", "vendor_id", "day").agg(F.min("price").alias("price"), F.count("*").alias("listing_count"))
+    return daily_states(history, listings, vendors, now, coral, days).groupBy("named_coral_id", "vendor_id", "day").agg(F.min("price").alias("price"), F.count("*").alias("listing_count"))
 
 
 def drop_cadence(listings: DataFrame, vendors: DataFrame, runs: DataFrame, arrivals: DataFrame, now: str, slug: str | None = None, least_days: int = CADENCE_DAYS, most_gap: float = CADENCE_GAP, least_drops: int = CADENCE_DROPS) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import events, guards, market, timeseries
 from ..operators.common import plain
 from ..sources.adapters import NOW, Model
-from .oracle import SHOWN, T, VISIBLE, drops, leads, since, sql, states, tagged
+from .oracle import SHOWN, T, TITLE_SQL, VELOCITY, VISIBLE, drops, leads, since, sql, states, tagged
 
 #: Smaller than the operators' defaults: the generated log is small and spans a month.
 FLOOR, FACTOR, BULK = 3.0, 1.5, 3
@@ -59,20 +60,12 @@ _Q = {
         sql("select vendor_id, arr_day::varchar as arr_day, guard_disposition, count(*) as n from tagged where guard_disposition <> 'kept' group by all", *tagged(MONTH, FLOOR, FACTOR)),
     ),
     "aggregate_activity": (
-        lambda m: guards.aggregate_activity(m.listings, m.vendors, NOW, WEEK),
-        sql(f"select count(*) as n, count(distinct vendor_id) as vendors, {WEEK}::bigint as window_hours from listings where {SHOWN} and not bulk_cluster and first_seen_at >= {since(WEEK)} and vendor_id in (select id from visible)", VISIBLE),
+        lambda m: guards.aggregate_activity(_leads(m, WEEK), WEEK),
+        sql(f"select count(*) as n, count(distinct vendor_id) as vendors, {WEEK}::bigint as window_hours from leads where {SHOWN} and not bulk_cluster", *leads(WEEK)),
     ),
     "velocity": (
-        lambda m: timeseries.velocity(m.price_history, m.listings, m.scraper_runs, NOW),
-        sql(
-            """select f.listing_id, f.vendor_id, f.named_coral_id, f.t as first_in_stock_at, o.t as first_oos_at,
-              (select max(p.observed_at) from price_history p where p.listing_id = f.listing_id and p.in_stock and p.observed_at < o.t) as last_in_stock_at, r.t as prior_run_at
-            from firsts f join oos o on o.listing_id = f.listing_id join prior r on r.listing_id = f.listing_id""",
-            "gone as (select id as listing_id, vendor_id, named_coral_id from listings where not in_stock and named_coral_id is not null and auction_end_time is null and not is_auction)",
-            "firsts as (select g.*, min(p.observed_at) as t from gone g join price_history p on p.listing_id = g.listing_id where p.in_stock group by all)",
-            "oos as (select f.listing_id, min(p.observed_at) as t from firsts f join price_history p on p.listing_id = f.listing_id and not p.in_stock and p.observed_at > f.t group by 1)",
-            "prior as (select f.listing_id, max(r.finished_at) as t from firsts f join scraper_runs r on r.vendor_id = f.vendor_id and r.status = 'success' and r.finished_at < f.t group by 1)",
-        ),
+        lambda m: timeseries.velocity(m.price_history, m.listings, m.vendors, m.named_corals, m.scraper_runs, NOW),
+        sql("select * from velocity", VISIBLE, *VELOCITY),
     ),
     "cross_vendor_cheapest": (
         lambda m: market.cheapest(m.listings, m.vendors),
@@ -88,22 +81,22 @@ _Q = {
     ),
     "most_restocked": (
         lambda m: market.most_restocked(_leads(m, MONTH)),
-        sql("select named_coral_id, canonical_name, count(*) as restocks from leads where event = 'back-in-stock' and named_coral_id is not null group by 1, 2 order by restocks desc, canonical_name, named_coral_id limit 10", *leads(MONTH)),
+        sql(f"select named_coral_id, canonical_name, count(*) as restocks from leads where event = 'back-in-stock' and named_coral_id is not null and {SHOWN} group by 1, 2 order by restocks desc, canonical_name, named_coral_id limit 10", *leads(MONTH)),
     ),
     "coral_price_history": (
-        lambda m: timeseries.price_points(m.price_history, m.listings, NOW, None, 10),
-        sql(f"select l.named_coral_id, l.vendor_id, p.listing_id, p.id, p.price::double as price, p.in_stock, p.observed_at from price_history p join listings l on l.id = p.listing_id where l.named_coral_id is not null and p.observed_at >= {since(240)}"),
+        lambda m: timeseries.price_points(m.price_history, m.listings, m.vendors, NOW, None, 10),
+        sql(f"select l.named_coral_id, l.vendor_id, p.listing_id, p.id, p.price::double as price, p.in_stock, p.observed_at from price_history p join listings l on l.id = p.listing_id where l.named_coral_id is not null and p.observed_at >= {since(240)} and l.vendor_id in (select id from visible)", VISIBLE),
     ),
     "coral_price_envelope": (
-        lambda m: timeseries.price_envelope(m.price_history, m.listings, NOW),
+        lambda m: timeseries.price_envelope(m.price_history, m.listings, m.vendors, NOW),
         sql(f"select named_coral_id, day::varchar as day, min(s.price)::double as price from states where {STATE_OK} group by 1, 2", *states("named_coral_id is not null", None)),
     ),
     "coral_price_envelope_windowed": (
-        lambda m: timeseries.price_envelope(m.price_history, m.listings, NOW, 7, 9),
-        sql(f"select named_coral_id, day::varchar as day, min(s.price)::double as price from states where {STATE_OK} group by 1, 2", *states("named_coral_id = 7", 9)),
+        lambda m: timeseries.price_envelope(m.price_history, m.listings, m.vendors, NOW, 74, 9),
+        sql(f"select named_coral_id, day::varchar as day, min(s.price)::double as price from states where {STATE_OK} group by 1, 2", *states("named_coral_id = 74", 9)),
     ),
     "coral_price_by_vendor": (
-        lambda m: timeseries.price_by_vendor(m.price_history, m.listings, NOW),
+        lambda m: timeseries.price_by_vendor(m.price_history, m.listings, m.vendors, NOW),
         sql(f"select named_coral_id, vendor_id, day::varchar as day, min(s.price)::double as price, count(*) as listing_count from states where {STATE_OK} group by 1, 2, 3", *states("named_coral_id is not null", None)),
     ),
     "vendor_drop_cadence": (
@@ -146,7 +139,7 @@ _Q = {
         lambda m: market.recent_drops(m.listings, NOW).select(*ROW),
         sql(
             f"select {ROW_SQL} from (select *, row_number() over (partition by coalesce(named_coral_id::varchar, 'listing ' || id) order by first_seen_at desc, id desc) as n from newest) where n = 1 order by first_seen_at desc, id desc limit 10",
-            f"newest as (select * from listings where in_stock and {SHOWN} and not bulk_cluster and first_seen_at >= {since(WEEK)} order by first_seen_at desc, id desc limit 30)",
+            f"newest as (select * from listings where in_stock and {SHOWN} and not bulk_cluster and first_seen_at > {since(WEEK)} order by first_seen_at desc, id desc limit 30)",
         ),
     ),
     "listing_drop_context": (
@@ -155,16 +148,20 @@ _Q = {
     ),
     "coral_availability": (
         lambda m: market.availability(m.listings, NOW).select(*ROW, "in_stock"),
-        sql(f"select {ROW_SQL}, in_stock from listings where last_seen_at >= {since(WEEK)} and auction_end_time is null and not is_auction and named_coral_id is not null"),
+        sql(f"select {ROW_SQL}, in_stock from listings where last_seen_at > {since(WEEK)} and not is_auction and named_coral_id is not null"),
     ),
-    "coral_in_window_vendors": (lambda m: market.in_window_vendors(m.listings, NOW), sql(f"select named_coral_id, count(distinct vendor_id) as vendors from listings where last_seen_at >= {since(WEEK)} and named_coral_id is not null group by 1")),
+    "coral_in_window_vendors": (lambda m: market.in_window_vendors(m.listings, NOW), sql(f"select named_coral_id, count(distinct vendor_id) as vendors from listings where last_seen_at > {since(WEEK)} and not is_auction and named_coral_id is not null group by 1")),
     "vendor_inventory_page": (
-        lambda m: market.inventory(m.listings, 1, NOW, 2, "price-asc", size=2).select(*ROW),
-        sql(f"select {ROW_SQL} from listings where vendor_id = 1 and last_seen_at > {since(336)} and {SHOWN} and in_stock and not is_auction order by current_price asc nulls last, first_seen_at desc, id limit 2 offset 2"),
+        lambda m: market.inventory(m.listings, 10, NOW, 2, "price-asc", None, True, size=2).select(*ROW),
+        sql(f"select {ROW_SQL} from listings where vendor_id = 10 and last_seen_at > {since(336)} and {SHOWN} and not is_auction order by current_price asc nulls last, first_seen_at desc, id limit 2 offset 2"),
     ),
     "vendor_inventory_totals": (
         lambda m: market.inventory_totals(m.listings, NOW),
-        sql(f"select vendor_id, count(*) filter (where not (is_auction or auction_end_time is not null)) as total, count(*) filter (where is_auction or auction_end_time is not null) > 0 as gated_auctions from listings where last_seen_at >= {since(336)} and {SHOWN} and in_stock group by 1"),
+        sql(f"select vendor_id, count(*) filter (where in_stock and not is_auction and {SHOWN}) as total, bool_or(is_auction) as gated_auctions from listings where last_seen_at > {since(336)} group by 1"),
+    ),
+    "vendor_inventory_totals_lps": (
+        lambda m: market.inventory_totals(m.listings, NOW, "lps", True),
+        sql(f"select vendor_id, count(*) filter (where category = 'lps' and not is_auction) as total, bool_or(is_auction) as gated_auctions from listings where last_seen_at > {since(336)} group by 1"),
     ),
     "recent_arrivals_day": (
         lambda m: market.event_rows(_leads(m, 48), "newest", None, 100, True).select(*LEAD),
@@ -181,23 +178,23 @@ _Q = {
     "latest_price_drop": (lambda m: _drops(m).agg(F.max("event_at").alias("latest_at"), F.count("*").alias("n")), sql("select max(event_at) as latest_at, count(*) as n from drops", *drops(7))),
     "search_corals": (
         lambda m: market.search_corals(m.named_corals, m.aliases, "MORPH 1"),
-        sql("select id, canonical_name, slug, case when not own then alias end as matched_alias from (select c.*, canonical_name ilike '%morph%' and canonical_name ilike '%1%' as own, (select min(alias_text) from aliases a where a.named_coral_id = c.id and match_behavior = 'auto-link' and alias_text ilike '%morph%' and alias_text ilike '%1%') as alias from named_corals c where active) where own or alias is not null"),
+        sql("select id, canonical_name, slug, case when not own then alias end as matched_alias from (select c.*, normalized_name ilike '%morph%' and normalized_name ilike '%1%' as own, (select min(alias_text) from aliases a where a.named_coral_id = c.id and match_behavior = 'auto-link' and alias_text ilike '%morph%' and alias_text ilike '%1%') as alias from named_corals c where active) where own or alias is not null"),
     ),
     "search_vendors": (lambda m: market.search_vendors(m.vendors, "supplier 00"), sql("select id, slug, display_name from visible where display_name ilike '%supplier%' and display_name ilike '%00%'", VISIBLE)),
     "search_listings": (
-        lambda m: market.search_listings(m.listings, m.vendors, "frag  wysiwyg"),
-        sql(f"select id, vendor_id, raw_title, current_price::double as current_price, first_seen_at from listings where in_stock and {SHOWN} and raw_title ilike '%frag%' and raw_title ilike '%wysiwyg%' and vendor_id in (select id from visible) order by first_seen_at desc, id desc limit 51", VISIBLE),
+        lambda m: market.search_listings(m.listings.withColumn("normalized_title", text.normalize_title(F.col("raw_title"))), m.vendors, "torch  frag"),
+        sql(f"select id, vendor_id, raw_title, current_price::double as current_price, first_seen_at from (select *, {TITLE_SQL} as title from listings) where in_stock and not is_auction and {SHOWN} and title ilike '%torch%' and title ilike '%frag%' and vendor_id in (select id from visible) order by first_seen_at desc, id desc limit 51", VISIBLE),
     ),
     "coral_directory": (
-        lambda m: market.coral_directory(m.named_corals, m.listings),
-        sql("select c.id, c.slug, c.canonical_name, min(l.first_seen_at) as first_seen_at, max(l.last_seen_at) as last_seen_at, count(l.id) > 0 as has_ever_listed from named_corals c left join listings l on l.named_coral_id = c.id where c.active group by 1, 2, 3"),
+        lambda m: market.coral_directory(m.named_corals, m.listings, m.vendors),
+        sql("select c.id, c.slug, c.canonical_name, min(l.first_seen_at) as first_seen_at, max(l.last_seen_at) as last_seen_at, count(l.id) > 0 as has_ever_listed, count(l.id) > 0 and not starts_with(c.slug, '_') as indexable from named_corals c left join (select l.* from listings l join vendors v on v.id = l.vendor_id where not starts_with(v.slug, '_')) l on l.named_coral_id = c.id where c.active group by 1, 2, 3"),
     ),
     "coral_images": (
-        lambda m: market.coral_images(m.named_corals, m.listings),
-        sql("select n.named_coral_id, n.image_url, n.id as listing_id, c.slug from (select *, row_number() over (partition by named_coral_id order by image_url is null, first_seen_at desc, id desc) as r from listings where named_coral_id is not null) n join named_corals c on c.id = n.named_coral_id and c.active where r = 1"),
+        lambda m: market.coral_images(m.named_corals, m.listings, m.vendors, NOW),
+        sql(f"select n.named_coral_id, n.image_url, n.id as listing_id, c.slug from (select *, row_number() over (partition by named_coral_id order by image_url is null, first_seen_at desc, id desc) as r from listings where named_coral_id is not null and in_stock and not is_auction and last_seen_at > {since(WEEK)} and vendor_id in (select id from visible)) n join named_corals c on c.id = n.named_coral_id and c.active and not starts_with(c.slug, '_') where r = 1", VISIBLE),
     ),
     "price_history_sitemap": (
-        lambda m: market.sitemap_slugs(timeseries.price_envelope(m.price_history, m.listings, NOW, None, 90), m.named_corals),
+        lambda m: market.sitemap_slugs(timeseries.price_envelope(m.price_history, m.listings, m.vendors, NOW, None, 90), m.named_corals),
         sql(f"select c.slug, e.days from named_corals c join (select named_coral_id, count(distinct day) as days from states where {STATE_OK} group by 1) e on e.named_coral_id = c.id where c.active and e.days >= 2", *states("named_coral_id is not null", 90)),
     ),
     "scrape_clock": (lambda m: market.scrape_clock(m.scraper_runs), sql("select vendor_id, max(started_at) as last_started, max(finished_at) as last_finished from scraper_runs where status = 'success' group by 1")),

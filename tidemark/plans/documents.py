@@ -11,8 +11,8 @@ from ..operators import health, market, timeseries
 from ..operators.common import plain
 from ..sources import catalogues
 from ..sources.adapters import NOW, Model
-from .ingest import TITLE_SQL, _drops
-from .oracle import drops, sql, states
+from .ingest import _drops
+from .oracle import TITLE_SQL, drops, sql, states
 from .posts import NOUNS, TOKENS, _in
 
 PER_PAGE = 20
@@ -138,14 +138,14 @@ _Q = {
         sql("select coral_slug, slug, updated from (select slug as coral_slug, 'guide-' || id as slug, (date '2024-01-01' + (id % 20)::int)::varchar as updated from named_corals union all select 'other-' || (id % 3), 'guide-' || id, (date '2024-01-01' + (id % 20)::int)::varchar from named_corals)"),
     ),
     "history_segments": (
-        lambda m: timeseries.segments(timeseries.price_by_vendor(m.price_history, m.listings, NOW), ["named_coral_id", "vendor_id"]),
+        lambda m: timeseries.segments(timeseries.price_by_vendor(m.price_history, m.listings, m.vendors, NOW), ["named_coral_id", "vendor_id"]),
         sql("select named_coral_id, vendor_id, min(day)::varchar as first_day, max(day)::varchar as last_day, count(*) as days, count(*) >= 2 as drawn from (select *, day - row_number() over (partition by named_coral_id, vendor_id order by day)::int as g from (select distinct named_coral_id, vendor_id, day from shown)) group by named_coral_id, vendor_id, g", *ENVELOPES, f"shown as ({SHOWN_STATES})"),
     ),
     "thin_histories": (
-        lambda m: timeseries.thin_history(*(f(m.price_history.where("id % 3 = 0"), m.listings.where("id % 4 = 0"), NOW) for f in (timeseries.price_envelope, timeseries.price_by_vendor))),
+        lambda m: timeseries.thin_history(*(f(m.price_history, m.listings, m.vendors, NOW) for f in (timeseries.price_envelope, timeseries.price_by_vendor))),
         sql(
             "select named_coral_id, thin, case when thin then day::varchar end as day, case when thin then price::double end as price from (select d.named_coral_id, d.n <= 1 and d.most < 2 as thin, l.day, l.price from (select named_coral_id, count(distinct day) as n, max(k) as most from (select named_coral_id, day, count(*) over (partition by named_coral_id, vendor_id) as k from points) group by 1) d join (select *, row_number() over (partition by named_coral_id order by day desc, price) as n from points) l on l.named_coral_id = d.named_coral_id and l.n = 1)",
-            *(x.replace("from price_history join named", "from (select * from price_history where id % 3 = 0) join named").replace("join price_history p on", "join (select * from price_history where id % 3 = 0) p on") for x in states("named_coral_id is not null and id % 4 = 0", None)), f"shown as ({SHOWN_STATES})",
+            *ENVELOPES, f"shown as ({SHOWN_STATES})",
             "points as (select named_coral_id, vendor_id, day, min(s.price) as price from shown group by 1, 2, 3)",
         ),
     ),

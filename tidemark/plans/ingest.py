@@ -6,23 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.labels import CATEGORY_PATTERNS, CORAL_CATEGORIES, LINEAGE, LOOSE_PLATE, NOT_CORAL, NOT_PLATE, TITLE_ENDS
+from ..functions.labels import CATEGORY_PATTERNS, CORAL_CATEGORIES, LINEAGE, LOOSE_PLATE, NOT_CORAL, NOT_PLATE
 from ..operators import cdc, events, guards, health, market, matching, ranking, timeseries
 from ..operators.common import plain
 from ..sources import catalogues
 from ..sources.adapters import NOW, Model
 from .core import FACTOR, FLOOR, WEEK
-from .oracle import SHOWN, T, VISIBLE, drops, leads, since, sql, tagged
+from .oracle import SHOWN, T, TITLE_SQL, VELOCITY, VISIBLE, drops, leads, since, sql, tagged
 
 MONTH = 720
-TITLE_SQL = f"trim(regexp_replace(regexp_replace(rtrim(strip_accents(lower(raw_title))), '(?i){TITLE_ENDS.replace(chr(39), chr(39) * 2)}', ''), '\\s+', ' ', 'g'))"
-VELOCITY = (
-    "gone as (select id as listing_id, vendor_id, named_coral_id from listings where not in_stock and named_coral_id is not null and auction_end_time is null and not is_auction)",
-    "firsts as (select g.*, min(p.observed_at) as t from gone g join price_history p on p.listing_id = g.listing_id where p.in_stock group by all)",
-    "oos as (select f.listing_id, min(p.observed_at) as t from firsts f join price_history p on p.listing_id = f.listing_id and not p.in_stock and p.observed_at > f.t group by 1)",
-    "prior as (select f.listing_id, max(r.finished_at) as t from firsts f join scraper_runs r on r.vendor_id = f.vendor_id and r.status = 'success' and r.finished_at < f.t group by 1)",
-    "velocity as (select f.listing_id, f.vendor_id, f.named_coral_id, f.t as first_in_stock_at, o.t as first_oos_at, r.t as prior_run_at from firsts f join oos o on o.listing_id = f.listing_id join prior r on r.listing_id = f.listing_id)",
-)
 # a scrape that leaves out a seventh of the listings, changes prices and stock of others, and has new ones
 SCRAPE = "scrape as (select product_url, case when id % 5 = 0 then cast(current_price * cast(0.9 as decimal(2,1)) as decimal(10,2)) else current_price end as current_price, case when id % 4 = 0 then not in_stock else in_stock end as in_stock from listings where id % 7 <> 0 union all select concat(product_url, '/new'), current_price, in_stock from listings where id % 6 = 0)"
 GONE = "gone as (select product_url, current_price as last_price, vendor_id from listings where in_stock and product_url not in (select product_url from scrape) and id % 14 <> 0)"
@@ -64,7 +56,7 @@ def _drops(m: Model) -> DataFrame:
 
 
 def _velocity(m: Model) -> DataFrame:
-    return timeseries.velocity(m.price_history, m.listings, m.scraper_runs, NOW)
+    return timeseries.velocity(m.price_history, m.listings, m.vendors, m.named_corals, m.scraper_runs, NOW)
 
 
 def _picks(m: Model) -> DataFrame:
@@ -274,7 +266,7 @@ _Q = {
     ),
     "fastest_gone": (
         lambda m: ranking.fastest(_velocity(m), 5).select("listing_id", F.round("hours", 6).alias("hours")),
-        sql("select listing_id, round((floor(epoch(first_oos_at)) - floor(epoch(prior_run_at))) / 3600, 6) as hours from velocity order by (floor(epoch(first_oos_at)) - floor(epoch(prior_run_at))) / 3600, listing_id limit 5", *VELOCITY),
+        sql("select listing_id, round((floor(epoch(first_oos_at)) - floor(epoch(prior_run_at))) / 3600, 6) as hours from velocity order by (floor(epoch(first_oos_at)) - floor(epoch(prior_run_at))) / 3600, listing_id limit 5", VISIBLE, *VELOCITY),
     ),
     "arrivals_carousel": (
         lambda m: ranking.carousel(_arrivals(m)).select("listing_id", "vendor_slug", "vendor_rank", "total"),
@@ -288,10 +280,10 @@ _Q = {
         sql("select count(*) as total, case when count(distinct event) = 2 then 'mixed' when max(event) = 'back-in-stock' then 'all-restocks' else 'all-arrivals' end as composition from tagged where guard_disposition = 'kept' and event in ('just-listed', 'back-in-stock')", *tagged(WEEK, FLOOR, FACTOR)),
     ),
     "lineage_spotlight": (
-        lambda m: ranking.spotlight(m.listings.where("in_stock and named_coral_id is not null and auction_end_time is null and not is_auction")),
+        lambda m: ranking.spotlight(market.carriers(m.listings, m.vendors, m.named_corals)),
         sql(
-            "select named_coral_id, vendor_id, id, current_price::double as current_price, vendors from (select o.*, s.vendors, row_number() over (partition by vendor_id order by current_price nulls last, first_seen_at desc, id desc) as n from carried o join (select named_coral_id, count(distinct vendor_id) as vendors from carried group by 1 having count(distinct vendor_id) >= 2 and count(current_price) >= 1 order by vendors desc, max(first_seen_at) desc, named_coral_id limit 1) s on s.named_coral_id = o.named_coral_id) where n = 1 order by current_price nulls last, id limit 9",
-            "carried as (select * from listings where in_stock and named_coral_id is not null and auction_end_time is null and not is_auction)",
+            "select named_coral_id, vendor_id, id, current_price::double as current_price, first_seen_at, vendors from (select o.*, s.vendors, row_number() over (partition by vendor_id order by first_seen_at desc, id desc) as n from carried o join (select named_coral_id, count(distinct vendor_id) as vendors from carried group by 1 having count(distinct vendor_id) >= 2 and count(current_price) >= 1 order by vendors desc, max(first_seen_at) desc, named_coral_id desc limit 1) s on s.named_coral_id = o.named_coral_id where current_price is not null) where n = 1 order by first_seen_at desc, id desc limit 9",
+            VISIBLE, "carried as (select l.* from listings l join visible v on v.id = l.vendor_id join named_corals c on c.id = l.named_coral_id where in_stock and auction_end_time is null and not is_auction)",
         ),
     ),
     "run_medians": (lambda m: health.run_medians(m.scraper_runs, NOW), sql("select * from medians", MEDIANS)),
@@ -317,7 +309,7 @@ _Q = {
     "digest_buckets": (
         lambda m: health.digest_buckets(_counts(m), _paths(m)),
         sql(
-            "select vendor_id, path, bucket, current, streak, case when bucket = 'pinged' then case when own < reached then own + interval '1' hour else own end end as slot, case when bucket in ('sparse', 'healthy') then median end as median, coalesce(bucket in ('sparse', 'healthy') and median > 0 and abs(current - median) / median > 0.5, false) as deviates "
+            "select vendor_id, path, bucket, current, streak, case when bucket = 'pinged' then case when own < reached then own + interval '1' hour else own end end as slot, case when bucket in ('sparse', 'healthy') then median end as median, coalesce(bucket in ('sparse', 'healthy') and median > 0 and abs(current - median) / median > 0.5, false) as deviates, coalesce(bucket in ('sparse', 'healthy') and median >= 5 and abs(current - median) / median > 0.5, false) as shown "
             "from (select *, date_trunc('hour', reached) + interval '11' minute as own, case when most = 0 then 'curator-empty' when streak >= 3 then 'pinged' when streak >= 1 then 'warn' when current < 3 then 'sparse' else 'healthy' end as bucket from each)",
             *HIST,
             "streaks as (select vendor_id, path, max(c) as most, max(case when n = 1 then c end) as current, coalesce(min(case when c > 0 then n end), max(n) + 1) - 1 as streak, max(started_at) as newest from hist group by 1, 2)",
@@ -329,10 +321,10 @@ _Q = {
         sql("select id, case when date_trunc('hour', started_at) + interval '11' minute < started_at then date_trunc('hour', started_at) + interval '71' minute else date_trunc('hour', started_at) + interval '11' minute end as slot, started_at > timestamp '2024-01-15 10:11:00' and started_at <= timestamp '2024-01-15 11:11:00' as current from scraper_runs"),
     ),
     "category_coverage": (
-        lambda m: health.coverage(m.listings.withColumn("category", F.when(F.col("id") % 4 != 0, F.col("category"))), text.infer_category(F.lit(None), F.lit(None), F.col("raw_title")).isNotNull()),
+        lambda m: health.coverage(m.listings.withColumn("category", F.when(F.col("id") % 4 != 0, F.col("category"))), m.vendors, text.infer_category(F.lit(None), F.lit(None), F.col("raw_title")).isNotNull()),
         sql(
             "select vendor_id, count(*) as n, count(*) filter (where c is null) as missing, round(count(*) filter (where c is null) / count(*), 6) as share, count(*) filter (where c is null and found is not null) as recoverable from classed group by rollup(vendor_id)",
-            f"classed as (select vendor_id, case when id % 4 <> 0 then category end as c, {_case_category()} as found from (select *, concat_ws(' ', '', '', raw_title) as hay, regexp_matches(raw_title, '(?i){NOT_CORAL}') as thing from listings) where in_stock and not is_auction)",
+            f"classed as (select vendor_id, case when id % 4 <> 0 then category end as c, {_case_category()} as found from (select *, concat_ws(' ', '', '', raw_title) as hay, regexp_matches(raw_title, '(?i){NOT_CORAL}') as thing from listings) where in_stock and not is_auction and vendor_id in (select id from vendors where not starts_with(slug, '_')))",
         ),
     ),
     "oos_calibration": (
@@ -346,7 +338,7 @@ _Q = {
     "stock_transitions": (lambda m: health.transitions(m.price_history), sql("select was, in_stock as now, count(*) as n from (select *, lag(in_stock) over (partition by listing_id order by observed_at, id) as was from price_history) where was is not null group by 1, 2")),
     "fast_gone": (
         lambda m: health.fast_gone(_velocity(m), m.listings),
-        sql("select listing_id, vendor_id, named_coral_id, first_in_stock_at, first_oos_at, exists (select 1 from listings l where l.vendor_id = v.vendor_id and l.named_coral_id = v.named_coral_id and l.id <> v.listing_id and l.first_seen_at > v.first_oos_at and l.first_seen_at <= v.first_oos_at + interval '168' hour) as relisted from velocity v where first_oos_at - first_in_stock_at <= interval '24' hour", *VELOCITY),
+        sql("select listing_id, vendor_id, named_coral_id, first_in_stock_at, first_oos_at, exists (select 1 from listings l where l.vendor_id = v.vendor_id and l.named_coral_id = v.named_coral_id and l.id <> v.listing_id and l.first_seen_at > v.first_oos_at and l.first_seen_at <= v.first_oos_at + interval '168' hour) as relisted from velocity v where first_oos_at - first_in_stock_at <= interval '24' hour", VISIBLE, *VELOCITY),
     ),
     "price_quantiles": (
         lambda m: health.nearest_rank(m.listings.where("in_stock"), ["vendor_id"], "current_price", (0.1, 0.5, 0.9)),

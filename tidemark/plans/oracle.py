@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.labels import TITLE_ENDS
 from ..sources.adapters import NOW, with_tables
 
 T = f"timestamp '{NOW}'"
@@ -9,6 +10,8 @@ SHOWN = "(category is null or category not in ('equipment', 'invert'))"
 VISIBLE = "visible as (select * from vendors where active and not starts_with(slug, '_'))"
 PREV = "prev as (select *, lag(price) over w as prior_price, lag(in_stock) over w as prior_stock, lag(observed_at) over w as prior_at from price_history window w as (partition by listing_id order by observed_at, id))"
 
+TITLE_SQL = f"trim(regexp_replace(regexp_replace(rtrim(strip_accents(lower(raw_title))), '(?i){TITLE_ENDS.replace(chr(39), chr(39) * 2)}', ''), '\\s+', ' ', 'g'))"
+
 
 def since(hours: int) -> str:
     return f"{T} - interval '{hours}' hour"
@@ -59,11 +62,22 @@ def drops(days: int) -> tuple[str, ...]:
     )
 
 
+#: WITH entries up to `velocity`, after VISIBLE.
+VELOCITY = (
+    f"gone as (select l.id as listing_id, l.vendor_id, l.named_coral_id from listings l join visible v on v.id = l.vendor_id join named_corals c on c.id = l.named_coral_id where not l.in_stock and l.auction_end_time is null and not l.is_auction and {SHOWN})",
+    "firsts as (select g.*, min(p.observed_at) as t from gone g join price_history p on p.listing_id = g.listing_id where p.in_stock group by all)",
+    "oos as (select f.listing_id, min(p.observed_at) as t from firsts f join price_history p on p.listing_id = f.listing_id and not p.in_stock and p.observed_at > f.t group by 1)",
+    "prior as (select f.listing_id, max(r.finished_at) as t from firsts f join scraper_runs r on r.vendor_id = f.vendor_id and r.status = 'success' and r.finished_at < f.t group by 1)",
+    "velocity as (select f.listing_id, f.vendor_id, f.named_coral_id, f.t as first_in_stock_at, o.t as first_oos_at, (select max(p.observed_at) from price_history p where p.listing_id = f.listing_id and p.in_stock and p.observed_at < o.t) as last_in_stock_at, r.t as prior_run_at from firsts f join oos o on o.listing_id = f.listing_id join prior r on r.listing_id = f.listing_id)",
+)
+
+
 def states(where: str, days: int | None) -> tuple[str, ...]:
     """WITH entries up to `states`, by the literal form: for every day and listing the last row of the log up to its end."""
     floor = "min(observed_at)::date" if days is None else f"greatest(min(observed_at)::date, {T}::date - {days})"
     return (
-        f"named as (select id as listing_id, named_coral_id, vendor_id from listings where {where})",
+        VISIBLE,
+        f"named as (select id as listing_id, named_coral_id, vendor_id from listings where {where} and vendor_id in (select id from visible))",
         f"spine as (select listing_id, unnest(generate_series({floor}::timestamp, {T}::date::timestamp, interval '1' day))::date as day from price_history join named using (listing_id) group by listing_id)",
         "states as (select n.named_coral_id, n.vendor_id, s.listing_id, s.day, (list(struct_pack(price := p.price, in_stock := p.in_stock) order by p.observed_at desc, p.id desc))[1] as s "
         "from spine s join named n using (listing_id) join price_history p on p.listing_id = s.listing_id and p.observed_at < s.day + interval '1' day group by all)",
