@@ -219,6 +219,18 @@ def test_whitening_of_real_and_odd_vectors(spark):
     check_whitening(whitening.whiten(real).collect(), [r["embedding"] for r in rows], [r["vec_id"] for r in rows])
 
 
+def test_triangles_of_many_tasks_combine(spark):
+    """A tree of several levels gives the R that one factorisation of all rows gives, but for signs."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-5000, 5000, size=(700, 5))
+    table = spark.createDataFrame([(row.astype("<i8").tobytes(),) for row in x], "x binary").repartition(70)
+    n, sums = whitening.totals(table, 5)
+    assert (n, sums) == (700, x.sum(0).tolist())
+    r = whitening.triangle(table, 5, whitening.Centre(n, sums))
+    want = np.linalg.qr(x - x.mean(0), mode="r")
+    assert r.shape == (5, 5) and np.allclose(np.abs(r), np.abs(want))
+
+
 def test_whitening_where_vectors_do_not_differ(spark):
     one = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0])]
     got = whitening.whiten(spark.createDataFrame(one, "vec_id long, embedding array<float>")).collect()

@@ -108,7 +108,7 @@ def triangle(fit: DataFrame, dims: int, centre: Centre) -> np.ndarray:
         if len(r):
             yield record(TaskContext.get().partitionId(), r)
 
-    def combined(key, table: pa.Table) -> pa.Table:
+    def combined(key, table):
         parts = sorted(zip(table.column("part").to_pylist(), table.column("r").to_pylist()))
         return pa.Table.from_batches([record(key[0].as_py(), reduce(np.frombuffer(r, "<f8").reshape(-1, dims) for _, r in parts))])
 
