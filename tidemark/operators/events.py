@@ -54,9 +54,9 @@ def listed_arm(listings: DataFrame, now: str, hours: int) -> DataFrame:
     return rows.select(F.col("id").alias("listing_id"), F.lit(EVENTS[2]).alias("event"), F.lit(3).alias("precedence"), F.col("first_seen_at").alias("event_at"), *_no_prices(rows))
 
 
-def log_arms(history: DataFrame, listings: DataFrame, now: str, hours: int, gap_hours: int = RESTOCK_HOURS) -> DataFrame:
-    """The drop and restock arms in one pass over the log; of restocks all that count, not only the first."""
-    rows = with_previous(history).where(F.col("observed_at") > hours_before(now, hours))
+def log_arms(history: DataFrame, listings: DataFrame, now: str, hours: int, gap_hours: int = RESTOCK_HOURS, changed: bool = False) -> DataFrame:
+    """The drop and restock arms in one pass over the log; of restocks all that count, not only the first. `changed`: the log has the previous states already."""
+    rows = (history if changed else with_previous(history)).where(F.col("observed_at") > hours_before(now, hours))
     arm = lambda n, new, prior: F.struct(F.lit(EVENTS[n - 1]).alias("event"), F.lit(n).alias("precedence"), new.cast("decimal(10,2)").alias("new_price"), prior.cast("decimal(10,2)").alias("prior_price"))
     drop = F.when(F.col("price") < F.col("prior_price"), arm(1, F.col("price"), F.col("prior_price")))
     back = F.when(F.expr(f"in_stock and prior_stock = false and observed_at - prior_at >= interval '{gap_hours}' hour"), arm(2, F.lit(None), F.lit(None)))
@@ -66,11 +66,11 @@ def log_arms(history: DataFrame, listings: DataFrame, now: str, hours: int, gap_
 
 
 def lead_events(
-    history: DataFrame, listings: DataFrame, vendors: DataFrame, corals: DataFrame, now: str, hours: int = 24, events: list[str] | None = None, limit: int | None = 100, listing_ids: DataFrame | None = None
+    history: DataFrame, listings: DataFrame, vendors: DataFrame, corals: DataFrame, now: str, hours: int = 24, events: list[str] | None = None, limit: int | None = 100, listing_ids: DataFrame | None = None, changed: bool = False
 ) -> DataFrame:
     """One event for each listing: the first by precedence, then the latest, of restocks the first. The filter asks what the lead event *is*, so it comes after the ranking.
 
-    `listing_ids`, a table with listing_id, restricts the listings; `limit` None gives all rows.
+    `listing_ids`, a table with listing_id, restricts the listings; `limit` None gives all rows; `changed` says that `history` has the previous states, as with_previous gives them.
     """
     for e in events or ():
         if e not in EVENTS:
@@ -78,7 +78,7 @@ def lead_events(
     if listing_ids is not None:
         listings = listings.join(listing_ids.select(F.col("listing_id").alias("id")), "id", "left_semi")
         history = history.join(listing_ids.select("listing_id"), "listing_id", "left_semi")
-    arms = log_arms(history, listings, now, hours).unionByName(listed_arm(listings, now, hours))
+    arms = log_arms(history, listings, now, hours, changed=changed).unionByName(listed_arm(listings, now, hours))
     lead = first_by(arms, ["listing_id"], [F.col("precedence").asc(), F.when(F.col("precedence") == 2, F.col("event_at")).asc(), F.col("event_at").desc(), F.col("new_price").asc_nulls_last(), F.col("prior_price").asc_nulls_last()])
     if events:
         lead = lead.where(F.col("event").isin(*events))
