@@ -2,13 +2,13 @@
 
 Every node of a page's tree has its characters, tags, link characters and link tags. A node's density is
 characters per tag, adjusted so that text inside links counts for less; its density sum adds the densities of its children. The
-subtree with the largest sum is the article's core. On the way from it up to the body other parts join it: outside an article or main element
-those that are at least as dense as the body-path threshold and half as dense as the core, inside one all but lists of links. The
-threshold is the smallest density on that path below the body, and the body's at least.
+subtree with the largest sum is the article's core, whatever its tag or name. On the way from it up to the body other parts join it: those that are at least as dense as the
+body-path threshold and half as dense as the core. The threshold is the smallest density on that path below the body, and the body's at least. Where an article or main element holds the
+core, plain parts of it that are less dense (captions, bylines, short paragraphs) join too, lists of links don't. On the pages of the test tables density alone gives the same texts.
 
-Elements that never hold article text (scripts, menus, forms, ...) and parts whose class or id says so beyond doubt (comments, adverts, ...) go
-before densities are computed. Words that articles use as well (notice, discussion, header, ...) count only where the whole name consists of such words; inside
-an article or main element such a part goes only if it is less than half as dense as the threshold.
+Elements that never hold article text (scripts, menus, controls, ...) and parts whose class or id has only words for such parts (comments, related-posts, ad-slot, ...) go
+before densities are computed. Names that have other words too (related-work, newsletter-history), elements hidden from assistive tools and an article's own header are only suspects: inside an article or main
+element they go if they are less than half as dense as the threshold, of a header all but its headings. A form stays only as the frame of the whole: if the core is in it.
 """
 
 from __future__ import annotations
@@ -27,23 +27,24 @@ from .common import pieces
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never article text.
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input label iframe object svg math canvas audio video dialog menu map datalist".split()
+    "script style noscript template head title nav footer aside button select option textarea input label iframe object svg math canvas audio video dialog menu map datalist".split()
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar status".split())
-#: Words of a class or id that alone mark a part as something other than the article.
+#: Words of a class or id that mark a part as something other than the article, if the name has no others but these, WEAK and NEUTRAL ones and COMPANIONS; with others they make it a suspect.
 STRONG = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored promo promotion
     nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination sidebar sidebars
     widget widgets related recommended share sharing social newsletter subscribe subscription signup login cookie cookies consent
     gdpr popup comment comments commentlist respond disqus""".split()
 )
-#: Words that do so if a name has no others but these, STRONG and NEUTRAL ones.
+#: Words that do so outside an article; inside one they make a part a suspect.
 WEAK = frozenset("banner banners pager toc footer header masthead topbar toolbar aside rail notice notices alert alerts modal overlay reply replies discussion form search copyright legal disclaimer".split())
 NEUTRAL = frozenset("site page global top bottom left right inner outer main box block bar list area wrap wrapper container row col column section item items widget part id class the and fixed sticky mobile desktop".split())
+COMPANIONS = frozenset("post posts article articles content entry story stories blog user users reader readers count link links button btn icon latest popular more slot unit panel card cards module".split())
 CONTENT = frozenset(("article", "main"))
 #: A start tag closes these open elements first.
 P_ENDS = frozenset(
@@ -55,10 +56,10 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "dropped", "weak", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "items", "dropped", "weak", "heads_only", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, dropped: bool, weak: bool = False):
-        self.tag, self.up, self.items, self.dropped, self.weak = tag, up, [], dropped, weak
+        self.tag, self.up, self.items, self.dropped, self.weak, self.heads_only = tag, up, [], dropped, weak, False
 
 
 def _marks(tag: str, attrs: list, in_content: bool) -> tuple[bool, bool]:
@@ -66,15 +67,16 @@ def _marks(tag: str, attrs: list, in_content: bool) -> tuple[bool, bool]:
     if tag in DROPPED:
         return True, False
     if tag == "header":
-        return not in_content, False
-    weak = False
+        return not in_content, in_content
+    suspect = weak = False
     for k, v in attrs:
-        if k == "hidden" or (k == "aria-hidden" and v == "true"):
+        if k == "hidden":
             return True, False
         if not v:
             continue
-        if k == "style" and "display:none" in v.replace(" ", "").lower() or k == "role" and v.lower() in ROLES:
+        if k == "style" and "display:none" in v.replace(" ", "").lower() or k == "role" and v.lower() in ROLES and tag != "form":
             return True, False
+        suspect |= k == "aria-hidden" and v == "true"
         if k in ("class", "id", "itemprop") and tag not in HEADINGS:
             for name in v.split():
                 words = {m.lower() for m in _WORD.findall(name)}
@@ -83,10 +85,13 @@ def _marks(tag: str, attrs: list, in_content: bool) -> tuple[bool, bool]:
                     if tag == "article" and not words.isdisjoint(("comment", "comments", "reply")):
                         return True, False
                 elif k != "itemprop":
+                    known = words <= STRONG | WEAK | NEUTRAL | COMPANIONS
                     if not words.isdisjoint(STRONG):
-                        return True, False
-                    weak |= not words.isdisjoint(WEAK) and words <= WEAK | NEUTRAL
-    return weak and not in_content, weak
+                        if known or tag == "form":
+                            return True, False
+                        suspect = True
+                    weak |= tag != "form" and not words.isdisjoint(WEAK) and words <= WEAK | NEUTRAL
+    return weak and not in_content, suspect or weak
 
 
 class Tree(HTMLParser):
@@ -96,6 +101,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
         self.open: Counter = Counter()  # elements that are open, by tag
+        self.forms: list[Node] = []
 
     def _leave(self, to: Node) -> None:
         while self.at is not to:
@@ -119,6 +125,8 @@ class Tree(HTMLParser):
         drop, weak = (True, False) if at.dropped else _marks(tag, attrs, self.open["article"] + self.open["main"] > 0)
         node = Node(tag, at, drop, weak)
         at.items.append(node)
+        if tag == "form" and not drop:
+            self.forms.append(node)
         if tag not in VOID:
             self.at = node
             self.open[tag] += 1
@@ -246,7 +254,8 @@ def _select(root: Node) -> None:
     while todo:
         for x in _parts(todo.pop()):
             if x.weak and x.density < threshold / 2:
-                x.dropped = True
+                x.heads_only = x.tag == "header"
+                x.dropped = not x.heads_only
             else:
                 todo.append(x)
 
@@ -278,7 +287,7 @@ def _text(top: Node) -> str:
             end()
             todo.append(None)
             items = x.items
-            if x.tag == "header":
+            if x.heads_only:
                 items = [y for y in items if not isinstance(y, str) and y.tag in HEADINGS]
             todo += reversed(items)
     end()
@@ -295,6 +304,14 @@ def main_text(html: str | None) -> str:
     _measure(tree.root)
     if not tree.root.chars:
         return ""
+    if tree.forms:
+        held, at = set(), _core(tree.root)
+        while at is not None:
+            held.add(at)
+            at = at.up
+        for form in tree.forms:
+            form.dropped = form not in held
+        _measure(tree.root)
     _select(tree.root)
     return _text(tree.root)
 

@@ -473,17 +473,11 @@ def repeated_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of `docs` with text less its repeated lines, and _n_lines, _n_removed: lines with a word, and those that went.
-
-    Of each connected group one occurrence stays: the first in the document with the smallest doc_id. Lines without a word (blank, or
-    punctuation only) stay. Null text stays null and has no lines; rows with one doc_id count as one document, each with its own first
-    occurrence; without a doc_id rows of one text count as one document, and come after all others. All other columns stay, whatever their names but _n_lines and
-    _n_removed; no rows give no rows. Lines are handled whole, however long.
-    """
+def _deduped(docs: DataFrame, similarity: int) -> DataFrame:
+    """(row, text, lines, lost): each row of `docs` as a struct without its text, so that no name of it can clash; the text less its repeated lines, its lines with a word, and those that went."""
     decided = repeated_lines(docs, similarity)
     others = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(F.struct(*others).alias("rest"), "text", "doc_id", _alt().alias("alt"))
+    keyed = docs.select(F.struct(*others).alias("row"), "text", "doc_id", _alt().alias("alt"))
     joined = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("alt") == F.col("_alt")), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,22 +504,39 @@ def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                         spelt[r] = "\n".join(x for j, x in enumerate(spelt[r].split("\n")) if j not in gone)
                         lost[r] = len(gone)
                 texts = pa.array(spelt, pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("rest"), texts, pa.array(total.astype(np.int64)), pa.array(lost)], names=["rest", "text", "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), texts, pa.array(total.astype(np.int64)), pa.array(lost)], names=["row", "text", "lines", "lost"])
+
+    schema = StructType([StructField("row", keyed.schema["row"].dataType), StructField("text", StringType()), StructField("lines", LongType()), StructField("lost", LongType())])
+    return joined.select("row", "text", "_found").mapInArrow(run, schema)
+
 
-    schema = StructType([StructField("rest", keyed.schema["rest"].dataType), StructField("text", StringType()), StructField("_n_lines", LongType()), StructField("_n_removed", LongType())])
-    out = joined.select("rest", "text", "_found").mapInArrow(run, schema)
-    return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], "_n_lines", "_n_removed")
+def _columns(docs: DataFrame, **more: Column) -> list[Column]:
+    """The columns of `docs` again from _deduped(); those in `more` are replaced."""
+    return [more[c].alias(c) if c in more else F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def dedup_lines(docs: DataFrame, similarity: int = SIMILARITY, counts: tuple[str, str] = ("_n_lines", "_n_removed")) -> DataFrame:
+    """The rows of `docs` with text less its repeated lines, and two columns named as in `counts`: lines with a word, and those that went.
+
+    Of each connected group one occurrence stays: the first in the document with the smallest doc_id. Lines without a word (blank, or
+    punctuation only) stay. Null text stays null and has no lines; rows with one doc_id count as one document, each with its own first
+    occurrence; without a doc_id rows of one text count as one document, and come after all others. All other columns stay, whatever their names; one that has a
+    name of `counts` is an error; no rows give no rows. Lines are handled whole, however long.
+    """
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in counts}:
+        raise ValueError(f"the table has columns named as the counts: {', '.join(sorted(clash))}")
+    return _deduped(docs, similarity).select(*_columns(docs), F.col("lines").alias(counts[0]), F.col("lost").alias(counts[1]))
 
 
 def removed(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_lines, n_removed, text_sha256) for every row of docs(doc_id, text, ...): the digest of dedup_lines(), a null text's hash being null."""
-    out = dedup_lines(docs.select("doc_id", "text"), similarity)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+    out = _deduped(docs.select("doc_id", "text"), similarity)
+    return out.select(F.col("row.doc_id").alias("doc_id"), F.col("lines").alias("n_lines"), F.col("lost").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def without_repeated_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of `docs` less their repeated lines; those that had lines and lost all of them go. n_chars follows the text where there is one."""
-    out = dedup_lines(docs, similarity).where("_n_removed = 0 or _n_lines > _n_removed")
+    out, more = _deduped(docs, similarity).where("lost = 0 or lines > lost"), {}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        more["n_chars"] = F.when(F.col("lost") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return out.select(*_columns(docs, **more))
