@@ -217,6 +217,11 @@ def html_escape(text: Column) -> Column:
     return out
 
 
+def markdown_escape(text: Column) -> Column:
+    """A backslash before each character that marks up a chat message."""
+    return F.regexp_replace(text, r"([\\*_~`|\[\]])", r"\\$1")
+
+
 def one_of(value: Column, allowed: tuple[str, ...], default: str | None = None) -> Column:
     """A request's value if it is allowed, else the default."""
     return F.when(value.isin(*allowed), value).otherwise(F.lit(default))

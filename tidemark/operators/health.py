@@ -119,18 +119,6 @@ def transitions(history: DataFrame) -> DataFrame:
     return rows.groupBy("was", F.col("in_stock").alias("now")).agg(F.count("*").alias("n"))
 
 
-def fast_gone(velocity: DataFrame, listings: DataFrame, hours: int = 24, days: int = 7) -> DataFrame:
-    """Gone within `hours` of the first sight, and whether the same coral came again at the vendor within `days`: the next arrival of each vendor and coral, carried back over one ordered sequence."""
-    fast = velocity.where(F.expr(f"first_oos_at - first_in_stock_at <= interval '{hours}' hour"))
-    keys = ["vendor_id", "named_coral_id"]
-    gone = fast.select(*keys, "listing_id", F.col("first_oos_at").alias("t"), F.lit(1).alias("_kind"), F.lit(None).cast("timestamp_ntz").alias("back_at"))
-    came = listings.where("named_coral_id is not null").select(*keys, F.lit(None).cast("long").alias("listing_id"), F.col("first_seen_at").alias("t"), F.lit(0).alias("_kind"), F.col("first_seen_at").alias("back_at"))
-    after = Window.partitionBy(*keys).orderBy("t", "_kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # an arrival at the same instant is before
-    following = gone.unionByName(came).withColumn("_next", F.min("back_at").over(after)).where("listing_id is not null").select("listing_id", "_next")
-    relisted = F.coalesce(F.expr(f"_next <= first_oos_at + interval '{24 * days}' hour"), F.lit(False))
-    return fast.join(following, "listing_id").select("listing_id", *keys, "first_in_stock_at", "first_oos_at", relisted.alias("relisted"))
-
-
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], half_even: bool = True) -> DataFrame:
     """For each group the values at the rounded rank share * (n - 1): a value that occurs, unlike an interpolated percentile.
 

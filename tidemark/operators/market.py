@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import data_row, originator, price_text, tied_vendors
+from ..functions.text import data_row, markdown_escape, originator, price_text, price_value, relative_time, type_label
 from .common import at, days_before, first_by, not_excluded, of_visible, top, visible
 from .timeseries import browseable
 
@@ -224,6 +224,49 @@ def digest_groups(events: DataFrame, per_vendor: int | None = 3) -> DataFrame:
     return rows.orderBy(F.col("group_size").desc(), "vendor_slug", "place")
 
 
+#: A digest's characters (as UTF-16 counts them) and lines for each vendor.
+DIGEST_CHARS, DIGEST_LINES = 4096, 3
+
+
+def _chars(text: Column) -> Column:
+    return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("long")
+
+
+def digest_blocks(events: DataFrame, now: str, more_at: str, lines: int = DIGEST_LINES, budget: int = DIGEST_CHARS, before: str = "") -> DataFrame:
+    """(place, display_name, n, collapsed, block): a digest's text by vendor, the busiest first and then by name, in a vendor by precedence and then newest.
+
+    A block is a heading, `lines` lines and how many more there are at `more_at`. While all blocks and the text `before` them are longer than `budget`, the quietest vendor's block that is
+    still whole becomes its heading and the number of its rows: by sums from the first block on, a block collapses if the whole blocks up to it and the collapsed ones after it don't fit.
+    """
+    rows = events.where(not_excluded()).where("not (event = 'just-listed' and bulk_cluster)")
+    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("display_name").orderBy("precedence", F.col("event_at").desc(), "listing_id")))
+    price = price_value(F.col("current_price"), F.lit(True), F.col("prior_price"), F.col("compare_at_price"))
+    shown = F.when(price["old_value"].isNotNull(), F.concat(F.lit("~~"), price["old_value"], F.lit("~~ "), price["value"])).otherwise(price["value"])
+    fields = F.array(F.struct(F.lit("Price").alias("label"), shown.alias("value")), F.struct(F.when(F.col("event") == "back-in-stock", "Back").otherwise("Listed").alias("label"), relative_time(F.coalesce("event_at", "first_seen_at"), at(now)).alias("value")))
+    bold = lambda text: F.concat(F.lit("**"), markdown_escape(text), F.lit("**"))
+    name = bold(F.col("raw_title"))
+    linked = F.when(F.col("product_url").rlike("(?i)^https://"), F.concat(F.lit("["), name, F.lit("](<"), F.col("product_url"), F.lit(">)"))).otherwise(name)
+    kept = F.when(F.col("_row") <= lines, F.struct("_row", F.concat(linked, F.lit(" — "), data_row(fields)).alias("line")))
+    per = rows.groupBy("display_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(kept)).alias("_lines"))  # nulls are not gathered: `lines` structs at most
+    count = lambda n: n.cast("string")
+    head = F.concat(bold(F.col("display_name")), F.lit(" — "), count(F.col("n")), F.when(F.col("n") == 1, " drop").otherwise(" drops"))
+    tail = lambda n: F.concat(F.lit("\n+ "), count(n), F.lit(f" more at {more_at}"))
+    whole = F.concat(head, F.lit("\n"), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"), F.when(F.col("n") > lines, tail(F.col("n") - lines)).otherwise(""))
+    per = per.select("display_name", "n", whole.alias("_whole"), F.concat(head, tail(F.col("n"))).alias("_short"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), F.lower("display_name"), "display_name")  # one digest: a row for each vendor
+    per = per.withColumn("place", F.row_number().over(order))
+    up_to, after = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(1, Window.unboundedFollowing)
+    size = len(before.encode("utf-16-le")) // 2 + F.sum(_chars(F.col("_whole"))).over(up_to) + F.coalesce(F.sum(_chars(F.col("_short"))).over(after), F.lit(0)) + 2 * (F.count("*").over(Window.partitionBy(F.lit(0))) - 1)
+    per = per.withColumn("collapsed", size > budget)
+    return per.select("place", "display_name", "n", "collapsed", F.when(F.col("collapsed"), F.col("_short")).otherwise(F.col("_whole")).alias("block"))
+
+
+def digest_text(blocks: DataFrame, budget: int = DIGEST_CHARS, before: str = "") -> DataFrame:
+    """One row (text): the blocks under `before`, cut to the budget if even collapsed ones are too long. Without blocks the text is `before`."""
+    text = F.concat(F.lit(before), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "\n\n"))
+    return blocks.agg(text.alias("text")).select(F.when(_chars(F.col("text")) > budget, F.concat(F.substring("text", 1, budget - 1), F.lit("…"))).otherwise(F.col("text")).alias("text"))
+
+
 def watchdog(events: DataFrame) -> DataFrame:
     """One row: events that a digest would show, and those left out as bulk arrivals."""
     rows = events.where(not_excluded())
@@ -243,25 +286,43 @@ def offer_summary(listings: DataFrame) -> DataFrame:
     return rows.groupBy("named_coral_id").agg(F.min("current_price").alias("low_price"), F.max("current_price").alias("high_price"), F.count("*").alias("offer_count"))
 
 
-def reference_fields(listings: DataFrame, vendors: DataFrame, corals: DataFrame) -> DataFrame:
-    """(named_coral_id, reference, summary): a coral's line in a text, and on its page.
+def _cheapest_of(listings: DataFrame, vendors: DataFrame, offer: Column, most: int = 3) -> DataFrame:
+    """(named_coral_id, low, n, vendors, listed_at) over a coral's rows where `offer` holds: the lowest price, how many offers, who has it (the newest first, `most` named, how many more) and when its newest listing there was listed.
 
-    The line has the lowest price, who has it, and the month the coral was first seen; the page's has the originator too. Corals without an offer
-    have an empty line.
+    Ties are ranked by window: of a coral with many tied vendors only `most` are gathered.
+    """
+    rows = listings.where("named_coral_id is not null").where(offer).join(vendors.select(F.col("id").alias("vendor_id"), F.col("label").alias("vendor")), "vendor_id", "left")
+    low = rows.groupBy("named_coral_id").agg(F.min("current_price").alias("low"), F.count("*").alias("n"))
+    newest = [F.col("first_seen_at").desc(), F.col("id").asc()]
+    ties = rows.join(low, "named_coral_id").where("current_price = low")
+    one = first_by(ties, ["named_coral_id", "vendor"], newest).withColumn("_place", F.row_number().over(Window.partitionBy("named_coral_id").orderBy(*newest)))
+    named = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= most, F.struct("_place", "vendor")))), lambda x: x["vendor"]), ", ")
+    more = F.count(F.when(F.col("_place") > most, 1))
+    tied = one.groupBy("named_coral_id").agg(F.concat(named, F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise("")).alias("vendors"), F.max(F.when(F.col("_place") == 1, F.col("first_seen_at"))).alias("listed_at"))
+    return low.join(tied, "named_coral_id")
+
+
+def reference_fields(listings: DataFrame, vendors: DataFrame, corals: DataFrame, now: str, labels: DataFrame | None = None) -> DataFrame:
+    """(named_coral_id, reference, summary, lineage): a coral's line in a text, on its page, and its own line there.
+
+    The text's line has the lowest price above 0, who has it, and the month the coral was first seen, and is empty without an offer. The page's has the lowest price of any kind (0 too), who has
+    it, the originator, and how long ago the cheapest was listed; the coral's own has its type and originator. Vendors are shown by labels(slug, label), else by their display names.
     """
-    names = vendors.select(F.col("id").alias("vendor_id"), F.col("slug").alias("vendor"))
-    rows = listings.where("named_coral_id is not null").join(names, "vendor_id", "left")
-    offer = F.when(F.expr("in_stock and current_price > 0"), F.col("current_price"))
-    per = rows.groupBy("named_coral_id").agg(F.min(offer).alias("low"), F.count(offer).alias("n"), F.min("first_seen_at").alias("first"))
-    ties = rows.where("in_stock and current_price > 0").join(per.select("named_coral_id", "low"), "named_coral_id").where("current_price = low")
-    tied = ties.groupBy("named_coral_id").agg(tied_vendors(F.transform(F.array_sort(F.collect_list(F.struct("id", "vendor"))), lambda x: x["vendor"])).alias("vendors"))
-    every = per.join(tied, "named_coral_id", "left").join(corals.select(F.col("id").alias("named_coral_id"), "origin_vendor"), "named_coral_id", "left")
+    short = vendors.join(labels, "slug", "left") if labels is not None else vendors.withColumn("label", F.lit(None).cast("string"))
+    short = short.select("id", F.coalesce("label", "display_name").alias("label"))
+    own = _cheapest_of(listings, short, F.expr("in_stock and current_price > 0"))
+    page = _cheapest_of(listings, short, F.expr("in_stock and current_price is not null"))
+    first = listings.where("named_coral_id is not null").groupBy("named_coral_id").agg(F.min("first_seen_at").alias("first"))
+    every = first.join(own.toDF("named_coral_id", "low", "n", "vendors", "_"), "named_coral_id", "left").drop("_").join(page.toDF("named_coral_id", "any_low", "_n", "any_vendors", "listed_at"), "named_coral_id", "left")
+    every = every.join(corals.select(F.col("id").alias("named_coral_id"), "origin_vendor", "coral_type"), "named_coral_id", "left")
     field = lambda label, value: F.struct(label.alias("label") if isinstance(label, Column) else F.lit(label).alias("label"), value.alias("value"))
-    shown = F.when(F.col("low").isNotNull(), price_text(F.col("low")))
+    shown = lambda low: F.when(F.col(low).isNotNull(), price_text(F.col(low)))
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
     month = F.when(F.col("low").isNotNull(), F.date_format("first", "MMM yyyy"))
-    line = F.array(field(F.when(F.col("n") > 1, "Cheapest now").otherwise("Listed now"), shown), field("Vendor", F.col("vendors")), field("First seen", month))
-    page = F.array(field("Price", shown), field("Vendor", F.col("vendors")), field("Lineage", originator(F.col("origin_vendor"))))
-    return every.select("named_coral_id", data_row(line).alias("reference"), data_row(page).alias("summary"))
+    line = F.array(field(F.when(F.col("n") > 1, "Cheapest now").otherwise("Listed now"), shown("low")), field("Vendor", F.col("vendors")), field("First seen", month))
+    summary = F.array(field("Price", shown("any_low")), field("Vendor", F.col("any_vendors")), field("Lineage", originator(given("origin_vendor"))), field("Listed", F.when(F.col("listed_at").isNotNull(), relative_time(F.col("listed_at"), at(now)))))
+    lineage = F.array(field("Type", type_label(given("coral_type"))["display"]), field("Origin", originator(given("origin_vendor"))))
+    return every.select("named_coral_id", data_row(line).alias("reference"), data_row(summary).alias("summary"), data_row(lineage).alias("lineage"))
 
 
 def featured_in(guides: DataFrame, tags: tuple[str, ...]) -> DataFrame:

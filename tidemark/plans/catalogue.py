@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import core, documents, ingest, posts, writes
+from . import core, documents, ingest, posts, studies, writes
 
 FLAGSHIP = "lead_events"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (core, ingest, posts, documents, writes):
+for part in (core, ingest, posts, documents, writes, studies):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

@@ -12,7 +12,7 @@ from ..operators.common import plain
 from ..sources import catalogues
 from ..sources.adapters import NOW, Model
 from .ingest import _drops
-from .oracle import TITLE_SQL, drops, sql, states
+from .oracle import T, TITLE_SQL, drops, sql, states
 from .posts import NOUNS, TOKENS, _in
 
 PER_PAGE = 20
@@ -82,6 +82,23 @@ def _guides(m: Model) -> DataFrame:
     return m.named_corals.select(F.concat(F.lit("guide-"), "id").alias("slug"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias("updated"), body.alias("body"))
 
 
+def _kind() -> Column:
+    return F.get(F.array(F.lit(""), F.lit("sps"), F.lit("ZOA"), F.lit("Acropora tenuis")), (F.col("id") % 4).cast("int"))
+
+
+def _cheapest(name: str, test: str) -> tuple[str, ...]:
+    """WITH entries: of each coral the lowest price that passes, the number of offers, its vendors (newest first, three named) and the newest listing's time."""
+    return (
+        f"{name}_offers as (select *, min(current_price) over (partition by named_coral_id) as low, count(*) over (partition by named_coral_id) as n from listings where in_stock and named_coral_id is not null and {test})",
+        f"{name}_tied as (select named_coral_id, low, n, label, first_seen_at, o.id from {name}_offers o join shops on shops.id = o.vendor_id where current_price = low qualify row_number() over (partition by named_coral_id, label order by first_seen_at desc, o.id) = 1)",
+        f"{name} as (select named_coral_id, low::double as low, n, array_to_string(list(label order by first_seen_at desc, id)[1:3], ', ') || case when count(*) > 3 then ' +' || (count(*) - 3) else '' end as v, max_by(first_seen_at, (first_seen_at, -id)) as listed_at from {name}_tied group by 1, 2, 3)",
+    )
+
+
+_SECONDS = f"greatest(0, epoch({T})::bigint - floor(epoch(p.listed_at))::bigint)"
+_AGO = f"case when {_SECONDS} >= 604800 then strftime(p.listed_at, '%b %-d') when {_SECONDS} >= 86400 then {_SECONDS} // 86400 || ' day' || case when {_SECONDS} // 86400 = 1 then ' ago' else 's ago' end when {_SECONDS} >= 3600 then {_SECONDS} // 3600 || ' hour' || case when {_SECONDS} // 3600 = 1 then ' ago' else 's ago' end else greatest(1, {_SECONDS} // 60) || ' minute' || case when greatest(1, {_SECONDS} // 60) = 1 then ' ago' else 's ago' end end"
+
+
 _Q = {
     "grid_cards": (
         lambda m: catalogues.parse_grid(_grid(m)).drop("place"),
@@ -117,20 +134,20 @@ _Q = {
     ),
     "fetch_classes": (
         lambda m: _fetches(m).select("id", catalogues.fetch_error(F.col("status"), F.col("body")).alias("error")),
-        sql("select id, case when id % 7 = 6 then 'network' when id % 7 = 2 then 'http_429' when id % 7 = 3 or (id % 7 = 1 and not away) then 'http_5xx' when id % 7 in (0, 1, 5) and away then 'block' when id % 7 = 4 then 'other' end as error from (select id, id % 3 = 0 and id % 50 * 100 + 28 <= 4096 as away from listings)"),
+        sql("select id, case when id % 7 = 6 then 'network' when id % 7 = 2 then 'http_429' when id % 7 = 3 then 'http_5xx' when id % 7 in (0, 1, 5) and away then 'block' when id % 7 in (1, 4) then 'other' end as error from (select id, id % 3 = 0 and id % 50 * 100 + 28 <= 4096 as away from listings)"),
     ),
     "offer_summaries": (
         lambda m: market.offer_summary(m.listings),
         sql("select named_coral_id, min(current_price)::double as low_price, max(current_price)::double as high_price, count(*) as offer_count from listings where in_stock and current_price > 0 and named_coral_id is not null group by 1"),
     ),
     "reference_fields": (
-        lambda m: market.reference_fields(m.listings, m.vendors, m.named_corals),
+        lambda m: market.reference_fields(m.listings, m.vendors, m.named_corals.withColumn("coral_type", _kind()), NOW, m.vendors.where("id % 3 = 0").select("slug", F.concat(F.lit("V"), "id").alias("label"))),
         sql(
-            "select p.named_coral_id, case when low is null then '' else case when n > 1 then 'Cheapest now. ' else 'Listed now. ' end || printf('$%.2f', low) || ' — Vendor. ' || v || ' — First seen. ' || strftime(first, '%b %Y') end as reference, coalesce(printf('Price. $%.2f', low) || ' — Vendor. ' || v || ' — ', '') || 'Lineage. ' || c.origin_vendor as summary "
-            "from per p join named_corals c on c.id = p.named_coral_id left join tied t on t.named_coral_id = p.named_coral_id",
-            "per as (select named_coral_id, (min(current_price) filter (where in_stock and current_price > 0))::double as low, count(*) filter (where in_stock and current_price > 0) as n, min(first_seen_at) as first from listings where named_coral_id is not null group by 1)",
-            "ties as (select l.named_coral_id, v.slug, min(l.id) as id from listings l join per p on p.named_coral_id = l.named_coral_id and l.current_price::double = p.low and l.in_stock left join vendors v on v.id = l.vendor_id group by 1, 2)",
-            "tied as (select named_coral_id, array_to_string(list(slug order by id)[1:3], ', ') || case when count(*) > 3 then ' +' || (count(*) - 3) else '' end as v from ties group by 1)",
+            f"""select f.named_coral_id, case when o.low is null then '' else case when o.n > 1 then 'Cheapest now. ' else 'Listed now. ' end || printf('$%.2f', o.low) || ' — Vendor. ' || o.v || ' — First seen. ' || strftime(f.first, '%b %Y') end as reference,
+              coalesce(printf('Price. $%.2f', p.low) || ' — Vendor. ' || p.v || ' — ', '') || 'Lineage. ' || c.origin_vendor || coalesce(' — Listed. ' || {_AGO}, '') as summary,
+              case c.id % 4 when 0 then '' when 1 then 'Type. SPS — ' when 2 then 'Type. Zoa — ' else 'Type. Acropora tenuis — ' end || 'Origin. ' || c.origin_vendor as lineage
+            from (select named_coral_id, min(first_seen_at) as first from listings where named_coral_id is not null group by 1) f join named_corals c on c.id = f.named_coral_id left join own o on o.named_coral_id = f.named_coral_id left join page p on p.named_coral_id = f.named_coral_id""",
+            "shops as (select id, case when id % 3 = 0 then 'V' || id else display_name end as label from vendors)", *_cheapest("own", "current_price > 0"), *_cheapest("page", "current_price is not null"),
         ),
     ),
     "featured_corals": (

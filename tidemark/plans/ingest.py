@@ -336,10 +336,6 @@ _Q = {
         sql(f"select vendor_id, place, id, listings_oos from (select *, row_number() over (partition by vendor_id order by listings_oos desc, id) as place from scraper_runs where status = 'success' and started_at >= {since(336)}) where place <= 3"),
     ),
     "stock_transitions": (lambda m: health.transitions(m.price_history), sql("select was, in_stock as now, count(*) as n from (select *, lag(in_stock) over (partition by listing_id order by observed_at, id) as was from price_history) where was is not null group by 1, 2")),
-    "fast_gone": (
-        lambda m: health.fast_gone(_velocity(m), m.listings),
-        sql("select listing_id, vendor_id, named_coral_id, first_in_stock_at, first_oos_at, exists (select 1 from listings l where l.vendor_id = v.vendor_id and l.named_coral_id = v.named_coral_id and l.id <> v.listing_id and l.first_seen_at > v.first_oos_at and l.first_seen_at <= v.first_oos_at + interval '168' hour) as relisted from velocity v where first_oos_at - first_in_stock_at <= interval '24' hour", VISIBLE, *VELOCITY),
-    ),
     "price_quantiles": (
         lambda m: health.nearest_rank(m.listings.where("in_stock"), ["vendor_id"], "current_price", (0.1, 0.5, 0.9)),
         sql("select vendor_id, n, " + ", ".join(f"prices[(floor(x{q}) + case when x{q} - floor(x{q}) > 0.5 or (x{q} - floor(x{q}) = 0.5 and floor(x{q})::bigint % 2 = 1) then 1 else 0 end)::bigint + 1]::double as p{q}" for q in (10, 50, 90)) + " from (select *, (n - 1) * 0.1::double as x10, (n - 1) * 0.5::double as x50, (n - 1) * 0.9::double as x90 from (select vendor_id, count(*) as n, list(current_price order by current_price) as prices from listings where in_stock and current_price is not null group by 1))"),

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PRICE_CEILING, coerce_variants, infer_category, lineage_flag, normal_tag, normalize_title, sku_ends_with
@@ -17,7 +17,7 @@ PRODUCTS = """products array<struct<id bigint, title string, handle string, prod
   variants array<struct<sku string, available boolean, price string, compare_at_price string>>, images array<struct<src string>>>>"""
 #: Tags of an auction where a vendor states none.
 AUCTION_TAGS = ("auction", "auctions")
-AXES = {"product_types", "tags", "no_tags", "no_title_parts", "no_title_starts", "no_titles", "no_sku_ends"}
+AXES = {"product_types", "tags", "no_tags", "no_title_parts", "no_title_starts", "no_titles", "no_sku_ends", "auction_tags"}
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
@@ -31,14 +31,23 @@ def schema_sentinel(json: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.json_object_keys(first)), ","), 256)
 
 
+def _never(axis: str, x: str) -> bool:
+    """Whether an entry could never match, or would always: the axes compare differently."""
+    if axis == "product_types":
+        return x != "" and not x.strip()
+    if axis == "tags":
+        return not x or x != x.strip()
+    return not (x.replace("-", " ") if axis == "no_tags" else x).strip()
+
+
 def validate_axes(config: dict) -> dict:
-    """The filter's axes: each a list of texts that aren't blank."""
+    """The filter's axes without unset ones (null): each a list of texts that can match. filter_rules() says the same of a table of filters."""
     for axis, entries in config.items():
         if axis not in AXES:
             raise ValueError(f"config: no such axis: {axis}")
-        if not isinstance(entries, list) or not all(isinstance(x, str) and x.strip() for x in entries):
-            raise ValueError(f"config: {axis} is a list of texts that aren't blank")
-    return config
+        if entries is not None and (not isinstance(entries, list) or not all(isinstance(x, str) and not _never(axis, x) for x in entries)):
+            raise ValueError(f"config: {axis} is a list of texts that match something, but not everything")
+    return {axis: entries for axis, entries in config.items() if entries}
 
 
 def keep_reason(config: dict, available_only: bool = True, auction_tags: tuple[str, ...] | None = None) -> Column:
@@ -76,6 +85,59 @@ def is_auction(auction_tags: tuple[str, ...] | None = None) -> Column:
     return out | F.exists(raw, lambda t: F.lower(F.trim(t)).rlike(r"^auctions?$|^auction\d+$")) if rounds else out
 
 
+def filter_rules(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every vendor's filter as rows, from configs(vendor_id, filter), a JSON text: rules(vendor_id, axis, entry) and what is wrong with them, errors(vendor_id, axis, entry, problem).
+
+    A missing filter, an axis that is null and an empty list are no rules. An axis that isn't known or isn't a list, an entry that isn't a text, and one that its axis could never match, or
+    would always, are errors: blank ones everywhere but an empty product type, and white space at the ends of an allowed tag.
+    """
+    whole = configs.where("filter is not null").select("vendor_id", F.try_parse_json("filter").alias("v"))
+    kind = F.schema_of_variant("v")
+    bad = whole.where(F.col("v").isNull() | ~kind.startswith("OBJECT")).select("vendor_id", F.lit(None).cast("string").alias("axis"), F.lit(None).cast("string").alias("entry"), F.lit("not a mapping of axes").alias("problem"))
+    axes = whole.where(F.col("v").isNotNull() & kind.startswith("OBJECT")).select("vendor_id", F.expr("cast(v as map<string, variant>)").alias("m")).select("vendor_id", F.explode("m").alias("axis", "v"))
+    axes = axes.where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+    text = F.expr("to_json(v)")
+    known, listed = F.col("axis").isin(*AXES), kind.startswith("ARRAY")
+    bad = bad.unionByName(axes.where(~known | ~listed).select("vendor_id", "axis", text.alias("entry"), F.when(~known, "no such axis").otherwise("not a list").alias("problem")))
+    entries = axes.where(known & listed).select("vendor_id", "axis", F.explode(F.expr("cast(v as array<variant>)")).alias("v"))
+    is_text = F.coalesce(kind.isin("STRING") & ~F.is_variant_null("v"), F.lit(False))
+    entry = F.when(is_text, F.expr("try_variant_get(v, '$', 'string')"))
+    rows = entries.select("vendor_id", "axis", is_text.alias("is_text"), F.when(is_text, entry).otherwise(text).alias("entry"))
+    blank = F.trim(F.regexp_replace("entry", r"\s+", " ")) == ""
+    never = F.when(F.col("axis") == "product_types", blank & (F.col("entry") != "")).when(F.col("axis") == "tags", blank | F.col("entry").rlike(r"^\s|\s$")).when(F.col("axis") == "no_tags", normal_tag(F.col("entry")) == "").otherwise(blank)
+    rows = rows.withColumn("problem", F.when(~F.col("is_text"), "not a text").when(never, "matches nothing or everything"))
+    return rows.where("problem is null").select("vendor_id", "axis", "entry"), bad.unionByName(rows.where("problem is not null").select("vendor_id", "axis", "entry", "problem"))
+
+
+def keep_reasons(products: DataFrame, rules: DataFrame, available_only: bool = True) -> DataFrame:
+    """The products(vendor_id, title, product_type, tags, variants, ...) of all vendors with `why` each goes by its own vendor's rules(vendor_id, axis, entry), null if it stays.
+
+    The axes and their order are those of keep_reason(), with auction_tags as one more that only says which tags make an auction; a vendor without rules keeps what is available. A vendor's
+    rules are few and meet its products as one row.
+    """
+    per = rules.groupBy("vendor_id", "axis").agg(F.collect_set("entry").alias("entries")).groupBy("vendor_id").agg(F.map_from_entries(F.collect_list(F.struct("axis", "entries"))).alias("_rules"))
+    rows = products.join(per, "vendor_id", "left")
+    own = lambda axis: F.try_element_at("_rules", F.lit(axis))
+    each = lambda axis, test: F.coalesce(F.exists(own(axis), test), F.lit(False))
+    raw = F.coalesce("tags", F.array().cast("array<string>"))
+    title = F.lower(F.coalesce("title", F.lit("")))
+    wanted = F.transform(F.coalesce(own("auction_tags"), F.array(*map(F.lit, AUCTION_TAGS))), lambda t: F.trim(F.replace(F.lower(t), F.lit("-"), F.lit(" "))))
+    rounds = F.exists(wanted, lambda t: t.rlike(r"^auction\d+$"))
+    auction = F.arrays_overlap(F.transform(raw, normal_tag), wanted) | rounds & F.exists(raw, lambda t: F.lower(F.trim(t)).rlike(r"^auctions?$|^auction\d+$"))
+    auction = F.coalesce(auction, F.lit(False))
+    available = F.coalesce(F.exists("variants", lambda v: F.coalesce(v["available"], F.lit(False))), F.lit(False))
+    allowed = lambda axis, test: own(axis).isNotNull() & ~auction & ~F.coalesce(test, F.lit(False))
+    why = F.when(~available, "unavailable") if available_only else F.when(F.lit(False), "")
+    why = why.when(allowed("product_types", F.array_contains(own("product_types"), F.col("product_type"))), "product-type")
+    why = why.when(allowed("tags", F.arrays_overlap(F.transform(raw, F.lower), F.transform(own("tags"), F.lower))), "tag-missing")
+    why = why.when(F.coalesce(F.arrays_overlap(F.transform(raw, normal_tag), F.transform(own("no_tags"), normal_tag)), F.lit(False)), "tag-denied")
+    why = why.when(each("no_title_parts", lambda e: title.contains(F.lower(e))), "no_title_parts").when(each("no_title_starts", lambda e: title.startswith(F.lower(e))), "no_title_starts")
+    why = why.when(each("no_titles", lambda e: F.trim(title) == F.lower(F.trim(e))), "no_titles")
+    skus = F.coalesce(F.transform("variants", lambda v: v["sku"]), F.array().cast("array<string>"))
+    why = why.when(each("no_sku_ends", lambda e: F.exists(skus, lambda k: F.coalesce(sku_ends_with(k, e), F.lit(False)))), "sku-denied")
+    return rows.withColumn("why", why).drop("_rules")
+
+
 def to_listings(products: DataFrame, base_url: str, auction_tags: tuple[str, ...] | None = None) -> DataFrame:
     """(product_url, raw_title, normalized_title, current_price, compare_at_price, in_stock, vendor_sku, image_url, category, lineage_flag, is_auction); auctions have no price."""
     price = coerce_variants(F.col("variants"))
@@ -152,10 +214,35 @@ def skeleton_hashes(pages: DataFrame) -> DataFrame:
     return pages.select("path", "html").mapInPandas(run, "path string, tags long, skeleton_hash string, empty boolean")
 
 
-def schema_change(counts: DataFrame) -> DataFrame:
-    """(vendor_id, paths, empty, changed): whether so many of counts(vendor_id, path, n) are empty that the template must have changed: 3 and 30 % at least."""
-    rows = counts.groupBy("vendor_id").agg(F.count("*").alias("paths"), F.count(F.when(F.col("n") == 0, 1)).alias("empty"))
-    return rows.withColumn("changed", F.col("empty") >= F.greatest(F.lit(3.0), 0.3 * F.col("paths")))
+def crawl(pages: DataFrame) -> DataFrame:
+    """(vendor_id, path, pages, counted, n, marked_empty, missing, end) of each path of pages(vendor_id, path, page, status, error, cards, empty): what taking them one by one until the first end gives.
+
+    The first page that is not found (404), fails (`error`) or has no cards ends a path; what lies after it is never taken. `pages` were fetched well, the end's included unless it is a 404 or a
+    failure; n cards were taken; `marked_empty` says that the first page has no cards and says so itself, `missing` that the first page is a 404; end is not-found, failed, no-cards, or null where pages ran out.
+    """
+    end = F.when(F.col("status") == 404, "not-found").when(F.col("error").isNotNull(), "failed").when(F.coalesce("cards", F.lit(0)) == 0, "no-cards")
+    first = F.min(F.when(end.isNotNull(), F.col("page"))).over(Window.partitionBy("vendor_id", "path"))
+    taken = pages.withColumn("_end", end).withColumn("_first", first).where("_first is null or page <= _first")
+    fine = F.col("_end").isNull() | (F.col("_end") == "no-cards")
+    one = F.col("page") == 1
+    return taken.groupBy("vendor_id", "path").agg(
+        F.count(F.when(fine, 1)).alias("pages"), F.coalesce(F.sum(F.when(F.col("_end").isNull(), F.col("cards"))), F.lit(0)).alias("n"),
+        F.coalesce(F.max(one & (F.col("_end") == "no-cards") & F.col("empty")), F.lit(False)).alias("marked_empty"), F.coalesce(F.max(one & (F.col("_end") == "not-found")), F.lit(False)).alias("missing"), F.max("_end").alias("end"),
+        F.max(F.when(F.col("_end") == "failed", F.col("error"))).alias("error"),
+    )
+
+
+def schema_change(paths: DataFrame) -> DataFrame:
+    """(vendor_id, paths, pages, n, silent, verdict) of paths as crawl() gives them: blocked or fetch (a path failed), html_schema_change (a path is gone, nothing was found, or so many paths
+    have no cards without saying so that the template must have changed: the larger of 3 and three tenths, rounded down), partial (some have) or ok."""
+    silent = (F.col("n") == 0) & ~F.col("marked_empty")
+    rows = paths.groupBy("vendor_id").agg(
+        F.count("*").alias("paths"), F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.count(F.when(silent, 1)).alias("silent"),
+        F.max(F.coalesce(F.col("error") == "block", F.lit(False))).alias("_blocked"), F.max(F.coalesce(F.col("end") == "failed", F.lit(False))).alias("_failed"), F.max("missing").alias("_missing"),
+    )
+    changed = F.col("_missing") | (F.col("n") == 0) | (F.col("silent") >= F.greatest(F.lit(3), F.floor(F.col("paths") * 0.3)))
+    verdict = F.when(F.col("_blocked"), "block").when(F.col("_failed"), "fetch").when(changed, "html_schema_change").when(F.col("silent") > 0, "partial").otherwise("ok")
+    return rows.select("vendor_id", "paths", "pages", "n", "silent", verdict.alias("verdict"))
 
 
 # Texts of a page that turns a visitor away.
@@ -169,7 +256,7 @@ BLOCK_SIGNATURES = (
 
 
 def fetch_error(status: Column, body: Column) -> Column:
-    """The class of a fetch: http_429, http_5xx, network, block (a good or forbidden page whose first 4096 characters turn a visitor away) or other; null for a good one."""
+    """The class of a fetch after its last attempt: network, http_429, http_5xx, block (200 or 403 whose first 4096 characters turn a visitor away) or other (also a 403 that doesn't say so); null for a good one."""
     head = F.substring(F.coalesce(body, F.lit("")), 1, 4096)
     turned_away = F.lit(False)
     for x in BLOCK_SIGNATURES:
@@ -177,9 +264,9 @@ def fetch_error(status: Column, body: Column) -> Column:
     return (
         F.when(status.isNull(), "network")
         .when(status == 429, "http_429")
-        .when((status >= 500) | ((status == 403) & ~turned_away), "http_5xx")
-        .when(turned_away & ((status == 403) | (status < 300)), "block")
-        .when(status >= 400, "other")
+        .when((status >= 500) & (status < 600), "http_5xx")
+        .when(turned_away & status.isin(200, 403), "block")
+        .when(status != 200, "other")
     )
 
 
