@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity, trigrams
-from .common import at, days_before, first_by
+from .common import at, days_before, first_by, stored
 
 #: Least trigram similarity and least lead over the runner-up.
 LEAST, MARGIN = 0.7, 0.05
@@ -53,19 +53,25 @@ def _contained(titles: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def _prefix(rows: DataFrame, rank: DataFrame, least: float) -> DataFrame:
-    """(key, grams, gram): each set under the rarest of its trigrams, as many as a set of similarity `least` can't be without."""
-    each = rows.select("key", "grams", F.explode("grams").alias("gram")).join(rank, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("n", "gram")))
-    return ranked.where(F.col("_r") <= F.size("grams") - F.ceil(F.size("grams") * F.lit(least) - 1e-9) + 1).select("key", "grams", "gram")
+    """(key, gram, size, place): each set's rarest trigrams, as many as a set of similarity `least` can't be without, with their places in the order of rarity (from 1)."""
+    each = rows.select("key", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(rank, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("n", "gram")))
+    return ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1).select("key", "gram", "size", "place")
 
 
 def _scored(ours: DataFrame, there: DataFrame, least: float) -> DataFrame:
-    """(key, id, s): the pairs of two tables(key, grams) whose sets have a similarity of `least` or more, met on shared rare trigrams."""
+    """(key, id, s): the pairs of two tables(key, grams) whose sets have a similarity of `least` or more, met on shared rare trigrams.
+
+    Sets meet without their trigrams. A pair is taken where the sizes allow the similarity and, at its first shared trigram, what is left of both sets is enough for the overlap that it needs;
+    only such pairs, each once, get their sets and are compared.
+    """
     rank = there.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     one = _prefix(ours, rank, least)
-    two = _prefix(there, rank, least).select(F.col("key").alias("id"), F.col("grams").alias("others"), "gram")
-    # compared where they meet: few pairs pass, so the distinct ones are cheap
-    return one.join(two, "gram").select("key", "id", similarity(F.col("grams"), F.col("others")).alias("s")).where(F.col("s") >= least).distinct()
+    two = _prefix(there, rank, least).toDF("id", "gram", "other", "there")
+    enough = f"least(size, other) >= {least} * greatest(size, other) - 1e-9 and 1 + least(size - place, other - there) >= {least} / (1 + {least}) * (size + other) - 1e-9"
+    pairs = one.join(two, "gram").where(enough).select("key", "id").distinct()
+    rows = pairs.join(ours.select("key", "grams"), "key").join(there.select(F.col("key").alias("id"), F.col("grams").alias("others")), "id")
+    return rows.select("key", "id", similarity(F.col("grams"), F.col("others")).alias("s")).where(F.col("s") >= least)
 
 
 def similar(titles: DataFrame, names: DataFrame, least: float) -> DataFrame:
@@ -92,7 +98,7 @@ def match(titles: DataFrame, corals: DataFrame, aliases: DataFrame, now: str, le
     an active entity. Only the single best trigram candidate is tried, and a close runner-up forbids it. Null and empty titles match nothing.
     """
     names = entities(corals)
-    pairs = titles.select("title", "originator_prefix").distinct()
+    pairs = stored(titles.select("title", "originator_prefix").distinct(), "titles")  # six stages read them
     texts = pairs.where("title <> ''").select("title").distinct().withColumn("key", F.col("title"))
     whole = _named(texts.select("key", F.col("title").alias("text")), names, True)
     own = whole.select("key", F.col("id").alias("i12"), F.when(F.col("whole"), 1).otherwise(2).alias("n12"))

@@ -6,8 +6,6 @@ scrapes; a batch reads its predecessor's and overwrites its own, so that a batch
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events
+from ..operators.common import shared_folder  # noqa: F401
 
 LOG = "id long, listing_id long, price decimal(10,2), in_stock boolean, observed_at timestamp_ntz"
 CHANGES = LOG + ", prior_price decimal(10,2), prior_stock boolean, prior_at timestamp_ntz"
@@ -22,14 +21,6 @@ LAST = "price decimal(10,2), in_stock boolean, observed_at timestamp_ntz"
 PRIOR = {"prior_price": "price", "prior_stock": "in_stock", "prior_at": "observed_at"}
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder where executors and driver meet: in spark.checkpoint.dir, of local sessions without one in their own temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='tidemark-')}/{label}-{uuid.uuid4().hex}"
-
-
 def _with_last(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A listing's new rows in order, each with the one before; the last one stays as the state."""
     rows = pd.concat(list(frames)).sort_values(["observed_at", "id"], kind="stable")
