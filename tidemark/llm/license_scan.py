@@ -1,7 +1,7 @@
 """License scans by a positional rare-token index, with DataFrame functions only.
 
-Clauses of licence texts and notices are templates. One pass counts in how many documents each of their words occurs; of each template the
-RARE_WORDS words of highest IDF are indexed as postings (word, template, position). A document's words are looked up in the broadcast index; a hit fixes
+Clauses of licence texts and notices are templates. One pass counts in how many documents each of their words occurs; of each template's words outside its key phrase the
+RARE_WORDS of highest IDF are indexed as postings (word, template, position), so that what they agree on is more than the phrase. A document's words are looked up in the broadcast index; a hit fixes
 where the template would begin, and the postings of one template are intersected by that beginning. Where enough of them agree and the
 template's mandatory key phrase stands in place word by word, its label is given. The base phrases of the contract count wherever they stand.
 """
@@ -53,8 +53,8 @@ TEMPLATES = (
     ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying documentation covered by this license"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 )
-#: Words of a template that are indexed, and how many of them must agree on its beginning.
-RARE_WORDS, AGREE = 4, 2
+#: Words of a template that are indexed, and the share of them that must agree on its beginning, rounded up.
+RARE_WORDS, AGREE = 4, 0.5
 
 
 def _split() -> list[tuple[str, list[str], list[str], bool]]:
@@ -62,6 +62,14 @@ def _split() -> list[tuple[str, list[str], list[str], bool]]:
     return [(label, re.findall(ITEM_WORD, text), re.findall(ITEM_WORD, key), base) for label, text, key, base in [*((x, p, p, True) for x, p in BASE), *((*t, False) for t in TEMPLATES)]]
 
 
+def _indexed(words: list[str], key: list[str], base: bool) -> tuple[int, range, int, int]:
+    """Of a template: where its key phrase is, what of it is not indexed, how many words are indexed, and how many must agree. A template without words outside its key is indexed under one of them."""
+    key_at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+    left_out = range(0) if base or len(words) == len(key) else range(key_at, key_at + len(key))
+    n = 1 if base else min(RARE_WORDS, len(words) - len(left_out))
+    return key_at, left_out, n, math.ceil(n * AGREE)
+
+
 def document_frequencies(cut: DataFrame) -> tuple[int, dict[str, int]]:
     """The number of rows of cut(words), and in how many of them each word of the templates occurs."""
     vocabulary = sorted({w for _, words, _, _ in _split() for w in words})
@@ -76,10 +84,10 @@ def index_rows(n: int, df: dict[str, int]) -> list[tuple]:
     idf = lambda w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1
     rows = []
     for number, (label, words, key, base) in enumerate(_split()):
-        key_at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        rarest = sorted(range(len(words)), key=lambda i: (df.get(words[i], 0), i))[: 1 if base else RARE_WORDS]
+        key_at, left_out, n_indexed, need = _indexed(words, key, base)
+        rarest = sorted((i for i in range(len(words)) if i not in left_out), key=lambda i: (df.get(words[i], 0), i))[:n_indexed]
         for i in rarest:
-            rows.append((words[i], number, i, label, words, [idf(w) for w in words], " ".join(key), key_at, len(key), 1 if base else AGREE, base))
+            rows.append((words[i], number, i, label, words, [idf(w) for w in words], " ".join(key), key_at, len(key), need, base))
     return rows
 
 
@@ -136,22 +144,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _values() -> str:
     quote = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    return ", ".join(f"({i}, '{label}', {quote(words)}, {quote(key)}, {next(j for j in range(len(words)) if words[j : j + len(key)] == key)}, {1 if base else AGREE}, {'true' if base else 'false'})" for i, (label, words, key, base) in enumerate(_split()))
+    return ", ".join(f"({i}, '{label}', {quote(words)}, {quote(key)}, {_indexed(words, key, base)[0]}, {_indexed(words, key, base)[2]}, {_indexed(words, key, base)[3]}, {_indexed(words, key, base)[1].start}, {_indexed(words, key, base)[1].stop}, {'true' if base else 'false'})" for i, (label, words, key, base) in enumerate(_split()))
 
 
 ORACLE_SQL = f"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
-t(template, label, tw, kw, key_at, need, base) as (values {_values()}),
+t(template, label, tw, kw, key_at, indexed, need, out_from, out_to, base) as (values {_values()}),
 vocab as (select distinct unnest(tw) as word from t),
 df as (select word, count(*) as df from (select unnest(list_distinct(w)) as word from d) join vocab using (word) group by word),
-pos as (select template, need, base, unnest(range(len(tw))) as j, unnest(tw) as word from t),
-weighted as (select p.*, coalesce(df.df, 0) as df, ln(((select count(*) from d) + 1)::double / (coalesce(df.df, 0) + 1)) + 1 as weight, row_number() over (partition by template order by coalesce(df.df, 0), j) as nth from pos p left join df using (word)),
+pos as (select template, indexed, out_from, out_to, unnest(range(len(tw))) as j, unnest(tw) as word from t),
+weighted as (select p.*, coalesce(df.df, 0) as df, ln(((select count(*) from d) + 1)::double / (coalesce(df.df, 0) + 1)) + 1 as weight, row_number() over (partition by template order by j >= out_from and j < out_to, coalesce(df.df, 0), j) as nth from pos p left join df using (word)),
 whole as (select template, sum(weight) as total from weighted group by template),
 first_words as (select template, kw[1] as word from t),
 word_at as (select doc_id, unnest(w) as word, unnest(range(len(w))) as i from d),
 places as (select a.doc_id, t.*, a.i as place, a.i - t.key_at as start from word_at a join first_words f using (word) join t using (template) join d using (doc_id) where d.w[a.i + 1:a.i + len(t.kw)] = t.kw),
 shares as (select p.doc_id, p.template, p.start, sum(case when p.start + x.j >= 0 and d.w[greatest(p.start + x.j, 0) + 1] = x.word then x.weight else 0 end) / any_value(whole.total) as share,
-             sum(case when x.nth <= case when p.base then 1 else {RARE_WORDS} end and p.start + x.j >= 0 and d.w[greatest(p.start + x.j, 0) + 1] = x.word then 1 else 0 end) as postings
+             sum(case when x.nth <= x.indexed and p.start + x.j >= 0 and d.w[greatest(p.start + x.j, 0) + 1] = x.word then 1 else 0 end) as postings
            from places p join weighted x using (template) join whole using (template) join d using (doc_id) group by 1, 2, 3),
 found as (select p.doc_id, p.label, p.base, p.place, s.share from places p join shares s on s.doc_id = p.doc_id and s.template = p.template and s.start = p.start where s.postings >= p.need),
 g as (select doc_id, count(*) filter (where base) as n_base, min(place) filter (where base) as first_word, max(place) filter (where base) as last_word,
