@@ -169,6 +169,21 @@ def reclassification(rows: DataFrame, anchored: Column, most: int, most_share: f
     return out.withColumn("allowed", (writes <= most) & (writes <= most_share * F.col("n")))
 
 
+def filter_drift(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """(vendor_id, why, n, share) of stored(vendor_id, product_url) against the live catalogue under a filter, live(vendor_id, product_url, why): how many of a vendor's listings are kept, go for each reason, or are
+    not in the catalogue any more."""
+    fresh = live.select("vendor_id", "product_url", F.coalesce("why", F.lit("kept")).alias("why"))
+    rows = stored.join(fresh, ["vendor_id", "product_url"], "left").withColumn("why", F.coalesce("why", F.lit("not-in-catalogue")))
+    return rows.groupBy("vendor_id", "why").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("vendor_id")), 6))
+
+
+def version_drift(live: DataFrame, fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """(vendor_id, old, new, n): stored listings by what two versions of the filter say of them, live and fresh(vendor_id, product_url, why); only where the two differ."""
+    both = live.select("vendor_id", "product_url", F.coalesce("why", F.lit("kept")).alias("old")).join(fresh.select("vendor_id", "product_url", F.coalesce("why", F.lit("kept")).alias("new")), ["vendor_id", "product_url"])
+    rows = both.where("old <> new").join(stored.select("vendor_id", "product_url"), ["vendor_id", "product_url"], "left_semi")
+    return rows.groupBy("vendor_id", "old", "new").agg(F.count("*").alias("n"))
+
+
 def without_rejected(listings: DataFrame, rejected: DataFrame) -> DataFrame:
     """The listings whose product_url the live filter does not reject."""
     return listings.join(rejected.select("product_url").distinct(), "product_url", "left_anti")

@@ -325,6 +325,20 @@ def reference_fields(listings: DataFrame, vendors: DataFrame, corals: DataFrame,
     return every.select("named_coral_id", data_row(line).alias("reference"), data_row(summary).alias("summary"), data_row(lineage).alias("lineage"))
 
 
+def guides_of(files: DataFrame) -> DataFrame:
+    """(slug, kind, title, updated, description, body) of files(path, content), guides whose name is a slug (lower-case letters, digits and hyphens, .mdx), newest first.
+
+    The heading between two lines of --- says kind, title, updated and description; what it leaves out is GUIDE, the slug, nothing and null. A file without a heading is all body.
+    """
+    slug = F.regexp_extract("path", r"([^/]+)\.mdx$", 1)
+    head = F.regexp_extract("content", r"^---\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|$)", 1)
+    own = lambda k: F.regexp_replace(F.trim(F.regexp_extract("_head", rf"(?m)^{k}:[ \t]*(.*?)[ \t\r]*$", 1)), r"""^(["'])(.*)\1$""", "$2")
+    given = lambda k, default: F.when(own(k) != "", own(k)).otherwise(default)
+    rows = files.select(slug.alias("slug"), head.alias("_head"), F.regexp_replace("content", r"^---\r?\n[\s\S]*?\r?\n---[ \t]*(?:\r?\n|$)", "").alias("body")).where(F.col("slug").rlike("^[a-z0-9-]+$"))
+    out = rows.select("slug", given("kind", F.lit("GUIDE")).alias("kind"), given("title", F.col("slug")).alias("title"), F.substring(own("updated"), 1, 10).alias("updated"), given("description", F.lit(None)).alias("description"), "body")
+    return out.orderBy(F.col("updated").desc(), "slug")
+
+
 def featured_in(guides: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     """(coral_slug, slug, updated) of guides(slug, updated, body): the corals that a guide features, by the slug attribute of its elements `tags`, newest guide first."""
     opening = r"<(?:" + "|".join(tags) + r")\b[^>]*?\bslug=(?:\"([^\"]+)\"|'([^']+)')"

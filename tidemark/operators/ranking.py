@@ -33,9 +33,9 @@ def recency(event_at: Column, now: str, hours: int) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - age))
 
 
-def band_penalty(picks: DataFrame, recent: int = RECENT_PICKS) -> DataFrame:
-    """(band, penalty): how far a band's share of the last picks(band, selected_at, id) is above its fair one, scaled to BALANCE."""
-    last = top(picks, [F.col("selected_at").desc(), F.col("id").desc()], recent)
+def band_penalty(picks: DataFrame, recent: int = RECENT_PICKS, mode: str | None = None) -> DataFrame:
+    """(band, penalty): how far a band's share of the last picks(band, selected_at, id, mode) is above its fair one, scaled to BALANCE; of one mode's picks, or of all. Without picks no band has one."""
+    last = top(picks if mode is None else picks.where(F.col("mode") == mode), [F.col("selected_at").desc(), F.col("id").desc()], recent)
     fair = 1.0 / len(PRICE_BANDS)
     total = last.agg(F.count("*").alias("_t"))
     share = last.groupBy("band").agg(F.count("*").alias("_n")).join(F.broadcast(total))  # one row

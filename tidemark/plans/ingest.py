@@ -60,7 +60,7 @@ def _velocity(m: Model) -> DataFrame:
 
 
 def _picks(m: Model) -> DataFrame:
-    return m.price_history.where("id % 11 = 0 and price is not null").select("id", text.price_band(F.col("price") * 2).alias("band"), F.col("observed_at").alias("selected_at"))
+    return m.price_history.where("id % 11 = 0 and price is not null").select("id", F.when(F.col("id") % 2 == 0, "reel").otherwise("post").alias("mode"), text.price_band(F.col("price") * 2).alias("band"), F.col("observed_at").alias("selected_at"))
 
 
 def _counts(m: Model) -> DataFrame:
@@ -252,6 +252,10 @@ _Q = {
         sql(f"select listing_id, case when image_url is null then 'no-image' when not starts_with(image_url, '{HOST}/') then 'non-mirror-image' when current_price is null then 'price-on-request' when current_price < 25 then 'below-price-floor' end as reason from leads", *leads(WEEK)),
     ),
     "band_penalties": (lambda m: ranking.band_penalty(_picks(m)).withColumn("penalty", F.round("penalty", 6)), sql("select band, round(penalty, 6) as penalty from penalties", PENALTY)),
+    "band_penalties_of_mode": (
+        lambda m: ranking.band_penalty(_picks(m), mode="reel").withColumn("penalty", F.round("penalty", 6)),
+        sql("select band, round(penalty, 6) as penalty from penalties", PENALTY.replace("where id % 11 = 0", "where id % 22 = 0")),
+    ),
     "drop_medals": (lambda m: ranking.medals(_drops(m)).withColumn("dollars", F.round("dollars", 6)), sql("select listing_id, round(dollars, 6) as dollars from medals", *drops(7), MEDAL)),
     "selection": (
         lambda m: ranking.select(_leads(m), ranking.medals(_drops(m)), market.cheapest(m.listings, m.vendors), ranking.band_penalty(_picks(m)), NOW, WEEK, HOST).select("listing_id", F.round("score", 6).alias("score")),

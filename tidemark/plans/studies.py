@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chart
-from ..operators import market, studies, timeseries
+from ..operators import health, market, studies, timeseries
 from ..operators.common import plain
 from ..sources import catalogues
 from ..sources.adapters import NOW, Model
@@ -80,6 +80,27 @@ RULED = """select id, case when not in_stock then 'unavailable' when k = 0 and c
   when k = 2 and contains(lower(raw_title), 'frag') then 'no_title_parts' when k = 1 and starts_with(lower(raw_title), 'rare morph') then 'no_title_starts' when k = 2 and trim(lower(raw_title)) = 'corall 37' then 'no_titles' when k = 2 and id % 5 = 0 then 'sku-denied' end as why from (select *, vendor_id % 8 as k from listings)"""
 
 
+def _live(m: Model, rules: int) -> DataFrame:
+    """What the live catalogue and the filters of the first vendors say of the listings; a ninth of them are in it no more."""
+    why = catalogues.keep_reasons(_vendor_products(m), catalogues.filter_rules(_configs(m))[0].where(F.col("vendor_id") % 8 < rules)).select("id", "why")
+    return why.join(m.listings.where("id % 9 <> 4").select("id", "vendor_id", "product_url"), "id")
+
+
+def _priced_cards(m: Model) -> DataFrame:
+    price = F.when(F.col("id") % 5 > 0, F.concat(F.lit("$ "), F.format_number(F.col("current_price"), 2))).otherwise("ask")
+    was = F.when(F.col("id") % 3 > 0, F.concat(F.lit('<s class="price price--non-sale"> $'), F.format_number(F.col("current_price") * 100, 2), F.lit(" </s>"))).otherwise('<s class="price--non-sale"></s>')
+    card = F.concat(F.lit('<li><article data-name="n" data-entity-id="'), "id", F.lit('" data-product-price="'), F.coalesce(price, F.lit("")), F.lit('">'), F.coalesce(was, F.lit("")), F.lit("</article></li>"))
+    return m.listings.select(F.col("id").cast("string").alias("path"), card.alias("html"))
+
+
+def _guide_files(m: Model) -> DataFrame:
+    updated = F.concat(F.lit("updated: 2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z\n"))
+    title = F.concat(F.lit('title: "'), "canonical_name", F.lit(': basics"\n'))
+    more = F.when(F.col("id") % 4 == 1, F.concat(title, F.lit("kind: CARE\n"))).when(F.col("id") % 4 == 2, F.concat(title, F.lit("description:  About it \n"))).otherwise("")
+    text = F.concat(F.when(F.col("id") % 4 == 3, "").otherwise(F.concat(F.lit("---\n"), more, updated, F.lit("---\n"))), F.lit("Body "), "canonical_name")
+    return m.named_corals.select(F.concat(F.lit("/guides/"), F.when(F.col("id") % 6 == 5, "Guide_").otherwise("guide-"), "id", F.lit(".mdx")).alias("path"), text.alias("content"))
+
+
 def _grid_pages(m: Model) -> DataFrame:
     """Paths and pages of each vendor: 4 paths with up to 6 pages that end in different ways."""
     rows = m.vendors.select(F.col("id").alias("vendor_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("*", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("page"))
@@ -198,6 +219,22 @@ _Q = {
         ),
     ),
     "ruled_products": (lambda m: catalogues.keep_reasons(_vendor_products(m), catalogues.filter_rules(_configs(m))[0]).select("id", "why"), sql(RULED)),
+    "filter_drift": (
+        lambda m: health.filter_drift(m.listings, _live(m, 7)),
+        sql(f"select vendor_id, why, count(*) as n, round(count(*) / sum(count(*)) over (partition by vendor_id), 6) as share from (select l.vendor_id, case when l.id % 9 = 4 then 'not-in-catalogue' else coalesce(r.why, 'kept') end as why from listings l join ruled r on r.id = l.id) group by 1, 2", f"ruled as ({RULED})"),
+    ),
+    "version_drift": (
+        lambda m: health.version_drift(_live(m, 7), _live(m, 2), m.listings),
+        sql("select l.vendor_id, coalesce(r.why, 'kept') as old, case when not in_stock then 'unavailable' else coalesce(case when l.vendor_id % 8 < 2 then r.why end, 'kept') end as new, count(*) as n from listings l join ruled r on r.id = l.id where l.id % 9 <> 4 and coalesce(r.why, 'kept') <> case when not in_stock then 'unavailable' else coalesce(case when l.vendor_id % 8 < 2 then r.why end, 'kept') end group by 1, 2, 3", f"ruled as ({RULED})"),
+    ),
+    "card_prices": (
+        lambda m: catalogues.card_prices(catalogues.parse_cards(_priced_cards(m))).select("vendor_sku", "current_price", "compare_at_price"),
+        sql("select id::varchar as vendor_sku, case when id % 5 > 0 then current_price::double end as current_price, case when id % 5 > 0 and id % 3 > 0 and current_price * 100 > current_price then (current_price * 100)::double end as compare_at_price from listings"),
+    ),
+    "guide_headings": (
+        lambda m: market.guides_of(_guide_files(m)).withColumn("body", F.length("body")),
+        sql("select 'guide-' || id as slug, case when id % 4 = 1 then 'CARE' else 'GUIDE' end as kind, case when id % 4 in (0, 3) then 'guide-' || id else canonical_name || ': basics' end as title, case when id % 4 = 3 then '' else '2024-01-' || lpad((id % 28 + 1)::varchar, 2, '0') end as updated, case when id % 4 = 2 then 'About it' end as description, len(canonical_name) + 5 as body from named_corals where id % 6 <> 5"),
+    ),
     "crawled_paths": (lambda m: catalogues.crawl(_grid_pages(m)), sql("select * from crawled", *PAGES_SQL)),
     "crawl_verdicts": (
         lambda m: catalogues.schema_change(catalogues.crawl(_grid_pages(m))),

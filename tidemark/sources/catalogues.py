@@ -162,7 +162,7 @@ class Cards(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.cards, self.skeleton, self.empty = [], [], False
+        self.cards, self.skeleton, self.empty, self.was = [], [], False, None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -170,15 +170,38 @@ class Cards(HTMLParser):
         if "data-no-products-notification" in a:
             self.empty = True
         if tag == "article" and "data-name" in a:
-            self.cards.append({"raw_title": a["data-name"], "price_text": a.get("data-product-price"), "category_text": a.get("data-product-category"), "vendor_sku": a.get("data-entity-id"), "product_url": None, "image_url": None})
+            self.cards.append({"raw_title": a["data-name"], "price_text": a.get("data-product-price"), "category_text": a.get("data-product-category"), "vendor_sku": a.get("data-entity-id"), "product_url": None, "image_url": None, "was_text": None})
+        elif self.cards and "price--non-sale" in a.get("class", "").split() and self.cards[-1]["was_text"] is None:
+            self.cards[-1]["was_text"], self.was = "", tag
         elif self.cards and tag == "a" and "card-figure__link" in a.get("class", "").split():
             self.cards[-1]["product_url"] = self.cards[-1]["product_url"] or a.get("href")
         elif self.cards and tag == "img" and "card-image" in a.get("class", "").split():
             self.cards[-1]["image_url"] = self.cards[-1]["image_url"] or a.get("data-src") or a.get("src")
 
+    def handle_data(self, data: str) -> None:
+        if self.was:
+            self.cards[-1]["was_text"] += data.strip()
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == self.was:
+            self.was = None
+
+
+def price_of_text(text: Column) -> Column:
+    """The price that a card's text states: a finite number below the ceiling, dollar signs and commas aside; else null."""
+    plain = F.trim(F.regexp_replace(text, "[$,]", ""))
+    number = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("decimal(20,2)"))
+    return F.when(number < PRICE_CEILING, number.cast("decimal(10,2)"))
+
+
+def card_prices(cards: DataFrame) -> DataFrame:
+    """The cards with current_price and compare_at_price: what was, where the card says so and it is more than what is; no comparison without a price."""
+    price, was = price_of_text(F.col("price_text")), price_of_text(F.col("was_text"))
+    return cards.withColumn("current_price", price).withColumn("compare_at_price", F.when(was > F.col("current_price"), was))
+
 
 def parse_cards(pages: DataFrame) -> DataFrame:
-    """(path, place, product_url, raw_title, price_text, category_text, vendor_sku, image_url) of pages(path, html); pages without cards give none."""
+    """(path, place, product_url, raw_title, price_text, category_text, vendor_sku, image_url, was_text) of pages(path, html); pages without cards give none."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,9 +210,9 @@ def parse_cards(pages: DataFrame) -> DataFrame:
                 parser = Cards()
                 parser.feed(html or "")
                 rows += [{"path": path, "place": i, **card} for i, card in enumerate(parser.cards)]
-            yield pd.DataFrame(rows, columns=["path", "place", "product_url", "raw_title", "price_text", "category_text", "vendor_sku", "image_url"])
+            yield pd.DataFrame(rows, columns=["path", "place", "product_url", "raw_title", "price_text", "category_text", "vendor_sku", "image_url", "was_text"])
 
-    return pages.select("path", "html").mapInPandas(run, "path string, place int, product_url string, raw_title string, price_text string, category_text string, vendor_sku string, image_url string")
+    return pages.select("path", "html").mapInPandas(run, "path string, place int, product_url string, raw_title string, price_text string, category_text string, vendor_sku string, image_url string, was_text string")
 
 
 def first_wins(cards: DataFrame) -> DataFrame:
