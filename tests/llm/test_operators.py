@@ -500,6 +500,50 @@ def test_edits(seed):
             assert line_dedup.edits(a, b, most) == min(row[-1], most + 1), (a, b, most)
 
 
+def newton(x, y, penalty=toxicity.PENALTY):
+    """Ridge logistic regression by Newton's method: mean log loss plus half the penalty times the squared weights, intercept free."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, ridge = np.zeros(x.shape[1]), np.diag([penalty] * (x.shape[1] - 1) + [1e-12])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(x) + ridge, x.T @ (p - y) / len(x) + ridge @ w)
+    return lambda z: 1 / (1 + np.exp(-np.column_stack([z, np.ones(len(z))]) @ w))
+
+
+def test_chain_against_brute_force(spark):
+    """Words by their definition, out-of-fold predictions and Newton's method, against the chain on a small table."""
+    rng = random.Random(21)
+    texts, quality, toxic = [], [], []
+    for _ in range(240):
+        bad, poor = rng.random() < 0.4, rng.random() < 0.5
+        words = [f"plain{rng.randrange(30)}" for _ in range(12)]
+        words += [rng.choice(["venom", "venomous", "spite"])] * (rng.random() < (0.85 if bad else 0.06)) + [rng.choice(["junkier", "junkiest"])] * (rng.random() < (0.8 if poor else 0.1))
+        texts.append(" ".join(words))
+        toxic.append(int(bad or poor and rng.random() < 0.3))
+        quality.append(int(not poor))
+    table = docs(spark, texts)
+    labels = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(zip(quality, toxic), 1)], "doc_id long, quality int, toxic int")
+    fold = {r[0]: r[1] for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(toxicity.FOLDS))).collect()}
+    fold = np.array([fold[i] for i in range(1, len(texts) + 1)])
+    sets = [set(t.split()) | {"^" + w[:k] for w in t.split() for k in toxicity.BEGINNINGS if len(w) > k} for t in texts]
+    counts, targets, chosen = Counter(w for s in sets for w in s), {"low_quality": 1 - np.array(quality), "toxic": np.array(toxic)}, set()
+    for y in targets.values():
+        share = y.mean()
+        far = {w: abs(sum(y[i] for i, s in enumerate(sets) if w in s) - n * share) / np.sqrt(n * share * (1 - share)) for w, n in counts.items() if n >= toxicity.WORD_DOCS}
+        chosen |= {w for w, d in far.items() if d >= toxicity.DISTANCE}
+    x = np.array([[w in s for w in sorted(chosen)] for s in sets], float)
+    first = newton(x, targets["low_quality"])(x)
+    out_of_fold = np.zeros(len(x))
+    for k in range(toxicity.FOLDS):
+        out_of_fold[fold == k] = newton(x[fold != k], targets["low_quality"][fold != k])(x[fold == k])
+    second = newton(np.column_stack([x, out_of_fold]), targets["toxic"])(np.column_stack([x, first]))
+    chain = toxicity.train(table, toxicity.from_quality(labels))
+    assert set(chain.words) == chosen and len(chosen) >= 4
+    got = {r["doc_id"]: r for r in chain.scored(table).collect()}
+    assert max(abs(got[i]["p_low_quality"] - p) for i, p in enumerate(first, 1)) < 0.01
+    assert max(abs(got[i]["p_toxic"] - p) for i, p in enumerate(second, 1)) < 0.01
+
+
 def test_toxicity_on_unseen_documents(spark):
     folder = "/root/testdata/sf0.1"
     all_docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
