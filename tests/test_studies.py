@@ -187,3 +187,37 @@ def test_axes_of_few_prices(spark):
     days = spark.createDataFrame([(1, datetime(2026, 6, 14).date()), (2, datetime(2026, 5, 1).date()), (3, datetime(2025, 1, 1).date()), (4, datetime(2026, 6, 15).date())], "k int, day date")
     got = {r["k"]: r["labels"] for r in chart.time_axis(days, ["k"], F.lit("2026-06-15 00:00:00")).collect()}
     assert got[1] == ["JUN 14", "JUN 14", "JUN 14", "JUN 15"] == got[4] and len(got[2]) == 5 and got[3][0] == "JAN '25" and len(got[3]) == 7
+
+
+def test_prices_that_cards_state(spark):
+    texts = {"$5": "5.00", " $1,234.50 ": "1234.50", ".5": "0.50", "NaN": None, "Infinity": None, "5 USD": None, "": None, "99999999999.99": None, "100000000": None, "-3": "-3.00", None: None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", catalogues.price_of_text(F.col("t")).alias("p")).collect()
+    assert {r["t"]: None if r["p"] is None else str(r["p"]) for r in rows} == texts
+    html = '<article data-name="A" data-product-price="$10" data-entity-id="1"><span class="price price--non-sale"> $1<b>2</b>.50 </span>$9</article><article data-name="B" data-product-price="$10" data-entity-id="2"><s class="price--non-sale">$10</s></article><article data-name="C" data-entity-id="3"><s class="price--non-sale">$10</s></article>'
+    got = catalogues.card_prices(catalogues.parse_cards(spark.createDataFrame([("p", html)], "path string, html string"))).collect()
+    assert {r["vendor_sku"]: (r["current_price"], r["compare_at_price"]) for r in got} == {"1": (Decimal("10.00"), Decimal("12.50")), "2": (Decimal("10.00"), None), "3": (None, None)}
+
+
+def test_guide_headings(spark):
+    files = [("/g/old-one.mdx", "---\ntitle: Old one\nupdated: 2024-01-05\n---\nBody --- here\n---\n"), ("/g/new.mdx", "---\r\nupdated: '2025-02-03T00:00:00Z'\r\nkind: CARE\r\ndescription: \r\n---\r\nx"), ("/g/bare.mdx", "no heading"), ("/g/Bad_name.mdx", "---\n---\n"), ("/g/readme.md", "")]
+    got = [tuple(r) for r in market.guides_of(spark.createDataFrame(files, "path string, content string")).collect()]
+    assert got == [("new", "CARE", "new", "2025-02-03", None, "x"), ("old-one", "GUIDE", "Old one", "2024-01-05", None, "Body --- here\n---\n"), ("bare", "GUIDE", "bare", "", None, "no heading")]
+
+
+def test_classes_of_fetches(spark):
+    wall = "<title>Access denied</title>"
+    cases = [(None, None, "network"), (200, "fine", None), (200, wall, "block"), (200, "x" * 5000 + wall, None), (403, wall, "block"), (403, "no", "other"), (429, wall, "http_429"), (503, wall, "http_5xx"), (404, wall, "other"), (204, wall, "other"), (301, "", "other"), (200, None, None)]
+    rows = spark.createDataFrame([(i, s, b) for i, (s, b, _) in enumerate(cases)], "i int, s int, b string")
+    assert [r[0] for r in rows.orderBy("i").select(catalogues.fetch_error(F.col("s"), F.col("b"))).collect()] == [c for *_, c in cases]
+
+
+def test_fields_of_a_coral(spark):
+    """A price of 0 is the cheapest on the page, not in a text; tied vendors newest first; labels where there are any; a coral without offers still has its own line."""
+    rows = spark.createDataFrame([listing(1, 1, 1, "0.00", first=at(13)), listing(2, 2, 1, "5.00", first=at(12)), listing(3, 3, 1, "5.00", first=at(13, 6)), listing(4, 1, 1, None), listing(5, 1, 2, stock=False), *[listing(10 + v, v, 3, "7.00", first=at(v)) for v in range(1, 6)]], LISTING)
+    shops = spark.createDataFrame([(v, f"s{v}", f"Shop {v}") for v in range(1, 6)], "id long, slug string, display_name string")
+    corals = spark.createDataFrame([(1, "WWC", "sps"), (2, "", None), (3, "ORA", "Acropora tenuis")], "id long, origin_vendor string, coral_type string")
+    labels = spark.createDataFrame([("s3", "S3")], "slug string, label string")
+    got = {r["named_coral_id"]: (r["reference"], r["summary"], r["lineage"]) for r in market.reference_fields(rows, shops, corals, NOW, labels).collect()}
+    assert got[1] == ("Cheapest now. $5.00 — Vendor. S3, Shop 2 — First seen. Jun 2026", "Price. $0.00 — Vendor. Shop 1 — Lineage. World Wide Corals — Listed. 1 day ago", "Type. SPS — Origin. World Wide Corals")
+    assert got[2] == ("", "", "")
+    assert got[3][1].startswith("Price. $7.00 — Vendor. Shop 5, Shop 4, S3 +2 — Lineage. ORA — Listed. Jun 5"[:50]) and got[3][2] == "Type. Acropora tenuis — Origin. ORA"
