@@ -39,12 +39,24 @@ def not_excluded(category: str = "category") -> Column:
     return F.col(category).isNull() | ~F.col(category).isin(*EXCLUDED_CATEGORIES)
 
 
+#: Folders that this driver made and nobody has deleted yet.
+_folders: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all folders that operators and streams have made. Results read some of them: call it when those results are stored."""
+    while _folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder where executors and driver meet: in spark.checkpoint.dir, of local sessions without one in their own temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='tidemark-')}/{label}-{uuid.uuid4().hex}"
+    _folders.append(f"{root or tempfile.mkdtemp(prefix='tidemark-')}/{label}-{uuid.uuid4().hex}")
+    return _folders[-1]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
