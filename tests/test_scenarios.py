@@ -102,9 +102,10 @@ def test_onboarding(spark):
     v = vendors(spark)
     rows = spark.createDataFrame([listing(i, 1) for i in range(3)] + [listing(10, 1, stock=False), listing(11, 1, category="invert"), listing(12, 1, category="equipment"), listing(13, 2, category=None)], LISTING)
     assert {(r["slug"], r["n"]) for r in market.pending_announcements(v, rows, "email").collect()} == {("v1", 3), ("v2", 1)}
-    after, stamped = market.mark_announced(v, ["v1", "v3"], "email", NOW)
+    slugs = lambda *xs: spark.createDataFrame([(x,) for x in xs], "slug string")
+    after, stamped = market.mark_announced(v, slugs("v1", "v3", "v3", "unknown"), "email", NOW)
     assert {r["slug"] for r in stamped.collect()} == {"v1", "v3"}
-    assert market.mark_announced(after, ["v1"], "email", NOW)[1].count() == 0
+    assert market.mark_announced(after, slugs("v1"), "email", NOW)[1].count() == 0
     assert [r["slug"] for r in market.onboarding_strip(after, rows).collect()] == ["v1"]
     with pytest.raises(ValueError):
         market.pending_announcements(v, rows, "fax")

@@ -151,6 +151,12 @@ def coral_images(corals: DataFrame, listings: DataFrame, vendors: DataFrame, now
     return best.select("named_coral_id", "image_url", F.col("id").alias("listing_id")).join(corals.where(F.col("active") & ~F.col("slug").startswith("_")).select(F.col("id").alias("named_coral_id"), "slug"), "named_coral_id")
 
 
+def freshness(listings: DataFrame) -> DataFrame:
+    """(named_coral_id, vendors, latest): by how many vendors a coral is in stock, and when any of its listings was last seen, as an ISO text, of which the largest is the latest."""
+    rows = listings.where("named_coral_id is not null")
+    return rows.groupBy("named_coral_id").agg(F.countDistinct(F.when(F.col("in_stock"), F.col("vendor_id"))).alias("vendors"), F.max(F.date_format("last_seen_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("latest"))
+
+
 def sitemap_slugs(envelope: DataFrame, corals: DataFrame, least: int = 2) -> DataFrame:
     """(slug, days): corals whose price envelope has `least` days or more, from one envelope of all corals."""
     days = envelope.groupBy(F.col("named_coral_id").alias("id")).agg(F.count("*").alias("days")).where(F.col("days") >= least)
@@ -193,11 +199,11 @@ def onboarding_strip(vendors: DataFrame, listings: DataFrame, now: str | None =
     return rows.orderBy(F.col("announced_at").desc(), "slug")
 
 
-def mark_announced(vendors: DataFrame, slugs: list[str], channel: str, now: str) -> tuple[DataFrame, DataFrame]:
-    """The vendors after the announcement, and the slugs that it stamped: those that had no stamp yet."""
+def mark_announced(vendors: DataFrame, announced: DataFrame, channel: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """The vendors after the announcement of those in announced(slug), and the slugs that it stamped: those that had no stamp yet."""
     column = _channel(channel)
-    new = F.col("slug").isin(*slugs) & F.col(column).isNull()
-    return vendors.withColumn(column, F.when(new, at(now)).otherwise(F.col(column))), vendors.where(new).select("slug")
+    rows = vendors.join(announced.select("slug", F.lit(True).alias("_announced")).distinct(), "slug", "left").withColumn("_new", F.coalesce(F.col("_announced") & F.col(column).isNull(), F.lit(False)))
+    return rows.select(*[F.when(F.col("_new"), at(now)).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in vendors.columns]), rows.where("_new").select("slug")
 
 
 def stamp_organic_drop(vendors: DataFrame, arrivals: DataFrame, now: str) -> DataFrame:

@@ -128,7 +128,7 @@ _Q = {
         sql(f"select * from (select id as vendor_id, slug, least(announced_email_at, announced_discord_at) as announced_at, (select count(*) from listings l where l.vendor_id = v.id and in_stock and {SHOWN}) as n from visible v where first_organic_drop_at is null) where n > 0 and announced_at between {since(WEEK)} and {T}", VISIBLE),
     ),
     "mark_onboarding_announced": (
-        lambda m: market.mark_announced(m.vendors, ["vendor-1", "vendor-2", "vendor-3"], "email", NOW)[0].select("id", "slug", "announced_email_at"),
+        lambda m: market.mark_announced(m.vendors, m.vendors.where("id between 1 and 3").select("slug"), "email", NOW)[0].select("id", "slug", "announced_email_at"),
         sql(f"select id, slug, case when announced_email_at is null and slug in ('vendor-1', 'vendor-2', 'vendor-3') then {T} else announced_email_at end as announced_email_at from vendors"),
     ),
     "stamp_first_organic_drop": (
@@ -197,6 +197,10 @@ _Q = {
         lambda m: market.sitemap_slugs(timeseries.price_envelope(m.price_history, m.listings, m.vendors, NOW, None, 90), m.named_corals),
         sql(f"select c.slug, e.days from named_corals c join (select named_coral_id, count(distinct day) as days from states where {STATE_OK} group by 1) e on e.named_coral_id = c.id where c.active and e.days >= 2", *states("named_coral_id is not null", 90)),
     ),
+    "coral_freshness": (
+        lambda m: market.freshness(m.listings),
+        sql("select named_coral_id, count(distinct vendor_id) filter (where in_stock) as vendors, strftime(max(last_seen_at), '%Y-%m-%dT%H:%M:%SZ') as latest from listings where named_coral_id is not null group by 1"),
+    ),
     "scrape_clock": (lambda m: market.scrape_clock(m.scraper_runs), sql("select vendor_id, max(started_at) as last_started, max(finished_at) as last_finished from scraper_runs where status = 'success' group by 1")),
     "vendor_lookup": (lambda m: market.vendor_lookup(m.vendors), sql("select id, slug, replace(slug, '_', '-') as page_slug, display_name from visible", VISIBLE)),
     "digest_groups": (
