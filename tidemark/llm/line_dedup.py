@@ -425,9 +425,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: int = SIMILARITY) -
 def groups(lines: DataFrame, classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(node, label): the connected group of each line class that is linked with another, from line_table() and its classes."""
     led = cut(candidates(lines, classes, similarity), "lists")
+    release(lines.sparkSession)  # the shuffle of all listed triples is the largest
     pairs = cut(led.where("a <> b").select("a", "b").distinct(), "pairs")
     met = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     texts = cut(spelled(lines, met), "lines")
+    release(lines.sparkSession)
     links = cut(verified(pairs, texts, similarity), "links")
     drop_cut(pairs)
     release(lines.sparkSession)
