@@ -160,6 +160,11 @@ def test_digest_budget_is_what_the_loop_leaves(spark):
     assert market.digest_text(market.digest_blocks(table.where("listing_id < 0"), NOW, "site"), before="none").collect()[0]["text"] == "none"
 
 
+def test_url_components(spark):
+    got = spark.createDataFrame([("Az09-_.!~*'()",), ("a b+c/d=é&?",), ("",), (None,)], "t string").select(text.url_component(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["Az09-_.!~*'()", "a%20b%2Bc%2Fd%3D%C3%A9%26%3F", "", None]
+
+
 def test_markdown_escape(spark):
     got = spark.createDataFrame([(r"a*b_c~d`e|f\g[h](i)",)], "t string").select(text.markdown_escape(F.col("t"))).first()[0]
     assert got == r"a\*b\_c\~d\`e\|f\\g\[h\](i)"

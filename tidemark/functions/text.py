@@ -222,6 +222,20 @@ def markdown_escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\*_~`|\[\]])", r"\\$1")
 
 
+def url_component(text: Column) -> Column:
+    """A text as a part of a URL, as browsers encode it: letters, digits and -_.!~*'() stay, blanks are %20."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, mark in (("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(code), F.lit(mark))
+    return out
+
+
+def signup_links(token: Column, origin: str) -> Column:
+    """Struct (confirm, unsubscribe): the links of a signup's token; null without one."""
+    link = lambda page: F.concat(F.lit(f"{origin.rstrip('/')}/{page}?t="), url_component(token))
+    return F.struct(link("confirm").alias("confirm"), link("unsubscribe").alias("unsubscribe"))
+
+
 def one_of(value: Column, allowed: tuple[str, ...], default: str | None = None) -> Column:
     """A request's value if it is allowed, else the default."""
     return F.when(value.isin(*allowed), value).otherwise(F.lit(default))

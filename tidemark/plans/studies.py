@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chart
+from ..functions import chart, text
 from ..operators import health, market, studies, timeseries
 from ..operators.common import plain
 from ..sources import catalogues
@@ -235,6 +235,10 @@ _Q = {
         lambda m: market.guides_of(_guide_files(m)).withColumn("body", F.length("body")),
         sql("select 'guide-' || id as slug, case when id % 4 = 1 then 'CARE' else 'GUIDE' end as kind, case when id % 4 in (0, 3) then 'guide-' || id else canonical_name || ': basics' end as title, case when id % 4 = 3 then '' else '2024-01-' || lpad((id % 28 + 1)::varchar, 2, '0') end as updated, case when id % 4 = 2 then 'About it' end as description, len(canonical_name) + 5 as body from named_corals where id % 6 <> 5"),
     ),
+    "signup_links": (
+        lambda m: m.star("customer").select("c_custkey", text.signup_links(F.when(F.col("c_custkey") % 7 != 0, F.concat("c_name", F.lit(" é+/=~&"), "c_custkey")), "https://shop.example/").alias("l")).select("c_custkey", "l.*"),
+        "select c_custkey, 'https://shop.example/confirm?t=' || t as confirm, 'https://shop.example/unsubscribe?t=' || t as unsubscribe from (select c_custkey, url_encode(case when c_custkey % 7 <> 0 then c_name || ' é+/=~&' || c_custkey end) as t from customer)",
+    ),
     "crawled_paths": (lambda m: catalogues.crawl(_grid_pages(m)), sql("select * from crawled", *PAGES_SQL)),
     "crawl_verdicts": (
         lambda m: catalogues.schema_change(catalogues.crawl(_grid_pages(m))),
