@@ -12,21 +12,22 @@ CAP_FLOOR, CAP_SHARE, WHOLE_SHARE, AGREEING = 50, 0.25, 0.8, 3
 ERROR_CHARS = 1000
 
 
-def classify(scraped: DataFrame, current: DataFrame, keys: list[str] = ["product_url"]) -> DataFrame:  # noqa: B006
-    """(keys, decision, was_price, now_price, was_stock, now_stock) for every scraped item(product_url, current_price, in_stock).
-
-    new, price_changed (which wins over a change of stock), restocked, oos or unchanged; a missing price differs from any other.
-    """
-    old = current.select(*keys, F.col("current_price").alias("was_price"), F.col("in_stock").alias("was_stock"), F.lit(True).alias("_known"))
-    rows = scraped.select(*keys, F.col("current_price").alias("now_price"), F.col("in_stock").alias("now_stock")).join(old, keys, "left")
-    decision = (
-        F.when(F.col("_known").isNull(), "new")
-        .when(~F.col("was_price").eqNullSafe(F.col("now_price")), "price_changed")
-        .when(~F.col("was_stock") & F.col("now_stock"), "restocked")
-        .when(F.col("was_stock") & ~F.col("now_stock"), "oos")
+def decision(known: Column, was_price: Column, now_price: Column, was_stock: Column, now_stock: Column) -> Column:
+    """new, price_changed (which wins over a change of stock), restocked, oos or unchanged; a missing price differs from any other."""
+    return (
+        F.when(~F.coalesce(known, F.lit(False)), "new")
+        .when(~was_price.eqNullSafe(now_price), "price_changed")
+        .when(~was_stock & now_stock, "restocked")
+        .when(was_stock & ~now_stock, "oos")
         .otherwise("unchanged")
     )
-    return rows.withColumn("decision", decision).drop("_known")
+
+
+def classify(scraped: DataFrame, current: DataFrame) -> DataFrame:
+    """(product_url, decision, was_price, now_price, was_stock, now_stock) for every scraped item(product_url, current_price, in_stock)."""
+    old = current.select("product_url", F.col("current_price").alias("was_price"), F.col("in_stock").alias("was_stock"), F.lit(True).alias("_known"))
+    rows = scraped.select("product_url", F.col("current_price").alias("now_price"), F.col("in_stock").alias("now_stock")).join(old, "product_url", "left")
+    return rows.withColumn("decision", decision(*map(F.col, ("_known", "was_price", "now_price", "was_stock", "now_stock")))).drop("_known")
 
 
 def cohort_gone(current: DataFrame, scraped: DataFrame, filtered: DataFrame) -> DataFrame:

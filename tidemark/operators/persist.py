@@ -6,12 +6,12 @@ their time, compare-at price and the edges of a markdown episode; a coral's matc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cdc
 from .common import at
-from .guards import BULK_ROWS, cluster_flips
+from .guards import BULK_ROWS
 
 KEY = ["vendor_id", "product_url"]
 # The columns that a scrape may write, in the table's order.
@@ -43,9 +43,9 @@ def patches(items: DataFrame, current: DataFrame, now: str, matched: DataFrame |
     given = lambda c: F.col(c) if c in items.columns else F.lit(ITEM_DEFAULTS.get(c))
     rows = items.select(*[given(c).cast(types[c]).alias(c) for c in STATED if c != "last_seen_at"], (F.col("vendor_image_url") if "vendor_image_url" in items.columns else F.lit(None).cast("string")).alias("_picture"), (F.lit(False) if hotlinked is None else hotlinked).alias("_hotlinked"))
     rows = rows.withColumn("currency", F.coalesce("currency", F.lit(ITEM_DEFAULTS["currency"])))
-    decided = cdc.classify(rows, current, KEY).select(*KEY, "decision")
-    was = current.select(*KEY, F.col("compare_at_price").alias("_was"))
-    rows = rows.join(decided, KEY).join(was, KEY, "left").withColumn("_markdown", markdown_action(F.col("_was"), F.col("compare_at_price")))
+    # one meeting of items and snapshot gives the decision and the markdown's edges
+    was = current.select(*KEY, F.lit(True).alias("_known"), F.col("current_price").alias("_price"), F.col("in_stock").alias("_stock"), F.col("compare_at_price").alias("_was"))
+    rows = rows.join(was, KEY, "left").withColumn("decision", cdc.decision(*map(F.col, ("_known", "_price", "current_price", "_stock", "in_stock")))).withColumn("_markdown", markdown_action(F.col("_was"), F.col("compare_at_price")))
     if matched is None:
         rows = rows.withColumns({c: F.lit(None).cast(types[c]) for c in MATCH}).withColumn("_matched", F.lit(False))
     else:
@@ -106,8 +106,10 @@ def log_of(patched: DataFrame, current: DataFrame, run_id: Column, now: str) ->
 
 def bulk_flips(snapshot: DataFrame, patched: DataFrame, least: int = BULK_ROWS) -> DataFrame:
     """The snapshot with bulk_cluster set anew at vendors that have new rows: no other group can have grown."""
-    grown = patched.where("decision = 'new'").select("vendor_id").distinct()
-    return cluster_flips(snapshot.join(grown, "vendor_id", "left_semi"), least).unionByName(snapshot.join(grown, "vendor_id", "left_anti"))
+    grown = patched.where("decision = 'new'").select("vendor_id", F.lit(True).alias("_grown")).distinct()
+    crossed = F.count("*").over(Window.partitionBy("vendor_id", "first_seen_at")) >= least
+    rows = snapshot.join(grown, "vendor_id", "left").withColumn("_crossed", F.coalesce("_grown", F.lit(False)) & crossed)
+    return rows.select(*[(F.col(c) | F.col("_crossed")).alias(c) if c == "bulk_cluster" else F.col(c) for c in snapshot.columns])
 
 
 def start_runs(runs: DataFrame, begun: DataFrame, now: str) -> DataFrame:
