@@ -395,7 +395,11 @@ _Q = {
         lambda m: m.listings.where("named_coral_id is not null").groupBy("named_coral_id").agg(text.tied_vendors(F.transform(F.array_sort(F.collect_set("vendor_id")), lambda v: F.concat(F.lit("v"), v.cast("string"))), 1).alias("vendors")),
         sql("select named_coral_id, 'v' || min(vendor_id) || case when count(distinct vendor_id) > 1 then ' +' || (count(distinct vendor_id) - 1) else '' end as vendors from listings where named_coral_id is not null group by 1"),
     ),
-    "page_skeletons": (lambda m: catalogues.skeleton_hashes(m.star("pages").select(F.col("url").alias("path"), "html")), ""),
+    "page_skeletons": (
+        lambda m: catalogues.skeleton_hashes(m.star("pages").select(F.col("url").alias("path"), "html")),
+        # the generated pages have one class at most for each element, and no start tags inside scripts
+        "select url as path, len(t) as tags, sha256(array_to_string(list_transform(t, lambda x: regexp_extract(x, '^<([a-z0-9]+)', 1) || '.' || regexp_extract(x, 'class=\"([^\"]*)\"', 1)), chr(10))) as skeleton_hash, contains(coalesce(html, ''), 'data-no-products-notification') as empty from (select *, regexp_extract_all(coalesce(html, ''), '<[a-z][^>]*>') as t from pages)",
+    ),
 }
 
 QUERIES = {name: (lambda spark, folder, make=make: plain(make(Model(spark, folder)))) for name, (make, _) in _Q.items()}
