@@ -91,7 +91,7 @@ def _changes(m: Model) -> DataFrame:
     for week in _weeks("observed_at"):
         m.price_history.where(week).write.mode("append").parquet(f"{folder}/in")
         ingest.run_available(ingest.log_changes(ingest.arriving(m.spark, m.price_history.schema, f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint")
-    return m.spark.read.schema(ingest.CHANGES).parquet(f"{folder}/out")
+    return ingest.changes_at(m.spark, f"{folder}/out")
 
 
 SCRAPES = 3

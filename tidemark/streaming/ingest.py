@@ -1,51 +1,56 @@
 """Incremental forms of the log's and the snapshot's queries: after any split of the input into batches they give what the batch queries give over all of it.
 
-The log is a stream keyed by listing: the state of a listing is its last row, so a new row meets the one before without a scan of the history. The snapshot is a table for each batch of
-scrapes; a batch reads its predecessor's and overwrites its own, so that a batch which is run again after a failure leaves what it left before.
+The log is a stream keyed by listing: the state of a listing is its last row, so a new row meets the one before without a scan of the history. The states are a table, and a batch meets it in
+one window, without a call for each listing. The snapshot is a table for each batch of scrapes. A batch reads its predecessor's table and overwrites its own, so that a batch which is run again
+after a failure leaves what it left before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..operators import events
 from ..operators.common import shared_folder  # noqa: F401
 
 LOG = "id long, listing_id long, price decimal(10,2), in_stock boolean, observed_at timestamp_ntz"
 CHANGES = LOG + ", prior_price decimal(10,2), prior_stock boolean, prior_at timestamp_ntz"
-LAST = "price decimal(10,2), in_stock boolean, observed_at timestamp_ntz"
 PRIOR = {"prior_price": "price", "prior_stock": "in_stock", "prior_at": "observed_at"}
 
 
-def _with_last(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A listing's new rows in order, each with the one before; the last one stays as the state."""
-    rows = pd.concat(list(frames)).sort_values(["observed_at", "id"], kind="stable")
-    last = state.get if state.exists else (None, None, None)
-    for new, old, first in zip(PRIOR, PRIOR.values(), last):
-        rows[new] = [first, *rows[old].tolist()[:-1]]
-    end = rows.iloc[-1]
-    price = end["price"]
-    state.update((None if price is None or pd.isna(price) else price, None if pd.isna(end["in_stock"]) else bool(end["in_stock"]), pd.Timestamp(end["observed_at"]).to_pydatetime()))
-    rows["prior_stock"] = rows["prior_stock"].astype("boolean")
-    yield rows[[c.split()[0] for c in CHANGES.split(", ")]]
+def log_changes(log: DataFrame) -> DataFrame:
+    """The stream of the log for run_available, which adds each row's previous price, stock and time of the same listing, as events.with_previous gives them over a whole log."""
+    return log.select("id", "listing_id", "price", "in_stock", "observed_at")
 
 
-def log_changes(log: DataFrame) -> DataFrame:
-    """The stream of the log with each row's previous price, stock and time of the same listing, as events.with_previous gives them over a whole log.
+def run_available(changes: DataFrame, path: str, checkpoint: str) -> None:
+    """Add what the stream has now, with the rows before, to the table at `path`, and return. With the same checkpoint the next call goes on where this one ended, also after a failure.
 
-    A listing's rows may be spread over batches in any way that keeps their order in time; rows of one batch need no order. State is one row for each listing.
+    A listing's rows may be spread over batches in any way that keeps their order in time; rows of one batch need no order. State is one row for each listing: batch b reads
+    {checkpoint}/last/{(b-1) % 2} and overwrites {checkpoint}/last/{b % 2} and {path}/batch={b}.
     """
-    rows = log.select("id", "listing_id", "price", "in_stock", "observed_at")
-    return rows.groupBy("listing_id").applyInPandasWithState(_with_last, CHANGES, LAST, "append", GroupStateTimeout.NoTimeout)
 
-
-def run_available(changes: DataFrame, path: str, checkpoint: str) -> None:
-    """Append what the stream has now to the table at `path`, and return. With the same checkpoint the next call goes on where this one ended, also after a failure."""
-    changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    def run(rows: DataFrame, batch: int) -> None:
+        known = rows.withColumn("new", F.lit(True))
+        if batch:
+            last = rows.sparkSession.read.schema(LOG).parquet(f"{checkpoint}/last/{(batch - 1) % 2}")
+            known = known.unionByName(last.withColumn("new", F.lit(False)))
+        order = ["new", "observed_at", "id"]
+        w = Window.partitionBy("listing_id").orderBy(*order)
+        prior = [F.lag(c).over(w).alias(name) for name, c in PRIOR.items()]
+        known.select("*", *prior).where("new").drop("new").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        own = [c.split()[0] for c in LOG.split(", ")]
+        last = known.groupBy("listing_id").agg(F.max_by(F.struct(*own), F.struct(*order)).alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{checkpoint}/last/{batch % 2}")
+
+    changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def changes_at(spark: SparkSession, path: str) -> DataFrame:
+    """The table that run_available has written."""
+    return spark.read.schema(CHANGES).parquet(path).select(*[c.split()[0] for c in CHANGES.split(", ")])
 
 
 def lead_events_of(changes: DataFrame, listings: DataFrame, vendors: DataFrame, corals: DataFrame, now: str, hours: int, limit: int | None = None) -> DataFrame:
