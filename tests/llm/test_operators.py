@@ -255,6 +255,56 @@ def test_lm_scores_against_a_tree_of_dictionaries(spark, monkeypatch):
         assert abs(got[i] - total) < 1e-6 * len(words), (i, t, got[i], total)
 
 
+def test_lm_scores_without_shares(spark, monkeypatch):
+    """No context and no entry is dropped for being seldom: every state from its definition, with branches divided over many buckets and in one."""
+    rng = random.Random(12)
+    names = [f"w{k}" for k in range(40)] + ["once%d" % k for k in range(60)]
+    speak = lambda: [names[min(int(rng.expovariate(0.08)), 99)] for _ in range(rng.randrange(0, 25))]
+    texts = {i: speak() for i in range(150)}
+    texts |= {i: [*texts[i - 150], *texts[i - 150][:3]] for i in range(150, 220)}  # copies make contexts of two
+    train = [[*t, ""] for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in t)
+    n, v = sum(counts.values()), len(counts)
+    whole, d = n + 0.1 * (v + 1), suffix_tree.DISCOUNT
+    monkeypatch.setattr(suffix_tree, "WORD_SHARE", 100)
+    frequent = {w for w, c in counts.items() if w and c >= n / 100}
+    sym = lambda w: w if w in frequent or w == "" else "?"
+    root = {w: (counts[w] + 0.1) / whole for w in [*frequent, ""]}
+    root["?"] = 1 - sum(root.values())
+    follow: dict = {}
+    for t in train:
+        for i in range(1, len(t)):
+            for c in [(sym(t[i - 1]),), *([("rare", t[i - 1])] if sym(t[i - 1]) == "?" else []), *([(sym(t[i - 2]), sym(t[i - 1]))] if i > 1 else [])]:
+                follow.setdefault(c, Counter())[sym(t[i])] += 1
+
+    def state(context, lower):
+        seen, total = follow[context], sum(follow[context].values())
+        weight = 1 - sum(c - d for c in seen.values()) / total
+        gain = sum(c * np.log((max(c - 1 - d, 0) / max(total - 1, 1) + weight * lower(w)) / lower(w)) for w, c in seen.items())
+        return (lambda w: max(seen.get(w, 0) - d, 0) / total + weight * lower(w)), gain > suffix_tree.DIVERGENCE * total
+
+    ones = {c: state(c, root.__getitem__) for c in follow if len(c) == 1}
+    twos = {c: state(c, ones[c[1:]][0]) for c in follow if len(c) == 2 and c[0] != "rare"}
+    kept = {c for c, (_, keep) in ones.items() if keep} | {c[1:] for c, (_, keep) in twos.items() if keep}
+    at = lambda one: ones[(one,)][0] if (one,) in kept else root.__getitem__
+    rare = {c[1]: state(c, at("?")) for c in follow if c[0] == "rare"}
+    assert any(keep and sum(follow[c].values()) < 5 for c, (_, keep) in twos.items()) and any(keep and sum(follow["rare", w].values()) < 4 for w, (_, keep) in rare.items())
+    wanted = {}
+    for i, t in texts.items():
+        wanted[i], words = 0.0, [*t, ""]
+        for k, w in enumerate(words):
+            p = root.__getitem__
+            if k:
+                two = twos.get((sym(words[k - 2]), sym(words[k - 1])), (None, False)) if k > 1 else (None, False)
+                p = rare[words[k - 1]][0] if rare.get(words[k - 1], (None, False))[1] else two[0] if two[1] else at(sym(words[k - 1]))
+            wanted[i] += log10(p(sym(w)) * ((counts[w] + 0.1) / whole / root["?"] if sym(w) == "?" else 1.0))
+    table = docs(spark, [(i, " ".join(t)) for i, t in texts.items()])
+    for bucket in (60, 1_000_000):
+        monkeypatch.setattr(suffix_tree, "BUCKET", bucket)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score(table).collect()}
+        assert got.keys() == wanted.keys() and all(abs(got[i] - wanted[i]) < 1e-6 * (len(texts[i]) + 1) for i in texts), bucket
+
+
 def test_tree_is_a_distribution():
     p = np.array([0.1, 0.2, 0.3, 0.25, 0.15])
     single = np.array([2, 3])
