@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ import pytest
 from harness import differences, second_engine
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, html_extract, license_scan, line_dedup, ngram_jaccard, quality_rules, queries, suffix_tree, token_counts, toxicity
+from tidemark.llm import bpe, common, decontaminate, html_extract, license_scan, line_dedup, ngram_jaccard, quality_rules, queries, suffix_tree, token_counts, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, rid string, key string, _doc string"
@@ -444,6 +446,20 @@ def test_repeated_rows_are_one_document_of_their_host(spark):
     assert {r["n_line_words"] for r in quality_rules.judge(again).collect()} == {0}
 
 
+def test_cut_leaves_no_shuffle_files(spark):
+    """However long the driver keeps what the plan refers to."""
+    root = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for d in root for f in Path(d).rglob("shuffle_*.data")}
+    before, table = files(), spark.range(100_000).repartition(3, "id")
+    kept = common.cut(table, "cut")
+    end = time.monotonic() + 20
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 100_000
+    assert spark.conf.get(common.CLEANUP) == "false"
+    common.drop_cut(kept)
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     bases = [[f"l{rng.randrange(5000)}" for _ in range(rng.choice([1, 2, 6, 40, 150, 400]))] for _ in range(30)]
