@@ -460,6 +460,27 @@ def test_cut_leaves_no_shuffle_files(spark):
     common.drop_cut(kept)
 
 
+def test_tiles_in_waves(spark, monkeypatch):
+    """Waves, each with a part of the tiles, find what all tiles at once find."""
+    monkeypatch.setattr(ngram_jaccard, "TILE_SETS", 8)
+    rng = random.Random(5)
+    rows = sorted({(fp, rng.choice([1, 1, 2, fp]), comp) for fp in range(60) for comp in rng.sample(range(4), 2)})
+    label = {fp: x for fp, x, _ in rows}
+    members = spark.createDataFrame([(fp, label[fp], comp) for fp, _, comp in rows], "fp long, label long, comp long")
+    sets = spark.createDataFrame([(fp, fp % 7) for fp in label], "fp long, rest long")
+
+    def run(table):
+        x = table.to_pylist()
+        found = [(i["label"], j["label"]) for i in x for j in x if i["label"] < j["label"] and i["rest"] == j["rest"]]
+        return pa.table({"src": pa.array([i for i, _ in found], pa.int64()), "dst": pa.array([j for _, j in found], pa.int64())})
+
+    stored = []
+    monkeypatch.setattr(ngram_jaccard, "cut", lambda df, name: stored.append(name) or common.cut(df, name))
+    links = lambda **more: {tuple(r) for r in ngram_jaccard.tiled_links(members, sets, run, **more).collect()}
+    whole = links()
+    assert whole and links(at_once=100) == whole and stored.count("links") > 2
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     bases = [[f"l{rng.randrange(5000)}" for _ in range(rng.choice([1, 2, 6, 40, 150, 400]))] for _ in range(30)]
