@@ -573,6 +573,48 @@ def test_line_dedup_long_lists(spark, monkeypatch):
     assert got == {i: int(label[i] != i) for i in range(len(plain))} and len(set(label)) > 20
 
 
+def linked_by_edits(plain):
+    """The smallest line of each connected group, from all pairs."""
+    letters, label = spelt(line_dedup.Lines(pa.array([" ".join(x) for x in plain]))), list(range(len(plain)))
+    for i in range(len(plain)):
+        for j in range(i):
+            most = line_dedup.most_edits(len(plain[i]), len(plain[j]))
+            if label[i] != label[j] and line_dedup.edits(letters[i], letters[j], most) <= most:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_line_dedup_places(spark):
+    """Lines that share a phrase at places that the allowed edits cannot bring together never become pairs."""
+    rng = random.Random(3)
+    phrase = "six quite rare words stand here".split()
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    plain = [own(12 * k) + phrase + own(60 - 12 * k) for k in range(6)]
+    lines = line_dedup.line_table(docs(spark, [" ".join(x) for x in plain], 0)).persist()
+    classes = lines.where("key is not null").groupBy("key").agg(F.count("letters").alias("batches"), F.sum(F.octet_length("letters") / 2).cast("long").alias("listings"))
+    assert line_dedup.candidates(lines, classes).where("a <> b").isEmpty()
+    lines.unpersist()
+
+
+@pytest.mark.parametrize("long", [4096, 20])
+def test_line_dedup_lists_at_places(spark, monkeypatch, long):
+    """Long lists of lines with one phrase at many places, with words that come again and again, whole and (beyond `long` classes) in tiles."""
+    monkeypatch.setattr(line_dedup, "LONG", long)
+    monkeypatch.setattr(line_dedup, "LIST_ROWS", 30)
+    monkeypatch.setattr(line_dedup, "SEEN", 2)
+    rng = random.Random(11)
+    phrase, plain = "quite rare words begin here".split(), []
+    for k in range(30):
+        base = [f"w{rng.randrange(40)}" for _ in range(k)] + phrase + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(8, 30))]
+        plain += [variants(rng, base, rng.choice([0, 1, 2, 3])) for _ in range(rng.randrange(1, 4))]
+        again = ["over"] * (20 + k) + phrase + ["and"] * (10 + 2 * k)
+        plain += [again, again[1:] + ["end"], [f"n{k}"] * 3 + again]
+    label = linked_by_edits(plain)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.removed(docs(spark, [" ".join(x) for x in plain], 0)).collect()}
+    assert got == {i: int(label[i] != i) for i in range(len(plain))} and len(set(label)) > 20
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_edits(seed):
     rng = random.Random(seed)
