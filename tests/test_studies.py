@@ -1,6 +1,7 @@
 """Studies, audits, rules, crawls, digests and charts: small cases with known answers, and loops where Spark has windows."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -160,6 +161,16 @@ def test_digest_budget_is_what_the_loop_leaves(spark):
     assert market.digest_text(market.digest_blocks(table.where("listing_id < 0"), NOW, "site"), before="none").collect()[0]["text"] == "none"
 
 
+def test_digest_sums_grow_with_the_vendors(spark):
+    """No frame ends with its partition after beginning at a row, which Spark sums anew for each; of blocks that begin beyond the budget none is gathered."""
+    schema = "listing_id long, display_name string, event string, precedence int, event_at timestamp_ntz, first_seen_at timestamp_ntz, raw_title string, product_url string, current_price decimal(10,2), prior_price decimal(10,2), compare_at_price decimal(10,2), category string, bulk_cluster boolean"
+    blocks = market.digest_blocks(spark.createDataFrame([], schema), NOW, "site")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"RowFrame, (?!unboundedpreceding)[^,]*, unboundedfollowing", plan(blocks))
+    text_ = market.digest_text(spark.range(1, 2_001).selectExpr("cast(id as int) as place", "'b' as block"), 9, "😀")
+    assert text_.collect()[0]["text"] == "😀b\n\nb\n\nb…" and "<= 9)" in plan(text_)
+
+
 def test_url_components(spark):
     got = spark.createDataFrame([("Az09-_.!~*'()",), ("a b+c/d=é&?",), ("",), (None,)], "t string").select(text.url_component(F.col("t"))).collect()
     assert [r[0] for r in got] == ["Az09-_.!~*'()", "a%20b%2Bc%2Fd%3D%C3%A9%26%3F", "", None]
