@@ -307,6 +307,22 @@ def test_lm_scores_without_shares(spark, monkeypatch):
         assert got.keys() == wanted.keys() and all(abs(got[i] - wanted[i]) < 1e-6 * (len(texts[i]) + 1) for i in texts), bucket
 
 
+def test_lm_places_of_a_frequent_pair_are_dealt_out(spark, monkeypatch):
+    """No bucket has most places because two symbols stand together everywhere, counts travel in small batches, and scores don't depend on how places are dealt."""
+    rng = random.Random(13)
+    texts = [(i, " ".join(rng.choice(["new york", "new york city", "york new", "a b", f"rare{i}"]) for _ in range(20))) for i in range(400)]
+    table = docs(spark, texts)
+    wanted = {r["doc_id"]: r["score"] for r in suffix_tree.score(table).collect()}
+    for name, value in (("BUCKET", 200), ("PACKED_BYTES", 500), ("GROWN", 100), ("COUNT_BYTES", 50)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(table).collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[i] - wanted[i]) < 1e-4 for i in wanted)
+    keyed = table.select("doc_id", "text", F.lit(False).alias("held_out"))
+    model = suffix_tree.train(keyed)[0]
+    most = suffix_tree.packed(keyed, model).where(F.col("kind") == suffix_tree.PLACES).groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    assert len(model.pairs) and most < 5 * suffix_tree.BUCKET, most
+
+
 def test_tree_is_a_distribution():
     p = np.array([0.1, 0.2, 0.3, 0.25, 0.15])
     single = np.array([2, 3])
